@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, quality, sharding, simhash, url_filter
+from . import html_text, langid, mixing, quality, sharding, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,72 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def _mixing_sql() -> str:
+    """The same mix, written for DuckDB: streams, slots and pieces as plain joins."""
+
+    def draw(*parts: str) -> str:
+        return f"CAST(concat('0x', substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15)) AS BIGINT)"
+
+    seed, b, rounds = f"'{mixing.SEED}'", mixing.BLOCK, mixing.ROUNDS
+    partner = f"((({draw(seed, "'turn'", 'sid', 'pass', 'k')} - x) % greatest(full_blocks, 1) + greatest(full_blocks, 1)) % greatest(full_blocks, 1))"
+    swap = draw(seed, "'swap'", "sid", "pass", "k", f"greatest(x, {partner})")
+    weights = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(mixing.WEIGHTS))
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         {draw(seed, "'order'", "coalesce(CAST(doc_id AS VARCHAR), '')", "md5(coalesce(text, ''))")} AS k
+  FROM documents
+), s1 AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source
+), s2 AS (
+  SELECT *, CAST(CASE sid % {len(mixing.WEIGHTS)} {weights} END AS DOUBLE) AS weight, {mixing.MOST} * source_size AS lim FROM s1
+), s3 AS (
+  SELECT *, lim / weight AS ratio,
+         ((SELECT sum(source_size) FROM s2) - coalesce(sum(lim) OVER (ORDER BY lim / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY lim / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+  FROM s2
+), s4 AS (
+  SELECT *, least(CAST(lim AS DOUBLE), weight * (SELECT share FROM s3 WHERE share <= ratio ORDER BY ratio, sid LIMIT 1)) AS target FROM s3
+), s AS (
+  SELECT sid, source, source_size, target,
+         CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS passes,
+         CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) % source_size ELSE 0 END AS rest,
+         (source_size + {b - 1}) // {b} AS blocks, source_size // {b} AS full_blocks, source_size % {b} AS tail
+  FROM s4
+), p AS (
+  SELECT d.doc_id, d.size, s.sid, s.source_size, s.target,
+         CAST(sum(d.size) OVER (PARTITION BY s.sid ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start, row_number() OVER () AS rid
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+), t1 AS (
+  SELECT *, unnest(range(0, passes * blocks + CASE WHEN rest > 0 THEN blocks ELSE 0 END)) AS slot FROM s
+), t2 AS (
+  SELECT *, slot // blocks AS pass, slot % blocks AS pos FROM t1
+), t3 AS (
+  SELECT *, CASE WHEN tail > 0 THEN {draw(seed, "'tail'", 'sid', 'pass')} % blocks ELSE blocks END AS tail_pos FROM t2
+), t4 AS (
+  SELECT sid, pass < passes AS whole,
+         CASE WHEN pos = tail_pos THEN full_blocks ELSE list_reduce(range(1, {rounds + 1}), lambda x, k: CASE WHEN {swap} % 2 = 0 THEN {partner} ELSE x END, pos - CASE WHEN pos > tail_pos THEN 1 ELSE 0 END) END AS block,
+         CASE WHEN pos = tail_pos THEN tail ELSE {b} END AS length,
+         rest - (pos * {b} - CASE WHEN pos > tail_pos THEN {b} - tail ELSE 0 END) AS behind
+  FROM t3
+), drawn AS (
+  SELECT sid, block, CAST(sum(CASE WHEN whole THEN 1 ELSE 0 END) AS BIGINT) AS times, coalesce(max(CASE WHEN NOT whole THEN greatest(0, least(length, behind)) END), 0) AS part FROM t4 GROUP BY sid, block
+), pieces AS (
+  SELECT rid, sid, start, size, unnest(range(start // {b}, (start + size - 1) // {b} + 1)) AS block FROM p WHERE size > 0
+), taken AS (
+  SELECT rid, CAST(sum(times * (least({b}, start + size - q.block * {b}) - greatest(0, start - q.block * {b}))
+         + greatest(0, least(part, start + size - q.block * {b}) - greatest(0, start - q.block * {b}))) AS BIGINT) AS taken
+  FROM pieces q JOIN drawn USING (sid, block) GROUP BY rid
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0) AS taken FROM p LEFT JOIN taken USING (rid)
+"""
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -53,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
+        "op5_mixing": op5_mixing,
         "op7_html_text": op7_html_text,
         "op8_quality": op8_quality,
         "op10_langid": op10_langid,
@@ -60,4 +127,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mixing": _mixing_sql(),
+    }
