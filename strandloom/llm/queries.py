@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, mixing, quality, sharding, simhash, url_filter
+from . import html_text, langid, mixing, packing, quality, sharding, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,10 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0)
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -120,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
         "op5_mixing": op5_mixing,
+        "op6_packing": op6_packing,
         "op7_html_text": op7_html_text,
         "op8_quality": op8_quality,
         "op10_langid": op10_langid,
