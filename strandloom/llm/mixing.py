@@ -119,7 +119,7 @@ def placed(thin: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame, *more) -> DataFrame:
-    """doc_id, source, size in words and the number that orders a source's stream; more columns may be asked for."""
+    """doc_id, source, size in words and the number that orders a source's stream; more of docs' columns may be asked for."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), draw(SEED, "order", F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("order_key"), *more)
 
 
@@ -156,9 +156,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A whole document keeps its text; a part has its words joined by blanks. n_chars, if there is such a column, follows the
     text; other columns are repeated. Documents of which nothing is taken are gone.
     """
-    row = F.struct("*")
-    # the row travels as one struct, so that no name of docs can clash
-    taken = mix(docs, row.alias("row"))
+    # rows travel as one struct, so that no name of docs can clash, and are found again by the number they get here
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("row")), "rows")
+    mixed = mix(rows.select("id", *[F.col("row").getField(c).alias(c) for c in ("doc_id", "text", "source")]), "id").filter("taken > 0")
+    taken = rows.join(mixed.select("id", "size", "passes", "parts"), "id")
     whole = F.col("passes") * (F.col("size") > 0).cast("long")
     gap = r"[\x20\x09-\x0D]+"
     words = F.split(F.regexp_replace(F.col("row.text"), rf"^{gap}|{gap}$", ""), gap)

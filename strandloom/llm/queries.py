@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, lattice, mixing, packing, quality, sharding, simhash, url_filter
+from . import html_text, langid, lattice, mixing, packing, quality, sharding, simhash, spans, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +118,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -132,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_html_text": op7_html_text,
         "op8_quality": op8_quality,
+        "op9_sentence_spans": op9_sentence_spans,
         "op10_langid": op10_langid,
     }
 

@@ -218,3 +218,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     of_all = materialize(distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")), "fp-components")
     release(edges, linked)
     return fps.join(of_all, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of docs with one document of each group of near-duplicates, the one with the smallest doc_id; all columns as they are.
+
+    Where several rows of a group share that doc_id, rows equal in text too count once. Documents without a doc_id
+    stay, one of each text, if none of their group has one.
+    """
+    near = near_duplicates(docs, width, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialize(near.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    once, often = kept.filter("n = 1").select("doc_id"), kept.filter("n > 1").select("doc_id")
+    # rows travel as one struct, so that no name of docs can clash
+    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row.doc_id").cast("long")).withColumn("text", F.col("row.text"))
+    out = rows.join(once, rows["id"].eqNullSafe(once["doc_id"]), "left_semi").select("row")
+    if not often.isEmpty():
+        out = out.union(rows.join(often, rows["id"].eqNullSafe(often["doc_id"]), "left_semi").dropDuplicates(["id", "text"]).select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
