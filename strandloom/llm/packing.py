@@ -24,13 +24,16 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 CAPACITY, END = 4096, 2
-#: Words, and letter runs of words, whose ids a worker keeps; text bytes that are cut into words at once.
+#: Parts of texts whose ids a worker keeps, twice; bytes of text that are cut into parts at once.
 _KEPT, _AT_ONCE = 500_000, 1 << 21
 #: Pieces of one length that one task numbers by itself.
 _RUN = 4096
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-_TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: What the tokenizer's own pattern cannot cut differently: runs of letters with apostrophes inside or before, of digits, of
+#: punctuation. Only texts of the characters below are cut so.
+_LETTER = "[a-zß-öø-ÿ]+"
+_PART = re.compile(rf"{_LETTER}(?:'{_LETTER})*|'{_LETTER}(?:'{_LETTER})*|[0-9]+|[!-/:-@\[-`{{-~]+")
+_OTHER = re.compile(r"[^\x09-\x0D\x20-\x7Eß-öø-ÿ]")
 
 
 def vocabulary_path() -> str:
@@ -40,10 +43,11 @@ def vocabulary_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizer gives them, put together from the ids of words.
+    """Ids of whole texts, as the tokenizer gives them, put together from the ids of their parts.
 
-    The tokenizer drops white space and never merges across it, so that words between ASCII white space can be
-    encoded by themselves, and those of Latin letters with punctuation behind them as two parts.
+    The tokenizer lowers case, drops white space and encodes each run of letters, digit and run of punctuation by
+    itself, so that equal parts have equal ids wherever they stand. Texts with other characters than ASCII and
+    Latin letters go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -53,58 +57,52 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.elder: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, missing: set[bytes]) -> None:
-        split, words, known = [], self.words, self.parts
-        for w in missing:
-            core = w.rstrip(_TAIL)
-            if core.isalpha():  # of bytes: ASCII letters
-                split.append((w, core.lower(), w[len(core) :]))
-            elif (m := _PLAIN.fullmatch(w.decode())) is not None:
-                split.append((w, m[1].lower().encode(), m[2].encode()))
-            else:
-                words[w] = self._encode(w.decode()).tobytes()
-        parts = {core for _, core, _ in split}
-        parts.update(tail for _, _, tail in split)
-        order = list(parts - known.keys())
-        if order:
-            ids = self._encode(b" ".join(order).decode())
-            at = 4 * (np.flatnonzero(self.ends[ids]) + 1) if len(ids) and ids.max() < len(self.ends) else np.zeros(0, int)
-            if len(at) == len(order) and at[-1] == 4 * len(ids):
-                raw, s = ids.tobytes(), 0
-                for p, e in zip(order, at.tolist()):
-                    known[p] = raw[s:e]
-                    s = e
-            else:
-                for p in order:
-                    known[p] = self._encode(p.decode()).tobytes()
-        for w, core, tail in split:
-            words[w] = known[core] + known[tail]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        self.parts: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: set[str]) -> None:
+        words = [p for p in missing if p.isalpha()]
+        for k in range(0, len(words), 4000):
+            some = words[k : k + 4000]
+            raw = self._encode([" ".join(some)])[0]
+            ids = np.frombuffer(raw, "<u4")
+            at = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(at) != len(some):  # a word would have to end in two places
+                self.parts.update(zip(some, self._encode(some)))
+                continue
+            s = 0
+            for p, e in zip(some, at.tolist()):
+                self.parts[p] = raw[s:e]
+                s = e
+        others = [p for p in missing if not p.isalpha()]
+        self.parts.update(zip(others, self._encode(others)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        if len(self.words) > _KEPT:  # what is found again in the elder half moves on, the rest goes
-            self.elder, self.words = self.words, {}
-        if len(self.parts) > _KEPT:
-            self.parts = {b"": b""}
-        split = [t.split() for t in texts]
-        missing: set[bytes] = set()
-        for words in split:
-            missing.update(words)
-        missing -= self.words.keys()
+        if len(self.parts) > _KEPT:  # what is found again in the elder half moves on, the rest goes
+            self.elder, self.parts = self.parts, {}
+        low = [t.lower() for t in texts]
+        whole = [k for k, t in enumerate(low) if "<|" in t or _OTHER.search(t)]
+        out: list = [None] * len(texts)
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
+            out[k] = ids
+        cut = {k: _PART.findall(t) for k, t in enumerate(low) if out[k] is None}
+        missing: set[str] = set()
+        for parts in cut.values():
+            missing.update(parts)
+        missing -= self.parts.keys()
         if again := missing & self.elder.keys():
-            self.words.update((w, self.elder[w]) for w in again)
+            self.parts.update((p, self.elder[p]) for p in again)
             missing -= again
         if missing:
             self._learn(missing)
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        ids = self.parts.__getitem__
+        for k, parts in cut.items():
+            out[k] = b"".join(map(ids, parts))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -126,13 +124,13 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
             _encoders[path] = Encoder(path)
         encoder, task, made = _encoders[path], TaskContext.get().partitionId(), 0
         for b in batches:
-            texts, ids = b.column("text").cast(pa.binary()), b.column("doc_id").to_pylist()
+            texts, ids = b.column("text"), b.column("doc_id").to_pylist()
             sizes = np.cumsum(np.array([x or 0 for x in pa.compute.binary_length(texts).to_pylist()]))
             done = 0
             while done < len(ids):
                 stop = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + _AT_ONCE)))
                 rows = []
-                for doc, found in zip(ids[done:stop], encoder.encode([t or b"" for t in texts.slice(done, stop - done).to_pylist()])):
+                for doc, found in zip(ids[done:stop], encoder.encode([t or "" for t in texts.slice(done, stop - done).to_pylist()])):
                     found += end
                     total = len(found) // 4
                     for s in range(0, total, capacity):
