@@ -24,7 +24,7 @@ BLOCK, SHARDS, MOST, WEIGHTS = 1024, 16, 3, (5, 2, 1)
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 24
 #: Documents that one task lays out one after another, and slots that one row unfolds to.
-RUN, UNFOLD = 4096, 1024
+RUN, UNFOLD = 1024, 256
 
 
 def draw(*parts):
@@ -84,7 +84,9 @@ def slots(table: DataFrame) -> DataFrame:
     upper = F.least(F.col("blocks"), F.expr(f"(rest + {BLOCK - 1}) div {BLOCK}") + 1)
     count = F.col("passes") * F.col("blocks") + F.when(F.col("rest") > 0, upper).otherwise(0)
     rows = table.withColumn("full", full).withColumn("tail", tail).withColumn("slots", count).filter("slots > 0")
-    runs = rows.withColumn("run", F.explode(F.expr(f"sequence(0, (slots - 1) div {UNFOLD})"))).repartition("sid", "run")
+    # a number of partitions of its own: these few small rows unfold to many, so they mustn't be put together by size
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = rows.withColumn("run", F.explode(F.expr(f"sequence(0, (slots - 1) div {UNFOLD})"))).repartition(tasks, "sid", "run")
     out = runs.withColumn("slot", F.explode(F.expr(f"sequence(run * {UNFOLD}, least(slots, (run + 1) * {UNFOLD}) - 1)")))
     out = out.withColumn("pass", F.expr("slot div blocks")).withColumn("at", F.expr("slot % blocks"))
     out = out.withColumn("tail_at", F.when(F.col("tail") > 0, draw(SEED, "tail", F.col("sid"), F.col("pass")) % F.col("blocks")).otherwise(F.col("blocks")))
