@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import intervals, records, science, sequences  # noqa: F401
+from . import intervals, qc, records, science, sequences  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
