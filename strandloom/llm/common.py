@@ -62,6 +62,20 @@ def _clean() -> None:
             return
 
 
+#: Bytes of an Arrow batch, in the JVM and again in a worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to small Arrow batches; goes before a mapInArrow.
+
+    Texts are long and uneven: without a bound in bytes ten thousand of them come at once, and a worker holds what
+    it makes of them several times over. The setting is the session's, as Spark has no other.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def word_count(text: str = "text"):
     """Words `[^\\x20\\x09-\\x0D]+` of a text column, null text: 0. JVM only."""
     bare = F.regexp_replace(F.col(text), rf"^{WORD_GAP}|{WORD_GAP}$", "")

@@ -11,6 +11,7 @@ a pair that meets more than once is counted where its first meeting is.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, product
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, small_batches
 from .components import connected_components
 from .simhash import Forest, boundaries, whole_cells
 
@@ -71,14 +72,19 @@ def _hash(points: np.ndarray, table: int, dim: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+@cache
+def _directions(seed: int, table: int, dim: int) -> np.ndarray:
+    """Eight random directions, in whole numbers."""
+    return np.rint(np.random.Generator(np.random.PCG64([seed, table, dim])).normal(size=(dim, 8)) * _COARSE)
+
+
 def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = 8) -> np.ndarray:
     """Of each unit vector (a row): for each table its own cell, then the cells that it probes. Shape (rows, tables, 1 + probes)."""
     n, dim = unit.shape
     whole = np.rint(unit * _FINE)
     out = np.empty((n, tables, 1 + probes), np.int64)
     for t in range(tables):
-        directions = np.rint(np.random.Generator(np.random.PCG64([seed, t, dim])).normal(size=(dim, 8)) * _COARSE)
-        y = (whole @ directions) / (scale * _FINE * _COARSE)  # the product is exact: its terms stay far below 2^53
+        y = (whole @ _directions(seed, t, dim)) / (scale * _FINE * _COARSE)  # the product is exact: its terms stay far below 2^53
         home = nearest_e8(y)
         out[:, t, 0] = _hash(home, t, dim)
         # the nearer a neighbour's centre, the larger the offset's product with the step to it; steps are added in a fixed order
@@ -130,7 +136,7 @@ def _meet(cosine: float, tables: int, probes: int, scale: float):
                 unit = _vectors(t.column("embedding"))
                 links, forest = np.zeros(e - s, np.int64), Forest(e - s)
                 at_home = np.flatnonzero(home)
-                known: np.ndarray | None = None
+                known, has = np.zeros((e - s, tables, 1 + probes), np.int64), np.zeros(e - s, bool)
                 for k in range(0, len(at_home), 256):
                     i = at_home[k : k + 256]
                     near = unit[i] @ unit.T >= cosine
@@ -144,8 +150,12 @@ def _meet(cosine: float, tables: int, probes: int, scale: float):
                         continue
                     a = i[a]
                     forest.link(a, b)
-                    if known is None:
-                        known = cells(unit, tables, probes, scale)
+                    new = np.zeros(e - s, bool)
+                    new[a] = new[b] = True
+                    new &= ~has
+                    if new.any():
+                        known[new] = cells(unit[new], tables, probes, scale)
+                        has |= new
                     swap = node[a] > node[b]
                     first, second = np.where(swap, b, a), np.where(swap, a, b)
                     for part in range(0, len(a), 1 << 17):
@@ -194,14 +204,14 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.tolist(), pa.list_(pa.int64()))], [*part.schema.names, "cells"])
 
     of_vector = dict(nodes.dtypes)["embedding"]
-    coded = materialize(nodes.select("node", "copies", "dim", "embedding").mapInArrow(code, f"node long, copies long, dim int, embedding {of_vector}, cells array<long>"), "coded")
+    coded = materialize(nodes.select("node", "copies", "dim", "embedding").transform(small_batches).mapInArrow(code, f"node long, copies long, dim int, embedding {of_vector}, cells array<long>"), "coded")
     stands = coded.select("node", "copies", "dim", "embedding", F.posexplode("cells").alias("at", "cell")).withColumn("tab", F.expr(f"at div {1 + probes}").cast("int")).withColumn("home", F.col("at") % (1 + probes) == 0)
     sizes = coded.select("dim", F.explode("cells").alias("cell")).groupBy("cell", "dim").count()
     hot = materialize(sizes.filter(F.col("count") > CHUNK).select("cell", "dim", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot-cells")
     cut = stands.join(hot, ["cell", "dim"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "tab", "own", "home", "node", "copies", "embedding")
     spread = spread.repartition("cell", "dim", "lo", "hi").sortWithinPartitions("cell", "dim", "lo", "hi", "tab", "node")
-    met = materialize(spread.mapInArrow(_meet(cosine, tables, probes, scale), "a long, links long, b long"), "met")
+    met = materialize(spread.transform(small_batches).mapInArrow(_meet(cosine, tables, probes, scale), "a long, links long, b long"), "met")
     links = met.filter("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     of_node = connected_components(met.filter("b is not null").select("a", "b").distinct())
     linked = materialize(nodes.select("node", "least_id").join(of_node, "node"), "linked")
