@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from ..functions.hmm import Hmm
+from ..operators import correct as ec
 from ..operators import kmers as km
 from ..operators import science as op
 from .registry import query
@@ -79,6 +80,10 @@ query("kmer_codes", "reads", """WITH x AS (SELECT ord, unnest(range(1, greatest(
   SELECT ord, i + 2 AS pos, CASE WHEN regexp_full_match(w, '[ACGT]+') THEN (instr('CGT', w[1]) * 64 + instr('CGT', w[2]) * 16 + instr('CGT', w[3]) * 4 + instr('CGT', w[4])) END AS code FROM k""")(lambda df: km.rolling(df, 4))
 
 
+query("fastq_correct", "reads")(lambda df: ec.correct(df, shared_table, k=11, min_cov=3))
+query("fastq_correct_report", "reads")(lambda df: ec.report(ec.correct(df, shared_table, k=11, min_cov=3)))
+
+
 def _mates(a, b):
     return a.select("ord", F.substring("seq", 1, 60).alias("a")).join(b.select("ord", F.substring(sq.reverse_complement("seq"), 1, 60).alias("b")), "ord").filter("a <> '' and b <> ''")
 
