@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,16 +153,31 @@ def mix(docs: DataFrame, *more) -> DataFrame:
     return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("sid", "at", "start", "order_key")
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """(part, place, row): the rows of docs as structs, with what finds them again: their file and place in it.
+
+    Where docs isn't read straight from Parquet files, it is written to the shared folder first.
+    """
+
+    def keyed(df: DataFrame, row) -> DataFrame:
+        return df.select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("place"), row.alias("row"))
+
+    try:
+        return keyed(docs, F.struct("*"))
+    except AnalysisException:
+        return keyed(materialize(docs.select(F.struct("*").alias("row")), "rows"), F.col("row"))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of docs: each document as often as it is taken whole, and what else is taken of it as one more row.
 
     A whole document keeps its text; a part has its words joined by blanks. n_chars, if there is such a column, follows the
     text; other columns are repeated. Documents of which nothing is taken are gone.
     """
-    # rows travel as one struct, so that no name of docs can clash, and are found again by the number they get here
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("row")), "rows")
-    mixed = mix(rows.select("id", *[F.col("row").getField(c).alias(c) for c in ("doc_id", "text", "source")]), "id").filter("taken > 0")
-    taken = rows.join(mixed.select("id", "size", "passes", "parts"), "id")
+    # rows travel as one struct, so that no name of docs can clash, and meet what is taken of them by their keys
+    rows = row_keys(docs)
+    mixed = mix(rows.select("part", "place", *[F.col("row").getField(c).alias(c) for c in ("doc_id", "text", "source")]), "part", "place").filter("taken > 0")
+    taken = rows.join(mixed.select("part", "place", "size", "passes", "parts"), ["part", "place"])
     whole = F.col("passes") * (F.col("size") > 0).cast("long")
     gap = r"[\x20\x09-\x0D]+"
     words = F.split(F.regexp_replace(F.col("row.text"), rf"^{gap}|{gap}$", ""), gap)
