@@ -10,6 +10,7 @@ Pieces are numbered within their length and find window and offset by that numbe
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 CAPACITY, END = 4096, 2
 #: Parts of texts whose ids a worker keeps, twice; bytes of text that are cut into parts at once.
-_KEPT, _AT_ONCE = 500_000, 1 << 21
+_KEPT, _AT_ONCE = 250_000, 1 << 20
 #: Pieces of one length that one task numbers by itself.
 _RUN = 4096
 
@@ -51,6 +52,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # a task has one core, and threads of its own would only hold memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -142,7 +145,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)][: len(names)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECES + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(small_batches).mapInArrow(run, _PIECES + ", ids binary" * with_ids)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -242,7 +245,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
             window, offset = plan.value.place(b.column("length").to_numpy().astype(np.int64), b.column("number").to_numpy())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(window), pa.array(offset), *(b.column(c) for c in ids)], [*kept, "sequence_id", "offset", *ids])
 
-    out = ranked.mapInArrow(run, "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    out = ranked.transform(small_batches).mapInArrow(run, "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
     return out.withColumn("length", F.col("length").cast("long"))
 
 
