@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 PROFILE = 400
 #: Code points below 0x250 (Latin) keep a number of their own among 1023; others share the rest by remainder.
 _DIRECT, _KINDS = 0x250, 1023
@@ -103,7 +105,7 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     At most `size` rows a language reach the driver.
     """
     learned = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = learned.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = learned.transform(small_batches).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # rank in parts first, so that no task ranks a whole language's n-grams
     part = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(32))).withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= size)
@@ -153,4 +155,4 @@ def identify(docs: DataFrame, size: int = PROFILE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.transform(small_batches).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

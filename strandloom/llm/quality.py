@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 
 # Frequent function words of four languages.
 COMMON_WORDS = {
@@ -92,16 +92,20 @@ def digest(text: str | None) -> tuple[int, int, int, int, int, list[int], list[i
     return len(words), int(classes.sum() - classes[4] - classes[5]), int(classes[9]), len(lines) - len(set(lines)), repeated_words(words), classes.tolist(), [*common, max(0, len(words) - sum(common))]
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """One thin row for each document: its counts and histograms."""
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [digest(t.as_py()) for t in b.column("text")]
+        columns = list(zip(*found)) if found else [[]] * 7
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[5:])], [f.split()[0] for f in _DIGEST.split(", ")])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [digest(t.as_py()) for t in b.column("text")]
-            columns = list(zip(*found)) if found else [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[5:])], [f.split()[0] for f in _DIGEST.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, _DIGEST)
+def digests(docs: DataFrame) -> DataFrame:
+    """One thin row for each document: its counts and histograms."""
+    return _texts(docs).transform(small_batches).mapInArrow(_digested, _DIGEST)
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -131,11 +135,12 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(found: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Language (None: pooled) to the reference histograms, from digests of all documents.
+    """Language (None: pooled) to the reference histograms, from digests of all documents, or from the documents (then in one pass of one worker).
 
     What reaches the driver is bounded: MAX_LANGS languages with at most 11 x 512 bins and 90 words each.
     """
-    table = materialize(found.select("lang", "n_words", "classes", "common").mapInArrow(_partial, "lang string, kind int, bin int, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")), "references")
+    rows, run = (found.select("lang", "n_words", "classes", "common"), _partial) if "classes" in found.columns else (_texts(found), lambda batches: _partial(_digested(batches)))
+    table = materialize(rows.transform(small_batches).mapInArrow(run, "lang string, kind int, bin int, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")), "references")
     langs = table.filter("kind = 0 and lang is not null").groupBy("lang").agg(F.sum("n").alias("docs")).filter(F.col("docs") >= MIN_DOCS).orderBy(F.desc("docs"), "lang").limit(MAX_LANGS)
     own = table.join(F.broadcast(langs.select("lang")), "lang").select("lang", "kind", "bin", "n")
     pooled = table.groupBy("kind", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "bin", "n")
@@ -200,12 +205,12 @@ def quality(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(7) if k != 1), *map(pa.array, judge(b, refs.value))], [f.split()[0] for f in _SCORED.split(", ")])
 
-    return found.mapInArrow(run, _SCORED)
+    return found.transform(small_batches).mapInArrow(run, _SCORED)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality keeps, with all columns as they are. Texts are read twice and never shuffled."""
-    refs = docs.sparkSession.sparkContext.broadcast(references(digests(docs)))
+    refs = docs.sparkSession.sparkContext.broadcast(references(docs.select("doc_id", "lang", "text")))
     names = [f"c{k}" for k in range(len(docs.columns))]
     text, lang = (names[docs.columns.index(c)] for c in ("text", "lang"))
     plain = docs.toDF(*names)
@@ -218,4 +223,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
             thin = pa.RecordBatch.from_arrays([b.column(lang), *(pa.array(columns[k], pa.int64()) for k in (0, 4)), *(pa.array(c, pa.list_(pa.int64())) for c in columns[5:])], ["lang", "n_words", "n_repeat_words", "classes", "common"])
             yield b.filter(pa.array(judge(thin, refs.value)[3]))
 
-    return plain.mapInArrow(run, schema).toDF(*docs.columns)
+    return plain.transform(small_batches).mapInArrow(run, schema).toDF(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 
 #: Bytes of text and rows that a bucket holds on average; a task holds one bucket at a time.
 BUCKET_BYTES, BUCKET_ROWS = 4 << 20, 100_000
@@ -81,7 +81,7 @@ def shuffled(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int
             yield from out()
 
     scattered = hashed.select("bucket", "hash", "record").repartition("bucket").sortWithinPartitions("bucket", "hash")
-    return materialize(scattered.mapInArrow(run, schema), "shuffled")
+    return materialize(scattered.transform(small_batches).mapInArrow(run, schema), "shuffled")
 
 
 def numbered(written: DataFrame) -> DataFrame:

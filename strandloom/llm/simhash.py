@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, small_batches
 from .components import connected_components
 
 BITS = 64
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fp = np.fromiter((simhash(t.as_py(), width, seed) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(small_batches).mapInArrow(run, "doc_id long, fp long")
 
 
 def bit_sliced_pairs(starts: np.ndarray, fps: np.ndarray, radius: int = RADIUS, at_once: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -138,7 +138,7 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
 
 
-def whole_cells(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int = 1 << 17) -> Iterator[pa.Table]:
+def whole_cells(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int = 1 << 15) -> Iterator[pa.Table]:
     """Tables of whole cells, from batches sorted by the columns `keys`; a cell is held whole, so callers bound its size."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -193,7 +193,7 @@ def fingerprint_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     cut = keyed.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
     cells = cut.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
     cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp")
-    return cells.mapInArrow(_links, "a long, b long").distinct()
+    return cells.transform(small_batches).mapInArrow(_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:

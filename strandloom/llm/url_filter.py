@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: (rule, verdict): a host, which stands for its subdomains too, and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 ORDER = 4
@@ -137,7 +139,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     ruled = with_rules(pages, rules)
     held = F.pmod(F.xxhash64(F.lit("calibrate"), "url"), F.lit(HELD_OUT)) == 0
     labelled = ruled.filter("ruled is not null").select("url", "ruled", held.alias("held"))
-    counts = labelled.filter("not held").select("url", "ruled").mapInArrow(_counted, "ruled string, gram int, n long").groupBy("ruled", "gram").agg(F.sum("n").alias("n"))
+    counts = labelled.filter("not held").select("url", "ruled").transform(small_batches).mapInArrow(_counted, "ruled string, gram int, n long").groupBy("ruled", "gram").agg(F.sum("n").alias("n"))
     table = spark.sparkContext.broadcast(differences(counts))
 
     @F.pandas_udf("double")
