@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import draw
+
 #: Width of a bin of the overlap join, and of a tile of running values.
 BIN, TILE = 1 << 14, 1 << 20
 
@@ -228,7 +230,7 @@ def random_intervals(genome: DataFrame, n: int = 1000, length: int = 1000, seed:
     total = laid.agg(F.max("upto")).first()[0]
     if not total:
         raise ValueError("no chromosome is long enough")
-    picks = spark.range(n).select(F.col("id").alias("iv_id"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("pick"))
+    picks = spark.range(n).select(F.col("id").alias("iv_id"), (draw(seed, "id") % total).alias("pick"))
     return picks.join(F.broadcast(laid), (F.col("pick") < F.col("upto")) & (F.col("pick") >= F.col("upto") - F.col("room"))).select("iv_id", "chrom", (F.col("pick") - F.col("upto") + F.col("room")).alias("chrom_start")).withColumn("chrom_end", F.col("chrom_start") + length)
 
 

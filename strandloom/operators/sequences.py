@@ -69,9 +69,15 @@ def sort_by(df: DataFrame, key: str = "name") -> DataFrame:
     return df.orderBy(keys[key], "ord")
 
 
+def draw(seed: int, *keys: str) -> Column:
+    """60 pseudorandom bits for each row, from an MD5 of the seed and the row's keys, so that any SQL engine draws the same."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def sample(df: DataFrame, share: float, seed: int = 0, key: str = "ord") -> DataFrame:
     """About `share` of the rows, the same for the same seed, however partitioned."""
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
+    return df.filter(draw(seed, key) % 1_000_000_000 < int(share * 1_000_000_000))
 
 
 def split_parts(df: DataFrame, per_part: int | None = None, parts: int | None = None) -> DataFrame:

@@ -144,7 +144,8 @@ def bed_to_gff(b):
     return iv.to_gff(b)
 
 
-@query("bed_random", "genome")
+@query("bed_random", "genome", """WITH l AS (SELECT chrom, size - 499 AS room, sum(size - 499) OVER (ORDER BY chrom) AS upto FROM genome), p AS (SELECT i, CAST(concat('0x', substr(md5(concat('7|', i)), 1, 15)) AS BIGINT) % (SELECT sum(room) FROM l) AS pick FROM (SELECT unnest(range(0, 1000)) AS i))
+  SELECT p.i AS iv_id, l.chrom, CAST(p.pick - l.upto + l.room AS BIGINT) AS chrom_start, CAST(p.pick - l.upto + l.room + 500 AS BIGINT) AS chrom_end FROM p JOIN l ON p.pick < l.upto AND p.pick >= l.upto - l.room""")
 def bed_random(genome):
     return iv.random_intervals(genome, 1000, 500, 7)
 

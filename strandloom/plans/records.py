@@ -31,7 +31,7 @@ query("vcf_isec", "vcf vcf_b", "SELECT * FROM vcf a WHERE EXISTS (SELECT 1 FROM
 query("vcf_stats", "vcf", """WITH a AS (SELECT ref AS r, unnest(string_split(alt, ',')) AS a FROM vcf), k AS (SELECT length(r) = 1 AND length(a) = 1 AS snp, concat(r, a) IN ('AG', 'GA', 'CT', 'TC') AS ti, length(a) - length(r) AS d, length(r) AS n FROM a)
   SELECT count(*) AS total, count(*) FILTER (snp) AS snps, count(*) FILTER (d > 0) AS insertions, count(*) FILTER (d < 0) AS deletions, count(*) FILTER (d = 0 AND n > 1) AS mnps, count(*) FILTER (snp AND ti) AS transitions,
   count(*) FILTER (snp AND NOT ti) AS transversions, round(count(*) FILTER (snp AND ti) / count(*) FILTER (snp AND NOT ti), 6) AS ti_tv FROM k""")(op.vcf_stats)
-query("vcf_sample", "vcf")(lambda df: sq.sample(df, 0.3, 5))
+query("vcf_sample", "vcf", "SELECT * FROM vcf WHERE CAST(concat('0x', substr(md5(concat('5|', ord)), 1, 15)) AS BIGINT) % 1000000000 < 300000000")(lambda df: sq.sample(df, 0.3, 5))
 query("vcf_rename", "vcf", "SELECT * FROM vcf")(lambda df: df)
 _BITS = {"total": "true", "primary_reads": "p", "secondary": "flag & 256 <> 0", "supplementary": "flag & 2048 <> 0", "duplicates": "flag & 1024 <> 0", "primary_duplicates": "flag & 1024 <> 0 AND p", "mapped": "m", "primary_mapped": "m AND p", "paired": "flag & 1 <> 0",
          "read1": "flag & 65 = 65", "read2": "flag & 129 = 129", "properly_paired": "flag & 3 = 3", "both_mapped": "flag & 13 = 1", "singletons": "flag & 13 = 9 AND p", "mate_elsewhere": "flag & 13 = 1 AND p AND rname <> rnext", "mate_elsewhere_q5": "flag & 13 = 1 AND p AND rname <> rnext AND mapq >= 5"}

@@ -40,15 +40,30 @@ query("welch_t", "orders")(lambda df: op.welch_t(df, "o_totalprice", F.col("o_or
 query("mann_whitney", "orders")(lambda df: op.mann_whitney(df, "o_totalprice", F.col("o_orderkey") % 2 == 0))
 
 
-@query("fisher_exact", "customer")
+_FISHER = """WITH t AS (SELECT c_mktsegment, count(*) FILTER (c_acctbal > 0 AND c_custkey % 2 = 0) AS a, count(*) FILTER (c_acctbal > 0 AND c_custkey % 2 <> 0) AS b, count(*) FILTER (c_acctbal <= 0 AND c_custkey % 2 = 0) AS c,
+    count(*) FILTER (c_acctbal <= 0 AND c_custkey % 2 <> 0) AS d FROM customer GROUP BY c_mktsegment),
+  k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k FROM t),
+  p AS (SELECT *, exp(lgamma(a + c + 1) - lgamma(k + 1) - lgamma(a + c - k + 1) + lgamma(b + d + 1) - lgamma(a + b - k + 1) - lgamma(d - a + k + 1) - lgamma(a + b + c + d + 1) + lgamma(a + b + 1) + lgamma(c + d + 1)) AS p FROM k),
+  o AS (SELECT c_mktsegment, p AS seen FROM p WHERE k = a)
+  SELECT p.c_mktsegment, a, b, c, d, CASE WHEN b = 0 OR c = 0 THEN CAST('inf' AS DOUBLE) ELSE round(a * d / (b * c), 6) END AS odds_ratio, round(least(1.0, sum(p) FILTER (p <= seen + 1e-12)), 6) AS p_value
+  FROM p JOIN o ON o.c_mktsegment = p.c_mktsegment GROUP BY p.c_mktsegment, a, b, c, d"""
+_HWE = """WITH t AS (SELECT p_brand, count(*) FILTER (p_size % 4 = 1) AS hets, count(*) FILTER (p_size % 4 > 1) AS hom1, count(*) FILTER (p_size % 4 = 0) AS hom2, count(*) AS n FROM part GROUP BY p_brand),
+  r AS (SELECT *, 2 * least(hom1, hom2) + hets AS rare FROM t), k AS (SELECT *, unnest(range(rare % 2, least(rare, 2 * n - rare) + 1, 2)) AS k FROM r),
+  p AS (SELECT *, exp(k * ln(2) - lgamma(k + 1) - lgamma((rare - k) // 2 + 1) - lgamma(n - k - (rare - k) // 2 + 1) + lgamma(n + 1)) AS w FROM k), s AS (SELECT p_brand, sum(w) AS total, max(CASE WHEN k = hets THEN w END) AS seen FROM p GROUP BY p_brand)
+  SELECT p.p_brand, hets, hom1, hom2, CASE WHEN any_value(rare) IN (0, 2 * any_value(n)) THEN 1.0 ELSE round(least(1.0, sum(w / total) FILTER (w / total <= seen / total + 1e-12)), 6) END AS p_value FROM p JOIN s ON s.p_brand = p.p_brand GROUP BY p.p_brand, hets, hom1, hom2"""
+
+
+@query("fisher_exact", "customer", _FISHER)
 def fisher_exact(df):
     rich, even = F.col("c_acctbal") > 0, F.col("c_custkey") % 2 == 0
-    return op.fisher_exact(df.groupBy("c_mktsegment").agg(F.count_if(rich & even).alias("a"), F.count_if(rich & ~even).alias("b"), F.count_if(~rich & even).alias("c"), F.count_if(~rich & ~even).alias("d")))
+    table = df.groupBy("c_mktsegment").agg(F.count_if(rich & even).alias("a"), F.count_if(rich & ~even).alias("b"), F.count_if(~rich & even).alias("c"), F.count_if(~rich & ~even).alias("d"))
+    return op.fisher_exact(table).withColumns({"odds_ratio": F.round("odds_ratio", 6), "p_value": F.round("p_value", 6)})
 
 
-@query("hwe_exact", "part")
+@query("hwe_exact", "part", _HWE)
 def hwe_exact(df):
-    return op.hwe(df.groupBy("p_brand").agg(F.count_if(F.col("p_size") % 4 == 1).alias("hets"), F.count_if(F.col("p_size") % 4 > 1).alias("hom1"), F.count_if(F.col("p_size") % 4 == 0).alias("hom2")))
+    table = df.groupBy("p_brand").agg(F.count_if(F.col("p_size") % 4 == 1).alias("hets"), F.count_if(F.col("p_size") % 4 > 1).alias("hom1"), F.count_if(F.col("p_size") % 4 == 0).alias("hom2"))
+    return op.hwe(table).withColumn("p_value", F.round("p_value", 6))
 
 
 query("theta_pi", "sites", "SELECT round(avg(k * (20 - k) / 190.0), 9) AS theta_pi FROM sites")(lambda df: op.theta_pi(df, 20).select(F.round("theta_pi", 9).alias("theta_pi")))
@@ -66,7 +81,8 @@ _CANONICAL = "least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA'))"
 query("kmer_count", "reads", f"WITH {_KMERS.format(k=11, more='', kept='')} SELECT {_CANONICAL} AS kmer, count(*) AS n FROM k GROUP BY 1")(lambda df: km.count(df, 11))
 query("kmer_spectrum", "reads", f"""WITH {_KMERS.format(k=9, more=', qual', kept=', substr(qual, i, 9) AS q')}
   SELECT {_CANONICAL} AS kmer, least(count(*), 255) AS coverage, least(count(*) FILTER (NOT regexp_matches(q, '[!-4]')), 63) AS good FROM k GROUP BY 1""")(lambda df: km.spectrum(df, 9))
-query("kmer_mode", "reads")(lambda df: km.coverage_mode(km.spectrum(df, 9)))
+query("kmer_mode", "reads", f"""WITH {_KMERS.format(k=9, more='', kept='')}, s AS (SELECT {_CANONICAL} AS kmer, least(count(*), 255) AS coverage FROM k GROUP BY 1), h AS (SELECT coverage, count(*) AS n FROM s WHERE coverage >= 3 GROUP BY coverage)
+  SELECT coverage AS mode, n FROM h ORDER BY n DESC, coverage LIMIT 1""")(lambda df: km.coverage_mode(km.spectrum(df, 9)))
 query("kmer_unique_reads", "reads", f"""WITH {_KMERS.format(k=8, more='', kept='')}, c AS (SELECT ord, {_CANONICAL} AS c FROM k), u AS (SELECT c FROM c GROUP BY c HAVING count(*) = 1)
   SELECT r.* FROM reads r WHERE NOT EXISTS (SELECT 1 FROM c JOIN u ON c.c = u.c WHERE c.ord = r.ord)""")(lambda df: km.without_unique(df, 8))
 _EDGES = f"""{_KMERS.format(k=8, more='', kept='')}, p AS (SELECT substr(kmer, 1, 7) AS a, substr(kmer, 2, 7) AS b FROM k),

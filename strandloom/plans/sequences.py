@@ -24,7 +24,7 @@ def _simple(prefix: str, view: str) -> None:
     query(f"{prefix}_grep_invert", view, f"SELECT * FROM {view} WHERE NOT regexp_matches(id, '[37]')")(lambda df: op.grep(df, "[37]", invert=True))
     query(f"{prefix}_head", view, f"SELECT * FROM {view} ORDER BY ord LIMIT 10")(op.head)
     query(f"{prefix}_rename", view, f"SELECT * REPLACE (concat('{prefix}_', row_number() OVER (ORDER BY ord) - 1) AS id) FROM {view}")(lambda df: op.rename(df, f"{prefix}_"))
-    query(f"{prefix}_sample", view)(lambda df: op.sample(df, 0.25, 11))
+    query(f"{prefix}_sample", view, f"SELECT * FROM {view} WHERE CAST(concat('0x', substr(md5(concat('11|', ord)), 1, 15)) AS BIGINT) % 1000000000 < 250000000")(lambda df: op.sample(df, 0.25, 11))
 
 
 _simple("fasta", "fasta")
