@@ -126,6 +126,25 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+#: All pairs, and components by following links: what the lattice finds at full recall.
+_LATTICE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS at, vec_id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.at),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT r.at AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.c) AS component_id, r.at = min(r.c) AS kept FROM r LEFT JOIN n ON n.a = r.at GROUP BY r.at
+"""
+
+#: For pages of the driver's form, whose article is one element of headings and paragraphs.
+_HTML_SQL = r"""
+WITH a AS (SELECT page_id, url, replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '<br>', ' ') AS inside FROM pages),
+b AS (SELECT page_id, unnest(regexp_split_to_array(inside, '</?(?:p|h1)>')) AS block, generate_subscripts(regexp_split_to_array(inside, '</?(?:p|h1)>'), 1) AS i FROM a),
+t AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(block, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS block FROM b)
+SELECT a.page_id, a.url, coalesce(x.text, '') AS text, coalesce(length(x.text), 0) AS n_chars
+FROM a LEFT JOIN (SELECT page_id, string_agg(block, chr(10) || chr(10) ORDER BY i) AS text FROM t WHERE block <> '' GROUP BY page_id) x ON x.page_id = a.page_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -143,5 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_lattice": _LATTICE_SQL,
         "op5_mixing": _mixing_sql(),
+        "op7_html_text": _HTML_SQL,
     }
