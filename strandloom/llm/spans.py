@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release
+from .common import materialize, release, small_batches
 
 #: A span has so many sentences and so many words at least; a sentence has so many words at most (and is cut, if
 #: longer, behind a word whose hash is divisible by CUT once it has LEAST words). Three whole sentences stay under 50 words.
@@ -27,82 +27,74 @@ SENTENCES, WORDS, MOST, LEAST, CUT = 3, 16, 16, 5, 4
 #: 64-bit words of the filter that tells most spans that occur once from the others.
 FILTER_WORDS = 1 << 19  # a power of two
 
-_BREAK = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD = re.compile(r"\S+")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, words, normal form) of each sentence: lower case, words joined by one blank. It lasts to the next one's start."""
     out: list[tuple[int, int, str]] = []
+    low = text.lower()
+    if len(low) != len(text):  # a letter became two: letter by letter, so that places stay
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
     at = 0
-    for s, e in [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]:
-        words = text[at:s].lower().encode().split()
-        if len(words) <= MOST:
-            if words:
-                out.append((at, len(words), b" ".join(words).decode()))
-        else:
+    # a full stop, a mark and a blank end a sentence like a line does; places stay
+    for part in low.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):
+        words = part.split()
+        if len(words) > MOST:
             held: list[str] = []
             first = at
-            for m in _WORD.finditer(text, at, s):
+            for w in _WORD.finditer(low, at, at + len(part)):
                 if not held:
-                    first = m.start()
-                held.append(m[0].lower())
-                if len(held) == MOST or len(held) >= LEAST and zlib.crc32(held[-1].encode()) % CUT == 0:
+                    first = w.start()
+                held.append(w[0])
+                if len(held) == MOST or len(held) >= LEAST and zlib.crc32(w[0].encode()) % CUT == 0:
                     out.append((first, len(held), " ".join(held)))
                     held = []
             if held:
                 out.append((first, len(held), " ".join(held)))
-        at = e
+        elif words:
+            out.append((at, len(words), " ".join(words)))
+        at += len(part) + 1
     return out
 
 
-def runs(counts: list[int]) -> list[tuple[int, int]]:
-    """(first, last) of the shortest spans from and up to each sentence, given the sentences' words; in order, each once."""
-    n, out = len(counts), set()
-    total = [0]
-    for c in counts:
-        total.append(total[-1] + c)
-    e = 0
-    for s in range(n):
-        e = max(e, s + SENTENCES)
-        while e <= n and total[e] - total[s] < WORDS:
-            e += 1
-        if e > n:
-            break
-        out.add((s, e - 1))
-    s = n
-    for e in range(n, 0, -1):
-        s = min(s, e - SENTENCES)
-        while s >= 0 and total[e] - total[s] < WORDS:
-            s -= 1
-        if s < 0:
-            break
-        out.add((s, e - 1))
-    return sorted(out)
-
-
-def spans(text: str) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of each span; hashes are unsigned."""
-    found = sentences(text)
-    forms = [f for _, _, f in found]
-    return [(xxhash.xxh64_intdigest("\n".join(forms[s : e + 1])), s, e) for s, e in runs([n for _, n, _ in found])]
+def runs(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the shortest spans from and up to each sentence, given the sentences' words; in order, each once."""
+    n = len(counts)
+    total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    from_, upto = np.arange(n), np.arange(1, n + 1)
+    end = np.maximum(from_ + SENTENCES, np.searchsorted(total, total[:-1] + WORDS, "left"))
+    start = np.minimum(upto - SENTENCES, np.searchsorted(total, total[1:] - WORDS, "right") - 1)
+    ok, back = end <= n, start >= 0
+    key = np.unique(np.concatenate((from_[ok] * (n + 1) + end[ok], start[back] * (n + 1) + upto[back])))
+    return key // (n + 1), key % (n + 1) - 1
 
 
-def remove(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the covered sentences (first, last), how many sentences it had, and how many went."""
+def spans(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Hash (unsigned), first and last sentence of each span. A span's hash is that of its sentences' hashes."""
     found = sentences(text)
-    gone = np.zeros(len(found), bool)
+    if len(found) < SENTENCES:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, last = runs([n for _, n, _ in found])
+    digest, whole = xxhash.xxh64_intdigest, b"".join([xxhash.xxh64_digest(f) for _, _, f in found])
+    return [digest(whole[8 * s : 8 * e + 8]) for s, e in zip(first.tolist(), last.tolist())], first, last
+
+
+def remove(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the covered sentences (first, last), and how many went."""
+    if not covered:
+        return text, 0
+    starts = [s for s, _, _ in sentences(text)] + [len(text)]
+    gone = np.zeros(len(starts) - 1, bool)
     for s, e in covered:
         gone[s : e + 1] = True
     out, kept_from = [], 0
-    starts = [s for s, _, _ in found] + [len(text)]
-    for k, g in enumerate(gone):
-        if g:
-            out.append(text[kept_from : starts[k]])
-            kept_from = starts[k + 1]
+    for k in np.flatnonzero(gone).tolist():
+        out.append(text[kept_from : starts[k]])
+        kept_from = starts[k + 1]
     out.append(text[kept_from:])
     left = "".join(out)
-    return left.rstrip(" \t\n\x0b\x0c\r") if gone.any() and gone[-1] else left, len(found), int(gone.sum())
+    return left.rstrip() if gone[-1] else left, int(gone.sum())
 
 
 def _emit(full: bool, bits):
@@ -111,23 +103,16 @@ def _emit(full: bool, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value if bits is not None else None
         for b in batches:
-            hashes, rows, first, last = [], [], [], []
-            for k, t in enumerate(b.column("text")):
-                for h, s, e in spans(t.as_py() or ""):
-                    hashes.append(h)
-                    if full:
-                        rows.append(k)
-                        first.append(s)
-                        last.append(e)
-            h = np.array(hashes, np.uint64)
+            found = [spans(t.as_py() or "") for t in b.column("text")]
+            h = np.array([x for hashes, _, _ in found for x in hashes], np.uint64)
             if not full:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["hash"])
                 continue
+            rows = np.repeat(np.arange(len(found)), [len(hashes) for hashes, _, _ in found])
             seen = np.flatnonzero(table[h & np.uint64(FILTER_WORDS - 1)] >> (h >> np.uint64(58)) & np.uint64(1))
-            at = pa.array(np.array(rows, np.int64)[seen])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[seen].view(np.int64)), b.column("doc_id").take(at), b.column("version").take(at), pa.array(np.array(first, np.int32)[seen]), pa.array(np.array(last, np.int32)[seen])], ["hash", "doc_id", "version", "first", "last"]
-            )
+            at = pa.array(rows[seen])
+            first, last = (np.concatenate([f[k] for f in found] or [np.zeros(0)]).astype(np.int32)[seen] for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(h[seen].view(np.int64)), b.column("doc_id").take(at), b.column("version").take(at), pa.array(first), pa.array(last)], ["hash", "doc_id", "version", "first", "last"])
 
     return run
 
@@ -136,14 +121,14 @@ def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, version, spans) of documents with spans that occur before: structs of first and last sentence."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    often = materialize(texts.select("text").mapInArrow(_emit(False, None), "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "often")
+    often = materialize(texts.select("text").transform(small_batches).mapInArrow(_emit(False, None), "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "often")
     word, bit = F.col("hash").bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"), F.shiftrightunsigned("hash", 58).cast("int")
     one = F.expr("shiftleft(1L, bit)")
     marked = often.select(word.alias("word"), bit.alias("bit")).withColumn("mask", one).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # FILTER_WORDS rows at most
     table = np.zeros(FILTER_WORDS, np.uint64)
     table[marked["word"].to_numpy(np.int64)] = marked["mask"].to_numpy(np.int64).view(np.uint64)
     bits = spark.sparkContext.broadcast(table)
-    found = texts.mapInArrow(_emit(True, bits), "hash long, doc_id long, version long, first int, last int")
+    found = texts.transform(small_batches).mapInArrow(_emit(True, bits), "hash long, doc_id long, version long, first int, last int")
     repeated = materialize(found.join(often, "hash"), "repeated")
     place = F.struct("doc_id", "version", "first")
     firsts = materialize(repeated.groupBy("hash").agg(F.min(place).alias("earliest")), "firsts")
@@ -154,29 +139,23 @@ def covered(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame) -> DataFrame:
-    """(row, text, n_sentences, n_removed): docs' rows as structs, and their texts without repeated spans."""
+    """(row, text, n_removed): docs' rows as structs, and their texts without repeated spans."""
     cuts = covered(docs)
     rows = docs.select(F.struct("*").alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("version", F.xxhash64("row.text"))
     same = rows["doc_id"].eqNullSafe(cuts["doc_id"]) & (rows["version"] == cuts["version"])
     joined = rows.join(cuts, same, "left").select("row", F.col("row.text").alias("text"), "spans")
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, total, gone = [], [], []
-            for t, found in zip(b.column("text"), b.column("spans").to_pylist()):
-                t = t.as_py()
-                left, n, k = remove(t, [(s["first"], s["last"]) for s in found or []]) if t is not None else (None, 0, 0)
-                texts.append(left)
-                total.append(n)
-                gone.append(k)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_sentences", "n_removed"])
+            left = [(None, 0) if t is None else remove(t, [(s["first"], s["last"]) for s in found or []]) for t, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([x for x, _ in left], pa.string()), pa.array([n for _, n in left], pa.int64())], ["row", "text", "n_removed"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.transform(small_batches).mapInArrow(run, schema)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_sentences, n_removed) for every row of docs(doc_id, text, ...).
+    """(doc_id, text, n_removed) for every row of docs(doc_id, text, ...).
 
     The first place of a span is that of the smallest doc_id (nulls first), then the earliest in its text; a document that
     repeats itself loses the later places too. Rows equal in doc_id and text are one document: neither loses
@@ -184,7 +163,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     all of which is repeated becomes empty. An empty table gives an empty result; other columns are ignored.
     """
     out = _without(docs.select("doc_id", "text"))
-    return out.select(F.col("row.doc_id").alias("doc_id"), "text", "n_sentences", "n_removed")
+    return out.select(F.col("row.doc_id").alias("doc_id"), "text", "n_removed")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
