@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import draw
+from .sequences import draw, numbered
 
 #: Width of a bin of the overlap join, and of a tile of running values.
 BIN, TILE = 1 << 14, 1 << 20
@@ -72,6 +72,21 @@ def merge(df: DataFrame, distance: int = 0, tile: int = TILE, counts: bool = Fal
     return merged.select("chrom", "chrom_start", "chrom_end", *(["n"] if counts else []))
 
 
+def unsorted(df: DataFrame, order: str = "ord") -> DataFrame:
+    """(chrom, ord, problem) of rows that break a file's order: a start before an earlier one of its chromosome, or a chromosome that comes back.
+
+    For readers that promise sorted input; merging itself needs none.
+    """
+    n = numbered(df.select("chrom", "chrom_start", F.col(order).alias("ord")))
+    run = running(n.withColumnRenamed("number", "at"), F.col("chrom_start"), F.max).withColumn("most", F.greatest("own", F.coalesce("before", "own")))
+    # in a run of rows of one chromosome, numbers rise with the places among its rows: where they part, others came between
+    place = running(n.withColumnRenamed("number", "at").withColumn("one", F.lit(1)), F.col("one"), F.sum).withColumn("gap", F.col("at") - F.col("own") - F.coalesce("before", F.lit(0)))
+    first = place.groupBy("chrom", "gap").agg(F.min("ord").alias("ord"))
+    earliest = first.withColumn("first", F.min("ord").over(Window.partitionBy("chrom")))
+    back = earliest.filter("ord > first").select("chrom", "ord", F.lit("chromosome").alias("problem"))
+    return run.filter("most > chrom_start").select("chrom", "ord", F.lit("start").alias("problem")).union(back)
+
+
 def cluster_ids(df: DataFrame) -> DataFrame:
     """Each row with the start of the island that it belongs to."""
     islands = merge(df).select("chrom", F.col("chrom_start").alias("island_start"), F.col("chrom_end").alias("island_end"))

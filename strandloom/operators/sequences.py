@@ -198,6 +198,12 @@ def filter_report(df: DataFrame, **limits) -> DataFrame:
     return judged.agg(F.count("*").alias("reads_in"), failed("pass").alias("reads_out"), zero(F.sum("len")).alias("bases_in"), zero(F.sum(F.when(F.col("outcome") == "pass", F.col("len")))).alias("bases_out"), failed("quality").alias("failed_quality"), failed("length").alias("failed_length"), failed("n").alias("failed_n"))
 
 
+def change_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row of counters for operators that drop or cut reads: reads and bases in and out."""
+    total = lambda df, tag: df.agg(F.count("*").alias(f"reads_{tag}"), F.coalesce(F.sum(sq.length("seq")), F.lit(0).cast("long")).alias(f"bases_{tag}"))
+    return total(before, "in").crossJoin(total(after, "out")).withColumn("reads_removed", F.col("reads_in") - F.col("reads_out"))  # one row by one row
+
+
 def dedup_key(mode: str = "bin", k: int = 12, tail_offset: int = 0) -> Column:
     """What makes reads duplicates: the whole sequence, or the canonical k-mer that ends tail_offset before its end (from the start of shorter ones; the sequence if that isn't all ACGT)."""
     if mode == "full":

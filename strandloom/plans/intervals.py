@@ -162,6 +162,13 @@ def bed_cluster(b):
     return b
 
 
+@query("bed_unsorted", "iv_b", """WITH n AS (SELECT iv_id AS ord, chrom, chrom_start, row_number() OVER (ORDER BY iv_id) AS i FROM iv_b), l AS (SELECT *, max(chrom_start) OVER (PARTITION BY chrom ORDER BY i) AS most, lag(chrom) OVER (ORDER BY i) AS prev,
+      row_number() OVER (PARTITION BY chrom ORDER BY i) AS k FROM n)
+      SELECT chrom, ord, 'start' AS problem FROM l WHERE most > chrom_start UNION ALL SELECT chrom, ord, 'chromosome' FROM l WHERE k > 1 AND prev <> chrom""")
+def bed_unsorted(b):
+    return iv.unsorted(b, "iv_id")
+
+
 @query("bed_cluster_ids", "iv_a", f"WITH {_MERGED_A} SELECT a.iv_id, a.chrom, a.chrom_start, a.chrom_end, m.chrom_start AS cluster_start FROM iv_a a JOIN merged m ON a.chrom = m.chrom AND a.chrom_start >= m.chrom_start AND a.chrom_end <= m.chrom_end")
 def bed_cluster_ids(a):
     return iv.cluster_ids(a)

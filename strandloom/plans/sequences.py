@@ -81,10 +81,17 @@ query("fastq_dedup_bin", "reads", """WITH w AS (SELECT *, substr(seq, CAST(great
   k AS (SELECT *, CASE WHEN length(seq) >= 12 AND regexp_full_match(w, '[ACGT]+') THEN concat('k:', least(w, translate(reverse(w), 'ACGT', 'TGCA'))) ELSE concat('s:', seq) END AS k FROM w)
   SELECT ord, id, seq, qual FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS n FROM k) WHERE n = 1""")(op.dedup)
 
+query("fastq_dedup_report", "reads", "SELECT count(*) AS reads_in, CAST(sum(length(seq)) AS BIGINT) AS bases_in, count(DISTINCT seq) AS reads_out, (SELECT CAST(sum(length(seq)) AS BIGINT) FROM (SELECT DISTINCT seq FROM reads)) AS bases_out, count(*) - count(DISTINCT seq) AS reads_removed FROM reads")(
+    lambda df: op.change_report(df, op.dedup(df, mode="full"))
+)
+
 _TAGGED = "concat(split_part(id, ' ', 1), ':', {umi}, substr(id, length(split_part(id, ' ', 1)) + 1))"
 query("fastq_umi_read1", "reads", f"SELECT ord, {_TAGGED.format(umi='substr(seq, 1, 8)')} AS id, substr(seq, least(least(length(seq), 8) + 2, length(seq) - 1) + 1) AS seq, substr(qual, least(least(length(seq), 8) + 2, length(seq) - 1) + 1) AS qual FROM reads WHERE length(seq) > 0")(
     lambda df: op.umi(df.filter("length(seq) > 0"), "read1", 8, 2)
 )
+query("fastq_umi_report", "reads", "SELECT count(*) AS reads_in, CAST(sum(length(seq)) AS BIGINT) AS bases_in, count(*) AS reads_out, CAST(sum(length(seq) - least(least(length(seq), 8) + 2, length(seq) - 1)) AS BIGINT) AS bases_out, CAST(0 AS BIGINT) AS reads_removed FROM reads WHERE length(seq) > 0")(
+    lambda df: op.change_report(df.filter("length(seq) > 0"), op.umi(df.filter("length(seq) > 0"), "read1", 8, 2))
+)
 query("fastq_umi_index1", "reads", f"SELECT ord, {_TAGGED.format(umi=chr(39) + 'ACGT' + chr(39))} AS id, seq, qual FROM reads")(lambda df: op.umi(df, "index1"))
 _PER_READ = (f"""WITH p AS (SELECT a.ord, a.id, a.seq AS s1, a.qual AS q1, b.id AS id2, b.seq AS s2, b.qual AS q2, concat(substr(a.seq, 1, 4), '_', substr(b.seq, 1, 4)) AS u FROM reads a JOIN mates b ON a.ord = b.ord WHERE length(a.seq) > 0 AND length(b.seq) > 0)
   SELECT ord, {_TAGGED.format(umi='u')} AS id1, concat(split_part(id2, ' ', 1), ':', u, substr(id2, length(split_part(id2, ' ', 1)) + 1)) AS id2,

@@ -43,8 +43,8 @@ def write_fastq(df: DataFrame, path: str, order=("ord",), single: bool = False,
     _write(df, fastq_text(), path, order, single, gz)
 
 
-def write_split(df: DataFrame, folder: str, name: str, digits: int = 4, first: int = 1, fastq: bool = True) -> list[str]:
-    """One file per value of `part`, named by its number (from `first`, padded) and `name`: 0001.name."""
+def write_split(df: DataFrame, folder: str, pattern: str = "{:04d}.fq", first: int = 1, fastq: bool = True) -> list[str]:
+    """One file per value of `part`, named by its number counted from `first`: 0001.fq, or with another pattern piece_0000.fa."""
     spark = df.sparkSession
     rows = df.repartition("part").sortWithinPartitions("part", "ord").select("part", (fastq_text() if fastq else fasta_text()).alias("value"))
     rows.write.partitionBy("part").text(folder)
@@ -55,7 +55,7 @@ def write_split(df: DataFrame, folder: str, name: str, digits: int = 4, first: i
         where = status.getPath()
         if not where.getName().startswith("part="):
             continue
-        to = f"{int(where.getName()[5:]) + first:0{digits}d}.{name}"
+        to = pattern.format(int(where.getName()[5:]) + first)
         (file,) = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")]
         fs.rename(file, path(root, to))
         fs.delete(where, True)
@@ -110,3 +110,19 @@ def report_text(spark: SparkSession, modules: dict[str, DataFrame], summary: Dat
         rows = df.orderBy(*df.columns).collect()
         data += [f">>{name}\t{status.get(name, 'pass')}", "#" + "\t".join(df.columns), *("\t".join(str(v) for v in r) for r in rows), ">>END_MODULE"]
     return "\n".join(data) + "\n", "".join(f"{s.upper()}\t{m}\n" for m, s in status.items())
+
+
+def tabular(report: DataFrame, decimals: int = 2) -> str:
+    """A report (a few rows) as a table by tabs, numbers as they are."""
+    show = lambda v: f"{v:.{decimals}f}" if isinstance(v, float) else str(v)
+    return "".join("\t".join(r) + "\n" for r in [report.columns, *([show(v) for v in row] for row in report.collect())])
+
+
+def pretty(report: DataFrame, decimals: int = 1) -> str:
+    """A report (a few rows) in aligned columns, text to the left, numbers to the right with thousands apart."""
+    rows = report.collect()
+    number = [any(isinstance(r[c], (int, float)) for r in rows) for c in report.columns]
+    show = lambda v: f"{v:,.{decimals}f}" if isinstance(v, float) else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else str(v)
+    cells = [report.columns, *([show(v) for v in r] for r in rows)]
+    width = [max(len(r[k]) for r in cells) for k in range(len(report.columns))]
+    return "".join("  ".join(t.rjust(w) if n else t.ljust(w) for t, w, n in zip(r, width, number)).rstrip() + "\n" for r in cells)

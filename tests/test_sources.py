@@ -154,10 +154,23 @@ def test_p_values_and_newick(spark, tmp_path):
 
 def test_split_files(spark, tmp_path):
     parts = sq.split_parts(text.fastq(spark, put(tmp_path / "r.fq", fastq_of(60))).drop("file"), per_part=25)
-    assert sinks.write_split(parts, str(tmp_path / "split"), "r.fq") == ["0001.r.fq", "0002.r.fq", "0003.r.fq"]
+    assert sinks.write_split(parts, str(tmp_path / "split"), "{:04d}.r.fq") == ["0001.r.fq", "0002.r.fq", "0003.r.fq"]
     assert (tmp_path / "split" / "0003.r.fq").read_text() == "".join(x for x in fastq_of(60).split("@r50")[1:] for x in ["@r50" + x])
 
 
+def test_tables(spark):
+    df = spark.createDataFrame([("a", 1234567, 0.5), ("bcd", 7, 1234.25)], "name string, n long, share double")
+    assert sinks.tabular(df) == "name\tn\tshare\na\t1234567\t0.50\nbcd\t7\t1234.25\n"
+    assert sinks.pretty(df) == "name          n    share\na     1,234,567      0.5\nbcd           7  1,234.2\n"
+
+
+def test_unsorted_rows_are_found(spark):
+    rows = [(0, "a", 5), (1, "a", 9), (2, "a", 7), (3, "b", 1), (4, "a", 20), (5, "b", 0)]
+    df = spark.createDataFrame([(o, c, s, s + 1) for o, c, s in rows], "ord long, chrom string, chrom_start long, chrom_end long")
+    assert sorted((r["chrom"], r["ord"], r["problem"]) for r in iv.unsorted(df).collect()) == [("a", 2, "start"), ("a", 4, "chromosome"), ("b", 5, "chromosome"), ("b", 5, "start")]
+    assert iv.unsorted(df.filter("ord in (0, 1, 3)")).count() == 0
+
+
 def test_streaming(spark, tmp_path):
     from strandloom.streaming import reports
 
