@@ -27,10 +27,12 @@ COMMON_WORDS = {
     "es": "de la que el en y los se del las un por con no una para su es al lo como más o pero sus".split(),
 }
 SYMBOLS = "#*$%&|<>"
-#: Classes of characters; gap and line together are exactly what separates words.
-CLASSES = ("lower", "upper", "other letter", "digit", "gap", "line", "stop", "mark", "bracket", "symbol", "other")
+#: Classes of characters; gap and line together are exactly what separates words. Digits and what stands in numbers, addresses and
+#: names (brackets, hyphens, quotes) count with letters, so that a telephone number doesn't make a short text odd.
+CLASSES = ("word", "upper", "gap", "line", "stop", "symbol", "other")
+_WORD, _UPPER, _GAP, _LINE, _STOP, _SYMBOL, _OTHER = range(len(CLASSES))
 #: Reject above these distances, and only documents of at least so many words.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS = 0.17, 0.5, 50
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS = 0.14, 0.6, 50
 #: Languages with a reference of their own: those with so many documents, the most frequent first; all others share the pooled one.
 MIN_DOCS, MAX_LANGS = 50, 1000
 _BINS = 512
@@ -42,14 +44,14 @@ _DIGEST = "doc_id long, lang string, n_words long, word_chars long, n_symbols lo
 
 def _class_of(c: str) -> int:
     if c == "\n":
-        return 5
+        return _LINE
     if c in " \t\x0b\x0c\r":
-        return 4
+        return _GAP
     if c in SYMBOLS:
-        return 9
+        return _SYMBOL
     if c.isalpha():
-        return 0 if c.islower() else 1 if c.isupper() else 2
-    return 3 if c.isdigit() else 6 if c in ".," else 7 if c in ";:?!" else 8 if c in "'\"()[]{}-–—’“”«»/@+_" else 10
+        return _UPPER if c.isupper() else _WORD
+    return _WORD if c.isdigit() or c in "'\"()[]{}-–—’“”«»/@+_" else _STOP if c in ".,;:?!" else _OTHER
 
 
 _class_table: np.ndarray | None = None
@@ -58,7 +60,7 @@ _class_table: np.ndarray | None = None
 def _classes(text: str) -> np.ndarray:
     global _class_table
     if _class_table is None:  # built once a worker, from the rule above
-        _class_table = np.array([_class_of(chr(c)) if not 0xD800 <= c < 0xE000 else 10 for c in range(0x110000)], np.uint8)
+        _class_table = np.array([_class_of(chr(c)) if not 0xD800 <= c < 0xE000 else _OTHER for c in range(0x110000)], np.uint8)
     return np.bincount(_class_table[np.frombuffer(text.encode("utf-32-le"), np.uint32)], minlength=len(CLASSES))
 
 
@@ -89,7 +91,7 @@ def digest(text: str | None) -> tuple[int, int, int, int, int, list[int], list[i
     lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
     found = Counter(_split(text.lower()))
     common = [found[w] + found[w + ","] + found[w + "."] for w in _VOCABULARY]
-    return len(words), int(classes.sum() - classes[4] - classes[5]), int(classes[9]), len(lines) - len(set(lines)), repeated_words(words), classes.tolist(), [*common, max(0, len(words) - sum(common))]
+    return len(words), int(classes.sum() - classes[_GAP] - classes[_LINE]), int(classes[_SYMBOL]), len(lines) - len(set(lines)), repeated_words(words), classes.tolist(), [*common, max(0, len(words) - sum(common))]
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def references(found: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
     """Language (None: pooled) to the reference histograms, from digests of all documents, or from the documents (then in one pass of one worker).
 
-    What reaches the driver is bounded: MAX_LANGS languages with at most 11 x 512 bins and 90 words each.
+    What reaches the driver is bounded: MAX_LANGS languages with at most 7 x 512 bins and some 100 words each.
     """
     rows, run = (found.select("lang", "n_words", "classes", "common"), _partial) if "classes" in found.columns else (_texts(found), lambda batches: _partial(_digested(batches)))
     table = materialize(rows.transform(small_batches).mapInArrow(run, "lang string, kind int, bin int, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")), "references")
