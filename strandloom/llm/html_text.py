@@ -38,6 +38,8 @@ _MARKS = re.compile(
     r"legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|overlay|pager|pagination|paywall|popup|privacy|promos?|promoted|promotion|recommend\w*|related|replies|reply|respond|"
     r"search|share|sharing|sidebar|sidenav|signup|skip|social|sponsor\w*|subscribe|subscription|taboola|toast|toolbar|topbar|trending|warning|widgets?|alert)(?![a-z])"
 )
+#: Words of a class that only tell what a part has or how it looks.
+_LOOKS = re.compile(r"(?:has|with|without|no|not|is|overflow|js|layout)[-_]")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][\w:.@-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|</?\Z""", re.S)
 _SPACE = re.compile(r"\s+")
@@ -108,21 +110,24 @@ def blocks(page: str | None) -> list[Block]:
             made += 1
             _, _, outside, article = stack[-1]
             if not outside and name not in ("body", "html"):
-                outside = name in _NEVER or name == "header" and not article or _marked(token, name)
+                outside = name in _NEVER or name == "header" and not article or _marked(token, name, bool(article))
             stack.append((name, made, outside, made if name in _BODY else article))
     flush()
     return out
 
 
-def _marked(token: str, name: str) -> bool:
+def _marked(token: str, name: str, in_article: bool) -> bool:
+    """Whether an element's attributes say that it isn't the article."""
     for m in _ATTRIBUTE.finditer(token, len(name) + 1):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id", "role", "aria-label", "data-role", "data-component") and (found := _MARKS.search(value)):
-            # an article element is only taken out as a reader's comment, not for a word in its class
-            if name not in _BODY or found[0].startswith(("comment", "repl")):
-                return True
+        if key in ("class", "id", "role", "aria-label", "data-role", "data-component"):
+            for word in value.split():
+                found = None if _LOOKS.match(word) else _MARKS.search(word)
+                # an article element is only taken out as a reader's comment, not for a word in its class; an article's own header is part of it
+                if found and (found[0].startswith(("comment", "repl")) if name in _BODY else not (in_article and found[0] == "header")):
+                    return True
     return False
 
 

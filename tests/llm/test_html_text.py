@@ -24,6 +24,7 @@ GOOD = "The cat and the dog are in the house of the man with a hat that was on t
         (f"<nav>menu of the day</nav><header><h1>Site</h1></header><main><p>{GOOD}</p></main><aside>The news of the day</aside><footer>{GOOD}</footer>", GOOD),
         (f"<div class='ad'>{GOOD}</div><article><p>{GOOD}</p></article><div id=cookie-notice><p>{GOOD}</p></div>", GOOD),
         (f"<article><p>{GOOD}</p></article><section class='comments'><article><p>{GOOD} I say.</p></article></section>", GOOD),
+        (f"<div class='page has-sidebar overflow-hidden'><article class='post share'><div class='post-header'><h1>Title</h1></div><p>{GOOD}</p></article><div class='sidebar-right'><p>{GOOD}</p></div></div>", f"Title\n\n{GOOD}"),
         (f"<form><p>{GOOD}</p></form><div><p>{GOOD}</p></div>", GOOD),
         (f"<article><p>{GOOD}</p><table><tr><td>a | b</td></tr></table></article>", f"{GOOD}\n\na | b"),
         (f"<style>p{{}}</style><!-- <p>no</p> --><article><p>{GOOD}</p><footer>&copy; x", GOOD),
