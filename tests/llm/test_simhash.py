@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from strandloom.llm import simhash as sh
 from strandloom.llm.components import connected_components
