@@ -49,15 +49,20 @@ def simhash(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) for every document."""
+    """(doc_id, version, fp long) for every document; version is a hash of the text that tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary())
             fp = np.fromiter((simhash(t.as_py(), width, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(fp.view(np.int64))], ["doc_id", "version", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(small_batches).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version(F.col("text")).alias("version"), F.col("text").cast("string").alias("text"))
+    return rows.transform(small_batches).mapInArrow(run, "doc_id long, version long, fp long")
+
+
+def _version(text):
+    return F.xxhash64(text.cast("string"))
 
 
 def bit_sliced_pairs(starts: np.ndarray, fps: np.ndarray, radius: int = RADIUS, at_once: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -196,6 +201,21 @@ def fingerprint_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return cells.transform(small_batches).mapInArrow(_links, "a long, b long").distinct()
 
 
+def _components(fps: DataFrame) -> DataFrame:
+    """(fp, component_id, root) for every fingerprint: the smallest doc_id that links reach, and the component's smallest fingerprint."""
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    edges = materialize(fingerprint_links(distinct), "links")
+    roots = connected_components(edges).withColumnRenamed("node", "fp")
+    linked = materialize(distinct.join(roots, "fp"), "linked")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of_fp = linked.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    joined = distinct.join(of_fp, "fp", "left")
+    # a component of null ids has none of its own; a fingerprint without links is its own component
+    out = materialize(joined.select("fp", F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root")), "fp-components")
+    release(edges, linked)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text, ...).
 
@@ -208,30 +228,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     ties come back row by row. A null doc_id stays null and is never a component_id unless all of its
     component are null. An empty table gives an empty result; other columns of docs are ignored.
     """
-    fps = materialize(fingerprints(docs, width, seed), "fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    edges = materialize(fingerprint_links(distinct), "links")
-    roots = connected_components(edges).withColumnRenamed("node", "fp")
-    linked = materialize(distinct.join(roots, "fp"), "linked")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
-    of_all = materialize(distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")), "fp-components")
-    release(edges, linked)
-    return fps.join(of_all, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = materialize(fingerprints(docs, width, seed).select("doc_id", "fp"), "fps")
+    return fps.join(_components(fps).select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """The rows of docs with one document of each group of near-duplicates, the one with the smallest doc_id; all columns as they are.
 
-    Where several rows of a group share that doc_id, rows equal in text too count once. Documents without a doc_id
-    stay, one of each text, if none of their group has one.
+    Where several rows of a group share that doc_id, one of them stays; so does one of a group without any doc_id.
     """
-    near = near_duplicates(docs, width, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialize(near.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once, often = kept.filter("n = 1").select("doc_id"), kept.filter("n > 1").select("doc_id")
+    fps = materialize(fingerprints(docs, width, seed), "fps")
+    first = fps.join(_components(fps), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = first.groupBy("root", "doc_id", "version").agg(F.count("*").alias("n"))
+    chosen = counted.groupBy("root").agg(F.min(F.struct("version", "doc_id", "n")).alias("c"))
+    kept = materialize(chosen.select("c.*"), "kept")
     # rows travel as one struct, so that no name of docs can clash
-    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row.doc_id").cast("long")).withColumn("text", F.col("row.text"))
-    out = rows.join(once, rows["id"].eqNullSafe(once["doc_id"]), "left_semi").select("row")
-    if not often.isEmpty():
-        out = out.union(rows.join(often, rows["id"].eqNullSafe(often["doc_id"]), "left_semi").dropDuplicates(["id", "text"]).select("row"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row.doc_id").cast("long")).withColumn("v", _version(F.col("row.text")))
+
+    def matching(which: str) -> DataFrame:
+        ids = kept.filter(which)
+        return rows.join(ids, rows["id"].eqNullSafe(ids["doc_id"]) & (rows["v"] == ids["version"]), "left_semi")
+
+    out = matching("n = 1").select("row")
+    if not kept.filter("n > 1").isEmpty():
+        out = out.union(matching("n > 1").dropDuplicates(["id", "v"]).select("row"))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
