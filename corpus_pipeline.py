@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import mixing, packing, quality, simhash, spans
+from strandloom.llm import mixing, packing, quality, shingles, spans
 from strandloom.llm.common import materialize
 
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates one document stays."""
-    return simhash.representatives(docs)
+    """Of each group of near-duplicates, by a Jaccard similarity of five-word shingles of 0.8 or more, one document stays."""
+    return shingles.representatives(docs)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

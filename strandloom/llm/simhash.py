@@ -9,7 +9,7 @@ carry-save bit planes plus an overflow plane. Blocks whose lanes have all overfl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -57,11 +57,12 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fp = np.fromiter((simhash(t.as_py(), width, seed) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(fp.view(np.int64))], ["doc_id", "version", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version(F.col("text")).alias("version"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version(F.col("text")).alias("version"), F.col("text").cast("string").alias("text"))
     return rows.transform(small_batches).mapInArrow(run, "doc_id long, version long, fp long")
 
 
-def _version(text):
+def version(text):
+    """What tells rows of one doc_id apart: a hash of the text."""
     return F.xxhash64(text.cast("string"))
 
 
@@ -201,10 +202,10 @@ def fingerprint_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return cells.transform(small_batches).mapInArrow(_links, "a long, b long").distinct()
 
 
-def _components(fps: DataFrame) -> DataFrame:
+def _components(fps: DataFrame, links: Callable[[DataFrame], DataFrame] = fingerprint_links) -> DataFrame:
     """(fp, component_id, root) for every fingerprint: the smallest doc_id that links reach, and the component's smallest fingerprint."""
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    edges = materialize(fingerprint_links(distinct), "links")
+    edges = materialize(links(distinct), "links")
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     linked = materialize(distinct.join(roots, "fp"), "linked")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -237,13 +238,17 @@ def representatives(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
 
     Where several rows of a group share that doc_id, one of them stays; so does one of a group without any doc_id.
     """
-    fps = materialize(fingerprints(docs, width, seed), "fps")
-    first = fps.join(_components(fps), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return one_of_each(docs, materialize(fingerprints(docs, width, seed), "fps"))
+
+
+def one_of_each(docs: DataFrame, fps: DataFrame, links: Callable[[DataFrame], DataFrame] = fingerprint_links) -> DataFrame:
+    """The rows of docs that `representatives` keeps, given each row's (doc_id, version, fp) and the links of distinct fps."""
+    first = fps.join(_components(fps, links), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     counted = first.groupBy("root", "doc_id", "version").agg(F.count("*").alias("n"))
     chosen = counted.groupBy("root").agg(F.min(F.struct("version", "doc_id", "n")).alias("c"))
     kept = materialize(chosen.select("c.*"), "kept")
     # rows travel as one struct, so that no name of docs can clash
-    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row.doc_id").cast("long")).withColumn("v", _version(F.col("row.text")))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row.doc_id").cast("long")).withColumn("v", version(F.col("row.text")))
 
     def matching(which: str) -> DataFrame:
         ids = kept.filter(which)
