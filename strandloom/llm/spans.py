@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences; long ones are cut further at words chosen by their hash, so that the cuts
-of a passage are the same wherever it stands. From every sentence on, and up to every sentence, the shortest run of
+A text is cut into sentences; long ones are cut further behind the word with the least hash of any eight in a row, so that the cuts
+of a passage, seven words from its ends, are the same wherever it stands. From every sentence on, and up to every sentence, the shortest run of
 several sentences with enough words is hashed. Hashes are counted over all documents, and sentences covered by
 any span that isn't the first of its hash are removed.
 """
@@ -21,41 +21,50 @@ from pyspark.sql import types as T
 
 from .common import materialize, release, small_batches
 
-#: A span has so many sentences and so many words at least; a sentence has so many words at most (and is cut, if
-#: longer, behind a word whose hash is divisible by CUT once it has LEAST words). Three whole sentences stay under 50 words.
-SENTENCES, WORDS, MOST, LEAST, CUT = 3, 16, 16, 5, 4
+#: A span has so many sentences and so many words at least; a sentence has so many words at most. Of any MOST words in a row
+#: the one with the least hash ends a piece: whether a word does depends on MOST - 1 words on either side alone. So a passage of
+#: 46 words holds a span whatever stands around it: 7 words that its surroundings reach, up to 8 to a cut, three pieces, 7 words.
+SENTENCES, WORDS, MOST = 3, 16, 8
 #: 64-bit words of the filter that tells most spans that occur once from the others.
 FILTER_WORDS = 1 << 19  # a power of two
 
 _WORD = re.compile(r"\S+")
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, words, normal form) of each sentence: lower case, words joined by one blank. It lasts to the next one's start."""
-    out: list[tuple[int, int, str]] = []
+def _lines(text: str) -> tuple[str, list[str]]:
+    """The text in lower case, places kept, and its sentences."""
     low = text.lower()
     if len(low) != len(text):  # a letter became two: letter by letter, so that places stay
         low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
-    at = 0
     # a full stop, a mark and a blank end a sentence like a line does; places stay
-    for part in low.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):
-        words = part.split()
-        if len(words) > MOST:
-            held: list[str] = []
-            first = at
-            for w in _WORD.finditer(low, at, at + len(part)):
-                if not held:
-                    first = w.start()
-                held.append(w[0])
-                if len(held) == MOST or len(held) >= LEAST and zlib.crc32(w[0].encode()) % CUT == 0:
-                    out.append((first, len(held), " ".join(held)))
-                    held = []
-            if held:
-                out.append((first, len(held), " ".join(held)))
-        elif words:
-            out.append((at, len(words), " ".join(words)))
-        at += len(part) + 1
-    return out
+    return low, low.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+
+
+def _pieces(lines: list[str]) -> tuple[list[str], list[int]]:
+    """Words of all sentences, and how many of them are over at the end of each piece: a sentence, or what a long one is cut into."""
+    words: list[str] = []
+    ends = []
+    for line in lines:
+        words += line.split()
+        ends.append(len(words))
+    last = np.unique(np.array(ends, np.int64))
+    last = last[last > 0]
+    n = len(words)
+    if n >= MOST:
+        h = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, n)
+        # windows that lie in one sentence; of equal words the last
+        first = np.flatnonzero(np.searchsorted(last, np.arange(n - MOST + 1), "right") == np.searchsorted(last, np.arange(MOST - 1, n), "right"))
+        least = MOST - 1 - np.lib.stride_tricks.sliding_window_view(h, MOST)[first, ::-1].argmin(axis=1)
+        last = np.union1d(last, first + least + 1)
+    return words, last.tolist()
+
+
+def sentences(text: str) -> list[tuple[int, int, str]]:
+    """(start, words, normal form) of each sentence: lower case, words joined by one blank. It lasts to the next one's start."""
+    low, lines = _lines(text)
+    words, ends = _pieces(lines)
+    starts = [w.start() for w in _WORD.finditer(low)]
+    return [(starts[s], e - s, " ".join(words[s:e])) for s, e in zip([0, *ends], ends)]
 
 
 def runs(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +81,12 @@ def runs(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Hash (unsigned), first and last sentence of each span. A span's hash is that of its sentences' hashes."""
-    found = sentences(text)
-    if len(found) < SENTENCES:
+    words, ends = _pieces(_lines(text)[1])
+    if len(ends) < SENTENCES:
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first, last = runs([n for _, n, _ in found])
-    digest, whole = xxhash.xxh64_intdigest, b"".join([xxhash.xxh64_digest(f) for _, _, f in found])
+    begins = [0, *ends[:-1]]
+    first, last = runs([e - b for b, e in zip(begins, ends)])
+    digest, whole = xxhash.xxh64_intdigest, b"".join([xxhash.xxh64_digest(" ".join(words[b:e])) for b, e in zip(begins, ends)])
     return [digest(whole[8 * s : 8 * e + 8]) for s, e in zip(first.tolist(), last.tolist())], first, last
 
 

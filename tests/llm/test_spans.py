@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -39,6 +40,16 @@ def test_a_passage_of_fifty_words_is_covered_whole():
     assert left == "A head of the other one. And a tail." and gone == 8
 
 
+def test_a_passage_of_51_words_shares_a_span_in_any_running_context():
+    rng = random.Random(7)
+    for trial in range(1500):
+        stops = 0.12 if trial % 2 else 0
+        word = lambda: f"w{rng.randrange(3000)}" + ("." if rng.random() < stops else "")  # noqa: E731, B023
+        passage = " ".join(word() for _ in range(51))
+        a, b = (" ".join([*(word() for _ in range(rng.randrange(40))), passage, *(word() for _ in range(rng.randrange(40)))]) for _ in "ab")
+        assert set(sp.spans(a)[0]) & set(sp.spans(b)[0]), (a, b)
+
+
 def brute(texts):
     first, cut = {}, defaultdict(list)
     for k in sorted(texts):
