@@ -101,7 +101,7 @@ query("fastq_correct_report", "reads")(lambda df: ec.report(ec.correct(df, share
 
 
 def _mates(a, b):
-    return a.select("ord", F.substring("seq", 1, 60).alias("a")).join(b.select("ord", F.substring(sq.reverse_complement("seq"), 1, 60).alias("b")), "ord").filter("a <> '' and b <> ''")
+    return a.select("ord", F.col("seq").alias("a")).join(b.select("ord", sq.reverse_complement("seq").alias("b")), "ord").filter("a <> '' and b <> ''")
 
 
 query("nw_align", "reads mates")(lambda a, b: op.align_pairs(_mates(a, b)))
