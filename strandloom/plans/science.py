@@ -9,8 +9,8 @@ from ..functions.hmm import Hmm
 from ..operators import correct as ec
 from ..operators import kmers as km
 from ..operators import science as op
+from ..storage import materialize
 from .registry import query
-from .store import shared_table
 
 _N = "(SELECT count(*) FROM pvals)"
 _RANKED = "r AS (SELECT ord, p, row_number() OVER (ORDER BY p, ord) AS i, count(*) OVER () AS n FROM pvals)"
@@ -90,14 +90,14 @@ _EDGES = f"""{_KMERS.format(k=8, more='', kept='')}, p AS (SELECT substr(kmer, 1
 query("debruijn_edges", "reads", f"WITH {_EDGES} SELECT * FROM e")(lambda df: km.graph_edges(df, 8))
 query("debruijn_nodes", "reads", f"""WITH {_EDGES}, n AS (SELECT source AS node FROM e UNION SELECT target FROM e)
   SELECT node, (SELECT count(*) FROM e WHERE target = node) AS indegree, (SELECT count(*) FROM e WHERE source = node) AS outdegree FROM n""")(lambda df: km.graph_nodes(km.graph_edges(df, 8)))
-query("unitigs", "reads")(lambda df: km.unitigs(km.graph_edges(df, 16), shared_table))
+query("unitigs", "reads")(lambda df: km.unitigs(km.graph_edges(df, 16), materialize))
 query("substring_locate", "fasta", "SELECT ord, i - 1 AS pos FROM (SELECT ord, seq, unnest(range(1, greatest(length(seq) - 1, 1))) AS i FROM fasta) WHERE substr(seq, i, 3) = 'TAT'")(lambda df: km.locate(df, "TAT"))
 query("kmer_codes", "reads", """WITH x AS (SELECT ord, unnest(range(1, greatest(length(seq) - 2, 1))) AS i, seq FROM reads), k AS (SELECT ord, i, substr(seq, i, 4) AS w FROM x)
   SELECT ord, i + 2 AS pos, CASE WHEN regexp_full_match(w, '[ACGT]+') THEN (instr('CGT', w[1]) * 64 + instr('CGT', w[2]) * 16 + instr('CGT', w[3]) * 4 + instr('CGT', w[4])) END AS code FROM k""")(lambda df: km.rolling(df, 4))
 
 
-query("fastq_correct", "reads")(lambda df: ec.correct(df, shared_table, k=11, min_cov=3))
-query("fastq_correct_report", "reads")(lambda df: ec.report(ec.correct(df, shared_table, k=11, min_cov=3)))
+query("fastq_correct", "reads")(lambda df: ec.correct(df, materialize, k=11, min_cov=3))
+query("fastq_correct_report", "reads")(lambda df: ec.report(ec.correct(df, materialize, k=11, min_cov=3)))
 
 
 def _mates(a, b):

@@ -3,6 +3,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
+from strandloom import storage
+
 ROOT = Path(__file__).resolve().parents[1]
 
 CODE = f"""
@@ -15,6 +19,32 @@ print("rows", __spark_entry__.queries()["fastq_trim_se"](spark, "/root/testdata/
 """
 
 
+GUARD = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+sys.modules["xxhash"] = None
+import __spark_entry__
+print("queries", len(__spark_entry__.queries()) > 100, any(q.startswith("op") for q in __spark_entry__.queries()))
+"""
+
+
+def test_queries_without_a_library_of_the_training_data():
+    done = subprocess.run([sys.executable, "-c", GUARD], capture_output=True, text=True, timeout=60)
+    assert "queries True False" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session)
+
+
 def test_workers_get_the_package_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
