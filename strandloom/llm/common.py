@@ -1,66 +1,15 @@
-"""Tables on shared storage, and small helpers that the operators have in common."""
+"""Small helpers that the operators have in common."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What separates words: the blank and the control characters from tab to carriage return.
-WORD_GAP = r"[\x20\x09-\x0D]+"
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: when an executor is lost, later stages read the table again instead of
-    recomputing what led to it. Unlike a checkpointed plan, the table carries no partitioning, so
-    that joins on it keep an exchange on either side, which adaptive execution can split where a key is hot.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandloom-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._strandloom_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete materialized tables that no later plan reads."""
-    for df in frames:
-        if path := getattr(df, "_strandloom_path", None):
-            remove(df.sparkSession, path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM is gone: the folder's owner removes it
-            return
+from ..storage import materialize, release, remove, shared_dir  # noqa: F401
 
+#: What separates words: the blank and the control characters from tab to carriage return; and a word with the gap before it.
+_GAP = r"\x20\x09-\x0D"
+WORD_GAP, GAP_AND_WORD = f"[{_GAP}]+", f"[{_GAP}]*[^{_GAP}]+"
 
 #: Bytes of an Arrow batch, in the JVM and again in a worker.
 BATCH_BYTES = 4 << 20
@@ -78,5 +27,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def word_count(text: str = "text"):
     """Words `[^\\x20\\x09-\\x0D]+` of a text column, null text: 0. JVM only."""
-    bare = F.regexp_replace(F.col(text), rf"^{WORD_GAP}|{WORD_GAP}$", "")
-    return F.when(F.coalesce(F.length(bare), F.lit(0)) == 0, 0).otherwise(F.size(F.split(bare, WORD_GAP))).cast("long")
+    parts = F.split(F.col(text), WORD_GAP, -1)
+    # the split gives one part more than there are gaps; an empty one where a gap, or nothing, begins or ends the text
+    ends = F.col(text).rlike(rf"\A[{_GAP}]").cast("int") + F.col(text).rlike(rf"[{_GAP}]\z").cast("int")
+    return F.coalesce(F.when(F.col(text) == "", 0).otherwise(F.greatest(F.size(parts) - ends, F.lit(0))), F.lit(0)).cast("long")

@@ -2,9 +2,10 @@
 
 A source's documents, in a pseudorandom order, are one stream of words, cut into blocks of fixed length (the
 last may be shorter). A source's target makes a number of slots: whole passes over its blocks, then a
-part of a pass, its last block cut short, so that the slots hold the target to the word. Slots are thrown
-into output shards, which makes the sources' counts per shard multinomial; a slot's place in its pass goes
-through a permutation of the pass to a block's index; and blocks join the pieces of documents by that index.
+part of a pass, its last block cut short, so that the slots hold the target to the word. How many of a source's
+slots each output shard gets is drawn first, from a multinomial distribution over the shards. The shards then take
+their counts from the source's slots one after another; a slot's place in its pass goes through a permutation of
+the pass to a block's index; and blocks join the pieces of documents by that index.
 
 All pseudorandom numbers are the first 60 bits of an MD5, so that any SQL engine can follow them.
 """
@@ -17,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import GAP_AND_WORD, WORD_GAP, materialize, word_count
 
 SEED = 7
 #: Words in a block; output shards; what a source can exceed its size by; weights of the sources in order, repeating.
@@ -74,21 +75,39 @@ def permuted(x, n, *key):
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), step)
 
 
-def slots(table: DataFrame) -> DataFrame:
-    """Every slot of the mix: sid, slot, shard, block, `pass`, whether it is of a whole pass, and the words it takes from its block's front.
-
-    The short block, if there is one, stands at a drawn place of each pass.
-    """
-    full = F.expr(f"source_size div {BLOCK}")
-    tail = F.expr(f"source_size % {BLOCK}")
+def _slot_counts(table: DataFrame) -> DataFrame:
+    """The sources with what their slots follow from: full blocks, words of the short one (tail), number of slots; sources without slots are gone."""
     # the part of a pass that is left: its blocks, counted as if all were full, with one more for a short one
     upper = F.least(F.col("blocks"), F.expr(f"(rest + {BLOCK - 1}) div {BLOCK}") + 1)
     count = F.col("passes") * F.col("blocks") + F.when(F.col("rest") > 0, upper).otherwise(0)
-    rows = table.withColumn("full", full).withColumn("tail", tail).withColumn("slots", count).filter("slots > 0")
-    # a number of partitions of its own: these few small rows unfold to many, so they mustn't be put together by size
-    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.withColumn("full", F.expr(f"source_size div {BLOCK}")).withColumn("tail", F.expr(f"source_size % {BLOCK}")).withColumn("slots", count).filter("slots > 0")
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """rows of sources, one for each run of UNFOLD slots, dealt out: these few small rows unfold to many, so they mustn't be put together by size."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = rows.withColumn("run", F.explode(F.expr(f"sequence(0, (slots - 1) div {UNFOLD})"))).repartition(tasks, "sid", "run")
-    out = runs.withColumn("slot", F.explode(F.expr(f"sequence(run * {UNFOLD}, least(slots, (run + 1) * {UNFOLD}) - 1)")))
+    return runs.withColumn("slot", F.explode(F.expr(f"sequence(run * {UNFOLD}, least(slots, (run + 1) * {UNFOLD}) - 1)")))
+
+
+def shard_counts(table: DataFrame) -> DataFrame:
+    """(sid, shard, slots, upto): how many of its slots each source gives to each output shard, drawn from a multinomial distribution, and their running sum.
+
+    As many throws as the source has slots, each into one of SHARDS shards; only their counts, SHARDS rows a source, are kept.
+    """
+    thrown = _runs(_slot_counts(table).select("sid", "slots")).select("sid", (draw(SEED, "shard", F.col("sid"), F.col("slot")) % SHARDS).cast("int").alias("shard"))
+    counts = thrown.groupBy("sid", "shard").agg(F.count("*").alias("slots"))
+    return counts.withColumn("upto", F.sum("slots").over(Window.partitionBy("sid").orderBy("shard")))
+
+
+def slots(table: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every slot that the shards take: sid, slot, shard, block, `pass`, whether it is of a whole pass, and the words it takes from its block's front.
+
+    counts is what shard_counts has drawn: a shard takes the slots behind those of the shards before it. The short block, if there is one, stands at a drawn place of each pass.
+    """
+    drawn = counts.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("drawn"))  # SHARDS entries a source
+    out = _runs(_slot_counts(table).join(drawn, "sid"))
+    out = out.withColumn("shard", F.element_at(F.filter("drawn", lambda d: d["upto"] > F.col("slot")), 1)["shard"])
     out = out.withColumn("pass", F.expr("slot div blocks")).withColumn("at", F.expr("slot % blocks"))
     out = out.withColumn("tail_at", F.when(F.col("tail") > 0, draw(SEED, "tail", F.col("sid"), F.col("pass")) % F.col("blocks")).otherwise(F.col("blocks")))
     of_full = F.col("at") - F.when(F.col("at") > F.col("tail_at"), 1).otherwise(0)
@@ -97,13 +116,7 @@ def slots(table: DataFrame) -> DataFrame:
     length = F.when(F.col("at") == F.col("tail_at"), F.col("tail")).otherwise(F.lit(BLOCK))
     whole = F.col("pass") < F.col("passes")
     take = F.when(whole, length).otherwise(F.greatest(F.lit(0), F.least(length, F.col("rest") - before)))
-    shard = draw(SEED, "shard", F.col("sid"), F.col("slot")) % SHARDS
-    return out.select("sid", "slot", shard.cast("int").alias("shard"), "block", "pass", whole.alias("whole"), take.cast("long").alias("take")).filter("take > 0")
-
-
-def shard_counts(mixed: DataFrame) -> DataFrame:
-    """The drawn number of blocks of each source in each output shard."""
-    return mixed.groupBy("shard", "sid").agg(F.count("*").alias("blocks"), F.sum("take").alias("words"))
+    return out.select("sid", "slot", "shard", "block", "pass", whole.alias("whole"), take.cast("long").alias("take")).filter("take > 0")
 
 
 def placed(thin: DataFrame, table: DataFrame) -> DataFrame:
@@ -127,29 +140,37 @@ def measured(docs: DataFrame, *more) -> DataFrame:
 
 
 def mix(docs: DataFrame, *more) -> DataFrame:
-    """One row for every row of docs(doc_id, text, source, ...): doc_id, size, source, source_size, target, taken, passes, parts.
+    """One row for every row of docs(doc_id, text, source, ...): doc_id, size, source, source_size, target, taken, passes, by_shard, parts, shard.
 
     size counts words `[^\\x20\\x09-\\x0D]+` (null: 0); taken is how many words the mix takes of the document, with
-    repeats: all of it `passes` times, and once more the word ranges `parts`, (from, upto) structs in order.
+    repeats: all of it `passes` times, and once more the word ranges `parts`, (from, upto) structs in order. by_shard has
+    the words that each output shard takes of it, as structs (shard, words) in order of the shards; null where nothing is taken.
+    shard is the one that takes its first words in the first pass that takes any.
     A null source is a source, the last. Empty texts are taken 0 times. Repeated rows lie one after another in the
     stream. If all texts are empty, so is the mix; an empty table gives an empty result. Same rows, same mix.
     """
     thin = materialize(measured(docs, *more), "measured")
     table = materialize(sources(thin), "sources")
+    counts = materialize(shard_counts(table), "shard-counts")
     at = materialize(placed(thin, table), "placed")
-    # one row a block: how often it is taken whole, and what the last pass takes
-    drawn = slots(table).groupBy("sid", "block").agg(F.sum(F.col("whole").cast("int")).alias("times"), F.sum(F.when(~F.col("whole"), F.col("take"))).alias("part"))
     pieces = at.filter("size > 0").select("sid", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block"))
     first, last = F.greatest(F.lit(0).cast("long"), F.col("start") - F.col("block") * BLOCK), F.least(F.lit(BLOCK).cast("long"), F.col("start") + F.col("size") - F.col("block") * BLOCK)
     pieces = pieces.select("sid", "start", "block", first.alias("first"), last.alias("last"))
-    upto = F.least("last", F.coalesce("part", F.lit(0)))
-    met = pieces.join(drawn, ["sid", "block"]).withColumn("upto", upto)
+    # a slot takes of a piece what lies before its own end; a block has a slot in every pass at most
+    met = pieces.join(slots(table, counts), ["sid", "block"]).withColumn("upto", F.least("last", "take")).filter("upto > first")
     shift = F.col("block") * BLOCK - F.col("start")
-    part = F.when(F.col("upto") > F.col("first"), F.struct((F.col("first") + shift).alias("from"), (F.col("upto") + shift).alias("upto")))
-    words = F.col("times") * (F.col("last") - F.col("first")) + F.greatest(F.lit(0), F.col("upto") - F.col("first"))
-    taken = met.groupBy("sid", "start").agg(F.sum(words).alias("taken"), F.array_sort(F.collect_list(part)).alias("parts"))
+    met = met.select("sid", "start", "shard", "pass", "whole", (F.col("first") + shift).alias("from"), (F.col("upto") + shift).alias("upto"))
+    part = F.when(~F.col("whole"), F.struct("from", "upto"))
+    of_shard = met.groupBy("sid", "start", "shard").agg(F.sum(F.col("upto") - F.col("from")).alias("words"), F.collect_list(part).alias("parts"), F.min(F.struct("pass", "from")).alias("head"))
+    taken = of_shard.groupBy("sid", "start").agg(
+        F.sum("words").alias("taken"),
+        F.array_sort(F.collect_list(F.struct("shard", "words"))).alias("by_shard"),
+        F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"),
+        F.min(F.struct(F.col("head.pass").alias("pass"), F.col("head.from").alias("from"), "shard"))["shard"].alias("shard"),
+    )
     taken = materialize(taken.withColumnRenamed("start", "at"), "taken")
-    out = at.withColumn("at", F.when(F.col("size") > 0, F.col("start"))).join(taken, ["sid", "at"], "left")
+    # arrays unfold to far more than their files' bytes, by which a broadcast would be chosen
+    out = at.withColumn("at", F.when(F.col("size") > 0, F.col("start"))).join(taken.hint("merge"), ["sid", "at"], "left")
     return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("sid", "at", "start", "order_key")
 
 
@@ -168,23 +189,31 @@ def row_keys(docs: DataFrame) -> DataFrame:
         return keyed(materialize(docs.select(F.struct("*").alias("row")), "rows"), F.col("row"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, shard: str | None = None) -> DataFrame:
     """The mix as rows of docs: each document as often as it is taken whole, and what else is taken of it as one more row.
 
-    A whole document keeps its text; a part has its words joined by blanks. n_chars, if there is such a column, follows the
-    text; other columns are repeated. Documents of which nothing is taken are gone.
+    A whole document keeps its text. A part is cut from the text as it stands, white space and all, from its first word to the end of its
+    last; parts that don't touch are joined by a line feed. n_chars, if there is such a column, follows the text; other columns are repeated.
+    Documents of which nothing is taken are gone, null and empty texts among them. Rows equal in all columns are taken row by row. An empty table
+    gives an empty result. With the name of a column more, `shard`, that column has the output shard that takes the document's first words, by which the rows can be written.
     """
     # rows travel as one struct, so that no name of docs can clash, and meet what is taken of them by their keys
     rows = row_keys(docs)
     mixed = mix(rows.select("part", "place", *[F.col("row").getField(c).alias(c) for c in ("doc_id", "text", "source")]), "part", "place").filter("taken > 0")
-    taken = rows.join(mixed.select("part", "place", "size", "passes", "parts"), ["part", "place"])
+    taken = rows.join(mixed.select("part", "place", "size", "passes", "parts", "shard").hint("merge"), ["part", "place"])
     whole = F.col("passes") * (F.col("size") > 0).cast("long")
-    gap = r"[\x20\x09-\x0D]+"
-    words = F.split(F.regexp_replace(F.col("row.text"), rf"^{gap}|{gap}$", ""), gap)
     partly = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["upto"] - p["from"])
-    spans = F.transform("parts", lambda p: F.array_join(F.slice(words, (p["from"] + 1).cast("int"), (p["upto"] - p["from"]).cast("int")), " "))
-    piece = F.when(F.coalesce(partly, F.lit(0)) == 0, F.lit(None).cast("string")).when(partly == F.col("size"), F.col("row.text")).otherwise(F.array_join(spans, " "))
+    taken = taken.withColumn("partly", F.coalesce(partly, F.lit(0)))
+    # words with the gaps before them, so that neighbours put together are the text as it stands
+    taken = taken.withColumn("words", F.when((F.col("partly") > 0) & (F.col("partly") < F.col("size")), F.regexp_extract_all(F.col("row.text"), F.lit(GAP_AND_WORD), 0)))
+
+    def cut(p, k):
+        text = F.array_join(F.slice("words", (p["from"] + 1).cast("int"), (p["upto"] - p["from"]).cast("int")), "")
+        touches = F.coalesce(F.get("parts", k - 1)["upto"] == p["from"], F.lit(False))
+        return F.when(touches, text).otherwise(F.concat(F.when(k > 0, "\n").otherwise(""), F.regexp_replace(text, rf"\A{WORD_GAP}", "")))
+
+    piece = F.when(F.col("partly") == F.col("size"), F.col("row.text")).when(F.col("partly") > 0, F.array_join(F.transform("parts", cut), ""))
     copies = F.concat(F.when(whole > 0, F.array_repeat(F.col("row.text"), whole.cast("int"))).otherwise(F.array().cast("array<string>")), F.filter(F.array(piece), lambda t: t.isNotNull()))
-    out = taken.withColumn("copies", copies).select("row", F.explode("copies").alias("copy"))
+    out = taken.withColumn("copies", copies).select("row", "shard", F.explode("copies").alias("copy"))
     columns = [F.col("copy").alias(c) if c == "text" else F.length("copy").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return out.select(*columns)
+    return out.select(*columns, *([F.col("shard").alias(shard)] if shard else []))

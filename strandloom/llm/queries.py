@@ -42,7 +42,8 @@ def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    by_shard = F.array_join(F.transform("by_shard", lambda s: F.concat_ws(":", s["shard"], s["words"])), " ")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.coalesce(by_shard, F.lit("")).alias("by_shard"))
 
 
 def _mixing_sql() -> str:
@@ -81,28 +82,33 @@ WITH d AS (
   SELECT d.doc_id, d.size, s.sid, s.source_size, s.target,
          CAST(sum(d.size) OVER (PARTITION BY s.sid ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start, row_number() OVER () AS rid
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+), u AS (
+  SELECT *, passes * blocks + CASE WHEN rest > 0 THEN least(blocks, (rest + {b - 1}) // {b} + 1) ELSE 0 END AS slots FROM s
 ), t1 AS (
-  SELECT *, unnest(range(0, passes * blocks + CASE WHEN rest > 0 THEN blocks ELSE 0 END)) AS slot FROM s
+  SELECT *, unnest(range(0, slots)) AS slot FROM u
+), thrown AS (
+  SELECT sid, {draw(seed, "'shard'", 'sid', 'slot')} % {mixing.SHARDS} AS shard, count(*) AS n FROM t1 GROUP BY ALL
+), counts AS (
+  SELECT sid, shard, sum(n) OVER (PARTITION BY sid ORDER BY shard) AS upto, n FROM thrown
 ), t2 AS (
-  SELECT *, slot // blocks AS pass, slot % blocks AS pos FROM t1
+  SELECT t1.*, shard, slot // blocks AS pass, slot % blocks AS pos FROM t1 JOIN counts ON counts.sid = t1.sid AND slot < upto AND slot >= upto - n
 ), t3 AS (
   SELECT *, CASE WHEN tail > 0 THEN {draw(seed, "'tail'", 'sid', 'pass')} % blocks ELSE blocks END AS tail_pos FROM t2
 ), t4 AS (
-  SELECT sid, pass < passes AS whole,
+  SELECT sid, shard, pass < passes AS whole,
          CASE WHEN pos = tail_pos THEN full_blocks ELSE list_reduce(range(1, {rounds + 1}), lambda x, k: CASE WHEN {swap} % 2 = 0 THEN {partner} ELSE x END, pos - CASE WHEN pos > tail_pos THEN 1 ELSE 0 END) END AS block,
          CASE WHEN pos = tail_pos THEN tail ELSE {b} END AS length,
          rest - (pos * {b} - CASE WHEN pos > tail_pos THEN {b} - tail ELSE 0 END) AS behind
   FROM t3
-), drawn AS (
-  SELECT sid, block, CAST(sum(CASE WHEN whole THEN 1 ELSE 0 END) AS BIGINT) AS times, coalesce(max(CASE WHEN NOT whole THEN greatest(0, least(length, behind)) END), 0) AS part FROM t4 GROUP BY sid, block
 ), pieces AS (
   SELECT rid, sid, start, size, unnest(range(start // {b}, (start + size - 1) // {b} + 1)) AS block FROM p WHERE size > 0
+), by_shard AS (
+  SELECT rid, shard, CAST(sum(greatest(0, least(CASE WHEN whole THEN length ELSE least(length, behind) END, start + size - q.block * {b}) - greatest(0, start - q.block * {b}))) AS BIGINT) AS words
+  FROM pieces q JOIN t4 USING (sid, block) GROUP BY rid, shard
 ), taken AS (
-  SELECT rid, CAST(sum(times * (least({b}, start + size - q.block * {b}) - greatest(0, start - q.block * {b}))
-         + greatest(0, least(part, start + size - q.block * {b}) - greatest(0, start - q.block * {b}))) AS BIGINT) AS taken
-  FROM pieces q JOIN drawn USING (sid, block) GROUP BY rid
+  SELECT rid, CAST(sum(words) AS BIGINT) AS taken, string_agg(concat(shard, ':', words), ' ' ORDER BY shard) AS by_shard FROM by_shard WHERE words > 0 GROUP BY rid
 )
-SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0) AS taken FROM p LEFT JOIN taken USING (rid)
+SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0) AS taken, coalesce(by_shard, '') AS by_shard FROM p LEFT JOIN taken USING (rid)
 """
 
 

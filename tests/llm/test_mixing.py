@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -79,12 +80,40 @@ def test_permutation(spark, n):
     assert sorted(r["to"] for r in frame.collect()) == list(range(n))
 
 
+def thrown(seed, sid, n):
+    """Shard of each of a source's n slots: shards take drawn counts one after another."""
+    counts = [0] * mx.SHARDS
+    for slot in range(n):
+        counts[draw(seed, "shard", sid, slot) % mx.SHARDS] += 1
+    return [shard for shard, c in enumerate(counts) for _ in range(c)]
+
+
 def test_shards_are_drawn(spark, documents):
     table = mx.sources(mx.measured(documents)).persist()
-    mixed = mx.slots(table).persist()
-    counts = mx.shard_counts(mixed)
-    assert counts.agg(F.sum("words")).first()[0] == table.agg(F.sum(F.floor(F.col("target") + 0.5))).first()[0]
+    counts = mx.shard_counts(table).persist()
+    mixed = mx.slots(table, counts).persist()
+    assert mixed.agg(F.sum("take")).first()[0] == table.agg(F.sum(F.floor(F.col("target") + 0.5))).first()[0]
     assert mixed.groupBy("sid", "pass", "block").count().filter("count > 1").isEmpty()
+    drawn = {(r["sid"], r["shard"]): r["slots"] for r in counts.collect()}
+    for sid in {s for s, _ in drawn}:
+        n = sum(c for (s, _), c in drawn.items() if s == sid)
+        want = thrown(mx.SEED, sid, n)
+        assert [drawn.get((sid, k), 0) for k in range(mx.SHARDS)] == [want.count(k) for k in range(mx.SHARDS)]
+        assert all(want[r["slot"]] == r["shard"] for r in mixed.filter(F.col("sid") == sid).collect())
+
+
+def test_the_draw_decides_the_shards(documents, monkeypatch):
+    """Another draw gives the shards other words of the same documents; a shard's words are those of the counts drawn for it."""
+    def by_shard(rows):
+        return {r["doc_id"]: [tuple(x) for x in r["by_shard"] or []] for r in rows}
+
+    rows = mx.mix(documents).collect()
+    assert all(sum(n for _, n in found) == r["taken"] for r, found in zip(rows, by_shard(rows).values()))
+    whole = mx.draw
+    monkeypatch.setattr(mx, "draw", lambda *parts: whole(*["other" if isinstance(p, str) and p == "shard" else p for p in parts]))
+    other = mx.mix(documents).collect()
+    assert {r["doc_id"]: r["taken"] for r in rows} == {r["doc_id"]: r["taken"] for r in other}
+    assert by_shard(rows) != by_shard(other)
 
 
 def test_odd_rows(odd_documents, no_documents):
@@ -100,9 +129,51 @@ def test_mixed_documents(odd_documents, documents, no_documents):
     for docs in (odd_documents, documents, no_documents):
         out = mx.mixed_documents(docs)
         assert out.columns == docs.columns
-        words = out.select(mx.word_count().alias("n"), "n_chars", F.length("text").alias("l")).collect()
-        assert sum(r["n"] for r in words) == sum(r["taken"] for r in mx.mix(docs).collect())
-        assert all(r["n_chars"] == r["l"] for r in words)
+        rows = out.collect()
+        taken = {(r["doc_id"]): 0 for r in rows}
+        for r in rows:
+            taken[r["doc_id"]] += len(words_of(r["text"]))
+            assert r["n_chars"] == len(r["text"])
+        want = {}
+        for r in mx.mix(docs).collect():
+            want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"]
+        assert taken == {k: n for k, n in want.items() if n}
+        sharded = mx.mixed_documents(docs, "shard_of")
+        assert sharded.columns == [*docs.columns, "shard_of"] and sharded.filter("shard_of is null or shard_of < 0 or shard_of >= 16").isEmpty()
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_parts_are_cut_from_the_text(spark, monkeypatch, block):
+    """Parts keep the text's own white space; what lies before a part's first word and behind its last goes."""
+    monkeypatch.setattr(mx, "BLOCK", block)
+    texts = {k: f"  line{k} one\nline two\t\tand {k}\n\nline\x0bthree\u2028 end{k} \u0085 \n" for k in range(40)}
+    frame = spark.createDataFrame([(k, t, f"s{k % 3}") for k, t in texts.items()], "doc_id long, text string, source string")
+    mixed = {r["doc_id"]: r for r in mx.mix(frame).collect()}
+    found = {}
+    for r in mx.mixed_documents(frame).collect():
+        found.setdefault(r["doc_id"], []).append(r["text"])
+    partly = 0
+    for k, r in mixed.items():
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[k])]
+        assert r["size"] == len(at)
+        want = [texts[k]] * r["passes"]
+        joined = []
+        for p in r["parts"] or []:
+            if joined and joined[-1][1] == p["from"]:
+                joined[-1][1] = p["upto"]
+            else:
+                joined.append([p["from"], p["upto"]])
+        if joined:
+            partly += 1
+            want.append(texts[k] if joined == [[0, len(at)]] else "\n".join(texts[k][at[a][0] : at[b - 1][1]] for a, b in joined))
+        assert sorted(found.get(k, [])) == sorted(want)
+    assert partly > 3
+
+
+@pytest.mark.parametrize("text", ["abc \u2028", "abc\t\u0085", "abc \u2029", "abc\n", "\x0b", "", " a", "a  b ", None, "\u0085"])
+def test_words_are_counted_by_the_contract(spark, text):
+    frame = spark.createDataFrame([(text,)], "text string")
+    assert frame.select(mx.word_count()).first()[0] == len(words_of(text)) == len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
 def test_same_rows_same_mix(documents):
