@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 PROFILE = 400
-#: Code points below 0x250 (Latin) keep a number of their own among 1023; others share the rest by remainder.
-_DIRECT, _KINDS = 0x250, 1023
+#: A letter's number is its code point and one, so that every letter of every script has its own; 0 is what isn't one. An n-gram's number
+#: has its letters as digits to this base, with its length before them.
+_BASE = 0x110002
+#: Letters below this number are packed into 10 bits each while they are counted, which is what Latin texts need.
+_PACKED = 1 << 10
 #: Characters of a document that are counted at once.
 _AT_ONCE = 1 << 20
 #: Distinct n-grams that a task holds for a language before it hands its counts on.
@@ -33,32 +36,40 @@ def _fold(text: str) -> np.ndarray:
     if _letter is None:
         _letter = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)])
     raw = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    codes = np.where(_letter[raw], np.where(raw < _DIRECT, raw, _DIRECT + raw % (_KINDS - _DIRECT)) + 1, 0).astype(np.uint32)
-    codes = np.concatenate(([0], codes, [0])).astype(np.uint32)
+    codes = np.concatenate(([0], np.where(_letter[raw], raw + 1, 0), [0])).astype(np.uint32)
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     return codes[keep]
 
 
+def _number(length, a, b, c) -> np.ndarray:
+    return ((np.int64(length - 1) * _BASE + a) * _BASE + b) * _BASE + c
+
+
+def _count(codes: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, ascending, and counts of the n-grams that begin at the first `upto` places."""
+    packed = not len(codes) or int(codes.max()) < _PACKED
+    c = codes if packed else codes.astype(np.int64)
+    one = c[:upto]
+    one, two, three = one[one > 0], (c[:-1], c[1:]), (c[:-2], c[1:-1], c[2:])
+    two = [x[:upto] for x in two]
+    three = [x[:upto][three[1][:upto] > 0] for x in three]  # a trigram has a letter in its middle
+    if not packed:
+        return np.unique(np.concatenate((_number(1, 0, 0, one), _number(2, 0, *two), _number(3, *three))), return_counts=True)
+    g, n = np.unique(np.concatenate((one, two[0] << 10 | two[1] | np.uint32(1 << 30), three[0] << 20 | three[1] << 10 | three[2] | np.uint32(1 << 31))), return_counts=True)
+    g = g.astype(np.int64)
+    # the same order, as the length stands before the letters in either form
+    return _number((g >> 30) + 1, g >> 20 & 1023, g >> 10 & 1023, g & 1023), n
+
+
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of a text's n-grams and how often each occurs, most frequent first, ties by number."""
-    found: list[np.ndarray] = []
-    times: list[np.ndarray] = []
     codes = _fold(text)
-    for k in range(0, max(len(codes), 1), _AT_ONCE):
-        c = codes[k : k + _AT_ONCE + 2]
-        a, b = c[:-1], c[1:]
-        one = c[: _AT_ONCE][c[: _AT_ONCE] > 0] if len(c) > _AT_ONCE else c[c > 0]
-        two = a << 10 | b
-        two = two[:_AT_ONCE]
-        # a trigram has a letter in its middle
-        three = (a[:-1] << 20 | a[1:] << 10 | b[1:])[b[:-1] > 0]
-        g, n = np.unique(np.concatenate((one, two | np.uint32(1 << 30), three | np.uint32(1 << 31))), return_counts=True)
-        found.append(g)
-        times.append(n)
-    if len(found) > 1:
-        g, at = np.unique(np.concatenate(found), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate(times)).astype(np.int64)
+    parts = [_count(codes[k : k + _AT_ONCE + 2], _AT_ONCE) for k in range(0, max(len(codes), 1), _AT_ONCE)]
+    g, n = parts[0]
+    if len(parts) > 1:
+        g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
     order = np.argsort(-n, kind="stable")
     return g[order], n[order]
 
@@ -114,7 +125,7 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     out: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
         out.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
-    return {lang: np.array([g for _, g in sorted(found)], np.uint32) for lang, found in sorted(out.items())}
+    return {lang: np.array([g for _, g in sorted(found)], np.int64) for lang, found in sorted(out.items())}
 
 
 class Ranker:

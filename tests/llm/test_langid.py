@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import langid as li
@@ -30,12 +31,54 @@ def test_counts(monkeypatch):
     assert [w.tolist() for w in whole] == [p.tolist() for p in parts]
 
 
-def test_out_of_place():
-    ranker = li.Ranker({"x": np.array([7, 5, 9], np.uint32), "y": np.array([1, 2], np.uint32)}, size=3)
-    # places 0, 1, 2 of a document against ranks 1, 0 and none
-    ranker_found = ranker.sorted[0]
-    assert ranker_found[0].tolist() == [5, 7, 9] and ranker_found[1].tolist() == [1, 0, 2]
-    assert li.Ranker({}).predict("abc") == ("und", 0.0)
+def key(gram):
+    """What orders n-grams that are as frequent: their length, then their letters, the blank first."""
+    return len(gram), [0 if c == " " else ord(c) for c in gram]
+
+
+def brute(rows, size):
+    """lang_pred and score of each row (doc_id, text, lang): out-of-place distances, one n-gram at a time."""
+    counts = {}
+    for doc_id, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(plain_ngrams(text) if any(c.isalpha() for c in text.lower()) else {})
+    profiles = {lang: sorted(c, key=lambda g: (-c[g], key(g)))[:size] for lang, c in sorted(counts.items()) if c}
+    for _, text, _ in rows:
+        found = plain_ngrams(text) if text and any(c.isalpha() for c in text.lower()) else {}
+        own = sorted(found, key=lambda g: (-found[g], key(g)))[:size]
+        if not own or not profiles:
+            yield "und", 0.0
+            continue
+        sums = {lang: sum(abs(p.index(g) - k) if g in p else size for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sums, key=lambda lang: (sums[lang], lang))
+        yield best, 1 - sums[best] / (len(own) * size)
+
+
+SCRIPTS = {
+    "zh": "我们今天在城市里看到许多人，他们都在学习新的语言。老师说每个字都很重要。",
+    "ja": "私たちは今日、町でたくさんの人を見ました。みんな新しい言葉を学んでいます。",
+    "ko": "우리는 오늘 도시에서 많은 사람들을 보았습니다. 모두 새로운 언어를 배우고 있습니다.",
+    "ru": "Сегодня мы видели в городе много людей, и все они учат новый язык вместе с учителем.",
+    "got": "\U00010330\U00010332\U00010333 \U00010334\U00010335 \U0001f600 \U00010336\U00010337\U00010330",
+}
+
+
+@pytest.mark.parametrize("size", [5, 400])
+def test_against_brute_force(spark, documents, size):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.collect() if len(r["text"]) < 2500]
+    rows += [(5000 + 10 * k + j, text * (1 + j) + " x" * j, lang) for k, (lang, text) in enumerate(SCRIPTS.items()) for j in range(6)]
+    rows += [(6000, None, "en"), (6001, "", "en"), (6002, "123 !", "en"), (None, "the cat", None), (6003, "ab cd", None), (6003, "ab cd", None)]
+    found = Counter()
+    for r in li.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), size).collect():
+        found[r["doc_id"], r["lang_pred"], round(r["score"], 9)] += 1
+    want = Counter((r[0], lang, round(score, 9)) for r, (lang, score) in zip(rows, brute(rows, size)))
+    assert found == want
+
+
+def test_letters_of_all_scripts_stay_apart():
+    for text in SCRIPTS.values():
+        assert len(li.ngrams(text)[0]) == len(plain_ngrams(text))
+    assert len(set(li.ngrams("".join(map(chr, range(0x4E00, 0x9FA0))))[0].tolist())) == 3 * (0x9FA0 - 0x4E00) + 1
 
 
 def test_held_out_accuracy(spark):
