@@ -31,3 +31,17 @@ def word_count(text: str = "text"):
     # the split gives one part more than there are gaps; an empty one where a gap, or nothing, begins or ends the text
     ends = F.col(text).rlike(rf"\A[{_GAP}]").cast("int") + F.col(text).rlike(rf"[{_GAP}]\z").cast("int")
     return F.coalesce(F.when(F.col(text) == "", 0).otherwise(F.greatest(F.size(parts) - ends, F.lit(0))), F.lit(0)).cast("long")
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """(part, place, row): the rows of docs as structs, with what finds each of them again: its file and its place in it.
+
+    Where docs isn't a selection from Parquet files alone, it is written to the shared folder first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    row = F.struct("*")
+    if plan.nodeName() != "LogicalRelation" or not plan.relation().toString().lower().startswith("parquet"):
+        docs, row = materialize(docs.select(F.struct("*").alias("row")), "rows"), F.col("row")
+    return docs.select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("place"), row.alias("row"))

@@ -14,11 +14,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP_AND_WORD, WORD_GAP, materialize, word_count
+from .common import GAP_AND_WORD, WORD_GAP, materialize, row_keys, word_count
 
 SEED = 7
 #: Words in a block; output shards; what a source can exceed its size by; weights of the sources in order, repeating.
@@ -174,21 +173,6 @@ def mix(docs: DataFrame, *more) -> DataFrame:
     return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("sid", "at", "start", "order_key")
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """(part, place, row): the rows of docs as structs, with what finds them again: their file and place in it.
-
-    Where docs isn't read straight from Parquet files, it is written to the shared folder first.
-    """
-
-    def keyed(df: DataFrame, row) -> DataFrame:
-        return df.select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("place"), row.alias("row"))
-
-    try:
-        return keyed(docs, F.struct("*"))
-    except AnalysisException:
-        return keyed(materialize(docs.select(F.struct("*").alias("row")), "rows"), F.col("row"))
-
-
 def mixed_documents(docs: DataFrame, shard: str | None = None) -> DataFrame:
     """The mix as rows of docs: each document as often as it is taken whole, and what else is taken of it as one more row.
 

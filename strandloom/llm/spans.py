@@ -2,8 +2,10 @@
 
 A text is cut into sentences; long ones are cut further behind the word with the least hash of any eight in a row, so that the cuts
 of a passage, seven words from its ends, are the same wherever it stands. From every sentence on, and up to every sentence, the shortest run of
-several sentences with enough words is hashed. Hashes are counted over all documents, and sentences covered by
-any span that isn't the first of its hash are removed.
+several sentences with enough words is hashed: a longer run is repeated only where these, which cover it, are, so that hashing them
+does what hashing every run would. Hashes are counted over all documents, and sentences covered by any span that isn't the first of its hash are removed.
+
+In scripts that put no blanks between words, every letter counts as a word, and a full stop ends a sentence whatever follows it.
 """
 
 from __future__ import annotations
@@ -19,33 +21,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, small_batches
+from .common import materialize, release, row_keys, small_batches
 
 #: A span has so many sentences and so many words at least; a sentence has so many words at most. Of any MOST words in a row
 #: the one with the least hash ends a piece: whether a word does depends on MOST - 1 words on either side alone. So a passage of
 #: 46 words holds a span whatever stands around it: 7 words that its surroundings reach, up to 8 to a cut, three pieces, 7 words.
 SENTENCES, WORDS, MOST = 3, 16, 8
-#: 64-bit words of the filter that tells most spans that occur once from the others.
-FILTER_WORDS = 1 << 19  # a power of two
+#: 64-bit words, powers of two, of the filter that tells most spans that occur once from the others; what it lets through is joined, so its size decides what that costs, never what is found.
+FILTER_WORDS, MOST_FILTER_WORDS = 1 << 16, 1 << 22
 
-_WORD = re.compile(r"\S+")
+#: Letters of scripts without blanks between words (Thai, Lao, Tibetan, Myanmar, Khmer, and from kana to the Han characters, in all planes), and the full stops of such scripts.
+_SOLID = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e80-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3040-\u30ff\u3100-\u312f\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_STOP = "\u3002\uff01\uff1f\uff61\u17d4\u104b\u0f0d"
+_STOPS, _HAS_SOLID = re.compile(f"(?<=[{_STOP}])"), re.compile(f"[{_SOLID}]")
+_WORD, _SOLID_WORD = re.compile(r"\S+"), re.compile(rf"[^\s{_SOLID}{_STOP}]*[{_STOP}]|[{_SOLID}]|[^\s{_SOLID}{_STOP}]+")
 
 
-def _lines(text: str) -> tuple[str, list[str]]:
-    """The text in lower case, places kept, and its sentences."""
+def _lines(text: str) -> tuple[str, list[str], re.Pattern | None]:
+    """The text in lower case, places kept, its sentences, and what finds words where blanks don't."""
     low = text.lower()
     if len(low) != len(text):  # a letter became two: letter by letter, so that places stay
         low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
     # a full stop, a mark and a blank end a sentence like a line does; places stay
-    return low, low.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+    lines = low.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+    if low.isascii() or not _HAS_SOLID.search(low):
+        return low, lines, None
+    return low, [x for line in lines for x in _STOPS.split(line)], _SOLID_WORD
 
 
-def _pieces(lines: list[str]) -> tuple[list[str], list[int]]:
+def _pieces(lines: list[str], solid: re.Pattern | None) -> tuple[list[str], list[int]]:
     """Words of all sentences, and how many of them are over at the end of each piece: a sentence, or what a long one is cut into."""
     words: list[str] = []
     ends = []
     for line in lines:
-        words += line.split()
+        words += solid.findall(line) if solid else line.split()
         ends.append(len(words))
     last = np.unique(np.array(ends, np.int64))
     last = last[last > 0]
@@ -61,9 +70,9 @@ def _pieces(lines: list[str]) -> tuple[list[str], list[int]]:
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, words, normal form) of each sentence: lower case, words joined by one blank. It lasts to the next one's start."""
-    low, lines = _lines(text)
-    words, ends = _pieces(lines)
-    starts = [w.start() for w in _WORD.finditer(low)]
+    low, lines, solid = _lines(text)
+    words, ends = _pieces(lines, solid)
+    starts = [w.start() for w in (solid or _WORD).finditer(low)]
     return [(starts[s], e - s, " ".join(words[s:e])) for s, e in zip([0, *ends], ends)]
 
 
@@ -81,7 +90,7 @@ def runs(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Hash (unsigned), first and last sentence of each span. A span's hash is that of its sentences' hashes."""
-    words, ends = _pieces(_lines(text)[1])
+    words, ends = _pieces(*_lines(text)[1:])
     if len(ends) < SENTENCES:
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins = [0, *ends[:-1]]
@@ -107,6 +116,10 @@ def remove(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
     return left.rstrip() if gone[-1] else left, int(gone.sum())
 
 
+#: What a row is known by: its doc_id, hashes of its text and of its place in its file.
+_ROW = ("doc_id", "version", "place")
+
+
 def _emit(full: bool, bits):
     """Spans of texts: their hashes alone, or with their places, then only those that the filter lets through."""
 
@@ -119,41 +132,53 @@ def _emit(full: bool, bits):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["hash"])
                 continue
             rows = np.repeat(np.arange(len(found)), [len(hashes) for hashes, _, _ in found])
-            seen = np.flatnonzero(table[h & np.uint64(FILTER_WORDS - 1)] >> (h >> np.uint64(58)) & np.uint64(1))
+            seen = np.flatnonzero(table[h & np.uint64(len(table) - 1)] >> (h >> np.uint64(58)) & np.uint64(1))
             at = pa.array(rows[seen])
             first, last = (np.concatenate([f[k] for f in found] or [np.zeros(0)]).astype(np.int32)[seen] for k in (1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(h[seen].view(np.int64)), b.column("doc_id").take(at), b.column("version").take(at), pa.array(first), pa.array(last)], ["hash", "doc_id", "version", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[seen].view(np.int64)), *(b.column(c).take(at) for c in _ROW), pa.array(first), pa.array(last)], ["hash", *_ROW, "first", "last"])
 
     return run
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, spans) of documents with spans that occur before: structs of first and last sentence."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    often = materialize(texts.select("text").transform(small_batches).mapInArrow(_emit(False, None), "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "often")
-    word, bit = F.col("hash").bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"), F.shiftrightunsigned("hash", 58).cast("int")
-    one = F.expr("shiftleft(1L, bit)")
-    marked = often.select(word.alias("word"), bit.alias("bit")).withColumn("mask", one).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # FILTER_WORDS rows at most
-    table = np.zeros(FILTER_WORDS, np.uint64)
+def _filter(often: DataFrame) -> np.ndarray:
+    """A bit for each hash in `often`, and for few others: between FILTER_WORDS and MOST_FILTER_WORDS words of 64 bits, by the number of hashes."""
+    need = often.count() // 2  # 32 bits or more a hash let through one in 32 of the others
+    size = min(MOST_FILTER_WORDS, max(FILTER_WORDS, 1 << need.bit_length()))
+    word, bit = F.col("hash").bitwiseAND(F.lit(size - 1)).cast("int"), F.shiftrightunsigned("hash", 58).cast("int")
+    marked = often.select(word.alias("word"), bit.alias("bit")).withColumn("mask", F.expr("shiftleft(1L, bit)")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # as many rows as words at most
+    table = np.zeros(size, np.uint64)
     table[marked["word"].to_numpy(np.int64)] = marked["mask"].to_numpy(np.int64).view(np.uint64)
-    bits = spark.sparkContext.broadcast(table)
-    found = texts.transform(small_batches).mapInArrow(_emit(True, bits), "hash long, doc_id long, version long, first int, last int")
+    return table
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, version, place): docs' rows as structs and what they are known by; rows equal in all columns differ in their place."""
+    rows = row_keys(docs)
+    return rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("version"), F.xxhash64("part", "place").alias("place"))
+
+
+def _covered(rows: DataFrame) -> DataFrame:
+    """What rows are known by, and `spans`, of rows with spans that occur before: structs of first and last sentence."""
+    texts = rows.select(*_ROW, F.col("row.text").cast("string").alias("text")).filter("text is not null")
+    often = materialize(texts.select("text").transform(small_batches).mapInArrow(_emit(False, None), "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "often")
+    bits = rows.sparkSession.sparkContext.broadcast(_filter(often))
+    found = texts.transform(small_batches).mapInArrow(_emit(True, bits), "hash long, doc_id long, version long, place long, first int, last int")
     repeated = materialize(found.join(often, "hash"), "repeated")
-    place = F.struct("doc_id", "version", "first")
-    firsts = materialize(repeated.groupBy("hash").agg(F.min(place).alias("earliest")), "firsts")
-    later = repeated.join(firsts, "hash").filter(~place.eqNullSafe(F.col("earliest")))
-    out = materialize(later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "covered")
+    at = F.struct(*_ROW, "first")
+    firsts = materialize(repeated.groupBy("hash").agg(F.min(at).alias("earliest")), "firsts")
+    later = repeated.join(firsts, "hash").filter(~at.eqNullSafe(F.col("earliest")))
+    out = materialize(later.groupBy(*_ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans")), "covered")
     release(often, repeated, firsts)
     return out
 
 
 def _without(docs: DataFrame) -> DataFrame:
     """(row, text, n_removed): docs' rows as structs, and their texts without repeated spans."""
-    cuts = covered(docs)
-    rows = docs.select(F.struct("*").alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("version", F.xxhash64("row.text"))
-    same = rows["doc_id"].eqNullSafe(cuts["doc_id"]) & (rows["version"] == cuts["version"])
-    joined = rows.join(cuts, same, "left").select("row", F.col("row.text").alias("text"), "spans")
+    rows = _keyed(docs)
+    cuts = _covered(rows)
+    same = rows["doc_id"].eqNullSafe(cuts["doc_id"]) & (rows["version"] == cuts["version"]) & (rows["place"] == cuts["place"])
+    # spans unfold to far more than their file's bytes, by which a broadcast would be chosen
+    joined = rows.join(cuts.hint("merge"), same, "left").select("row", F.col("row.text").alias("text"), "spans")
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +193,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_removed) for every row of docs(doc_id, text, ...).
 
     The first place of a span is that of the smallest doc_id (nulls first), then the earliest in its text; a document that
-    repeats itself loses the later places too. Rows equal in doc_id and text are one document: neither loses
-    for the other. Texts without removed sentences stay as they are, to the character. Null texts stay null, a text
+    repeats itself loses the later places too. Rows equal in doc_id and text are copies like any other: one of them is the first.
+    Texts without removed sentences stay as they are, to the character. Null texts stay null, a text
     all of which is repeated becomes empty. An empty table gives an empty result; other columns are ignored.
     """
     out = _without(docs.select("doc_id", "text"))
@@ -177,6 +202,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with its columns, the texts without repeated spans; n_chars, if there is such a column, follows the text."""
+    """docs(doc_id, text, ...) with its columns and all its rows, the texts without repeated spans, as in deduplicate, whatever the columns' names.
+
+    n_chars, if there is such a column, follows a text that has lost something. Null and empty texts stay as they are, an empty table gives an empty result.
+    """
     out = _without(docs)
     return out.select(*[F.col("text") if c == "text" else F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])
