@@ -1,13 +1,15 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash, verified by exact Jaccard similarity of word shingles.
 
-A document is the set of the XXH64 of its shingles of five words. Candidates share one of 32 bands of five MinHash values:
-two documents at a similarity of just 0.8 share a band with probability 0.999997. Every candidate link is then verified on the
-whole sets. In a band's cell all are held against the smallest first; only where that leaves a cell in several
-components, the pairs across them are verified too, so that components are those of all verified candidate pairs.
+A document is the set of the XXH64 of its shingles of five words, and a fingerprint of 128 bits, their majorities. Sets at a similarity of
+0.8 lie some 19 bits apart, so no few blocks of bits agree for sure: tables are keyed by drawn bits, as many tables as let nearly all pairs at 0.8 meet.
+In a table's cell fingerprints are compared bit-sliced, with wide carry-save counters, and those within the radius are candidates, verified on the whole
+sets. A cell first gives the candidates of a least spanning forest by distance; where more are near, the pairs across what the verified ones leave
+apart follow in further passes, so that components are those of all candidates that hold, while rows stay in proportion to the cells'.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +20,22 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release, small_batches
 from .components import connected_components
-from .simhash import one_of_each, version
+from .simhash import BITS, Forest, bit_sliced_pairs, boundaries, one_of_each, version, whole_cells
 
 WIDTH = 5
 #: A link's similarity, at least: NEAR[0] / NEAR[1].
 NEAR = (4, 5)
-BANDS, ROWS = 32, 5
-_AT_ONCE = 2048
-_RNG = np.random.default_rng(42)
-_MIX = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False)
-_FACTOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
+#: Bits in a fingerprint, in words of 64; candidates differ in so many at most. At a similarity of just 0.8 a bit differs with probability FLIP, and 97.5 in 100 pairs are within.
+WORDS, RADIUS, FLIP = 2, 27, 0.1515
+#: How many of the pairs at a similarity of just 0.8 meet in a table.
+MEET = 0.97
+#: Rows of a key that one cell compares at most (twice that across two chunks); larger keys are cut into chunks that meet pairwise.
+CHUNK = 1024
+#: Spanning forests that a pass takes of a cell with many candidates; it takes all candidates where there are at most so many to a row.
+FORESTS = 3
+#: Where fewer than one in so many candidates of a pass hold, the next takes all that are left.
+RARE = 10
+_AT_ONCE, _PAIRS_AT_ONCE = 1 << 14, 1 << 22
 
 
 def shingles(text: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -42,32 +50,64 @@ def shingles(text: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarr
     return np.unique(np.array([digest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A key (signed) for each band of MinHash values."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Words of the fingerprint of a set: a bit is 1 if it is set in over half of the hashes, or of what a mixing step makes of them."""
+    counts = np.zeros(WORDS * BITS, np.int64)
     for k in range(0, len(hashes), _AT_ONCE):
-        np.minimum(least, ((hashes[k : k + _AT_ONCE, None] ^ _MIX) * _FACTOR).min(axis=0), out=least)
-    keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+        h = hashes[k : k + _AT_ONCE]
+        words = [h]
+        for w in range(1, WORDS):  # the finalizer of SplitMix64, with a step for each word
+            x = h + np.uint64(0x9E3779B97F4A7C15 * w & 0xFFFFFFFFFFFFFFFF)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            words.append(x ^ x >> np.uint64(31))
+        bits = np.unpackbits(np.stack(words, axis=1).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def near(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets, as sorted arrays, have a Jaccard similarity of NEAR at least."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return NEAR[1] * both >= NEAR[0] * (len(a) + len(b) - both)
+def plan(n: int) -> tuple[int, int]:
+    """Drawn bits to a key, and tables, for n fingerprints: about six rows to a key of unlike ones, whatever n, and as many tables as let MEET of the pairs at 0.8 meet.
+
+    Tables grow with n to the power of 0.24: some 40 for 200,000, 110 for 15 million.
+    """
+    bits = max(6, int(math.log2(max(n, 1))) - 2)
+    return bits, math.ceil(math.log(1 - MEET) / math.log(1 - (1 - FLIP) ** bits))
+
+
+def keys(fps: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """Keys (signed) of fingerprints (rows of words) in each table: the table's number over its drawn bits."""
+    rng = np.random.default_rng(42)
+    out = np.empty((len(fps), tables), np.int64)
+    for t in range(tables):
+        key = np.full(len(fps), t, np.uint64)
+        for b in rng.permutation(WORDS * BITS)[:bits].tolist():
+            key = key << np.uint64(1) | (fps[:, b // BITS] >> np.uint64(b % BITS) & np.uint64(1))
+        out[:, t] = key.view(np.int64)
+    return out
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, fp, size, keys) for every document; fp is a hash of its set, size that of the set, keys are its bands'."""
+    """(doc_id, version, fp, size, w0, w1) for every document; fp is a hash of its set, size that of the set, the rest its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column("text").cast(pa.binary())]
             fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            columns = [b.column("doc_id"), b.column("version"), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "fp", "size", "keys"])
+            words = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            columns = [b.column("doc_id"), b.column("version"), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(words[:, w]) for w in range(WORDS))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "fp", "size", *_WORDS])
 
-    return _texts(docs).transform(small_batches).mapInArrow(run, "doc_id long, version long, fp long, size long, keys array<long>")
+    return _texts(docs).transform(small_batches).mapInArrow(run, "doc_id long, version long, fp long, size long, " + ", ".join(f"{w} long" for w in _WORDS))
+
+
+_WORDS = [f"w{k}" for k in range(WORDS)]
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, as sorted arrays, have a Jaccard similarity of NEAR at least."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return NEAR[1] * both >= NEAR[0] * (len(a) + len(b) - both)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -97,36 +137,142 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def _keyed(nodes: DataFrame, bits: int, tables: int, columns: tuple[str, ...] = ("fp", "root", *_WORDS)) -> DataFrame:
+    """(key, ...) of every node in every table, with columns of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.stack([b.column(w).to_numpy().view(np.uint64) for w in _WORDS], axis=1)
+            at = pa.array(np.repeat(np.arange(b.num_rows), tables))
+            yield pa.RecordBatch.from_arrays([pa.array(keys(words, bits, tables).reshape(-1)), *(b.column(c).take(at) for c in columns)], ["key", *columns])
+
+    rows = nodes.select(*dict.fromkeys((*_WORDS, *columns))).transform(small_batches)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *columns)))
+
+
+def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) make a least spanning forest over groups of indices, by Boruvka's rounds; ties by the pairs' order."""
+    rank = np.empty(len(weight), np.int64)
+    rank[np.lexsort((np.arange(len(weight)), weight))] = np.arange(len(weight))
+    chosen, forest, alive = np.zeros(len(i), bool), Forest(len(group)), np.arange(len(i))
+    forest.link(np.arange(len(group)), group)
+    while True:
+        p = forest.roots()
+        a, b = p[i[alive]], p[j[alive]]
+        apart = a != b
+        alive, a, b = alive[apart], a[apart], b[apart]
+        if not len(alive):
+            return chosen
+        best = np.full(len(group), len(weight))
+        np.minimum.at(best, a, rank[alive])
+        np.minimum.at(best, b, rank[alive])
+        now = alive[(rank[alive] == best[a]) | (rank[alive] == best[b])]
+        chosen[now] = True
+        forest.link(i[now], j[now])
+
+
+def _slices(starts: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of cells that have about _PAIRS_AT_ONCE pairs together, or are one cell."""
+    pairs = np.cumsum(np.diff(np.append(starts, rows)).astype(np.int64) ** 2) // _PAIRS_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(pairs)) + 1).tolist(), len(starts)]
+    return zip(cuts, cuts[1:])
+
+
+def _candidates(turn: int, whole: bool):
+    def met(t: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Pairs of nodes, the smaller first, and keys that have more of them, of cells that begin at starts."""
+        fp, rows = t.column("fp").to_numpy(), np.diff(np.append(starts, t.num_rows))
+        words = np.stack([t.column(w).to_numpy().view(np.uint64) for w in _WORDS], axis=1)
+        _, root = np.unique(t.column("root").to_numpy(), return_inverse=True)
+        found = [(i[ok], j[ok]) for i, j in bit_sliced_pairs(starts, words, RADIUS) if (ok := (root[i] != root[j]) & (fp[i] != fp[j])).any()]
+        if not found:
+            return None
+        i, j = (np.concatenate(x) for x in zip(*found))
+        cell = np.repeat(np.arange(len(starts)), rows)
+        many = (np.bincount(cell[i], minlength=len(starts)) > (1 if turn == 0 else FORESTS * rows)) & (not whole)
+        take = ~many[cell[i]]
+        if many.any():
+            # the first row of a root in each cell stands for it
+            _, first, of = np.unique(cell * (root.max() + 1) + root, return_index=True, return_inverse=True)
+            at = np.flatnonzero(~take)
+            far = np.bitwise_count(words[i[at]] ^ words[j[at]]).sum(axis=1).astype(float)
+            for k in range(1 if turn == 0 else FORESTS):
+                noise = np.random.default_rng([turn, k]).random(len(at)) * (RADIUS if turn else 0)
+                take[at[_forest(i[at], j[at], far + noise, first[of])]] = True
+        left = np.bincount(cell[i[~take]], minlength=len(starts)) > 0
+        a, b = fp[i[take]], fp[j[take]]
+        return np.minimum(a, b), np.maximum(a, b), t.column("key").to_numpy()[starts[left]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a < b, null) of nodes within the radius and of different roots, and (null, null, key) for keys of which not all such pairs are there."""
+        for t in whole_cells(batches, ["key", "lo", "hi"], _AT_ONCE):
+            starts = boundaries(t, ["key", "lo", "hi"])
+            ends = np.append(starts, t.num_rows)
+            for c, d in _slices(starts, t.num_rows):
+                found = met(t.slice(ends[c], ends[d] - ends[c]), starts[c:d] - ends[c])
+                if found is None:
+                    continue
+                a, b, more = found
+                keys_ = np.unique(more)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(keys_), pa.int64())] * 2 + [pa.array(keys_)], ["a", "b", "key"])
+
+    return run
+
+
+def _met(keyed: DataFrame, of_key: DataFrame, turn: int, whole: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """What the cells of keyed give in a pass: see _candidates. of_key: a row with the key for each of its rows."""
+    hot = materialize(of_key.groupBy("key").count().filter(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "hot-keys")
+    cut = keyed.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "root", *_WORDS)
+    cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp")
+    return materialize(cells.transform(small_batches).mapInArrow(_candidates(turn, whole), "a long, b long, key long"), "met")
+
+
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the same sets as all verified candidate pairs; nodes: one row per fp, with size, keys and the place `at` of a document."""
+    """Edges (a, b) that connect the same sets as all candidates that hold; nodes: one row per fp, with size, fingerprint and the place `at` of a document.
+
+    The first pass takes a forest of each cell. As long as many candidates of a pass hold in cells that had more, another takes more of those across
+    what is still apart there; the last takes all that are left.
+    """
+    bits, tables = plan(nodes.count())
+    sizes = nodes.select("fp", "size")
     # a similarity of two sets is at most the ratio of their sizes
     alike = F.least("size_a", "size_b") * NEAR[1] >= F.greatest("size_a", "size_b") * NEAR[0]
-    keyed = nodes.select("fp", "size", F.explode("keys").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("fp", "size")).alias("least")).filter("n > 1").select("key", F.col("least.fp").alias("a"), F.col("least.size").alias("size_a")), "cells")
-    cells = materialize(keyed.join(shared, "key"), "members")
-    first = cells.filter("fp <> a").select("a", F.col("fp").alias("b"), "size_a", F.col("size").alias("size_b"))
-    star = materialize(first.filter(alike).select("a", "b").distinct(), "star")
-    edges = _verified(star, nodes, docs)
-    roots = connected_components(edges).withColumnRenamed("node", "fp")
-    parts = materialize(cells.select("key", "fp", "size").join(roots, "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root")), "parts")
-    apart = parts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    open_ = materialize(parts.join(apart, "key"), "open")
-    a, b = (open_.select("key", F.col("fp").alias(n), F.col("size").alias(f"size_{n}"), F.col("root").alias(f"root_{n}")) for n in "ab")
-    across = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike).select("a", "b").distinct()
-    across = materialize(across.join(star, ["a", "b"], "left_anti"), "across")
-    more = _verified(across, nodes, docs)
-    release(shared, cells, star, parts, open_, across)
-    return edges.union(more)
+    keyed, of_key = _keyed(nodes.withColumn("root", F.col("fp")), bits, tables), _keyed(nodes, bits, tables, ())
+    edges = tested = None
+    turn, last = 0, False
+    while True:
+        met = _met(keyed, of_key, turn, last)
+        pairs = met.filter("a is not null").select("a", "b").distinct()
+        pairs = pairs.join(sizes.select(F.col("fp").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("fp").alias("b"), F.col("size").alias("size_b")), "b").filter(alike).select("a", "b")
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = _verified(pairs, nodes, docs)
+        edges = found if edges is None else edges.union(found)
+        tested = pairs if tested is None else tested.union(pairs)
+        open_keys = materialize(met.filter("key is not null").select("key").distinct(), "open-keys")
+        if last or open_keys.isEmpty():
+            release(met)
+            return edges
+        last = turn > 0 and found.count() * RARE < pairs.count()
+        # what has more candidates is an end of one of the forest's
+        ends = met.filter("a is not null").select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        rooted = nodes.join(ends, "fp", "left_semi").join(connected_components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        keyed = materialize(_keyed(rooted, bits, tables).join(open_keys, "key", "left_semi"), "again")
+        of_key = keyed.select("key")
+        release(met)
+        turn += 1
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs with one document of each group that links of a similarity of 0.8 or more connect, the one with the smallest doc_id; all columns as they are.
 
-    Similarity is the Jaccard similarity of the sets of five-word shingles. Null, empty and blank texts have one set in common. Where several rows of
-    a group share that doc_id, one of them stays; so does one of a group without any doc_id.
+    Similarity is the Jaccard similarity of the sets of five-word shingles; links are those of candidates, which MEET and RADIUS make nearly all. Null, empty and
+    blank texts have one set in common, equal texts of course too. Of repeated rows one stays. Where several rows of a group share that doc_id, one of them stays; so does one of a group
+    without any doc_id. Very long texts are read whole; other columns may have any names. An empty table gives an empty result.
     """
     rows = materialize(_sets(docs), "sets")
-    nodes = materialize(rows.groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "version")).alias("at")), "nodes")
+    nodes = materialize(rows.groupBy("fp").agg(F.first("size").alias("size"), *[F.first(w).alias(w) for w in _WORDS], F.min(F.struct("doc_id", "version")).alias("at")), "nodes")
     out = one_of_each(docs, rows.select("doc_id", "version", "fp"), lambda _: links(nodes, docs))
     release(rows, nodes)
     return out

@@ -67,8 +67,9 @@ def version(text):
 
 
 def bit_sliced_pairs(starts: np.ndarray, fps: np.ndarray, radius: int = RADIUS, at_once: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) within `radius` bits, both in one cell; cells begin at `starts` in fps (uint64, sorted by cell)."""
-    n = len(fps)
+    """Index pairs (i < j) within `radius` bits, both in one cell; cells begin at `starts` in fps, sorted by cell: uint64, or a matrix of several to a row."""
+    fps = fps.reshape(len(fps), -1)
+    n, bits = len(fps), BITS * fps.shape[1]
     sizes = np.diff(np.append(starts, n))
     words = -(-sizes // BITS)  # words of 64 lanes to a cell
     base = np.concatenate(([0], np.cumsum(words)[:-1]))
@@ -76,9 +77,12 @@ def bit_sliced_pairs(starts: np.ndarray, fps: np.ndarray, radius: int = RADIUS,
     rank = np.arange(n) - starts[cell]
     word, lane = base[cell] + rank // BITS, (rank % BITS).astype(np.uint64)
     at = np.flatnonzero(np.diff(word, prepend=-1))
-    planes = np.stack([np.bitwise_or.reduceat((fps >> np.uint64(k) & np.uint64(1)) << lane, at) for k in range(BITS)])
+    planes = np.stack([np.bitwise_or.reduceat((fps[:, k // BITS] >> np.uint64(k % BITS) & np.uint64(1)) << lane, at) for k in range(bits)])
     width = np.diff(np.append(at, n)).astype(np.uint64)
     unused = np.where(width >= BITS, np.uint64(0), _ONES << np.minimum(width, np.uint64(BITS - 1)))
+    # counters of so many planes that begin where `radius` more fill them, and one more makes them overflow
+    depth = radius.bit_length()
+    ahead = (1 << depth) - 1 - radius
     # a row meets its own word and the later ones of its cell
     meets = words[cell] - rank // BITS
     upto = np.cumsum(meets)
@@ -88,33 +92,33 @@ def bit_sliced_pairs(starts: np.ndarray, fps: np.ndarray, radius: int = RADIUS,
         rows = np.repeat(np.arange(done, stop), meets[done:stop])
         offset = np.arange(len(rows)) - np.repeat(upto[done:stop] - meets[done:stop] - (upto[done - 1] if done else 0), meets[done:stop])
         done = stop
-        block, query = word[rows] + offset, fps[rows]
+        block = word[rows] + offset
         own = offset == 0
         over = unused[block]
         # lanes up to the row's own are met by the rows before it
         over[own] |= _ONES >> (np.uint64(BITS - 1) - lane[rows[own]])
-        one, two = np.zeros_like(over), np.zeros_like(over)
-        for k in range(0, BITS, 2):
-            x = planes[k, block] ^ (np.uint64(0) - (query >> np.uint64(k) & np.uint64(1)))
-            y = planes[k + 1, block] ^ (np.uint64(0) - (query >> np.uint64(k + 1) & np.uint64(1)))
-            # carry-save: one + x + y = sum + 2 * carry, then the carry goes into the twos; radius 3 is what two planes hold
-            carry = (one & x) | (one & y) | (x & y)
-            one ^= x ^ y
-            over |= two & carry
-            two ^= carry
-            if k % 8 == 6:
+        count = [np.full_like(over, _ONES if ahead >> p & 1 else 0) for p in range(depth)]
+        for k in range(0, bits, 2):
+            if k % 8 == 0:  # blocks whose lanes have all overflowed are abandoned
                 alive = over != _ONES
                 if not alive.all():
-                    rows, offset, block, query, over, one, two = (z[alive] for z in (rows, offset, block, query, over, one, two))
+                    rows, block, over = rows[alive], block[alive], over[alive]
+                    count = [c[alive] for c in count]
                     if not len(rows):
                         break
-        if not len(rows):
-            continue
-        near = ~over
-        if radius < 3:
-            value_over = two & one if radius == 2 else two if radius == 1 else two | one
-            near &= ~value_over
-        lanes = np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            query = fps[rows, k // BITS]
+            x = planes[k, block] ^ (np.uint64(0) - (query >> np.uint64(k % BITS) & np.uint64(1)))
+            y = planes[k + 1, block] ^ (np.uint64(0) - (query >> np.uint64(k % BITS + 1) & np.uint64(1)))
+            if not depth:
+                over |= x | y
+                continue
+            # carry-save: ones + x + y = sum + 2 * carry, and the carry goes up through the other planes
+            carry = (count[0] & (x | y)) | (x & y)
+            count[0] ^= x ^ y
+            for p in range(1, depth):
+                carry, count[p] = count[p] & carry, count[p] ^ carry
+            over |= carry
+        lanes = np.unpackbits((~over).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         hit, at_lane = np.nonzero(lanes)
         if len(hit):
             yield rows[hit], at[block[hit]] + at_lane

@@ -5,7 +5,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from strandloom.llm import simhash  # noqa: E402
+from strandloom.llm import shingles, simhash  # noqa: E402
 
 
 def grams(text):
@@ -42,6 +42,59 @@ def test_the_stage_drops_near_copies_at_a_similarity_of_08(spark):
     assert kept == sorted(set(forest.roots().tolist()))
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Cells with far more candidates than rows: all that hold link, whatever the forests have tried first."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    texts = []
+    for _ in range(500):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randrange(0, 7)):
+            words[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [grams(t) for t in texts]
+    forest = simhash.Forest(len(texts))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    forest.link(*map(np.array, zip(*pairs)))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    want = set(forest.roots().tolist())
+    assert want <= kept and len(kept - want) <= 2
+
+
+def test_forest_is_least():
+    rng = np.random.default_rng(2)
+    n = 40
+    i, j = np.triu_indices(n, 1)
+    some = rng.random(len(i)) < 0.3
+    i, j, weight = i[some], j[some], rng.integers(0, 9, some.sum()).astype(float)
+    group = np.arange(n)
+    group[5] = 3
+    chosen = shingles._forest(i, j, weight, group)
+    forest, want = simhash.Forest(n), 0.0
+    forest.link(np.array([5]), np.array([3]))
+    for k in np.argsort(weight, kind="stable"):
+        p = forest.roots()
+        if p[i[k]] != p[j[k]]:
+            forest.link(i[k : k + 1], j[k : k + 1])
+            want += weight[k]
+    assert weight[chosen].sum() == want and chosen.sum() <= n - 1
+
+
+def test_keys_meet_as_planned():
+    """Fingerprints of sets at a similarity of 0.8 share a key as often as planned, and are within the radius."""
+    rng = np.random.default_rng(4)
+    a, b = [], []
+    for _ in range(300):
+        both, own = rng.integers(0, 2**63, 320, dtype=np.uint64), rng.integers(0, 2**63, 80, dtype=np.uint64)
+        a.append(shingles.fingerprint(np.concatenate((both, own[:40]))))
+        b.append(shingles.fingerprint(np.concatenate((both, own[40:]))))
+    a, b = np.array(a), np.array(b)
+    bits, tables = shingles.plan(200_000)
+    assert np.mean((shingles.keys(a, bits, tables) == shingles.keys(b, bits, tables)).any(axis=1)) > 0.92
+    assert np.mean(np.bitwise_count(a ^ b).sum(axis=1) <= shingles.RADIUS) > 0.94
+
+
 def test_odd_rows(odd_documents, no_documents, spark):
     kept = corpus_pipeline.near_duplicates(spark, odd_documents, "")
     assert kept.columns == odd_documents.columns

@@ -34,6 +34,18 @@ def test_bit_sliced_pairs_are_all_pairs(radius):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+@pytest.mark.parametrize("radius", [5, 27, 31])
+def test_wide_counters(radius):
+    rng = np.random.default_rng(radius)
+    sizes = [1, 3, 64, 130]
+    starts = np.cumsum([0, *sizes[:-1]])
+    fps = rng.integers(0, 2**63, (4, 2), dtype=np.uint64)[rng.integers(0, 4, sum(sizes))]
+    fps ^= np.packbits(rng.random((len(fps), 128)) < 0.12, axis=1).view(np.uint64)
+    found = [p for i, j in sh.bit_sliced_pairs(starts, fps, radius, at_once=97) for p in zip(i.tolist(), j.tolist())]
+    want = {(s + i, s + j) for s, n in zip(starts, sizes) for i in range(n) for j in range(i + 1, n) if np.bitwise_count(fps[s + i] ^ fps[s + j]).sum() <= radius}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_links_of_chunked_keys(spark):
     # all agree on 40 bits: every table's keys are hot
     rng = np.random.default_rng(5)
