@@ -1,8 +1,8 @@
 import random
 import re
-import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from strandloom.llm import spans as sp
@@ -31,7 +31,10 @@ def test_runs_are_the_shortest():
     for e in range(1, n + 1):
         starts = [s for s in range(e) if enough(s, e)]
         want |= {(starts[-1], e - 1)} if starts else set()
-    assert list(zip(*map(list, sp.runs(counts)))) == sorted(want)
+    assert list(zip(*map(list, sp.runs(np.array(counts), np.array([n]))))) == sorted(want)
+    # of several texts, each by itself
+    both = sp.runs(np.array(counts * 2), np.array([n, 2 * n]))
+    assert list(zip(*map(list, both))) == sorted(want | {(s + n, e + n) for s, e in want})
 
 
 def test_a_passage_of_fifty_words_is_covered_whole():
@@ -52,6 +55,31 @@ def test_a_passage_of_51_words_shares_a_span_in_any_running_context():
         assert set(sp.spans(a)[0]) & set(sp.spans(b)[0]), (a, b)
 
 
+def word_hash(word):
+    """A polynomial in numbers for the word's bytes, and its length, mixed."""
+    raw = word.encode()
+    x = (sum(int(sp._BYTES[c]) * pow(sp._FACTORS[0], k, 1 << 64) for k, c in enumerate(raw)) + len(raw)) % (1 << 64)
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+    return x ^ x >> 31
+
+
+def test_hashes_are_those_of_the_words():
+    words = ["a", "the", "über", "日本", "x" * 300]
+    first, h = sp._words(np.frombuffer(" the  a\nüber\t日本 x".encode() + b"x" * 299 + b" ", np.uint8))
+    assert h.tolist() == [word_hash(w) for w in ["the", "a", "über", "日本", "x" * 300]] and len(first) == len(words)
+
+
+def test_texts_do_not_depend_on_those_beside_them(documents, monkeypatch):
+    texts = [None, "", *(r["text"] for r in documents.collect()), " \n"]
+    alone = [sp.spans(t) for t in texts]
+    for at_once in (1 << 8, 1 << 14, 1 << 30):
+        monkeypatch.setattr(sp, "_AT_ONCE", at_once)
+        h, rows, first, last = sp.spans_of(texts)
+        for k, want in enumerate(alone):
+            assert all((x[rows == k] == y).all() and (rows == k).sum() == len(y) for x, y in zip((h, first, last), want))
+
+
 def plain_pieces(text):
     """(start, end, words) of pieces, word by word: sentences, long ones cut behind the word whose hash is the least of any eight in a row."""
     words = [(m.start(), m.group().lower()) for m in re.finditer(r"\S+", text)]
@@ -65,7 +93,7 @@ def plain_pieces(text):
     ends = {k for k in range(len(words)) if k + 1 == len(words) or of[k + 1] != of[k]}
     for k in range(len(words) - 7):
         if of[k] == of[k + 7]:
-            hashes = [zlib.crc32(words[j][1].encode()) for j in range(k, k + 8)]
+            hashes = [word_hash(words[j][1]) for j in range(k, k + 8)]
             ends.add(max(j for j in range(k, k + 8) if hashes[j - k] == min(hashes)))
     out, start = [], 0
     for e in sorted(ends):
