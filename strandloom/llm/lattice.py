@@ -1,8 +1,10 @@
 """Embedding near-duplicates by lattice hashing.
 
-Each table projects unit vectors to eight random directions and decodes the projection to its nearest point
-of the E8 lattice: the vector's cell. A vector stands in its own cell and probes the neighbouring cells whose
-centres come next. Vectors that meet, one of them at home, are verified by cosine in double precision.
+Each table projects unit vectors to eight random directions, or several times eight, and decodes each projection to its nearest point
+of the E8 lattice: the points together are the vector's cell. A vector stands in its own cell and probes the neighbouring cells whose
+centres come next. How many directions, how wide the cells and how many tables there are follows from the number of vectors, so that as few
+unlike vectors meet in a large table as in a small one. In a cell, short sketches are compared bit-sliced first, and only vectors that
+have another near by are brought there. Those that meet, one of them at home, are verified by cosine in double precision.
 
 Projections are exact sums of whole numbers, so that a vector's cells are the same wherever they are computed;
 a pair that meets more than once is counted where its first meeting is.
@@ -21,11 +23,16 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release, small_batches
 from .components import connected_components
-from .simhash import Forest, boundaries, whole_cells
-
-#: Least cosine of a link; tables, neighbouring cells that a vector probes in each, and the size of a cell:
-#: these find 98 of 100 pairs at the least cosine, and nearly all at 0.97.
-COSINE, TABLES, PROBES, SCALE = 0.95, 4, 2, 1.4
+from .simhash import Forest, bit_sliced_pairs, boundaries, slices, whole_cells
+
+#: Least cosine of a link, and neighbouring cells that a vector probes in each table.
+COSINE, PROBES = 0.95, 2
+#: Lattice blocks to a table, size of a cell, tables, and the share of all unlike pairs that meet in one table. Measured on random pairs: each finds 99 of 100 at
+#: a cosine of just 0.95 and nearly all at 0.97, in whatever dimension. A plan is taken while unlike vectors that a vector meets in a table are MEET at most.
+PLANS = ((1, 2.0, 3, 1.8e-2), (1, 1.7, 4, 5.9e-3), (1, 1.4, 5, 1.6e-3), (1, 1.2, 7, 5.3e-4), (2, 2.0, 8, 9.3e-5), (2, 1.7, 11, 8.3e-6), (2, 1.4, 19, 5.6e-7), (3, 1.7, 30, 1.6e-8), (4, 1.7, 80, 1e-10))
+MEET = 16
+#: Bits by which sketches of vectors at the least cosine differ at most, but for a few pairs in a hundred thousand.
+SKETCH = 20
 #: Rows of a cell that meet in one piece; larger cells are cut into chunks that meet pairwise.
 CHUNK = 512
 _FINE, _COARSE = 1 << 20, 1 << 10
@@ -73,30 +80,44 @@ def _hash(points: np.ndarray, table: int, dim: int) -> np.ndarray:
 
 
 @cache
-def _directions(seed: int, table: int, dim: int) -> np.ndarray:
-    """Eight random directions, in whole numbers."""
-    return np.rint(np.random.Generator(np.random.PCG64([seed, table, dim])).normal(size=(dim, 8)) * _COARSE)
+def _directions(seed: int, table: int, dim: int, width: int = 8) -> np.ndarray:
+    """Random directions, in whole numbers."""
+    return np.rint(np.random.Generator(np.random.PCG64([seed, table, dim])).normal(size=(dim, width)) * _COARSE)
+
 
+def plan(n: int) -> tuple[int, float, int]:
+    """Blocks, scale and tables for n vectors."""
+    return next((p[:3] for p in PLANS if p[3] * n <= MEET), PLANS[-1][:3])
 
-def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = 8) -> np.ndarray:
+
+def cells(unit: np.ndarray, blocks: int = 1, scale: float = 1.4, tables: int = 5, probes: int = PROBES, seed: int = 8) -> np.ndarray:
     """Of each unit vector (a row): for each table its own cell, then the cells that it probes. Shape (rows, tables, 1 + probes)."""
     n, dim = unit.shape
     whole = np.rint(unit * _FINE)
     out = np.empty((n, tables, 1 + probes), np.int64)
     for t in range(tables):
-        y = (whole @ _directions(seed, t, dim)) / (scale * _FINE * _COARSE)  # the product is exact: its terms stay far below 2^53
-        home = nearest_e8(y)
+        y = (whole @ _directions(seed, t, dim, 8 * blocks)) / (scale * _FINE * _COARSE)  # the product is exact: its terms stay far below 2^53
+        home = np.concatenate([nearest_e8(y[:, 8 * b : 8 * b + 8]) for b in range(blocks)], axis=1)
         out[:, t, 0] = _hash(home, t, dim)
         # the nearer a neighbour's centre, the larger the offset's product with the step to it; steps are added in a fixed order
-        off, gain = y - home, np.zeros((n, len(_ROOTS)))
-        for k in range(8):
-            gain += off[:, k : k + 1] * _ROOTS[:, k]
-        best = np.argsort(-gain, axis=1, kind="stable")[:, :probes]
+        off, gain = y - home, np.zeros((n, blocks * len(_ROOTS)))
+        for b in range(blocks):
+            for k in range(8):
+                gain[:, b * len(_ROOTS) : (b + 1) * len(_ROOTS)] += off[:, 8 * b + k : 8 * b + k + 1] * _ROOTS[:, k]
+        best = np.argsort(-gain, axis=1, kind="stable")[:, :probes] if probes else np.zeros((n, 0), int)
         for p in range(probes):
-            out[:, t, 1 + p] = _hash(home + _ROOTS[best[:, p]], t, dim)
+            there = home.copy().reshape(n, blocks, 8)
+            there[np.arange(n), best[:, p] // len(_ROOTS)] += _ROOTS[best[:, p] % len(_ROOTS)]
+            out[:, t, 1 + p] = _hash(there.reshape(n, -1), t, dim)
     return out
 
 
+def sketches(unit: np.ndarray, seed: int = 8) -> np.ndarray:
+    """64 signs of random projections of each unit vector, as an unsigned number."""
+    sign = np.rint(unit * _FINE) @ _directions(seed, 1 << 20, unit.shape[1], 64) > 0
+    return np.packbits(sign, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def _vectors(column) -> np.ndarray:
     """A list column of vectors of one length, as unit rows in double precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -118,7 +139,21 @@ def _first_meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return table, cell
 
 
-def _meet(cosine: float, tables: int, probes: int, scale: float):
+def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cell the rows whose sketch is near that of another, one of the two at home."""
+    keys = ["cell", "dim", "lo", "hi", "tab"]
+    for t in whole_cells(batches, keys, 1 << 14):
+        starts, home, node = boundaries(t, keys), t.column("home").to_numpy(zero_copy_only=False), t.column("node").to_numpy()
+        ends, alive, sketch = np.append(starts, t.num_rows), np.zeros(t.num_rows, bool), t.column("sketch").to_numpy().view(np.uint64)
+        for c, d in slices(starts, t.num_rows):
+            s, e = ends[c], ends[d]
+            for i, j in bit_sliced_pairs(starts[c:d] - s, sketch[s:e], SKETCH):
+                met = (home[s + i] | home[s + j]) & (node[s + i] != node[s + j])
+                alive[s + i[met]] = alive[s + j[met]] = True
+        yield from t.drop_columns("sketch").filter(pa.array(alive)).combine_chunks().to_batches()
+
+
+def _meet(cosine: float, blocks: int, scale: float, tables: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each cell: (node, links, null), links weighed by copies, and a spanning forest as (node, null, other)."""
         keys = ["cell", "dim", "lo", "hi", "tab"]
@@ -154,7 +189,7 @@ def _meet(cosine: float, tables: int, probes: int, scale: float):
                     new[a] = new[b] = True
                     new &= ~has
                     if new.any():
-                        known[new] = cells(unit[new], tables, probes, scale)
+                        known[new] = cells(unit[new], blocks, scale, tables, probes)
                         has |= new
                     swap = node[a] > node[b]
                     first, second = np.where(swap, b, a), np.where(swap, a, b)
@@ -178,14 +213,14 @@ def _meet(cosine: float, tables: int, probes: int, scale: float):
     return run
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, probes: int = PROBES, of: tuple[int, float, int] | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of embeddings(vec_id, embedding, ...).
 
     n_links counts the other rows at `cosine` or more that the tables find; component_id is the smallest vec_id that
     links reach; kept: vec_id is component_id. Equal vectors are one node with its number of copies, and all linked
     with one another. Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing, nor do vectors of
     different lengths. A null vec_id is never kept unless nothing else can be, and counts as a row. An empty table gives an
-    empty result; other columns are ignored. For tables of many millions, a smaller scale with more tables keeps cells small.
+    empty result; other columns are ignored, whatever their names. Blocks, scale and tables follow from the number of distinct vectors unless `of` has them.
     """
     e = F.col("embedding")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
@@ -194,24 +229,29 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     nodes = rows.filter("good").groupBy("embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")), "vectors")
+    blocks, scale, tables = of or plan(nodes.count())
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                found = cells(_vectors(part.column("embedding")), tables, probes, scale).reshape(part.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.tolist(), pa.list_(pa.int64()))], [*part.schema.names, "cells"])
+                unit = _vectors(part.column("embedding"))
+                found = cells(unit, blocks, scale, tables, probes).reshape(part.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("dim"), pa.array(sketches(unit).view(np.int64)), pa.array(found.tolist(), pa.list_(pa.int64()))], ["node", "dim", "sketch", "cells"])
 
-    of_vector = dict(nodes.dtypes)["embedding"]
-    coded = materialize(nodes.select("node", "copies", "dim", "embedding").transform(small_batches).mapInArrow(code, f"node long, copies long, dim int, embedding {of_vector}, cells array<long>"), "coded")
-    stands = coded.select("node", "copies", "dim", "embedding", F.posexplode("cells").alias("at", "cell")).withColumn("tab", F.expr(f"at div {1 + probes}").cast("int")).withColumn("home", F.col("at") % (1 + probes) == 0)
+    coded = materialize(nodes.select("node", "dim", "embedding").transform(small_batches).mapInArrow(code, "node long, dim int, sketch long, cells array<long>"), "coded")
+    stands = coded.select("node", "dim", "sketch", F.posexplode("cells").alias("at", "cell")).withColumn("tab", F.expr(f"at div {1 + probes}").cast("int")).withColumn("home", F.col("at") % (1 + probes) == 0)
     sizes = coded.select("dim", F.explode("cells").alias("cell")).groupBy("cell", "dim").count()
     hot = materialize(sizes.filter(F.col("count") > CHUNK).select("cell", "dim", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot-cells")
     cut = stands.join(hot, ["cell", "dim"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "tab", "own", "home", "node", "copies", "embedding")
-    spread = spread.repartition("cell", "dim", "lo", "hi").sortWithinPartitions("cell", "dim", "lo", "hi", "tab", "node")
-    met = materialize(spread.transform(small_batches).mapInArrow(_meet(cosine, tables, probes, scale), "a long, links long, b long"), "met")
+    keys, order = ["cell", "dim", "lo", "hi"], ["cell", "dim", "lo", "hi", "tab", "node"]
+    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "tab", "own", "home", "node", "sketch")
+    spread = spread.repartition(*keys).sortWithinPartitions(*order).transform(small_batches)
+    alive = materialize(spread.mapInArrow(_alive, "cell long, dim int, lo int, hi int, tab int, own int, home boolean, node long"), "alive")
+    # vectors go only where a near one is
+    brought = alive.join(nodes.select("node", "copies", "embedding"), "node").repartition(*keys).sortWithinPartitions(*order)
+    met = materialize(brought.transform(small_batches).mapInArrow(_meet(cosine, blocks, scale, tables, probes), "a long, links long, b long"), "met")
     links = met.filter("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     of_node = connected_components(met.filter("b is not null").select("a", "b").distinct())
     linked = materialize(nodes.select("node", "least_id").join(of_node, "node"), "linked")
@@ -220,7 +260,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     result = materialize(
         nodes.join(component, "node", "left").join(links, "node", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "by-vector"
     )
-    release(coded, met, linked)
+    release(coded, alive, met, linked)
     found = rows.filter("good").join(result, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release, small_batches
 from .components import connected_components
-from .simhash import BITS, Forest, bit_sliced_pairs, boundaries, one_of_each, version, whole_cells
+from .simhash import BITS, Forest, bit_sliced_pairs, boundaries, one_of_each, slices, version, whole_cells
 
 WIDTH = 5
 #: A link's similarity, at least: NEAR[0] / NEAR[1].
@@ -35,7 +35,7 @@ CHUNK = 1024
 FORESTS = 3
 #: Where fewer than one in so many candidates of a pass hold, the next takes all that are left.
 RARE = 10
-_AT_ONCE, _PAIRS_AT_ONCE = 1 << 14, 1 << 22
+_AT_ONCE = 1 << 14
 
 
 def shingles(text: bytes | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -171,13 +171,6 @@ def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, group: np.ndarray)
         forest.link(i[now], j[now])
 
 
-def _slices(starts: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
-    """Ranges of cells that have about _PAIRS_AT_ONCE pairs together, or are one cell."""
-    pairs = np.cumsum(np.diff(np.append(starts, rows)).astype(np.int64) ** 2) // _PAIRS_AT_ONCE
-    cuts = [0, *(np.flatnonzero(np.diff(pairs)) + 1).tolist(), len(starts)]
-    return zip(cuts, cuts[1:])
-
-
 def _candidates(turn: int, whole: bool):
     def met(t: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Pairs of nodes, the smaller first, and keys that have more of them, of cells that begin at starts."""
@@ -208,7 +201,7 @@ def _candidates(turn: int, whole: bool):
         for t in whole_cells(batches, ["key", "lo", "hi"], _AT_ONCE):
             starts = boundaries(t, ["key", "lo", "hi"])
             ends = np.append(starts, t.num_rows)
-            for c, d in _slices(starts, t.num_rows):
+            for c, d in slices(starts, t.num_rows):
                 found = met(t.slice(ends[c], ends[d] - ends[c]), starts[c:d] - ends[c])
                 if found is None:
                     continue

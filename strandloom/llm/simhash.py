@@ -177,6 +177,13 @@ def boundaries(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def slices(starts: np.ndarray, rows: int, pairs: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of cells that have about so many pairs together, or are one cell."""
+    upto = np.cumsum(np.diff(np.append(starts, rows)).astype(np.int64) ** 2) // pairs
+    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(starts)]
+    return zip(cuts, cuts[1:])
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each cell's links, as (a, b) fingerprints: no more rows than it has read."""
     for t in whole_cells(batches, ["key", "lo", "hi"]):

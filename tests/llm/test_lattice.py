@@ -67,3 +67,37 @@ def test_hot_cells_in_chunks(spark, monkeypatch, chunk):
     x = (rng.normal(size=32) + rng.normal(size=(120, 32)) * 0.02).astype(np.float32)
     found = lt.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
     assert {r["n_links"] for r in found} == {119} and {r["component_id"] for r in found} == {0}
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dim", [32, 64, 256])
+@pytest.mark.parametrize("n", [1000, 50_000, 2_000_000])
+def test_recall_of_the_plans(dim, n):
+    """Of random pairs at a cosine of just 0.95, the plan for n vectors finds nearly all, in whatever dimension."""
+    rng = np.random.default_rng(dim)
+    x, y = unit(rng.normal(size=(800, dim))), rng.normal(size=(800, dim))
+    y = unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+    z = 0.95 * x + np.sqrt(1 - 0.95**2) * y
+    a, b = (lt.cells(v, *lt.plan(n)) for v in (x, z))
+    met = ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).any(axis=1)
+    assert met.mean() >= 0.97 and (np.bitwise_count(lt.sketches(x) ^ lt.sketches(z)) <= lt.SKETCH).mean() > 0.998
+
+
+def test_few_unlike_vectors_meet_however_many_there_are():
+    rng = np.random.default_rng(8)
+    for n in (1000, 8000, 30_000):
+        blocks, scale, _ = lt.plan(n)
+        found = lt.cells(unit(rng.normal(size=(n, 48))), blocks, scale, 1)[:, 0]
+        home, count = np.unique(found[:, 0], return_counts=True)
+        at = np.minimum(np.searchsorted(home, found[:, 1:].ravel()), len(home) - 1)
+        there = count[at] * (home[at] == found[:, 1:].ravel())
+        assert ((count * (count - 1)).sum() + 2 * there.sum()) / n <= 2 * lt.MEET
+
+
+def test_names_that_clash(spark):
+    rows = [(1, [1.0, 2.0], [5], 6, True, 7), (2, [1.0, 2.001], [5], 6, True, 7), (3, [2.0, -1.0], [5], 6, False, 7)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cells array<long>, copies long, good boolean, sketch long")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in lt.near_duplicates(frame).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
