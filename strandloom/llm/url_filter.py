@@ -1,35 +1,40 @@
 """URL filter: host rules first, then a character language-model ratio.
 
 URLs that a rule decides are labelled accepted or rejected. Both classes get a variable-order Markov
-model over characters folded to 32 symbols: contexts of 3, 2, 1 and 0 symbols, each order interpolated
-with the next shorter one by Witten-Bell weights. All URLs that no rule decides are scored by the
-difference of the two models' log-likelihoods, divided by length, against a threshold that is
-calibrated on labelled URLs held out from the counts.
+model over characters as they are: contexts of four, three, two, one and no characters, each order interpolated
+with the next shorter one by Witten-Bell weights. All URLs are scored by the difference of the two models'
+log-likelihoods, divided by length, against a threshold that is calibrated on labelled URLs held out from the counts.
 
-The 4-gram counts cover every labelled URL. Their table is bounded by the alphabet (2^20 grams to a class),
-whatever the input; so is the table of differences that executors get.
+The models are tables of counts, which grow with the URLs and stay distributed: the grams of the URLs to be scored join them order by order,
+and the URLs join their grams. Only the grams that are frequent, whose number is bounded, are given to every task.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 #: (rule, verdict): a host, which stands for its subdomains too, and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-ORDER = 4
-SYMBOLS = 32
-_EDGE = 31
+#: Characters in a gram: the longest context and the one after it.
+ORDER = 5
+#: Before a URL's first character and behind its last; the probability of any character before anything is counted.
+_START, _END, UNIFORM = "\x02", "\x03", 1 / 256
 #: One in so many labelled URLs calibrates and isn't counted.
 HELD_OUT = 5
+#: A gram is frequent if it makes more than one in so many of all, so that fewer than that are.
+FREQUENT = 10_000
 _BINS, _SPAN = 4096, 8.0
+_AT_ONCE = 1 << 16
+_CLASSES = ("allow", "block")
 
 
 def host_and_path(url):
@@ -52,67 +57,85 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("ruled", verdict)
 
 
-def fold(text: str) -> np.ndarray:
-    """Symbols of a URL: 26 letters, digits as one, slash, dot, hyphen, all else, and the edge."""
-    raw = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    return _FOLD[np.minimum(raw, 128)]
-
-
-_FOLD = np.full(129, 30, np.uint32)
-_FOLD[ord("a") : ord("z") + 1] = np.arange(26)
-_FOLD[ord("0") : ord("9") + 1] = 26
-_FOLD[ord("/")], _FOLD[ord(".")], _FOLD[ord("-")] = 27, 28, 29
-
-
-def grams(text: str) -> np.ndarray:
-    """Each symbol and the closing edge, with the three symbols before it, as a 20-bit number."""
-    s = np.concatenate(([_EDGE] * (ORDER - 1), fold(text), [_EDGE])).astype(np.uint32)
-    n = len(s) - ORDER + 1
-    return s[:n] << 15 | s[1 : n + 1] << 10 | s[2 : n + 2] << 5 | s[3 : n + 3]
-
-
 def scored_text(url: str | None) -> str:
     """What the models see: the URL behind its scheme."""
     return (url or "").partition("://")[2] or (url or "")
 
 
+def grams(url: str | None) -> list[str]:
+    """Each character of a URL, and its end, with the characters before it."""
+    text = scored_text(url)
+    padded = _START * (ORDER - 1) + text + _END
+    return [padded[k : k + ORDER] for k in range(len(text) + 1)]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gram counts of the labelled URLs in a partition, by class."""
-    totals = {said: np.zeros(SYMBOLS**ORDER, np.int64) for said in ("allow", "block")}
+    """How often each gram occurs in URLs, in all and in labelled ones of either class that aren't held out, summed over a batch."""
     for b in batches:
-        for url, said in zip(b.column("url").to_pylist(), b.column("ruled").to_pylist()):
-            g, n = np.unique(grams(scored_text(url)), return_counts=True)
-            totals[said][g] += n
-    for said, counts in totals.items():
-        found = np.flatnonzero(counts)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array([said] * len(found)), pa.array(found.astype(np.int32)), pa.array(counts[found])], ["ruled", "gram", "n"])
-
-
-def log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """Witten-Bell interpolated log-probability of a gram's last symbol after the others, for all 2^20 grams."""
-    by = counts.reshape((SYMBOLS,) * ORDER).astype(float)
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
+        found: dict[str, list[int]] = {}
+        for url, n, said in zip(b.column("url").to_pylist(), b.column("n").to_pylist(), b.column("learn").to_pylist()):
+            for g, times in Counter(grams(url)).items():
+                counts = found.setdefault(g, [0, 0, 0])
+                counts[0] += n * times
+                if said is not None:
+                    counts[1 + _CLASSES.index(said)] += n * times
+        columns = list(zip(*found.values())) if found else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["gram", "n", *_CLASSES])
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(gram, n, ratio) for every gram of counts(gram, n, allow, block): log-likelihood of its last character after the others, accepted less rejected.
+
+    From the shortest order up, a gram's probability is that of what lies behind its first character, interpolated with its own counts by how often, and with
+    how many characters, its context is followed. Each order is a few joins of distinct grams.
+    """
+    known = None
     for order in range(1, ORDER + 1):
-        seen = by.sum(axis=tuple(range(ORDER - order)))
-        total, kinds = seen.sum(axis=-1, keepdims=True), (seen > 0).sum(axis=-1, keepdims=True)
-        shorter = np.broadcast_to(p, seen.shape)
-        p = np.where(total > 0, (seen + kinds * shorter) / np.maximum(total + kinds, 1), shorter)
-    return np.log(p).reshape(-1)
-
-
-def differences(counts: DataFrame) -> np.ndarray:
-    """Log-likelihood of accepted less that of rejected, for each gram."""
-    by_class = {said: np.zeros(SYMBOLS**ORDER) for said in ("allow", "block")}
-    for r in counts.collect():
-        by_class[r["ruled"]][r["gram"]] = r["n"]
-    return (log_probabilities(by_class["allow"]) - log_probabilities(by_class["block"])).astype(np.float32)
-
-
-def score(url: str | None, table: np.ndarray) -> float:
-    """Log-likelihood difference per symbol; 0 where nothing is to be read."""
-    text = scored_text(url)
-    return float(table[grams(text)].mean(dtype=np.float64)) if text else 0.0
+        gram = F.substring("gram", ORDER - order + 1, order)
+        own = counts.groupBy(gram.alias("gram")).agg(*[F.sum(c).alias(c) for c in ("n", *_CLASSES)])
+        context = F.substring("gram", 1, order - 1)
+        seen = own.groupBy(context.alias("context")).agg(*[F.sum(c).alias(f"{c}_total") for c in _CLASSES], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in _CLASSES])
+        rows = own.withColumn("context", context).join(seen, "context").drop("context")
+        if known is None:
+            rows = rows.select("*", *[F.lit(UNIFORM).alias(f"{c}_shorter") for c in _CLASSES])
+        else:
+            shorter = known.select(F.col("gram").alias("behind"), *[F.col(f"{c}_p").alias(f"{c}_shorter") for c in _CLASSES])
+            rows = rows.withColumn("behind", F.substring("gram", 2, order - 1)).join(shorter, "behind").drop("behind")
+        p = [F.when(F.col(f"{c}_total") > 0, (F.col(c) + F.col(f"{c}_kinds") * F.col(f"{c}_shorter")) / (F.col(f"{c}_total") + F.col(f"{c}_kinds"))).otherwise(F.col(f"{c}_shorter")).alias(f"{c}_p") for c in _CLASSES]
+        known = rows.select("gram", "n", *p)
+    return known.select("gram", "n", (F.log("allow_p") - F.log("block_p")).alias("ratio"))
+
+
+def scores(urls: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(uid, score) for urls(uid, url): the mean of their grams' ratios."""
+    total = ratios.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = {r["gram"]: r["ratio"] for r in ratios.filter(F.col("n") * FREQUENT > total).select("gram", "ratio").collect()}  # fewer than FREQUENT rows
+    given = urls.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each URL the sum over its frequent grams, divided by the number of all, with a null gram; and its other grams with their share of all."""
+        known = given.value
+
+        def batch(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64()))], ["uid", "gram", "share"])
+
+        for b in batches:
+            ids, names, shares = [], [], []
+            for uid, url in zip(b.column("uid").to_pylist(), b.column("url").to_pylist()):
+                found = grams(url)
+                rare = Counter(g for g in found if g not in known)
+                ids += [uid] * (1 + len(rare))
+                names += [None, *rare]
+                shares += [math.fsum(known[g] for g in found if g in known) / len(found), *(times / len(found) for times in rare.values())]
+                if len(ids) >= _AT_ONCE:
+                    yield batch(ids, names, shares)
+                    ids, names, shares = [], [], []
+            yield batch(ids, names, shares)
+
+    parts = materialize(urls.select("uid", "url").transform(small_batches).mapInArrow(run, "uid long, gram string, share double"), "url-grams")
+    rare = parts.filter("gram is not null").join(ratios.select("gram", "ratio"), "gram").select("uid", (F.col("share") * F.col("ratio")).alias("share"))
+    # sums depend on the order of their terms in the last places
+    return parts.filter("gram is null").select("uid", "share").union(rare).groupBy("uid").agg(F.round(F.sum("share"), 9).alias("score"))
 
 
 def threshold(histogram: np.ndarray) -> float:
@@ -131,25 +154,22 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of pages(page_id, url, ...).
 
     verdict is the longest fitting rule's, else allow if the score reaches the calibrated threshold and
-    block if not. A null or empty URL has empty host and path, scores 0 and, as nothing speaks for it, is blocked.
-    If either class has no labelled URL, the threshold is 0. Repeated rows come back row by row, an empty
-    table gives an empty result; other columns of pages are ignored.
+    block if not; of two rules as long, the one later by code point. A null or empty URL has empty host and path, scores 0 and, as nothing speaks for it,
+    is blocked. If either class has no labelled URL, the threshold is 0. Very long URLs are read whole. Repeated rows come back row by row and count as
+    often, an empty table gives an empty result; other columns of pages are ignored, whatever their names.
     """
-    spark = pages.sparkSession
     ruled = with_rules(pages, rules)
     held = F.pmod(F.xxhash64(F.lit("calibrate"), "url"), F.lit(HELD_OUT)) == 0
-    labelled = ruled.filter("ruled is not null").select("url", "ruled", held.alias("held"))
-    counts = labelled.filter("not held").select("url", "ruled").transform(small_batches).mapInArrow(_counted, "ruled string, gram int, n long").groupBy("ruled", "gram").agg(F.sum("n").alias("n"))
-    table = spark.sparkContext.broadcast(differences(counts))
-
-    @F.pandas_udf("double")
-    def scored(urls: pd.Series) -> pd.Series:
-        return urls.map(lambda u: score(u, table.value), na_action=None).astype(float)
-
+    urls = ruled.filter("url <> ''").groupBy("url").agg(F.count("*").alias("n"), F.first("ruled").alias("ruled"))
+    urls = materialize(urls.select("url", "n", "ruled", held.alias("held"), F.when(~held, F.col("ruled")).alias("learn"), F.monotonically_increasing_id().alias("uid")), "urls")
+    counts = urls.transform(small_batches).mapInArrow(_counted, "gram string, n long, allow long, block long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", *_CLASSES)])
+    ratios = materialize(log_ratios(materialize(counts, "gram-counts")), "ratios")
+    scored = materialize(urls.join(scores(urls, ratios), "uid"), "scored")
     at = F.least(F.lit(_BINS - 1), F.greatest(F.lit(0), F.floor((F.col("score") + _SPAN) * (_BINS / (2 * _SPAN)))))
     histogram = np.zeros((2, _BINS))
-    for r in labelled.filter("held").withColumn("score", scored("url")).groupBy("ruled", at.cast("int").alias("bin")).count().collect():
-        histogram[int(r["ruled"] == "allow"), r["bin"]] = r["count"]
+    for r in scored.filter("held and ruled is not null").groupBy("ruled", at.cast("int").alias("bin")).agg(F.sum("n").alias("n")).collect():
+        histogram[int(r["ruled"] == "allow"), r["bin"]] = r["n"]
     from_score = threshold(histogram)
     by_model = F.when((F.col("score") >= from_score) & (F.coalesce(F.length("url"), F.lit(0)) > 0), "allow").otherwise("block")
-    return ruled.withColumn("score", scored("url")).select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
+    found = ruled.join(scored.select("url", "score"), "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")

@@ -1,6 +1,10 @@
+import math
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import url_filter as uf
 
@@ -31,23 +35,59 @@ def test_hosts_paths_and_rules(spark):
         assert r["verdict"] in ("allow", "block")
 
 
-def test_probabilities_sum_to_one_and_follow_counts():
-    counts = np.zeros(uf.SYMBOLS**uf.ORDER)
-    for text in ["abcabc", "abd", "xyz.net/1"]:
-        np.add.at(counts, uf.grams(text), 1)
-    p = np.exp(uf.log_probabilities(counts)).reshape((uf.SYMBOLS,) * uf.ORDER)
-    assert np.allclose(p.sum(axis=-1), 1) and (p > 0).all()
-
-    def slow(context, symbol):  # the same by recursion, for one gram
-        if context is None:
-            return 1 / uf.SYMBOLS
-        shorter = slow(context[1:] if context else None, symbol)
-        by = counts.reshape((uf.SYMBOLS,) * uf.ORDER).sum(axis=tuple(range(uf.ORDER - 1 - len(context))))[tuple(context)]
-        kinds = (by > 0).sum()
-        return (by[symbol] + kinds * shorter) / (by.sum() + kinds) if by.sum() else shorter
-
-    for g in ([0, 1, 2, 0], [31, 0, 1, 3], [5, 5, 5, 5], [0, 1, 2, 30]):
-        assert np.isclose(p[tuple(g)], slow(g[:-1], g[-1]))
+def brute(urls, held):
+    """Score and verdict of every URL: models of the labelled ones that aren't held out, by recursion over whole counts; the threshold by trying every cut."""
+    behind = [(u or "").partition("://")[2] or (u or "") for u in urls]
+    ruled = [(plain(u)[3:] or [None])[0] for u in urls]
+    models = {}
+    for said in ("allow", "block"):
+        follow = {}
+        for text, r, h in zip(behind, ruled, held):
+            if text and r == said and not h:
+                padded = "\x02" * 4 + text + "\x03"
+                for k in range(4, len(padded)):
+                    for n in range(5):
+                        follow.setdefault(padded[k - n : k], Counter())[padded[k]] += 1
+        models[said] = follow
+
+    def p(follow, context, c):
+        shorter = p(follow, context[1:], c) if context else 1 / 256
+        by = follow.get(context)
+        return (by[c] + len(by) * shorter) / (sum(by.values()) + len(by)) if by else shorter
+
+    def score(text):
+        padded = "\x02" * 4 + text + "\x03"
+        terms = [math.log(p(models["allow"], padded[k - 4 : k], padded[k])) - math.log(p(models["block"], padded[k - 4 : k], padded[k])) for k in range(4, len(padded))]
+        return sum(terms) / len(terms)
+
+    scores = [score(t) if u else 0.0 for u, t in zip(urls, behind)]
+    sides = {said: [min(4095, max(0, math.floor((s + 8) * 256))) for s, r, h in zip(scores, ruled, held) if r == said and h] for said in ("allow", "block")}
+    cut = 0.0
+    if sides["allow"] and sides["block"]:
+        right = [sum(b < k for b in sides["block"]) / len(sides["block"]) + sum(b >= k for b in sides["allow"]) / len(sides["allow"]) for k in range(4097)]
+        cut = min((k / 256 - 8 for k in range(4097) if right[k] >= max(right) - 1e-9), key=abs)
+    return [(s, r or ("allow" if u and s >= cut else "block")) for u, s, r in zip(urls, scores, ruled)]
+
+
+@pytest.mark.parametrize("frequent", [50, 10_000])
+def test_against_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(uf, "FREQUENT", frequent)
+    pages = [r["url"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").collect()]
+    urls = [*pages, *pages[:40], *URLS, "http://q.org/fr/\U0001f600é", "ftp://x/" + "long" * 500]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    held = dict(frame.select("page_id", (F.pmod(F.xxhash64(F.lit("calibrate"), "url"), F.lit(5)) == 0).alias("h")).collect())
+    found = {r["page_id"]: r for r in uf.filter_urls(frame).collect()}
+    verdicts = Counter()
+    for k, (score, verdict) in enumerate(brute(urls, [held[k] for k in range(len(urls))])):
+        assert abs(found[k]["score"] - score) < 1e-8 and found[k]["verdict"] == verdict, urls[k]
+        verdicts[verdict, found[k]["rule"] is None] += 1
+    assert len(verdicts) == 4
+
+
+def test_the_model_grows_with_the_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url")
+    some, all_ = ({g for r in df.collect() for g in uf.grams(r["url"])} for df in (pages.limit(60), pages))
+    assert len(all_) > 2 * len(some) and uf.grams("x://ab") == ["\x02\x02\x02\x02a", "\x02\x02\x02ab", "\x02\x02ab\x03"]
 
 
 def test_threshold():
@@ -60,16 +100,11 @@ def test_threshold():
 
 
 def test_held_out_rules(spark):
-    """Models of three quarters of the ruled URLs tell the others: by host and language, which the rules are made of."""
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    ruled = uf.with_rules(pages).filter("rule is not null").collect()
-    counts = {"allow": np.zeros(uf.SYMBOLS**uf.ORDER), "block": np.zeros(uf.SYMBOLS**uf.ORDER)}
-    for r in ruled:
-        if r["page_id"] % 4:
-            np.add.at(counts[r["ruled"]], uf.grams(uf.scored_text(r["url"])), 1)
-    table = uf.log_probabilities(counts["allow"]) - uf.log_probabilities(counts["block"])
-    right = [(uf.score(r["url"], table) > 0) == (r["ruled"] == "allow") for r in ruled if r["page_id"] % 4 == 0]
-    assert len(right) > 20 and np.mean(right) > 0.9
+    """URLs whose labels aren't counted are told by their scores: by host and language, which the rules are made of."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = uf.filter_urls(pages).join(pages.select("page_id", "url"), "page_id").filter("rule is not null").select("score", "verdict", (F.pmod(F.xxhash64(F.lit("calibrate"), "url"), F.lit(5)) == 0).alias("held")).collect()
+    right = [(r["score"] > 0) == (r["verdict"] == "allow") for r in rows if r["held"]]
+    assert len(right) > 100 and np.mean(right) > 0.9
 
 
 def test_odd_rows(spark):
