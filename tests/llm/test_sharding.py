@@ -1,5 +1,9 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import sharding as sd
 from strandloom.llm.queries import op2_sharding
@@ -36,6 +40,31 @@ def test_odd_rows(odd_documents, no_documents):
     assert sd.shards(no_documents, 3).collect() == []
 
 
-def test_query(spark):
-    rows = op2_sharding(spark, "/root/testdata/sf0.001").collect()
-    assert {r["law"] for r in rows} == {"rows"} and all(r["grown_shard"] is None and r["size"] > 0 for r in rows)
+def test_query_against_the_texts(spark, tmp_path):
+    """Every row's size and CRC-32 are its text's, and equal texts are sharded like any others."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = [(7001, None), (7002, ""), (7003, "é ß 日本語 \U0001f600"), (7003, "é ß 日本語 \U0001f600"), (None, "x" * 300_000), (7004, "\x00\n")]
+    docs = docs.union(spark.createDataFrame([(k, t, None, None, None) for k, t in odd], docs.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op2_sharding(spark, str(tmp_path)).collect()
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    assert {r["law"] for r in rows} == {"rows"} and all(r["grown_shard"] is None for r in rows)
+    slots = [sorted(r["slot"] for r in rows if r["shard"] == k) for k in range(8)]
+    assert all(x == list(range(len(x))) for x in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+
+
+def test_shuffle_against_brute_force(documents):
+    """The written order is Fisher-Yates over each bucket's records in the order of their hashes."""
+    keyed = documents.select("doc_id", F.xxhash64(F.lit(9), "doc_id", "text", F.monotonically_increasing_id()).alias("h"))
+    rows = keyed.select("doc_id", "h", F.pmod(F.xxhash64(F.lit(9), "h"), F.lit(5)).alias("b")).collect()
+    found = sorted((r["bucket"], r["place"], r["record"]["doc_id"]) for r in sd.shuffled(documents, seed=9, buckets=5).collect())
+    want = []
+    for b in range(5):
+        own = [r["doc_id"] for r in sorted(rows, key=lambda r: r["h"]) if r["b"] == b]
+        draws = np.random.Generator(np.random.PCG64(9 + b)).random(len(own))
+        for k in range(len(own) - 1, 0, -1):
+            j = int(draws[k] * (k + 1))
+            own[k], own[j] = own[j], own[k]
+        want += [(b, k, d) for k, d in enumerate(own)]
+    assert found == want
