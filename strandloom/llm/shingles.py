@@ -3,8 +3,8 @@
 A document is the set of the XXH64 of its shingles of five words, and a fingerprint of 128 bits, their majorities. Sets at a similarity of
 0.8 lie some 19 bits apart, so no few blocks of bits agree for sure: tables are keyed by drawn bits, as many tables as let nearly all pairs at 0.8 meet.
 In a table's cell fingerprints are compared bit-sliced, with wide carry-save counters, and those within the radius are candidates, verified on the whole
-sets. A cell first gives the candidates of a least spanning forest by distance; where more are near, the pairs across what the verified ones leave
-apart follow in further passes, so that components are those of all candidates that hold, while rows stay in proportion to the cells'.
+sets. A cell first gives the candidates of a least spanning forest by distance. Where more are near, the sets of those that the verified ones leave
+apart are brought to the cell, and all pairs across are verified there: components are those of all candidates that hold, while rows stay in proportion to the cells'.
 """
 
 from __future__ import annotations
@@ -29,12 +29,8 @@ NEAR = (4, 5)
 WORDS, RADIUS, FLIP = 2, 27, 0.1515
 #: How many of the pairs at a similarity of just 0.8 meet in a table.
 MEET = 0.97
-#: Rows of a key that one cell compares at most (twice that across two chunks); larger keys are cut into chunks that meet pairwise.
-CHUNK = 1024
-#: Spanning forests that a pass takes of a cell with many candidates; it takes all candidates where there are at most so many to a row.
-FORESTS = 3
-#: Where fewer than one in so many candidates of a pass hold, the next takes all that are left.
-RARE = 10
+#: Rows of a key, and shingles in their sets, that one cell compares at most (twice that across two chunks); larger keys are cut into chunks that meet pairwise.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 21
 _AT_ONCE = 1 << 14
 
 
@@ -125,15 +121,22 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(fp, text) of a document of each node, one of those that share its place."""
+    need = materialize(nodes.select("fp", F.col("at.doc_id").alias("id"), F.col("at.version").alias("v")), "need")
+    rows = _texts(docs)
+    out = materialize(rows.join(need, rows["doc_id"].eqNullSafe(need["id"]) & (rows["version"] == need["v"])).select("fp", "text").dropDuplicates(["fp"]), "texts")
+    release(need)
+    return out
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sets are near, from the texts of one document each."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    need = materialize(nodes.join(ends, "fp").select("fp", F.col("at.doc_id").alias("id"), F.col("at.version").alias("v")), "need")
-    rows = _texts(docs)
-    texts = materialize(rows.join(need, rows["doc_id"].eqNullSafe(need["id"]) & (rows["version"] == need["v"])).select("fp", "text"), "texts")
+    texts = _texts_of(nodes.join(ends, "fp"), docs)
     x, y = (texts.select(F.col("fp").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y")))
     out = materialize(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").transform(small_batches).mapInArrow(_near, "a long, b long"), "near")
-    release(need, texts)
+    release(texts)
     return out
 
 
@@ -171,90 +174,124 @@ def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, group: np.ndarray)
         forest.link(i[now], j[now])
 
 
-def _candidates(turn: int, whole: bool):
-    def met(t: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Pairs of nodes, the smaller first, and keys that have more of them, of cells that begin at starts."""
-        fp, rows = t.column("fp").to_numpy(), np.diff(np.append(starts, t.num_rows))
+_CELL = ["key", "lo", "hi"]
+
+
+def _near_in(t: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs within the radius and of different roots in cells that begin at starts, and a number for each row's root."""
+    words = np.stack([t.column(w).to_numpy().view(np.uint64) for w in _WORDS], axis=1)
+    _, root = np.unique(t.column("root").to_numpy(), return_inverse=True)
+    found = [(i[ok], j[ok]) for i, j in bit_sliced_pairs(starts, words, RADIUS) if (ok := root[i] != root[j]).any()]
+    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    return i, j, root
+
+
+def _parts(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of a few whole cells, and where these begin."""
+    for t in whole_cells(batches, _CELL, at_least):
+        starts = boundaries(t, _CELL)
+        ends = np.append(starts, t.num_rows)
+        for c, d in slices(starts, t.num_rows):
+            yield t.slice(ends[c], ends[d] - ends[c]), starts[c:d] - ends[c]
+
+
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b, null) of a least spanning forest, by distance, of each cell's candidates, and (null, null, key) for cells that have more of them."""
+    for t, starts in _parts(batches, _AT_ONCE):
+        i, j, root = _near_in(t, starts)
+        if not len(i):
+            continue
         words = np.stack([t.column(w).to_numpy().view(np.uint64) for w in _WORDS], axis=1)
-        _, root = np.unique(t.column("root").to_numpy(), return_inverse=True)
-        found = [(i[ok], j[ok]) for i, j in bit_sliced_pairs(starts, words, RADIUS) if (ok := (root[i] != root[j]) & (fp[i] != fp[j])).any()]
-        if not found:
-            return None
-        i, j = (np.concatenate(x) for x in zip(*found))
-        cell = np.repeat(np.arange(len(starts)), rows)
-        many = (np.bincount(cell[i], minlength=len(starts)) > (1 if turn == 0 else FORESTS * rows)) & (not whole)
-        take = ~many[cell[i]]
-        if many.any():
-            # the first row of a root in each cell stands for it
-            _, first, of = np.unique(cell * (root.max() + 1) + root, return_index=True, return_inverse=True)
-            at = np.flatnonzero(~take)
-            far = np.bitwise_count(words[i[at]] ^ words[j[at]]).sum(axis=1).astype(float)
-            for k in range(1 if turn == 0 else FORESTS):
-                noise = np.random.default_rng([turn, k]).random(len(at)) * (RADIUS if turn else 0)
-                take[at[_forest(i[at], j[at], far + noise, first[of])]] = True
-        left = np.bincount(cell[i[~take]], minlength=len(starts)) > 0
+        take = _forest(i, j, np.bitwise_count(words[i] ^ words[j]).sum(axis=1), np.arange(t.num_rows))
+        fp, cell = t.column("fp").to_numpy(), np.searchsorted(starts, i, "right") - 1
         a, b = fp[i[take]], fp[j[take]]
-        return np.minimum(a, b), np.maximum(a, b), t.column("key").to_numpy()[starts[left]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a < b, null) of nodes within the radius and of different roots, and (null, null, key) for keys of which not all such pairs are there."""
-        for t in whole_cells(batches, ["key", "lo", "hi"], _AT_ONCE):
-            starts = boundaries(t, ["key", "lo", "hi"])
-            ends = np.append(starts, t.num_rows)
-            for c, d in slices(starts, t.num_rows):
-                found = met(t.slice(ends[c], ends[d] - ends[c]), starts[c:d] - ends[c])
-                if found is None:
-                    continue
-                a, b, more = found
-                keys_ = np.unique(more)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(keys_), pa.int64())] * 2 + [pa.array(keys_)], ["a", "b", "key"])
-
-    return run
-
-
-def _met(keyed: DataFrame, of_key: DataFrame, turn: int, whole: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """What the cells of keyed give in a pass: see _candidates. of_key: a row with the key for each of its rows."""
-    hot = materialize(of_key.groupBy("key").count().filter(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "hot-keys")
+        more = np.unique(t.column("key").to_numpy()[starts[np.unique(cell[~take])]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64())] * 2 + [pa.array(more)], ["a", "b", "key"])
+
+
+def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp) of a cell's rows that have a candidate of another root."""
+    for t, starts in _parts(batches, _AT_ONCE):
+        i, j, _ = _near_in(t, starts)
+        rows = np.unique(np.concatenate((i, j)))
+        yield pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[rows]) for c in ("key", "fp")], ["key", "fp"])
+
+
+def _proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest, as (a, b), of each cell's candidates of different roots that hold, by the cell's sets."""
+    for t, starts in _parts(batches, 1):
+        i, j, root = _near_in(t, starts)
+        if not len(i):
+            continue
+        sets = t.column("hashes").combine_chunks()
+        ends = np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
+        _, at = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        size, mark = np.diff(ends), np.zeros(len(at) and at.max() + 1, bool)
+        alike = np.minimum(size[i], size[j]) * NEAR[1] >= np.maximum(size[i], size[j]) * NEAR[0]
+        i, j = i[alike], j[alike]
+        # one tree for each root of a cell, from the start
+        cell = np.searchsorted(starts, np.arange(t.num_rows), "right")
+        _, first, of = np.unique(cell * (root.max() + 1) + root, return_index=True, return_inverse=True)
+        tree, out = first[of], []
+        for k in np.unique(i).tolist():
+            others = j[i == k] if len(i) < 64 else j[np.searchsorted(i, k) : np.searchsorted(i, k, "right")]
+            others = others[tree[others] != tree[k]]
+            if not len(others):
+                continue
+            mark[at[ends[k] : ends[k + 1]]] = True
+            spans = [at[ends[x] : ends[x + 1]] for x in others.tolist()]
+            both = np.add.reduceat(mark[np.concatenate(spans)], np.concatenate(([0], np.cumsum([len(x) for x in spans])[:-1])), dtype=np.int64)
+            mark[at[ends[k] : ends[k + 1]]] = False
+            for x in others[NEAR[1] * both >= NEAR[0] * (size[k] + size[others] - both)].tolist():
+                if tree[x] != tree[k]:
+                    out.append((k, x))
+                    tree[tree == tree[x]] = tree[k]
+        if out:
+            fp = t.column("fp").to_numpy()
+            a, b = fp[[x for x, _ in out]], fp[[y for _, y in out]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _celled(keyed: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """keyed's rows dealt out by key, and where `chunks` has more than one for a key, to each pair of them; sorted."""
+    hot = materialize(chunks.filter("chunks > 1"), "hot-keys")
     cut = keyed.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
-    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "root", *_WORDS)
-    cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp")
-    return materialize(cells.transform(small_batches).mapInArrow(_candidates(turn, whole), "a long, b long, key long"), "met")
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "root", *_WORDS, *columns)
+    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "fp").transform(small_batches)
 
 
-def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the same sets as all candidates that hold; nodes: one row per fp, with size, fingerprint and the place `at` of a document.
-
-    The first pass takes a forest of each cell. As long as many candidates of a pass hold in cells that had more, another takes more of those across
-    what is still apart there; the last takes all that are left.
-    """
+def links(nodes: DataFrame, docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) that connect the same sets as all candidates that hold; nodes: one row per fp, with size, fingerprint and the place `at` of a document."""
     bits, tables = plan(nodes.count())
+    rows = F.ceil(F.count("*") / chunk).cast("int")
+    keyed, by_key = _keyed(nodes.withColumn("root", F.col("fp")), bits, tables), _keyed(nodes, bits, tables, ()).groupBy("key")
+    met = materialize(_celled(keyed, by_key.agg(rows.alias("chunks"))).mapInArrow(_first, "a long, b long, key long"), "met")
     sizes = nodes.select("fp", "size")
+    pairs = met.filter("a is not null").select("a", "b").distinct()
+    pairs = pairs.join(sizes.select(F.col("fp").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("fp").alias("b"), F.col("size").alias("size_b")), "b")
     # a similarity of two sets is at most the ratio of their sizes
-    alike = F.least("size_a", "size_b") * NEAR[1] >= F.greatest("size_a", "size_b") * NEAR[0]
-    keyed, of_key = _keyed(nodes.withColumn("root", F.col("fp")), bits, tables), _keyed(nodes, bits, tables, ())
-    edges = tested = None
-    turn, last = 0, False
-    while True:
-        met = _met(keyed, of_key, turn, last)
-        pairs = met.filter("a is not null").select("a", "b").distinct()
-        pairs = pairs.join(sizes.select(F.col("fp").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("fp").alias("b"), F.col("size").alias("size_b")), "b").filter(alike).select("a", "b")
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _verified(pairs, nodes, docs)
-        edges = found if edges is None else edges.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        open_keys = materialize(met.filter("key is not null").select("key").distinct(), "open-keys")
-        if last or open_keys.isEmpty():
-            release(met)
-            return edges
-        last = turn > 0 and found.count() * RARE < pairs.count()
-        # what has more candidates is an end of one of the forest's
-        ends = met.filter("a is not null").select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        rooted = nodes.join(ends, "fp", "left_semi").join(connected_components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        keyed = materialize(_keyed(rooted, bits, tables).join(open_keys, "key", "left_semi"), "again")
-        of_key = keyed.select("key")
-        release(met)
-        turn += 1
+    pairs = materialize(pairs.filter(F.least("size_a", "size_b") * NEAR[1] >= F.greatest("size_a", "size_b") * NEAR[0]).select("a", "b"), "pairs")
+    edges = _verified(pairs, nodes, docs)
+    more = materialize(met.filter("key is not null").select("key").distinct(), "more")
+    if more.isEmpty():
+        return edges
+    # what has more candidates is an end of one of the forest's
+    ends = met.filter("a is not null").select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    rooted = materialize(nodes.join(ends, "fp", "left_semi").join(connected_components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    again = materialize(_keyed(rooted, bits, tables).join(more, "key", "left_semi"), "again")
+    alive = materialize(_celled(again, again.groupBy("key").agg(rows.alias("chunks"))).mapInArrow(_alive, "key long, fp long").distinct(), "alive")
+    sets = materialize(_texts_of(rooted.join(alive.select("fp").distinct(), "fp", "left_semi"), docs).transform(small_batches).mapInArrow(_hashes, "fp long, hashes array<long>"), "node-sets")
+    apart = alive.join(rooted.select("fp", "root", "size", *_WORDS), "fp")
+    chunks = apart.groupBy("key").agg(F.greatest(rows, F.ceil(F.sum("size") / CHUNK_SHINGLES).cast("int")).alias("chunks"))
+    proved = materialize(_celled(apart.join(sets, "fp"), chunks, "hashes").mapInArrow(_proved, "a long, b long").distinct(), "proved")
+    release(met, pairs, more, rooted, again, alive, sets)
+    return edges.union(proved)
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array([shingles(x.as_py()).view(np.int64) for x in b.column("text").cast(pa.binary())], pa.list_(pa.int64()))], ["fp", "hashes"])
 
 
 def representatives(docs: DataFrame) -> DataFrame:

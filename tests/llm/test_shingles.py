@@ -42,8 +42,11 @@ def test_the_stage_drops_near_copies_at_a_similarity_of_08(spark):
     assert kept == sorted(set(forest.roots().tolist()))
 
 
-def test_a_large_group_of_near_copies(spark):
-    """Cells with far more candidates than rows: all that hold link, whatever the forests have tried first."""
+@pytest.mark.parametrize("chunk", [16, 1024])
+def test_a_large_group_of_near_copies(spark, monkeypatch, chunk):
+    """Cells with far more candidates than rows, in one piece or in chunks: all that hold link, whatever the forest has tried first."""
+    whole = shingles.links
+    monkeypatch.setattr(shingles, "links", lambda nodes, docs: whole(nodes, docs, chunk))
     rng = random.Random(11)
     base = [f"b{k}" for k in range(150)]
     texts = []
