@@ -2,7 +2,7 @@
 
 Fingerprints are 64-bit majorities over the XXH64 of word shingles. Two fingerprints within three bits
 differ in at most three of five bit blocks, so they agree on one of the ten pairs of blocks: each pair
-is a table, keyed by about 26 bits. Inside a key, 64 fingerprints stand side by side as 64 vertical bit
+is a table, keyed by about 26 bits; for very many fingerprints there are more blocks and longer keys, which find the same. Inside a key, 64 fingerprints stand side by side as 64 vertical bit
 planes; a query meets all 64 at once, one word operation a plane, and counts their distances in two
 carry-save bit planes plus an overflow plane. Blocks whose lanes have all overflowed are dropped early.
 """
@@ -23,8 +23,8 @@ from .components import connected_components
 
 BITS = 64
 RADIUS = 3
-#: Widths of the five bit blocks, lowest first.
-BLOCKS = (13, 13, 13, 13, 12)
+#: Bit blocks for up to so many fingerprints: a table's key is all of them but RADIUS, so that a few unlike fingerprints share one.
+BLOCKS = ((5, 1 << 29), (6, 1 << 35), (7, 1 << 62))
 #: Rows of a key that one cell compares at most (twice that across two chunks); larger keys are cut into chunks that meet pairwise.
 CHUNK = 1024
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -196,16 +196,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(fps[child]), pa.array(fps[root[child]])], ["a", "b"])
 
 
-def _table_keys(fp):
-    """Ten keys: table number and the bits of two blocks."""
-    low = [sum(BLOCKS[:k]) for k in range(len(BLOCKS))]
-    part = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(low, BLOCKS)]
-    return F.array(*[F.lit(t << 32).cast("long").bitwiseOR(F.shiftleft(part[i], 16)).bitwiseOR(part[j]) for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
+def blocks_for(n: int) -> int:
+    return next(blocks for blocks, upto in BLOCKS if n <= upto)
 
 
-def fingerprint_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def _table_keys(fp, blocks: int):
+    """A key for each table: its number and the bits of all blocks but RADIUS."""
+    cuts = [BITS * k // blocks for k in range(blocks + 1)]
+    part = [(F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << e - s) - 1)), e - s) for s, e in zip(cuts, cuts[1:])]
+    keys = []
+    for t, chosen in enumerate(combinations(part, blocks - RADIUS)):
+        key = F.lit(t).cast("long")
+        for bits, width in chosen:
+            key = F.shiftleft(key, width).bitwiseOR(bits)
+        keys.append(key)
+    return F.array(*keys)
+
+
+def fingerprint_links(distinct: DataFrame, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) that connect the same fingerprints as all links within three bits; distinct: one row per fp."""
-    keyed = distinct.select("fp", F.explode(_table_keys(F.col("fp"))).alias("key"))
+    keyed = distinct.select("fp", F.explode(_table_keys(F.col("fp"), blocks or blocks_for(distinct.count()))).alias("key"))
     hot = materialize(keyed.groupBy("key").count().filter(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "hot-keys")
     cut = keyed.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
     cells = cut.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")

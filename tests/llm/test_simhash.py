@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from strandloom.llm import simhash as sh
 from strandloom.llm.components import connected_components
@@ -46,12 +47,13 @@ def test_wide_counters(radius):
     assert len(found) == len(set(found)) and set(found) == want
 
 
-def test_links_of_chunked_keys(spark):
+@pytest.mark.parametrize("blocks", [5, 6, 7])
+def test_links_of_chunked_keys(spark, blocks):
     # all agree on 40 bits: every table's keys are hot
     rng = np.random.default_rng(5)
     fps = np.unique(rng.integers(0, 1 << 12, 900).astype(np.int64) << 20)
     frame = spark.createDataFrame([(int(f),) for f in fps], "fp long")
-    roots = dict(connected_components(sh.fingerprint_links(frame, chunk=64)).collect())
+    roots = dict(connected_components(sh.fingerprint_links(frame, chunk=64, blocks=blocks)).collect())
     forest = sh.Forest(len(fps))
     i, j = np.nonzero(np.bitwise_count(fps[:, None].view(np.uint64) ^ fps[None, :].view(np.uint64)) <= 3)
     forest.link(i, j)
@@ -59,6 +61,19 @@ def test_links_of_chunked_keys(spark):
     assert {int(f): roots.get(int(f), int(f)) for f in fps} == {int(f): int(fps[r]) for f, r in zip(fps, want)}
 
 
+@pytest.mark.parametrize("blocks", [5, 6, 7])
+def test_pairs_within_three_bits_share_a_key(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    a = rng.integers(-(2**63), 2**63 - 1, 300)
+    b = a.copy()
+    for _ in range(3):
+        b ^= (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)).view(np.int64)
+    frame = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long")
+    rows = frame.select(sh._table_keys(F.col("a"), blocks).alias("x"), sh._table_keys(F.col("b"), blocks).alias("y")).collect()
+    assert all(set(r["x"]) & set(r["y"]) for r in rows)
+    assert all(len(set(r["x"])) == len(r["x"]) for r in rows) and sh.blocks_for(10**6) == 5 and sh.blocks_for(10**10) == 6
+
+
 def check(rows):
     fp = {}
     for r in rows:
