@@ -56,6 +56,18 @@ def classify(c: Column | str) -> Column:
     )
 
 
+def pieces(c: Column | str, size: int, more: int = 0) -> Column:
+    """A text cut into pieces of `size` characters, each with the first `more` (up to size) of the next, as an array; an empty text may have none.
+
+    One pass over the text, however long: substr from a place far into a text walks there from its start.
+    """
+    parts = F.regexp_extract_all(col(c), F.lit(f"(?s).{{1,{size}}}"), 0)
+    if more:
+        behind = F.concat(F.slice(parts, 2, F.length(col(c))), F.array(F.lit("")))
+        parts = F.zip_with(parts, behind, lambda p, q: F.concat(p, F.substring(q, 1, more)))
+    return F.when(F.length(col(c)) <= size, F.array(col(c))).otherwise(parts)
+
+
 def kmers(c: Column | str, k: int) -> Column:
     """Array of (pos from 0, kmer) over all windows; empty for short sequences."""
     c = col(c)

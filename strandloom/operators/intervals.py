@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import draw, numbered
+from .sequences import draw, numbered, slices
 
 #: Width of a bin of the overlap join, and of a tile of running values.
 BIN, TILE = 1 << 14, 1 << 20
@@ -68,7 +68,12 @@ def merge(df: DataFrame, distance: int = 0, tile: int = TILE, counts: bool = Fal
     merged along chromosomes.
     """
     thin = df.select("chrom", "chrom_start", "chrom_end", F.lit(1).cast("long").alias("n"), F.expr(f"chrom_start div {tile}").alias("tile"))
-    merged = _islands(_islands(thin, ["chrom", "tile"], distance).drop("tile"), ["chrom"], distance)
+    tiles = _islands(thin, ["chrom", "tile"], distance).drop("tile")
+    # along a chromosome: an island begins where none before reaches, and goes by its start
+    reach = running(tiles, F.col("chrom_end"), F.max, tile, "chrom_start", ("chrom_end",), inclusive=False).withColumn("reached", F.greatest("own", "before")).drop("own", "before")
+    begins = F.when(F.col("reached").isNull() | (F.col("chrom_start") > F.col("reached") + distance), F.col("chrom_start"))
+    named = running(reach, begins, F.max, tile, "chrom_start", ("chrom_end",)).withColumn("island", F.greatest("own", "before"))
+    merged = named.groupBy("chrom", "island").agg(F.max("chrom_end").alias("chrom_end"), F.sum("n").alias("n")).withColumnRenamed("island", "chrom_start")
     return merged.select("chrom", "chrom_start", "chrom_end", *(["n"] if counts else []))
 
 
@@ -99,8 +104,8 @@ def complement(df: DataFrame, genome: DataFrame) -> DataFrame:
     islands = merge(df)
     ends = genome.select("chrom", F.col("size").alias("chrom_start"), F.col("size").alias("chrom_end"))
     rows = islands.join(genome.select("chrom", "size"), "chrom").filter("chrom_start < size").select("chrom", "chrom_start", "chrom_end").union(ends)
-    before = F.coalesce(F.max("chrom_end").over(Window.partitionBy("chrom").orderBy("chrom_start", "chrom_end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("chrom", before.alias("chrom_start"), F.col("chrom_start").alias("chrom_end")).filter("chrom_start < chrom_end")
+    reach = running(rows, F.col("chrom_end"), F.max, at="chrom_start", order=("chrom_end",), inclusive=False)
+    return reach.select("chrom", F.coalesce(F.greatest("own", "before"), F.lit(0)).alias("chrom_start"), F.col("chrom_start").alias("chrom_end")).filter("chrom_start < chrom_end")
 
 
 def subtract(a: DataFrame, b: DataFrame, key: str = "iv_id") -> DataFrame:
@@ -113,15 +118,15 @@ def subtract(a: DataFrame, b: DataFrame, key: str = "iv_id") -> DataFrame:
     return rows.select(key, "chrom", F.greatest("first", F.coalesce(reached, "first")).alias("chrom_start"), F.col("hole").alias("chrom_end")).filter("chrom_start < chrom_end")
 
 
-def running(events: DataFrame, value: Column, fold, tile: int = TILE, at: str = "at", order: tuple[str, ...] = ()) -> DataFrame:
-    """events with `own` and `before`, which make up fold(value) over all rows of a chromosome up to this one by (at, order).
+def running(events: DataFrame, value: Column, fold, tile: int = TILE, at: str = "at", order: tuple[str, ...] = (), inclusive: bool = True) -> DataFrame:
+    """events with `own` and `before`, which make up fold(value) over all rows of a chromosome up to this one (or before it) by (at, order).
 
     fold is an aggregate like F.max or F.sum. Tiles run by themselves; what comes before a tile is folded from one row a tile.
     """
     tiled = events.withColumn("tile", F.floor(F.col(at) / tile)).withColumn("value", value)
     sums = tiled.groupBy("chrom", "tile").agg(fold("value").alias("of_tile"))
     before = sums.withColumn("before", fold("of_tile").over(Window.partitionBy("chrom").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1))).select("chrom", "tile", "before")
-    own = Window.partitionBy("chrom", "tile").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("chrom", "tile").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     return tiled.withColumn("own", fold("value").over(own)).join(before, ["chrom", "tile"]).drop("tile", "value")
 
 
@@ -187,9 +192,9 @@ def genomecov_depth(df: DataFrame, genome: DataFrame) -> DataFrame:
     edges = genome.select("chrom", F.explode(F.array(F.lit(0).cast("long"), "size")).alias("at"), F.lit(0).cast("long").alias("step"))
     points = events.union(edges).groupBy("chrom", "at").agg(F.sum("step").alias("step"))
     depth = running(points, F.col("step"), F.sum).withColumn("depth", F.col("own") + F.coalesce("before", F.lit(0)))
-    # what follows a point, up to the next one: the first point of the next tile may be it
-    after = F.lead("at").over(Window.partitionBy("chrom").orderBy("at"))
-    spans = depth.withColumn("bases", after - F.col("at")).filter("bases > 0")
+    # what follows a point, up to the next one: on mirrored places the one before it
+    mirrored = running(depth.select("chrom", (-F.col("at")).alias("at"), "depth"), F.col("at"), F.max, inclusive=False)
+    spans = mirrored.withColumn("bases", F.col("at") - F.coalesce("own", "before")).filter("bases > 0")
     return spans.groupBy("chrom", "depth").agg(F.sum("bases").alias("bases")).join(genome, "chrom").select("chrom", "depth", "bases", "size", F.round(F.col("bases") / F.col("size"), 6).alias("fraction"))
 
 
@@ -271,6 +276,5 @@ def to_gff(df: DataFrame, source: str = "bed", kind: str = "region") -> DataFram
 
 
 def get_fasta(regions: DataFrame, fasta: DataFrame) -> DataFrame:
-    """The sequence under each region; fasta is named by the first word of its header."""
-    named = fasta.select(F.substring_index("id", " ", 1).alias("chrom"), "seq")
-    return regions.join(named, "chrom").select(*regions.columns, F.expr("substr(seq, cast(chrom_start + 1 as int), cast(greatest(chrom_end - chrom_start, 0) as int))").alias("seq"))
+    """The sequence under each region; fasta (ord, id, seq) is named by the first word of its header."""
+    return slices(regions, fasta, "chrom", F.col("chrom_start"), F.col("chrom_end") - F.col("chrom_start"))

@@ -8,9 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import sequence as sq
 
 
+#: Characters of a sequence that windows are taken of at once: the work of a window grows with its place.
+PIECE = 512
+
+
+def _windows(df: DataFrame, k: int, **columns) -> DataFrame:
+    """df's sequences (or other columns of their length) cut into pieces that overlap by k - 1: ord, piece (its place in PIECEs), and the pieces by name."""
+    size = max(PIECE, k)
+    names = list(columns)
+    cut = df.select("ord", *[sq.pieces(c, size, k - 1).alias(n) for n, c in columns.items()])
+    # outer, as the filter on sizes that goes before an inner one would make the arrays twice
+    if len(names) == 1:
+        return cut.select("ord", F.posexplode_outer(names[0]).alias("piece", names[0])).filter("piece is not null")
+    return cut.select("ord", F.posexplode_outer(F.arrays_zip(*names)).alias("piece", "x")).filter("piece is not null").select("ord", "piece", *[F.col("x").getField(n).alias(n) for n in names])
+
+
 def kmers(df: DataFrame, k: int, canonical: bool = False) -> DataFrame:
     """(ord, pos, kmer) for every window of A, C, G, T (either case, upper case in the result)."""
-    out = df.select("ord", F.explode(sq.kmers(F.upper("seq"), k)).alias("x")).select("ord", "x.pos", "x.kmer").filter(F.col("kmer").rlike("^[ACGT]+$"))
+    pos = F.col("piece").cast("long") * max(PIECE, k) + F.col("x.pos")
+    out = _windows(df, k, seq=F.upper("seq")).select("ord", "piece", F.explode_outer(sq.kmers("seq", k)).alias("x")).select("ord", pos.alias("pos"), "x.kmer").filter(F.col("kmer").rlike("^[ACGT]+$"))
     return out.withColumn("kmer", sq.canonical("kmer")) if canonical else out
 
 
@@ -22,7 +38,7 @@ def count(df: DataFrame, k: int, canonical: bool = True) -> DataFrame:
 def spectrum(df: DataFrame, k: int, quality: int = 20, offset: int = 33) -> DataFrame:
     """Per canonical k-mer its coverage (up to 255) and how often all its bases have the quality (up to 63)."""
     reads = df.withColumn("low", F.translate("qual", "".join(chr(c) for c in range(33, 127)), "".join("l" if c - offset < quality else "h" for c in range(33, 127))))
-    windows = reads.select(F.explode(sq.kmers(F.upper("seq"), k)).alias("x"), "low").select("x.kmer", F.substr(F.col("low"), F.col("x.pos") + 1, F.lit(k)).alias("low")).filter(F.col("kmer").rlike("^[ACGT]+$"))
+    windows = _windows(reads, k, seq=F.upper("seq"), low=F.col("low")).select(F.explode_outer(sq.kmers("seq", k)).alias("x"), "low").select("x.kmer", F.substr(F.col("low"), F.col("x.pos") + 1, F.lit(k)).alias("low")).filter(F.col("kmer").rlike("^[ACGT]+$"))
     return windows.groupBy(sq.canonical("kmer").alias("kmer")).agg(F.least(F.count("*"), F.lit(255)).alias("coverage"), F.least(F.count_if(~F.col("low").contains("l")), F.lit(63)).alias("good"))
 
 
@@ -69,12 +85,13 @@ def unitigs(edges: DataFrame, store) -> DataFrame:
 def _paths(nodes: DataFrame, links: DataFrame, store, cycles: bool) -> DataFrame:
     # head is null while a node doesn't know its head; `at` is `steps` nodes back; `least` is the smallest node on the way
     jump = store(nodes.join(links, "node", "left").select("node", F.coalesce("before", "node").alias("at"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("before").isNull().alias("done"), F.least("node", F.coalesce("before", "node")).alias("least")))
-    total, open_ = jump.count(), -1
-    for _ in range(64):
+    total, open_, turn = jump.count(), -1, 0
+    while True:
         left = jump.filter("not done").count()
         # a path of n nodes is done after log2(n) rounds: if more rounds finish no node, the rest are cycles
-        if left == 0 or left == open_ and 2**_ > total:
+        if left == 0 or left == open_ and 2**turn > total:
             break
+        turn += 1
         open_ = left
         far = jump.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("more"), F.col("done").alias("ends"), F.col("least").alias("least2"))
         jump = store(jump.join(far, "at").select("node", F.when(F.col("done"), F.col("at")).otherwise(F.col("at2")).alias("at"), F.when(F.col("done"), F.col("steps")).otherwise(F.col("steps") + F.col("more")).alias("steps"), (F.col("done") | F.col("ends")).alias("done"), F.least("least", "least2").alias("least")))
@@ -88,13 +105,17 @@ def _paths(nodes: DataFrame, links: DataFrame, store, cycles: bool) -> DataFrame
 
 
 def locate(df: DataFrame, pattern: str) -> DataFrame:
-    """(ord, pos) of all places of a pattern, overlapping ones too, from 0; an empty pattern is everywhere."""
+    """(ord, pos) of all places of a pattern, overlapping ones too, from 0; an empty pattern is everywhere. Sequences are cut into pieces that overlap, so that the work follows their length."""
     m = len(pattern)
-    at = F.filter(F.sequence(F.lit(0), F.length("seq")), lambda i: F.substr(F.col("seq"), i + 1, F.lit(m)) == pattern) if m else F.sequence(F.lit(0), F.length("seq"))
-    return df.select("ord", F.explode(at).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+    if not m:
+        return df.select("ord", F.explode(F.sequence(F.lit(0), F.length("seq"))).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+    found = _windows(df, m, seq=F.col("seq")).filter(F.col("seq").contains(pattern))
+    at = F.filter(F.sequence(F.lit(0), F.length("seq") - m), lambda i: F.substr(F.col("seq"), i + 1, F.lit(m)) == pattern)
+    return found.select("ord", "piece", F.explode(at).alias("at")).select("ord", (F.col("piece").cast("long") * max(PIECE, m) + F.col("at")).alias("pos"))
 
 
 def rolling(df: DataFrame, k: int) -> DataFrame:
     """(ord, pos, code) of every window, in order: two bits a base, null where a base is ambiguous. pos is the window's last base."""
     valid = F.col("x.kmer").rlike("^[ACGT]+$")
-    return df.select("ord", F.explode(sq.kmers(F.upper("seq"), k)).alias("x")).select("ord", (F.col("x.pos") + (k - 1)).cast("long").alias("pos"), F.when(valid, sq.encode(F.col("x.kmer"))).alias("code"))
+    windows = _windows(df, k, seq=F.upper("seq")).select("ord", "piece", F.explode(sq.kmers("seq", k)).alias("x"))
+    return windows.select("ord", (F.col("piece").cast("long") * max(PIECE, k) + F.col("x.pos") + (k - 1)).alias("pos"), F.when(valid, sq.encode(F.col("x.kmer"))).alias("code"))

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import align as al
 from ..functions import phylo, special
 from ..functions.hmm import Hmm
+from ..storage import materialize, release
 from .intervals import running
 
-#: Most p-values that hommel takes: its work grows with the square of their number, in one task.
-MOST_HOMMEL = 20_000
 METHODS = {"bh": "bh", "fdr": "bh", "by": "by", "bonferroni": "bonferroni", "holm": "holm", "hochberg": "hochberg", "hommel": "hommel", "none": "none"}
 
 
@@ -53,15 +52,13 @@ def adjust(df: DataFrame, method: str = "bh", p: str = "p") -> DataFrame:
 
 
 def _hommel(df: DataFrame, p: str) -> DataFrame:
-    n = df.count()
-    if n > MOST_HOMMEL:
-        raise ValueError(f"hommel takes up to {MOST_HOMMEL} p-values; here are {n}")
+    """Distinct values, 16 bytes each with their counts, are sorted and adjusted in one task, by n log n steps."""
+    values = df.groupBy(F.col(p).alias("at")).agg(F.count("*").alias("ties"))
 
     def run(all_: pd.DataFrame) -> pd.DataFrame:
-        all_["adjusted"] = special.hommel(all_[p].to_numpy(float))
-        return all_
+        return pd.DataFrame({p: all_["at"], "adjusted": special.hommel_ties(all_["at"].to_numpy(float), all_["ties"].to_numpy())})
 
-    return df.groupBy().applyInPandas(run, f"{', '.join(f'{c} {t}' for c, t in df.dtypes)}, adjusted double")
+    return df.join(values.groupBy().applyInPandas(run, f"{p} double, adjusted double"), p).select(*df.columns, "adjusted")
 
 
 def _one_row(df: DataFrame, f, name: str = "p_value") -> DataFrame:
@@ -218,16 +215,27 @@ def hmm_paths(df: DataFrame, model: Hmm) -> DataFrame:
     return df.mapInPandas(run, f"{', '.join(f'{c} {t}' for c, t in df.dtypes)}, states array<int>, loglik double")
 
 
-def lineages(nodes: DataFrame, deepest: int = 64) -> DataFrame:
-    """(tax_id, ancestor, distance) for each node and all above it, itself at 0; the root is its own parent."""
-    spark = nodes.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(tax_id, ancestor, distance) MAX RECURSION LEVEL {deepest + 36} AS (
-            SELECT tax_id, tax_id, 0 FROM {{nodes}} UNION ALL
-            SELECT u.tax_id, n.parent, u.distance + 1 FROM up u JOIN {{nodes}} n ON n.tax_id = u.ancestor WHERE n.parent <> n.tax_id AND u.distance < {deepest})
-        SELECT * FROM up""",
-        nodes=nodes.select("tax_id", "parent"),
-    )
+def lineages(nodes: DataFrame) -> DataFrame:
+    """(tax_id, ancestor, distance) for each node and all above it, itself at 0; the root is its own parent. A cycle is a ValueError.
+
+    Steps double from round to round, so that a tree of any depth takes its logarithm of rounds, each a join of written tables.
+    """
+    up = nodes.select("tax_id", "parent")
+    ids = up.select("tax_id").union(up.select("parent")).distinct()
+    # all pairs that are fewer than `steps` apart, and where each node is after as many
+    pairs = materialize(ids.select("tax_id", F.col("tax_id").alias("ancestor"), F.lit(0).alias("distance")), "lineages")
+    jumps = materialize(up.filter("tax_id <> parent").select("tax_id", F.col("parent").alias("at")), "jumps")
+    most, steps = pairs.count(), 1
+    while not jumps.isEmpty():
+        if steps > most:
+            raise ValueError("the nodes' parents go in a circle")
+        above = pairs.select(F.col("tax_id").alias("at"), "ancestor", (F.col("distance") + steps).alias("distance"))
+        before = pairs
+        pairs = materialize(pairs.union(jumps.join(above, "at").select("tax_id", "ancestor", "distance")), "lineages")
+        jumps = materialize(jumps.join(jumps.select(F.col("tax_id").alias("at"), F.col("at").alias("further")), "at").select("tax_id", F.col("further").alias("at")), "jumps")
+        release(before)
+        steps *= 2
+    return pairs.join(up.select("tax_id").distinct(), "tax_id", "left_semi")
 
 
 def lowest_common_ancestor(nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -241,16 +249,17 @@ def lowest_common_ancestor(nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def resolve(ids: DataFrame, merged: DataFrame, hops: int = 16) -> DataFrame:
-    """ids(tax_id) with `current`: the id that merged(old_id, new_id) leads to, in up to `hops` steps."""
-    out = ids.withColumn("current", F.col("tax_id"))
-    if merged.isEmpty():
-        return out
-    for _ in range(hops):
-        stepped = out.join(merged, out["current"] == merged["old_id"], "left")
-        out = stepped.select(*ids.columns, F.coalesce("new_id", "current").alias("current"))
-        if out.join(merged, out["current"] == merged["old_id"], "left_semi").isEmpty():
+    """ids(tax_id) with `current`: the id that merged(old_id, new_id) leads to, in up to `hops` steps.
+
+    The steps are taken on the table of merged ids, by itself; ids are joined with it once.
+    """
+    leads = materialize(merged.select("old_id", F.col("new_id").alias("to")), "merged")
+    step = merged.select(F.col("old_id").alias("to"), F.col("new_id").alias("further"))
+    for _ in range(hops - 1):
+        if leads.join(step, "to", "left_semi").isEmpty():
             break
-    return out
+        leads = materialize(leads.join(step, "to", "left").select("old_id", F.coalesce("further", "to").alias("to")), "merged")
+    return ids.join(leads, ids["tax_id"] == leads["old_id"], "left").select(*[ids[c] for c in ids.columns], F.coalesce("to", ids["tax_id"]).alias("current"))
 
 
 def newick_nodes(df: DataFrame, text: str = "newick") -> DataFrame:

@@ -98,10 +98,35 @@ def to_fastq(df: DataFrame, quality: int = 40) -> DataFrame:
     return df.select("ord", "id", "seq", F.repeat(F.lit(chr(quality + 33)), F.length("seq")).alias("qual"))
 
 
+#: Characters of a sequence that regions are joined with.
+CHUNK = 1 << 14
+
+
+def slices(regions: DataFrame, fasta: DataFrame, name: str, first: Column, length: Column) -> DataFrame:
+    """regions with `seq`: `length` characters from `first` (from 0) of the sequence whose header's first word is the region's name, as far as it goes.
+
+    Sequences are cut into chunks, so that a region meets those that it covers and not the whole. Regions without a sequence are gone; where more
+    sequences have a name, there is a row of each.
+    """
+    columns = regions.columns
+    # rows that are equal travel as one, with their number
+    wanted = regions.groupBy(*columns).agg(F.count("*").alias("times_")).withColumn("from_", F.greatest(first.cast("long"), F.lit(0))).withColumn("upto_", first.cast("long") + F.greatest(length.cast("long"), F.lit(0)))
+    named = fasta.select(F.substring_index("id", " ", 1).alias("name_"), F.col("ord").alias("ord_"), F.length("seq").alias("size_"))
+    met = wanted.join(named, F.col(name) == F.col("name_")).withColumn("upto_", F.least("upto_", "size_")).drop("name_", "size_")
+    chunks = fasta.select(F.col("ord").alias("ord_"), F.posexplode(sq.pieces("seq", CHUNK)).alias("chunk_", "piece_"))
+    covers = F.when(F.col("from_") < F.col("upto_"), F.expr(f"sequence(from_ div {CHUNK}, (upto_ - 1) div {CHUNK})")).otherwise(F.array(F.lit(-1).cast("long")))
+    spread = met.withColumn("chunk_", F.explode(covers.cast("array<int>"))).join(chunks, ["ord_", "chunk_"], "left")
+    low = F.greatest(F.col("from_") - F.col("chunk_").cast("long") * CHUNK, F.lit(0))
+    high = F.col("upto_") - F.col("chunk_").cast("long") * CHUNK
+    part = F.coalesce(F.substr(F.col("piece_"), (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")), F.lit(""))
+    joined = spread.withColumn("part_", F.struct("chunk_", part.alias("text"))).groupBy(*columns, "times_", "ord_").agg(F.array_sort(F.collect_list("part_")).alias("parts_"))
+    text = F.array_join(F.transform("parts_", lambda p: p["text"]), "")
+    return joined.withColumn("seq", text).withColumn("times_", F.explode(F.array_repeat(F.lit(1), F.col("times_").cast("int")))).select(*columns, "seq")
+
+
 def fetch(df: DataFrame, regions: DataFrame) -> DataFrame:
     """Sequences of regions (name, first, last), 1-based and inclusive, by the first word of the header."""
-    named = df.select(F.substring_index("id", " ", 1).alias("name"), "seq")
-    return regions.join(named, "name").select("name", "first", "last", F.expr("substr(seq, cast(first as int), cast(last - first + 1 as int))").alias("seq"))
+    return slices(regions.select("name", "first", "last"), df, "name", F.col("first") - 1, F.col("last") - F.col("first") + 1)
 
 
 def interleave(r1: DataFrame, r2: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Genomic views over the driver's tables, in SQL that Spark and DuckDB both read.
 
-`{g}` is what makes regexp_replace global: nothing in Spark, a flag in DuckDB. Views may stand on other views.
+`{g}` is what makes regexp_replace global: nothing in Spark, a flag in DuckDB; `{from}n{to}` is one row for each whole number from 0 to n. Views may stand on other views.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TO_BASE = ("ACGT" * 13)[:52]
 _TO_QUALITY = "!+5?IFA;&0!+5?IFA;&0!+5?IFA;&0!+5?IFA;&0!+5?IFA;&0I9"
-_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
+#: What tells lineitem's rows apart.
+_LINE = "(l_orderkey * 8 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)"
 
 
 def _bases(text: str) -> str:
@@ -25,21 +26,24 @@ def _quality(text: str) -> str:
     return f"regexp_replace(translate({text}, '{_LETTERS}', '{_TO_QUALITY}'), '[^!+5?IFA;&09]', '#'{{g}})"
 
 
-_WINDOW = "substr(text, CAST(1 + doc_id % 20 AS INT), 150)"
-_MATE = "substr(text, CAST(1 + doc_id % 20 + doc_id % 40 AS INT), 150)"
+#: Reads are the texts' consecutive windows, mates begin up to 39 places further on; a document has READS of them at most.
+WINDOW, READS = 150, 4096
+_FROM = f"(SELECT doc_id, text, {{from}}CAST(floor((greatest(length(text), 1) - 1) / {WINDOW}) AS BIGINT){{to}} AS w FROM documents)"
+_WINDOW = f"substr(text, CAST(w * {WINDOW} + 1 AS INT), {WINDOW})"
+_MATE = f"substr(text, CAST(w * {WINDOW} + 1 + doc_id % 40 AS INT), {WINDOW})"
 
 VIEWS = {
-    "iv_a": f"""SELECT CAST(row_number() OVER (ORDER BY {_LINE}) AS BIGINT) AS iv_id, concat('chr', l_partkey % 22 + 1) AS chrom,
+    "iv_a": f"""SELECT {_LINE} AS iv_id, concat('chr', l_partkey % 22 + 1) AS chrom,
         (l_orderkey * 7919 + l_linenumber * 104729) % 10000000 AS chrom_start,
         (l_orderkey * 7919 + l_linenumber * 104729) % 10000000 + CAST(l_quantity AS BIGINT) * 10 AS chrom_end FROM lineitem""",
     "iv_b": """SELECT CAST(o_orderkey AS BIGINT) AS iv_id, concat('chr', o_custkey % 22 + 1) AS chrom, (o_orderkey * 6151) % 10000000 AS chrom_start,
         (o_orderkey * 6151) % 10000000 + 200 + o_custkey % 300 AS chrom_end FROM orders""",
     "genome": "SELECT concat('chr', n_nationkey + 1) AS chrom, CAST(10001000 + n_nationkey * 1000 AS BIGINT) AS size FROM nation",
-    "fasta": f"SELECT doc_id AS ord, concat('doc', doc_id, ' ', lang) AS id, {_bases('substr(text, 1, 1000)')} AS seq FROM documents",
-    "reads": f"""SELECT doc_id AS ord, concat('M:1:FC:1:', 1101 + doc_id % 4, ':', doc_id, ':7 1:N:0:ACGT+TTAA') AS id,
-        {_bases(_WINDOW)} AS seq, {_quality(_WINDOW)} AS qual FROM documents""",
-    "mates": f"""SELECT doc_id AS ord, concat('M:1:FC:1:', 1101 + doc_id % 4, ':', doc_id, ':7 2:N:0:ACGT+TTAA') AS id,
-        translate(reverse({_bases(_MATE)}), 'ACGT', 'TGCA') AS seq, reverse({_quality(_MATE)}) AS qual FROM documents""",
+    "fasta": f"SELECT doc_id AS ord, concat('doc', doc_id, ' ', lang) AS id, {_bases('text')} AS seq FROM documents",
+    "reads": f"""SELECT doc_id * {READS} + w AS ord, concat('M:1:FC:1:', 1101 + doc_id % 4, ':', doc_id, ':', w, ' 1:N:0:ACGT+TTAA') AS id,
+        {_bases(_WINDOW)} AS seq, {_quality(_WINDOW)} AS qual FROM {_FROM}""",
+    "mates": f"""SELECT doc_id * {READS} + w AS ord, concat('M:1:FC:1:', 1101 + doc_id % 4, ':', doc_id, ':', w, ' 2:N:0:ACGT+TTAA') AS id,
+        translate(reverse({_bases(_MATE)}), 'ACGT', 'TGCA') AS seq, reverse({_quality(_MATE)}) AS qual FROM {_FROM}""",
     "adapted": """SELECT ord, id, CASE WHEN ord % 3 = 0 THEN substr(concat(substr(seq, 1, 90), 'AGATCGGAAGAGCACACGTCTGAACTCCAGTCA'), 1, 150) ELSE seq END AS seq,
         CASE WHEN ord % 3 = 0 THEN substr(concat(substr(qual, 1, 90), repeat('I', 33)), 1, 150) ELSE qual END AS qual FROM reads""",
     "gff": """SELECT event_id AS ord, concat('chr', user_id % 22 + 1) AS seqid, CASE WHEN event_id % 3 = 0 THEN 'srcA' ELSE 'srcB' END AS source, event_type AS type,
@@ -50,18 +54,18 @@ VIEWS = {
         concat(substr('CGTA', CAST((p_partkey + p_size) % 4 + 1 AS INT), CAST(CASE WHEN p_size % 5 = 0 THEN 2 ELSE 1 END AS INT)), CASE WHEN p_size % 11 = 0 THEN ',T' ELSE '' END) AS alt,
         CASE WHEN p_size % 13 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS qual, CASE WHEN p_size > 15 THEN 'PASS' ELSE 'LowQual' END AS filter FROM part""",
     "vcf_b": "SELECT * FROM vcf WHERE ord % 3 <> 0",
-    "sam": f"""SELECT CAST(row_number() OVER (ORDER BY {_LINE}) AS BIGINT) AS ord, concat('r', l_orderkey) AS qname,
+    "sam": f"""SELECT {_LINE} AS ord, concat('r', l_orderkey) AS qname,
         CAST(1 + CASE WHEN l_linenumber % 2 = 1 THEN 64 ELSE 128 END + CASE WHEN l_returnflag = 'A' THEN 2 ELSE 0 END + CASE WHEN l_linenumber > 5 THEN 256 ELSE 0 END
         + CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN 4 ELSE 0 END + CASE WHEN l_partkey % 13 = 0 THEN 8 ELSE 0 END
         + CASE WHEN l_partkey % 17 = 0 THEN 512 ELSE 0 END + CASE WHEN l_partkey % 19 = 0 THEN 1024 ELSE 0 END AS INT) AS flag,
         concat('chr', l_partkey % 22 + 1) AS rname, (l_orderkey * 7919) % 10000000 + 1 AS pos, CAST(l_suppkey % 61 AS INT) AS mapq,
         concat('chr', l_suppkey % 22 + 1) AS rnext FROM lineitem""",
-    "pvals": "SELECT o_orderkey AS ord, CAST((o_orderkey * 7919) % 1000003 AS DOUBLE) / 1000003 AS p FROM orders WHERE o_orderkey % 50 = 0",
+    "pvals": "SELECT o_orderkey AS ord, CAST((o_orderkey * 7919) % 1000003 AS DOUBLE) / 1000003 AS p FROM orders",
     "tax_nodes": """SELECT CAST(1 AS INT) AS tax_id, CAST(1 AS INT) AS parent, 'root' AS node_rank, 'root' AS name
         UNION ALL SELECT CAST(10 + r_regionkey AS INT), CAST(1 AS INT), 'region', r_name FROM region
         UNION ALL SELECT CAST(100 + n_nationkey AS INT), CAST(10 + n_regionkey AS INT), 'nation', n_name FROM nation""",
     "sites": "SELECT p_partkey AS ord, CAST(p_size % 21 AS BIGINT) AS k FROM part",
-    "haplotypes": "SELECT l_partkey AS locus, CAST(l_linenumber % 2 AS INT) AS a, CAST((l_orderkey + l_linenumber) % 3 = 0 AS INT) AS b FROM lineitem WHERE l_partkey % 40 = 0",
+    "haplotypes": "SELECT l_partkey AS locus, CAST(l_linenumber % 2 AS INT) AS a, CAST((l_orderkey + l_linenumber) % 3 = 0 AS INT) AS b FROM lineitem",
 }
 
 
@@ -71,6 +75,10 @@ def _needs(sql: str, names) -> list[str]:
     return [n for n in names if n in words]
 
 
+def _said(sql: str, g: str, from_: str, to: str) -> str:
+    return sql.replace("{g}", g).replace("{from}", from_).replace("{to}", to)
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; a driver's table, too."""
     if name in TABLES:
@@ -79,7 +87,7 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     below = _needs(sql, [*TABLES, *VIEWS])
     for b in below:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{b}\b", rf"\1 {{{b}}}", sql)
-    return spark.sql(sql.replace("{g}", ""), **{b: spark_view(spark, sf_dir, b) for b in below})
+    return spark.sql(_said(sql, "", "explode(sequence(CAST(0 AS BIGINT), ", "))"), **{b: spark_view(spark, sf_dir, b) for b in below})
 
 
 def duckdb_sql(sql: str) -> str:
@@ -96,6 +104,6 @@ def duckdb_sql(sql: str) -> str:
     if not order:
         return sql
     # materialized, so that views with row numbers are made once
-    views = ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n].replace('{g}', ", 'g'")})" for n in order)
+    views = ", ".join(f"{n} AS MATERIALIZED ({_said(VIEWS[n], ", 'g'", "unnest(range(0, ", " + 1))")})" for n in order)
     head, rest = re.match(r"\s*(WITH\s+(?:RECURSIVE\s+)?)?(.*)", sql, re.S).groups()
     return f"{head or 'WITH '}{views}{', ' if head else ' '}{rest}"
