@@ -221,12 +221,13 @@ def _emit(full: bool, bits):
 
 def _filter(often: DataFrame) -> np.ndarray:
     """A bit for each hash in `often`, and for few others: between FILTER_WORDS and MOST_FILTER_WORDS words of 64 bits, by the number of hashes."""
-    need = often.count() // 2  # 32 bits or more a hash let through one in 32 of the others
+    need = often.count() // 4  # 16 bits or more a hash let through one in 16 of the others
     size = min(MOST_FILTER_WORDS, max(FILTER_WORDS, 1 << need.bit_length()))
     word, bit = F.col("hash").bitwiseAND(F.lit(size - 1)).cast("int"), F.shiftrightunsigned("hash", 58).cast("int")
-    marked = often.select(word.alias("word"), bit.alias("bit")).withColumn("mask", F.expr("shiftleft(1L, bit)")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # as many rows as words at most
+    # as many rows as words at most, in columns: rows one by one would take the driver a hundred times the filter's bytes
+    marked = often.select(word.alias("word"), bit.alias("bit")).withColumn("mask", F.expr("shiftleft(1L, bit)")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     table = np.zeros(size, np.uint64)
-    table[marked["word"].to_numpy(np.int64)] = marked["mask"].to_numpy(np.int64).view(np.uint64)
+    table[marked["word"].to_numpy()] = marked["mask"].to_numpy().view(np.uint64)
     return table
 
 
