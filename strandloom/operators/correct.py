@@ -1,7 +1,7 @@
 """K-mer error correction of reads, by rounds of joins with the table of solid k-mers.
 
 The table of k-mers grows with the genome, so it is never sent to the executors: each round asks it only for the k-mers that
-decide the next base to either side of each read's longest solid stretch. A round settles at most one base a side and read.
+decide the next base to either side of each read's longest solid stretch. A round settles at most one base a side and read; rounds go on until none does.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _next_bases(state: DataFrame, islands: DataFrame, solid: DataFrame, k: int,
     return best.groupBy("ord").agg(F.coalesce(pick(-1, "place"), F.lit(-1)).alias("left"), pick(-1, "base").alias("left_base"), F.coalesce(pick(1, "place"), F.lit(-1)).alias("right"), pick(1, "base").alias("right_base"))
 
 
-def correct(reads: DataFrame, store, k: int = 33, min_cov: int = 3, quality: int = 20, look: int = 5, most: int = 8, no_correct: bool = False, discard: bool = False, drop_unique: bool = False, with_quality: bool = True) -> DataFrame:
+def correct(reads: DataFrame, store, k: int = 33, min_cov: int = 3, quality: int = 20, look: int = 5, no_correct: bool = False, discard: bool = False, drop_unique: bool = False, with_quality: bool = True) -> DataFrame:
     """(ord, id, seq, qual, n_corrected, correctable) of reads (ord, id, seq, qual).
 
     Corrected bases are lower case. Qualities of correctable reads say what was done: the base that stood there (from `\"` for A to `&` for N) where it was changed,
@@ -83,7 +83,7 @@ def correct(reads: DataFrame, store, k: int = 33, min_cov: int = 3, quality: int
     if not no_correct and mode:
         first = store(_first_stretch(state, counts, _solid_positions(state, solid, k), k, int(mode[0]["n"])))
         state = store(state.join(first, "ord", "left").select("ord", F.coalesce(_put(F.col("seq"), F.col("place"), F.col("base")), "seq").alias("seq")))
-        for _ in range(most):
+        while True:  # every edit makes a read's longest stretch longer
             edits = store(_next_bases(state, _islands(_solid_positions(state, solid, k)), solid, k, look))
             if edits.isEmpty():
                 break

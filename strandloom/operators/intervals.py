@@ -35,6 +35,21 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_width: int = BIN, left: str = "
     return joined.filter((s < u) & (t < e) & (F.col("bin") == F.expr(f"greatest({left}chrom_start, {right}chrom_start) div {bin_width}"))).drop("bin")
 
 
+def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Whether two intervals of one chromosome share a base; empty ones share none."""
+    return (a_start < b_end) & (b_start < a_end) & (a_start < a_end) & (b_start < b_end)
+
+
+def contains(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Whether the second interval lies within the first."""
+    return (a_start <= b_start) & (b_end <= a_end)
+
+
+def overlap_bases(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """How many bases two intervals of one chromosome share."""
+    return F.greatest(F.least(a_end, b_end) - F.greatest(a_start, b_start), F.lit(0))
+
+
 def sort(df: DataFrame) -> DataFrame:
     """BED3 in order of chromosome (by bytes), start and end."""
     return df.select("chrom", "chrom_start", "chrom_end").orderBy("chrom", "chrom_start", "chrom_end")

@@ -40,7 +40,7 @@ def adjust(df: DataFrame, method: str = "bh", p: str = "p") -> DataFrame:
     values = df.groupBy(F.col(p).alias("at")).agg(F.count("*").alias("ties")).withColumn("chrom", F.lit(""))
     width = 1 / 4096
     ranked = running(values, F.col("ties"), F.sum, tile=width).select("chrom", "at", "ties", (F.col("own") + F.coalesce("before", F.lit(0))).alias("upto")).crossJoin(F.broadcast(n))
-    harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("total")), F.lit(0.0), lambda s, i: s + 1 / i) if how == "by" else F.lit(1.0)
+    harmonic = F.lit(df.sparkSession.range(1, df.count() + 1).agg(F.coalesce(F.sum(1 / F.col("id")), F.lit(0.0))).first()[0]) if how == "by" else F.lit(1.0)
     first = F.col("upto") - F.col("ties") + 1
     value = {"bh": F.col("total") / F.col("upto") * F.col("at"), "by": harmonic * F.col("total") / F.col("upto") * F.col("at"), "holm": (F.col("total") - first + 1) * F.col("at"), "hochberg": (F.col("total") - F.col("upto") + 1) * F.col("at")}[how]
     up = how == "holm"

@@ -1,4 +1,5 @@
-"""Genomic text formats as DataFrames. Every row knows its place in its file (ord, from 0), as DataFrames have no order.
+"""Genomic text formats as DataFrames. Every row knows its place (ord, from 0), as DataFrames have no order: in its file, or
+where several are read, in all of them in order of their paths, so that ord tells rows of several files apart.
 
 Files are read by Spark's text source, split over tasks where their compression allows. A line's number comes from the lines
 before it in its block of the file, and from the counts of the blocks before that.
@@ -13,16 +14,20 @@ from ..operators.records import GFF_COLUMNS
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, line_no, start, value): the lines of text files, without line ends, with their number and first byte in the file."""
+    """(file, line_no, at, fours, start, value): the lines of text files, without line ends, with their number in the file, and in all files, how many groups of four
+    lines the files before have, and their first byte in the file."""
     raw = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
     sized = raw.withColumn("size", F.octet_length("value") + 1)
     blocks = sized.groupBy("file", "block").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    before = Window.partitionBy("file").orderBy("block")
-    base = blocks.select("file", "block", (F.sum("n").over(before) - F.col("n")).alias("n0"), (F.sum("bytes").over(before) - F.col("bytes")).alias("b0"))
+    before, files = Window.partitionBy("file").orderBy("block"), Window.orderBy("file")
+    # one row a file, and one a block
+    of_file = blocks.groupBy("file").agg(F.sum("n").alias("lines")).select("file", (F.sum("lines").over(files) - F.col("lines")).alias("l0"), (F.sum(F.ceil(F.col("lines") / 4)).over(files) - F.ceil(F.col("lines") / 4)).cast("long").alias("fours"))
+    base = blocks.select("file", "block", (F.sum("n").over(before) - F.col("n")).alias("n0"), (F.sum("bytes").over(before) - F.col("bytes")).alias("b0")).join(of_file, "file")
     own = Window.partitionBy("file", "block").orderBy("m")
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = sized.withColumn("i", F.row_number().over(own) - 1).withColumn("upto", F.sum("size").over(upto)).join(base, ["file", "block"])
-    return numbered.select("file", (F.col("n0") + F.col("i")).cast("long").alias("line_no"), (F.col("b0") + F.col("upto") - F.col("size")).cast("long").alias("start"), F.regexp_replace("value", "\r$", "").alias("value"))
+    line_no = (F.col("n0") + F.col("i")).cast("long")
+    return numbered.select("file", line_no.alias("line_no"), (F.col("l0") + line_no).alias("at"), "fours", (F.col("b0") + F.col("upto") - F.col("size")).cast("long").alias("start"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def _fail(what: str, row: Column) -> Column:
@@ -49,7 +54,7 @@ def bed(spark: SparkSession, paths, mode: str = "failfast") -> DataFrame:
     else:
         chrom = _checked(whole & (F.col("s") >= 0) & (F.col("s") < F.col("e")), field(0), "not an interval", F.col("value"))
     strand = F.when(field(5).isin("+", "-"), field(5))
-    return row.select("file", F.col("line_no").alias("ord"), chrom.alias("chrom"), F.col("s").alias("chrom_start"), F.col("e").alias("chrom_end"), field(3).alias("name"), field(4).alias("score"), strand.alias("strand"))
+    return row.select("file", F.col("at").alias("ord"), chrom.alias("chrom"), F.col("s").alias("chrom_start"), F.col("e").alias("chrom_end"), field(3).alias("name"), field(4).alias("score"), strand.alias("strand"))
 
 
 def genome_sizes(spark: SparkSession, paths) -> DataFrame:
@@ -57,32 +62,33 @@ def genome_sizes(spark: SparkSession, paths) -> DataFrame:
     body = lines(spark, paths).filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
     f = F.split("value", "\t")
     size = F.get(f, F.lit(1)).try_cast("long")
-    return body.select(_checked(size.isNotNull(), F.get(f, F.lit(0)), "not a size", F.col("value")).alias("chrom"), size.alias("size"), F.col("line_no").alias("place"))
+    return body.select(_checked(size.isNotNull(), F.get(f, F.lit(0)), "not a size", F.col("value")).alias("chrom"), size.alias("size"), F.col("at").alias("place"))
 
 
 def fastq(spark: SparkSession, paths) -> DataFrame:
     """(file, ord, id, seq, qual) of four-line records; a missing line, a wrong mark, or qualities of another length than the bases are errors."""
-    four = lines(spark, paths).groupBy("file", F.expr("line_no div 4").alias("ord")).agg(*(F.max(F.when(F.col("line_no") % 4 == k, F.col("value"))).alias(n) for k, n in enumerate(("head", "seq", "plus", "qual"))))
+    four = lines(spark, paths).groupBy("file", F.expr("fours + line_no div 4").alias("ord")).agg(*(F.max(F.when(F.col("line_no") % 4 == k, F.col("value"))).alias(n) for k, n in enumerate(("head", "seq", "plus", "qual"))))
     ok = F.col("head").startswith("@") & F.col("plus").startswith("+") & F.col("qual").isNotNull() & (F.length("seq") == F.length("qual"))
     return four.select("file", "ord", _checked(ok, F.substr(F.col("head"), F.lit(2)), "not a FASTQ record", F.col("head")).alias("id"), "seq", "qual")
 
 
 def _records(text: DataFrame) -> DataFrame:
-    """Lines with the number of the FASTA record that they belong to (-1 before the first header)."""
+    """Lines with the number of the FASTA record that they belong to, in all files (ord) and in their own (place, -1 before the first header)."""
     head = F.col("value").startswith(">").cast("long")
     run = text.withColumn("run", F.expr(f"line_no div {1 << 16}")).withColumn("head", head)
     sums = run.groupBy("file", "run").agg(F.sum("head").alias("n"))
-    base = sums.select("file", "run", (F.sum("n").over(Window.partitionBy("file").orderBy("run")) - F.col("n")).alias("before"))
+    of_file = sums.groupBy("file").agg(F.sum("n").alias("heads")).select("file", (F.sum("heads").over(Window.orderBy("file")) - F.col("heads")).alias("h0"))
+    base = sums.select("file", "run", (F.sum("n").over(Window.partitionBy("file").orderBy("run")) - F.col("n")).alias("before")).join(of_file, "file")
     own = Window.partitionBy("file", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return run.withColumn("own", F.sum("head").over(own)).join(base, ["file", "run"]).withColumn("ord", F.col("before") + F.col("own") - 1)
+    return run.withColumn("own", F.sum("head").over(own)).join(base, ["file", "run"]).withColumn("place", F.col("before") + F.col("own") - 1).withColumn("ord", F.col("h0") + F.col("place"))
 
 
 def fasta(spark: SparkSession, paths) -> DataFrame:
     """(file, ord, id, seq): headers whole, wrapped lines joined. Text before the first header is an error."""
     body = _records(lines(spark, paths).filter(F.trim("value") != ""))
     part = F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("line_no", "value"))))
-    rows = body.groupBy("file", "ord").agg(F.max(F.when(F.col("head") == 1, F.substr(F.col("value"), F.lit(2)))).alias("id"), F.array_join(F.transform(part, lambda x: F.regexp_replace(x["value"], r"\s", "")), "").alias("seq"))
-    return rows.select("file", "ord", _checked(F.col("ord") >= 0, F.col("id"), "text before the first header of", F.col("file")).alias("id"), "seq")
+    rows = body.groupBy("file", "ord", "place").agg(F.max(F.when(F.col("head") == 1, F.substr(F.col("value"), F.lit(2)))).alias("id"), F.array_join(F.transform(part, lambda x: F.regexp_replace(x["value"], r"\s", "")), "").alias("seq"))
+    return rows.select("file", "ord", _checked(F.col("place") >= 0, F.col("id"), "text before the first header of", F.col("file")).alias("id"), "seq")
 
 
 def fastx(spark: SparkSession, paths) -> DataFrame:
@@ -112,12 +118,19 @@ def gff(spark: SparkSession, paths) -> DataFrame:
     body = lines(spark, paths).filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
     f = F.split("value", "\t")
     columns = [F.get(f, F.lit(k)).try_cast("long").alias(c) if c.endswith("_pos") else F.get(f, F.lit(k)).alias(c) for k, c in enumerate(GFF_COLUMNS)]
-    return body.filter(F.size(f) >= 9).select("file", F.col("line_no").alias("ord"), *columns)
+    return body.filter(F.size(f) >= 9).select("file", F.col("at").alias("ord"), *columns)
 
 
 def gff_attributes(df: DataFrame) -> DataFrame:
-    """df with its ninth column as a map: key=value of GFF3."""
-    return df.withColumn("attribute_map", F.expr("str_to_map(attributes, ';', '=')"))
+    """df with its ninth column as attribute_map: key=value of GFF3, key "value" of GTF (the first where a key comes again)."""
+    pair = F.lit(r'([^\s;]+)\s+(?:"([^"]*)"|([^\s;"]+))')
+    names = F.regexp_extract_all("attributes", pair, 1)
+    values = F.zip_with(F.regexp_extract_all("attributes", pair, 2), F.regexp_extract_all("attributes", pair, 3), lambda quoted, bare: F.concat(quoted, bare))
+    once = F.array_distinct(names)
+    gtf = F.map_from_arrays(once, F.transform(once, lambda k: F.element_at(values, F.array_position(names, k).cast("int"))))
+    # outside of quotes GTF has no equals sign
+    is_gtf = F.col("attributes").rlike(r'^\s*[^\s;="]+\s+("|[^\s;="]+\s*(;|$))')
+    return df.withColumn("attribute_map", F.when(is_gtf, gtf).otherwise(F.expr("str_to_map(attributes, ';', '=')")))
 
 
 def header(spark: SparkSession, paths, mark: str = "#") -> list[str]:
@@ -132,7 +145,7 @@ def vcf(spark: SparkSession, paths) -> DataFrame:
     text = lambda k, c: F.get(f, F.lit(k)).alias(c)
     samples = F.when(F.size(f) > 9, F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(1))))
     return body.filter(F.size(f) >= 5).select(
-        "file", F.col("line_no").alias("ord"), text(0, "chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), text(2, "id"), text(3, "ref"), text(4, "alt"), F.get(f, F.lit(5)).try_cast("double").alias("qual"), text(6, "filter"), text(7, "info"), text(8, "format"), samples.alias("samples")
+        "file", F.col("at").alias("ord"), text(0, "chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), text(2, "id"), text(3, "ref"), text(4, "alt"), F.get(f, F.lit(5)).try_cast("double").alias("qual"), text(6, "filter"), text(7, "info"), text(8, "format"), samples.alias("samples")
     )
 
 
@@ -147,20 +160,20 @@ def sam(spark: SparkSession, paths) -> DataFrame:
     columns = [F.get(f, F.lit(k)).cast(number.get(c, "string")) for k, c in enumerate(SAM_COLUMNS)]
     columns = [F.when(x != "*", x).alias(c) if c in ("rname", "rnext") else x.alias(c) for x, c in zip(columns, SAM_COLUMNS)]
     tags = F.when(F.size(f) > 11, F.map_from_entries(F.transform(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(1))), lambda t: F.struct(F.substring(t, 1, 2), F.substr(t, F.lit(6))))))
-    return body.select("file", F.col("line_no").alias("ord"), *columns, tags.alias("tags"))
+    return body.select("file", F.col("at").alias("ord"), *columns, tags.alias("tags"))
 
 
 def sam_references(spark: SparkSession, paths) -> DataFrame:
     """(chrom, size, place) of a SAM file's header."""
     sq = lines(spark, paths).filter(F.col("value").startswith("@SQ\t"))
-    return sq.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("chrom"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("long").alias("size"), F.col("line_no").alias("place"))
+    return sq.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("chrom"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("long").alias("size"), F.col("at").alias("place"))
 
 
 def p_values(spark: SparkSession, paths, column: int = 1) -> DataFrame:
     """(ord, line, p): a column (from 1) of a table by tabs; what is no number is an error."""
     body = lines(spark, paths).filter(F.trim("value") != "")
     p = F.get(F.split("value", "\t"), F.lit(column - 1)).try_cast("double")
-    return body.select(F.col("line_no").alias("ord"), F.col("value").alias("line"), _checked(p.isNotNull(), p.cast("string"), "no p-value", F.col("value")).cast("double").alias("p"))
+    return body.select(F.col("at").alias("ord"), F.col("value").alias("line"), _checked(p.isNotNull(), p.cast("string"), "no p-value", F.col("value")).cast("double").alias("p"))
 
 
 def _dump(spark: SparkSession, path: str, *columns: tuple[int, str, str]) -> DataFrame:
@@ -182,7 +195,7 @@ def merged_taxa(spark: SparkSession, folder: str) -> DataFrame:
 
 def newick(spark: SparkSession, paths) -> DataFrame:
     """(tree_id, newick): one tree a line."""
-    return lines(spark, paths).filter(F.trim("value") != "").select(F.col("line_no").alias("tree_id"), F.col("value").alias("newick"))
+    return lines(spark, paths).filter(F.trim("value") != "").select(F.col("at").alias("tree_id"), F.col("value").alias("newick"))
 
 
 def kmer_references(spark: SparkSession, paths=(), literals: str = "") -> list[str]:

@@ -4,7 +4,7 @@ import pytest
 
 from strandloom.operators import correct as ec
 from strandloom.operators import kmers as km
-from strandloom.plans.store import shared_table
+from strandloom.storage import materialize
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,7 @@ def reads_of(genome, broken):
 def test_substitutions_are_undone(spark, genome):
     rows, truth = reads_of(genome, [(50, [40]), (120, [0]), (10, [99]), (200, [20, 70]), (250, [5, 50, 95]), (33, [30, 36])])
     rows += [(9001, "short", "ACGT", "IIII"), (9002, "ns", genome[:80] + "N" * 20, "I" * 100), (9003, "alien", "".join(random.choice("ACGT") for _ in range(100)), "I" * 100)]
-    out = {r["ord"]: r for r in ec.correct(spark.createDataFrame(rows, "ord long, id string, seq string, qual string"), shared_table, k=21).collect()}
+    out = {r["ord"]: r for r in ec.correct(spark.createDataFrame(rows, "ord long, id string, seq string, qual string"), materialize, k=21).collect()}
     given = {r[0]: r for r in rows}
     for n, (start, places) in truth.items():
         want = list(genome[start : start + 100])
@@ -46,7 +46,7 @@ def test_substitutions_are_undone(spark, genome):
     clean = [r for n, r in out.items() if n not in truth and n < 9000]
     assert all(r["n_corrected"] == 0 and r["seq"] == given[r["ord"]][2] and r["correctable"] for r in clean)
     assert all(not out[n]["correctable"] and out[n]["seq"] == given[n][2] and out[n]["qual"] == given[n][3] for n in (9001, 9002, 9003))
-    row = ec.report(ec.correct(spark.createDataFrame(rows, "ord long, id string, seq string, qual string"), shared_table, k=21)).first()
+    row = ec.report(ec.correct(spark.createDataFrame(rows, "ord long, id string, seq string, qual string"), materialize, k=21)).first()
     assert (row["reads_corrected"], row["bases_corrected"], row["uncorrectable"]) == (6, 10, 3)
 
 
@@ -54,11 +54,11 @@ def test_switches(spark, genome):
     rows, truth = reads_of(genome, [(50, [40])])
     df = spark.createDataFrame([*rows, (9003, "alien", "".join(random.choice("ACGT") for _ in range(100)), "I" * 100)], "ord long, id string, seq string, qual string")
     (n,) = truth
-    assert {r["n_corrected"] for r in ec.correct(df, shared_table, k=21, no_correct=True).collect()} == {0}
-    assert 9003 not in {r["ord"] for r in ec.correct(df, shared_table, k=21, discard=True).collect()}
-    assert n not in {r["ord"] for r in ec.correct(df, shared_table, k=21, no_correct=True, drop_unique=True).collect()}
+    assert {r["n_corrected"] for r in ec.correct(df, materialize, k=21, no_correct=True).collect()} == {0}
+    assert 9003 not in {r["ord"] for r in ec.correct(df, materialize, k=21, discard=True).collect()}
+    assert n not in {r["ord"] for r in ec.correct(df, materialize, k=21, no_correct=True, drop_unique=True).collect()}
     with pytest.raises(ValueError):
-        ec.correct(df, shared_table, k=20)
+        ec.correct(df, materialize, k=20)
 
 
 def test_unitigs(spark):
@@ -85,6 +85,6 @@ def test_unitigs(spark):
             at = follow.get(at)
         paths[h] = path
     found = {}
-    for r in km.unitigs(km.graph_edges(frame, 12), shared_table).collect():
+    for r in km.unitigs(km.graph_edges(frame, 12), materialize).collect():
         found.setdefault(r["unitig"], []).append((r["place"], r["node"]))
     assert {h: [n for _, n in sorted(p)] for h, p in found.items()} == paths

@@ -187,3 +187,46 @@ def test_streaming(spark, tmp_path):
     stream = reports.read_stream(spark, str(tmp_path / "in"))
     reports.write_table(reports.windowed_counts(stream, late="0 minutes"), str(tmp_path / "w"), str(tmp_path / "c2")).awaitTermination()
     assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "w")).collect()) == [10, 10, 10]
+
+
+def test_several_files_are_told_apart(spark_small, tmp_path):
+    """ord is one number over all files: the same record in two of them is two reads."""
+    one, two = put(tmp_path / "a.fq", fastq_of(30)), put(tmp_path / "b.fq", fastq_of(30))
+    mates = [put(tmp_path / f"{n}2.fq", fastq_of(30).replace(" x", " y")) for n in "ab"]
+    reads, others = text.fastq(spark_small, [one, two]), text.fastq(spark_small, mates)
+    assert sorted(r["ord"] for r in reads.collect()) == list(range(60))
+    assert sq.pairs(reads, others).count() == 60
+    kept = sq.dedup(reads, mode="full").collect()
+    assert sorted((r["ord"], r["seq"]) for r in kept) == [(i, "ACGTN" * i) for i in range(7)]
+    assert [r["ord"] for r in sq.head(reads, 35).collect()] == list(range(35))
+    assert sorted((r["part"], r["ord"]) for r in sq.split_parts(reads, per_part=25).collect()) == [(i // 25, i) for i in range(60)]
+    assert [r["id"].split()[0] for r in sq.interleave(reads, others).collect()] == [f"r{i % 30}" for i in range(60) for _ in range(2)]
+    assert sorted(r["id"] for r in sq.rename(reads, "n").collect()) == sorted(f"n{i}" for i in range(60))
+
+
+def test_several_fasta_and_bed_files(spark_small, tmp_path):
+    paths = [put(tmp_path / f"{k}.fa", "".join(f">s{i}\n{'ACGT' * (i + 1)}\n" * 1 for i in range(9))) for k in range(3)]
+    rows = sorted((r["ord"], r["id"], r["seq"]) for r in text.fasta(spark_small, paths).collect())
+    assert rows == [(9 * k + i, f"s{i}", "ACGT" * (i + 1)) for k in range(3) for i in range(9)]
+    bad = put(tmp_path / "bad.fa", "ACGT\n>x\nAC\n")
+    with pytest.raises(Exception, match="text before the first header"):
+        text.fasta(spark_small, [paths[0], bad]).collect()
+    beds = [put(tmp_path / f"{k}.bed", "# c\nchr1\t1\t5\nchr2\t3\t9\n") for k in range(2)]
+    assert sorted(r["ord"] for r in text.bed(spark_small, beds).collect()) == [1, 2, 4, 5]
+
+
+def test_attributes_of_gtf_and_gff3(spark, tmp_path):
+    lines = ['gene_id "G1"; transcript_id "T 1;x"; exon_number 3; tag "a"; tag "b";', "ID=e1;Name=a b", 'gene_id "G2"', "ID=q;Note=x y"]
+    path = put(tmp_path / "a.gtf", "".join(f"c\ts\texon\t1\t9\t.\t+\t.\t{x}\n" for x in lines))
+    found = [r["attribute_map"] for r in text.gff_attributes(text.gff(spark, path)).orderBy("ord").collect()]
+    assert found == [{"gene_id": "G1", "transcript_id": "T 1;x", "exon_number": "3", "tag": "a"}, {"ID": "e1", "Name": "a b"}, {"gene_id": "G2"}, {"ID": "q", "Note": "x y"}]
+
+
+def test_interval_predicates(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(a, b, c, d) for a in range(4) for b in range(a, 5) for c in range(4) for d in range(c, 5)]
+    args = [F.col(c) for c in "abcd"]
+    for r in spark.createDataFrame(rows, "a int, b int, c int, d int").select("*", iv.overlaps(*args).alias("o"), iv.contains(*args).alias("k"), iv.overlap_bases(*args).alias("n")).collect():
+        one, two = set(range(r["a"], r["b"])), set(range(r["c"], r["d"]))
+        assert r["o"] == bool(one & two) and r["n"] == len(one & two) and r["k"] == (r["a"] <= r["c"] and r["d"] <= r["b"])
