@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches as bt
 from ..functions import kernels as kn
 from .sequences import pairs
 
@@ -46,79 +48,87 @@ class Trim:
 _COUNTERS = ("adapter_reads", "adapter_bases", "poly_g_reads", "poly_g_bases", "poly_x_reads", "poly_x_bases", "fixed_bases", "overlap_pairs", "overlap_bases")
 
 
-class _Read:
-    """A read's window, cut from its end, with counters of what was cut by which layer."""
+class _Reads:
+    """Reads as rows of a matrix, their windows, cut from the end, and counters of what was cut by which layer."""
 
-    def __init__(self, seq: str, front: int, tail: int, done: dict[str, int]):
-        self.bases, self.done = kn.array(seq), done
-        self.start, self.end = front, len(self.bases) - tail
-        self.whole = front + tail < len(self.bases)
-        if self.whole:
-            done["fixed_bases"] += front + tail
+    def __init__(self, seqs: list[str], front: int, tail: int):
+        self.bases, self.length = bt.matrix(seqs)
+        self.whole = front + tail < self.length
+        self.start = np.where(self.whole, front, 0)
+        self.size = np.where(self.whole, self.length - front - tail, 0)
+        self.done = {c: np.zeros(len(seqs), np.int64) for c in _COUNTERS}
+        self.done["fixed_bases"] += np.where(self.whole, front + tail, 0)
 
-    def window(self):
-        return self.bases[self.start : self.end]
+    def windows(self, reverse: bool = False) -> np.ndarray:
+        return bt.moved(self.bases, self.start, self.size, reverse)
 
-    def cut(self, at: int | None, layer: str) -> None:
-        if at is not None and at < self.end - self.start:
-            self.done[f"{layer}_reads"] += 1
-            self.done[f"{layer}_bases"] += self.end - self.start - at
-            self.end = self.start + at
+    def cut(self, at: np.ndarray, layer: str, rows=True) -> None:
+        now = rows & self.whole & (at >= 0) & (at < self.size)
+        self.done[f"{layer}_reads"] += now
+        self.done[f"{layer}_bases"] += np.where(now, self.size - at, 0)
+        self.size = np.where(now, at, self.size)
 
-    def adapter(self, t: Trim, adapter: str) -> None:
-        self.cut(kn.adapter_start(self.window(), kn.array(adapter), t.adapter_least, t.adapter_rate), "adapter")
+    def adapter(self, t: Trim, adapter: str, rows=True) -> None:
+        if adapter:
+            self.cut(bt.adapter_starts(self.windows(), self.size, kn.array(adapter), t.adapter_least, t.adapter_rate), "adapter", rows)
 
     def poly_g(self, t: Trim) -> None:
         if t.poly_g:
-            self.cut(kn.poly_tail(self.window(), t.poly_g_base, t.poly_g_least), "poly_g")
+            self.cut(bt.poly_tails(self.windows(reverse=True), self.size, t.poly_g_base, t.poly_g_least), "poly_g")
 
     def poly_x(self, t: Trim) -> None:
         if t.poly_x:
-            self.cut(kn.dominant_tail(self.window(), t.poly_x_least, t.poly_x_mismatches, t.poly_x_per), "poly_x")
+            self.cut(bt.dominant_tails(self.windows(reverse=True), self.size, t.poly_x_least, t.poly_x_mismatches, t.poly_x_per), "poly_x")
 
 
-def _single(seq: str, t: Trim) -> tuple[int, int, bool, dict[str, int]]:
-    done = dict.fromkeys(_COUNTERS, 0)
-    r = _Read(seq, t.front1, t.tail1, done)
-    if not r.whole:
-        return 0, 0, False, done
+def _single(seqs: list[str], t: Trim) -> pd.DataFrame:
+    """Window, whether it is kept, and counters of each read."""
+    r = _Reads(seqs, t.front1, t.tail1)
     r.adapter(t, t.adapter1)
     r.poly_g(t)
     r.poly_x(t)
-    return r.start, r.end, r.end - r.start >= t.least, done
+    return pd.DataFrame({"s": r.start, "e": r.start + r.size, "kept": r.whole & (r.size >= t.least), **r.done})
 
 
-def _pair(seq1: str, seq2: str, t: Trim) -> tuple[int, int, int, int, bool, dict[str, int]]:
-    done = dict.fromkeys(_COUNTERS, 0)
-    a, b = _Read(seq1, t.front1, t.tail1, done), _Read(seq2, t.front2, t.tail2, done)
-    if not (a.whole and b.whole):
-        done["fixed_bases"] = 0
-        return 0, 0, 0, 0, False, done
+def _pair(seqs1: list[str], seqs2: list[str], t: Trim) -> pd.DataFrame:
+    """Windows, whether they are kept, and counters of each pair."""
+    a, b = _Reads(seqs1, t.front1, t.tail1), _Reads(seqs2, t.front2, t.tail2)
+    whole = a.whole & b.whole
     for r in (a, b):
+        r.start, r.size, r.whole = np.where(whole, r.start, 0), np.where(whole, r.size, 0), whole
+        r.done["fixed_bases"] = np.where(whole, r.done["fixed_bases"], 0)
         r.poly_g(t)
-    met = kn.trim_overlap(a.window(), kn.reverse_complement(b.window()), t.overlap_require, t.overlap_limit, t.overlap_share) if t.overlap else None
-    if met is not None and met[0] < 0:  # the insert is shorter than the reads: what is behind it is adapter
+    short = np.zeros(len(seqs1), bool)
+    if t.overlap:
+        found, offset, size = bt.trim_overlaps(a.windows(), a.size, bt.complements(b.windows(), b.size), b.size, t.overlap_require, t.overlap_limit, t.overlap_share)
+        short = whole & found & (offset < 0)  # the insert is shorter than the reads: what is behind it is adapter
         for r, far in ((a, b.start), (b, a.start)):
-            size = min(r.end - r.start, met[1] + far)
-            done["overlap_bases"] += r.end - r.start - size
-            r.end = r.start + size
-        done["overlap_pairs"] = 1
-    else:
-        a.adapter(t, t.adapter1)
-        b.adapter(t, t.adapter2)
+            left = np.where(short, np.minimum(r.size, size + far), r.size)
+            a.done["overlap_bases"] += r.size - left
+            r.size = left
+        a.done["overlap_pairs"] += short
+    a.adapter(t, t.adapter1, ~short)
+    b.adapter(t, t.adapter2, ~short)
     for r in (a, b):
         r.poly_x(t)
-    return a.start, a.end, b.start, b.end, min(a.end - a.start, b.end - b.start) >= t.least, done
+    kept = whole & (np.minimum(a.size, b.size) >= t.least)
+    return pd.DataFrame({"s1": a.start, "e1": a.start + a.size, "s2": b.start, "e2": b.start + b.size, "kept": kept, **{c: a.done[c] + b.done[c] for c in _COUNTERS}})
 
 
 _COUNTED = ", ".join(f"{c} long" for c in _COUNTERS)
 
 
+def _by_parts(b: pd.DataFrame, columns: list[str], f, t: Trim) -> Iterator[pd.DataFrame]:
+    """b with what f gives for its columns of sequences, in parts whose matrices are small enough."""
+    for rows in bt.parts(np.maximum.reduce([b[c].str.len().to_numpy(np.int64) for c in columns])):
+        part = b.iloc[rows].reset_index(drop=True)
+        yield pd.concat([part, f(*(part[c].tolist() for c in columns), t)], axis=1)
+
+
 def _windows(df: DataFrame, t: Trim) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [_single(s, t) for s in b["seq"]]
-            yield pd.concat([b, pd.DataFrame([r[:3] for r in rows], columns=["s", "e", "kept"], index=b.index), pd.DataFrame([r[3] for r in rows], columns=list(_COUNTERS), index=b.index)], axis=1)
+            yield from _by_parts(b, ["seq"], _single, t)
 
     return df.select("ord", "id", "seq", "qual").mapInPandas(run, f"ord long, id string, seq string, qual string, s long, e long, kept boolean, {_COUNTED}")
 
@@ -126,8 +136,7 @@ def _windows(df: DataFrame, t: Trim) -> DataFrame:
 def _pair_windows(r1: DataFrame, r2: DataFrame, t: Trim) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [_pair(s, u, t) for s, u in zip(b["seq1"], b["seq2"])]
-            yield pd.concat([b, pd.DataFrame([r[:5] for r in rows], columns=["s1", "e1", "s2", "e2", "kept"], index=b.index), pd.DataFrame([r[5] for r in rows], columns=list(_COUNTERS), index=b.index)], axis=1)
+            yield from _by_parts(b, ["seq1", "seq2"], _pair, t)
 
     columns = "ord id1 seq1 qual1 id2 seq2 qual2".split()
     return pairs(r1, r2).select(*columns).mapInPandas(run, f"ord long, id1 string, seq1 string, qual1 string, id2 string, seq2 string, qual2 string, s1 long, e1 long, s2 long, e2 long, kept boolean, {_COUNTED}")
@@ -158,16 +167,27 @@ def trim_report(df: DataFrame, t: Trim = Trim()) -> DataFrame:
 def merge(r1: DataFrame, r2: DataFrame, require: int = 30, limit: int = 5, percent: float = 20, correct: bool = False, include_unmerged: bool = False) -> DataFrame:
     """Overlapping mates made one read, named by the bases from either; include_unmerged adds the mates of the others."""
 
+    def part(b: pd.DataFrame) -> pd.DataFrame:
+        (one, n), (two, m) = bt.matrix(b["seq1"].tolist()), bt.matrix(b["seq2"].tolist())
+        found, offset, size, wrong = bt.merge_overlaps(one, n, bt.complements(two, m, merging=True), m, require, limit, percent)
+        rows = []
+        # what overlaps is put together one by one, the search is over
+        for k in np.flatnonzero(found).tolist():
+            r = b.iloc[k]
+            seq, qual, len1, len2, changed = kn.join_pair(r["seq1"], r["qual1"], r["seq2"], r["qual2"], (int(offset[k]), int(size[k]), int(wrong[k])), correct)
+            rows.append((r["ord"], 0, f"{r['id1']} merged_{len1}_{len2}", seq, qual, True, changed))
+        out = [pd.DataFrame(rows, columns=columns)]
+        if include_unmerged:
+            rest = b[~found]
+            out += [pd.DataFrame({"ord": rest["ord"], "mate": k, "id": rest[f"id{k}"], "seq": rest[f"seq{k}"], "qual": rest[f"qual{k}"], "merged": False, "corrected": 0}) for k in (1, 2)]
+        return pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
+
+    columns = "ord mate id seq qual merged corrected".split()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                found = kn.merge_pair(r.seq1, r.qual1, r.seq2, r.qual2, require, limit, percent, correct)
-                if found:
-                    rows.append((r.ord, 0, f"{r.id1} merged_{found[2]}_{found[3]}", found[0], found[1], True, found[4]))
-                elif include_unmerged:
-                    rows += [(r.ord, 1, r.id1, r.seq1, r.qual1, False, 0), (r.ord, 2, r.id2, r.seq2, r.qual2, False, 0)]
-            yield pd.DataFrame(rows, columns="ord mate id seq qual merged corrected".split())
+            for rows in bt.parts(np.maximum(b["seq1"].str.len().to_numpy(np.int64), b["seq2"].str.len().to_numpy(np.int64))):
+                yield part(b.iloc[rows].reset_index(drop=True))
 
     return pairs(r1, r2).select(*"ord id1 seq1 qual1 id2 seq2 qual2".split()).mapInPandas(run, "ord long, mate int, id string, seq string, qual string, merged boolean, corrected long")
 
