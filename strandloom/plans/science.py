@@ -31,13 +31,28 @@ _padj("hochberg", "(n - i + 1) * p", "up")
 query("padj_hommel", "pvals")(lambda df: op.adjust(df, "hommel"))
 query("padj_none", "pvals", "SELECT *, p AS adjusted FROM pvals")(lambda df: op.adjust(df, "none"))
 
-query("fisher_combine", "pvals", """WITH s AS (SELECT count(*) AS n, sum(-2 * ln(p)) AS x FROM pvals WHERE p > 0), t AS (SELECT n, x, unnest(range(0, n)) AS i FROM s)
-  SELECT any_value(n) AS n, round(any_value(x), 6) AS statistic, round(sum(exp(i * ln(x / 2) - x / 2 - lgamma(i + 1))), 6) AS p_value FROM t""")(
-    lambda df: op.fisher_combine(df.filter("p > 0")).select("n", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))
+# with any p of 0 the combined p is 0, whatever the others
+query("fisher_combine", "pvals", """WITH s AS (SELECT count(*) AS n, sum(CASE WHEN p > 0 THEN -2 * ln(p) END) AS x, count(*) FILTER (p = 0) AS zeros FROM pvals), t AS (SELECT n, x, zeros, unnest(range(0, n)) AS i FROM s)
+  SELECT any_value(n) AS n, round(any_value(x), 6) AS statistic, CASE WHEN any_value(zeros) > 0 THEN 0.0 ELSE round(sum(exp(i * ln(x / 2) - x / 2 - lgamma(i + 1))), 6) END AS p_value FROM t""")(
+    lambda df: op.fisher_combine(df).select("n", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))
 )
 query("stouffer", "pvals")(op.stouffer_combine)
-query("welch_t", "orders")(lambda df: op.welch_t(df, "o_totalprice", F.col("o_orderkey") % 2 == 0))
-query("mann_whitney", "orders")(lambda df: op.mann_whitney(df, "o_totalprice", F.col("o_orderkey") % 2 == 0))
+# half the tail beyond |t| of Student's distribution, by Simpson's rule, and the normal tail below z <= 0, by its series
+_T_PDF = "exp(lgamma((v + 1) / 2) - lgamma(v / 2) - ln(v * pi()) / 2 - (v + 1) / 2 * ln(1 + u * u / v))"
+_LOWER = "(0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * (SELECT sum(exp((2 * k + 1) * ln(greatest(-z, 1e-300)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))) FROM (SELECT unnest(range(0, 300)) AS k)))"
+query("welch_t", "orders", f"""WITH x AS (SELECT CAST(o_totalprice AS DOUBLE) AS x, o_orderkey % 2 = 0 AS g FROM orders),
+  s AS (SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, avg(x) FILTER (g) - avg(x) FILTER (NOT g) AS d, var_samp(x) FILTER (g) AS v1, var_samp(x) FILTER (NOT g) AS v2 FROM x),
+  t AS (SELECT d / sqrt(v1 / n1 + v2 / n2) AS t, (v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1)) AS v FROM s),
+  i AS (SELECT t, v, unnest(range(0, 4001)) AS i FROM t), f AS (SELECT t, v, i, abs(t) * i / 4000 AS u FROM i)
+  SELECT round(any_value(t), 9) AS statistic, round(any_value(v), 6) AS df, round(least(1.0, 1 - 2 * any_value(abs(t)) / 12000 * sum({_T_PDF} * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)), 9) AS p_value FROM f""")(
+    lambda df: op.welch_t(df, "o_totalprice", F.col("o_orderkey") % 2 == 0).select(F.round("statistic", 9).alias("statistic"), F.round("df", 6).alias("df"), F.round("p_value", 9).alias("p_value"))
+)
+query("mann_whitney", "orders", f"""WITH x AS (SELECT CAST(o_totalprice AS DOUBLE) AS x, o_orderkey % 2 = 0 AS g FROM orders), c AS (SELECT x, CAST(count(*) AS DOUBLE) AS t, CAST(count(*) FILTER (g) AS DOUBLE) AS a FROM x GROUP BY x),
+  r AS (SELECT *, sum(t) OVER (ORDER BY x) - (t - 1) / 2 AS middle FROM c), s AS (SELECT sum(a) AS n1, sum(t - a) AS n2, sum(a * middle) AS r1, sum(t * t * t - t) AS ties FROM r),
+  u AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sigma FROM s), z AS (SELECT u, (least(u, n1 * n2 - u) - n1 * n2 / 2 + 0.5) / sigma AS z0 FROM u), w AS (SELECT u, least(z0, -abs(z0)) AS z FROM z)
+  SELECT u AS statistic, round(least(1.0, 2 * {_LOWER}), 9) AS p_value FROM w""")(
+    lambda df: op.mann_whitney(df, "o_totalprice", F.col("o_orderkey") % 2 == 0).withColumn("p_value", F.round("p_value", 9))
+)
 
 
 _FISHER = """WITH t AS (SELECT c_mktsegment, count(*) FILTER (c_acctbal > 0 AND c_custkey % 2 = 0) AS a, count(*) FILTER (c_acctbal > 0 AND c_custkey % 2 <> 0) AS b, count(*) FILTER (c_acctbal <= 0 AND c_custkey % 2 = 0) AS c,
@@ -117,8 +132,19 @@ def _observed(events):
     return rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("symbols"))
 
 
-query("hmm_viterbi", "events")(lambda df: op.hmm_paths(_observed(df), _MODEL).select("user_id", "states"))
-query("hmm_loglik", "events")(lambda df: op.hmm_paths(_observed(df), _MODEL).select("user_id", "loglik"))
+# one step of a user's events at a time: the best path and its probability, or the summed one, for either state
+_EVENTS = """kinds AS (SELECT event_type, least(row_number() OVER (ORDER BY event_type) - 1, 4) AS s FROM (SELECT DISTINCT event_type FROM events)),
+  seen AS (SELECT user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events JOIN kinds USING (event_type)),
+  e AS (SELECT user_id, i, [0.4, 0.3, 0.1, 0.1, 0.1][s + 1] AS e0, [0.1, 0.1, 0.2, 0.3, 0.3][s + 1] AS e1 FROM seen), last AS (SELECT user_id, max(i) AS n FROM seen GROUP BY user_id)"""
+query("hmm_viterbi", "events", f"""WITH RECURSIVE {_EVENTS},
+  v AS (SELECT user_id, i, ln(0.6) + ln(e0) AS a, ln(0.4) + ln(e1) AS b, [CAST(0 AS INTEGER)] AS pa, [CAST(1 AS INTEGER)] AS pb FROM e WHERE i = 1 UNION ALL
+    SELECT v.user_id, e.i, greatest(a + ln(0.8), b + ln(0.3)) + ln(e0), greatest(a + ln(0.2), b + ln(0.7)) + ln(e1),
+      list_append(CASE WHEN a + ln(0.8) >= b + ln(0.3) THEN pa ELSE pb END, 0), list_append(CASE WHEN a + ln(0.2) >= b + ln(0.7) THEN pa ELSE pb END, 1) FROM v JOIN e ON e.user_id = v.user_id AND e.i = v.i + 1)
+  SELECT v.user_id, CASE WHEN a >= b THEN pa ELSE pb END AS states FROM v JOIN last ON last.user_id = v.user_id AND v.i = last.n""")(lambda df: op.hmm_paths(_observed(df), _MODEL).select("user_id", "states"))
+query("hmm_loglik", "events", f"""WITH RECURSIVE {_EVENTS},
+  f AS (SELECT user_id, i, 0.6 * e0 / (0.6 * e0 + 0.4 * e1) AS a, ln(0.6 * e0 + 0.4 * e1) AS total FROM e WHERE i = 1 UNION ALL
+    SELECT f.user_id, e.i, (a * 0.8 + (1 - a) * 0.3) * e0 / ((a * 0.8 + (1 - a) * 0.3) * e0 + (a * 0.2 + (1 - a) * 0.7) * e1), total + ln((a * 0.8 + (1 - a) * 0.3) * e0 + (a * 0.2 + (1 - a) * 0.7) * e1) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+  SELECT f.user_id, round(total, 6) AS loglik FROM f JOIN last ON last.user_id = f.user_id AND f.i = last.n""")(lambda df: op.hmm_paths(_observed(df), _MODEL).select("user_id", F.round("loglik", 6).alias("loglik")))
 
 _UP = "WITH RECURSIVE up AS (SELECT tax_id, tax_id AS ancestor, 0 AS distance FROM tax_nodes UNION ALL SELECT u.tax_id, n.parent, u.distance + 1 FROM up u JOIN tax_nodes n ON n.tax_id = u.ancestor WHERE n.parent <> n.tax_id)"
 query("tax_lineage", "tax_nodes", f"{_UP} SELECT * FROM up")(op.lineages)
@@ -136,7 +162,8 @@ def _trees(region, nation):
     return region.join(n, region["r_regionkey"] == n["n_regionkey"]).select(F.col("r_regionkey").cast("long").alias("tree_id"), F.concat(F.lit("("), F.translate("leaves", " ", "_"), F.lit(")"), F.translate("r_name", " ", "_"), F.lit(";")).alias("newick"))
 
 
-query("newick_nodes", "region nation")(lambda r, n: op.newick_nodes(_trees(r, n)))
+query("newick_nodes", "region nation", """WITH l AS (SELECT CAST(n_regionkey AS BIGINT) AS tree_id, replace(n_name, ' ', '_') AS name, n_nationkey + 1.0 AS length, row_number() OVER (PARTITION BY n_regionkey ORDER BY concat(n_name, ':', n_nationkey + 1)) AS node FROM nation)
+  SELECT tree_id, node, CAST(0 AS BIGINT) AS parent, name, CAST(length AS DOUBLE) AS length, true AS leaf FROM l UNION ALL SELECT CAST(r_regionkey AS BIGINT), 0, NULL, replace(r_name, ' ', '_'), NULL, false FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)""")(lambda r, n: op.newick_nodes(_trees(r, n)))
 query("newick_round_trip", "region nation", """SELECT CAST(r_regionkey AS BIGINT) AS tree_id, concat('(', (SELECT string_agg(replace(concat(n_name, ':', n_nationkey + 1), ' ', '_'), ',' ORDER BY concat(n_name, ':', n_nationkey + 1)) FROM nation WHERE n_regionkey = r_regionkey), ')', replace(r_name, ' ', '_'), ';') AS newick FROM region""")(
     lambda r, n: op.newick_text(op.newick_nodes(_trees(r, n)))
 )

@@ -105,9 +105,65 @@ def _whole_pairs(a, b):
 
 query("fastq_umi_per_read", "reads mates", _PER_READ)(lambda a, b: op.umi_pairs(*_whole_pairs(a, b), "per_read", 4))
 
-query("fastq_trim_se", "adapted")(lambda df: rd.trim(df, rd.Trim(front1=2, poly_g=True, poly_x=True)))
-query("fastq_trim_pe", "adapted mates")(lambda a, b: rd.trim_pairs(a, b, rd.Trim(overlap=True, poly_g=True)))
-query("fastq_trim_report", "adapted")(lambda df: rd.trim_report(df, rd.Trim(front1=2, poly_g=True, poly_x=True)))
+# layers of trimming as common table expressions: each takes (ord, w), the windows so far, and gives (ord, w)
+_REVERSED = "SELECT ord, w, reverse(w) AS r, length(w) AS n, unnest(range(1, length(w) + 1)) AS k FROM {of}"
+_HAS = "(length(substr(r, 1, k)) - length(regexp_replace(substr(r, 1, k), '[{0}]', '', 'g')))"
+_CUT = "SELECT f.ord, substr(f.w, 1, CAST(coalesce(c.at, length(f.w)) AS INT)) AS w FROM {of} f LEFT JOIN {cut} c ON c.ord = f.ord"
+
+
+def _adapter_sql(of: str, to: str, adapter: str) -> str:
+    """Cut at the first place from which a window agrees with the adapter's front, up to a fifth of mismatches, five bases at least."""
+    return f"""{to}_o AS (SELECT ord, w, unnest(range(0, greatest(length(w) - 4, 0))) AS i FROM {of}),
+      {to}_h AS (SELECT ord, i, least(length(w) - i, {len(adapter)}) AS n, substr(w, CAST(i + 1 AS INT), {len(adapter)}) AS x FROM {to}_o),
+      {to}_c AS (SELECT ord, min(i) AS at FROM {to}_h WHERE CAST(hamming(x, substr('{adapter}', 1, CAST(n AS INT))) AS FLOAT) / CAST(n AS FLOAT) <= CAST(0.2 AS FLOAT) GROUP BY ord),
+      {to} AS ({_CUT.format(of=of, cut=f'{to}_c')})"""
+
+
+def _poly_g_sql(of: str, to: str) -> str:
+    """Cut the tail of G: from the end on while mismatches are five at most and, from ten bases on, one in eight."""
+    return f"""{to}_s AS ({_REVERSED.format(of=of)}), {to}_w AS (SELECT ord, n, k, substr(r, CAST(k AS INT), 1) = 'G' AS hit, k - {_HAS.format('G')} AS wrong FROM {to}_s),
+      {to}_r AS (SELECT ord, coalesce(min(k - 1) FILTER (wrong > 5 OR wrong > k // 8 AND k >= 10), any_value(n)) AS reach FROM {to}_w GROUP BY ord),
+      {to}_c AS (SELECT x.ord, any_value(n) - max(k) AS at FROM {to}_w x JOIN {to}_r y ON x.ord = y.ord WHERE hit AND k - 1 <= reach AND reach >= 10 GROUP BY x.ord),
+      {to} AS ({_CUT.format(of=of, cut=f'{to}_c')})"""
+
+
+def _poly_x_sql(of: str, to: str) -> str:
+    """Cut the tail of its most frequent base: from the end on until every base has too many others beside it."""
+    counts = ", ".join(f"{_HAS.format(b + 'N')} AS {b.lower()}" for b in "ACGT")
+    return f"""{to}_s AS ({_REVERSED.format(of=of)}), {to}_w AS (SELECT ord, n, k, substr(r, CAST(k AS INT), 1) AS base, {counts} FROM {to}_s),
+      {to}_r AS (SELECT ord, least(coalesce(min(k - 1) FILTER (k - greatest(a, c, g, t) > least(5, k // 8) AND k >= 9), any_value(n)) + 1, any_value(n)) AS upto,
+        coalesce(min(k - 1) FILTER (k - greatest(a, c, g, t) > least(5, k // 8) AND k >= 9), any_value(n)) AS reach FROM {to}_w GROUP BY ord),
+      {to}_b AS (SELECT x.ord, upto, CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END AS best FROM {to}_w x JOIN {to}_r y ON x.ord = y.ord AND k = upto WHERE reach + 1 >= 10),
+      {to}_c AS (SELECT x.ord, any_value(n) - max(k) AS at FROM {to}_w x JOIN {to}_b y ON x.ord = y.ord WHERE base = best AND k <= upto GROUP BY x.ord),
+      {to} AS ({_CUT.format(of=of, cut=f'{to}_c')})"""
+
+
+_TRIM_SE = f"""WITH w0 AS (SELECT ord, substr(seq, 3) AS w FROM adapted WHERE length(seq) > 2), {_adapter_sql('w0', 'w1', kn.TRUSEQ_R1)}, {_poly_g_sql('w1', 'w2')}, {_poly_x_sql('w2', 'w3')}"""
+query("fastq_trim_se", "adapted", f"{_TRIM_SE} SELECT a.ord, a.id, w AS seq, substr(qual, 3, CAST(length(w) AS INT)) AS qual FROM adapted a JOIN w3 ON a.ord = w3.ord WHERE length(w) >= 15")(
+    lambda df: rd.trim(df, rd.Trim(front1=2, poly_g=True, poly_x=True))
+)
+query("fastq_trim_report", "adapted", f"""{_TRIM_SE}, n AS (SELECT a.ord, length(a.seq) AS n, w0.ord IS NOT NULL AS whole, length(w0.w) AS n0, length(w1.w) AS n1, length(w2.w) AS n2, length(w3.w) AS n3
+    FROM adapted a LEFT JOIN w0 ON w0.ord = a.ord LEFT JOIN w1 ON w1.ord = a.ord LEFT JOIN w2 ON w2.ord = a.ord LEFT JOIN w3 ON w3.ord = a.ord)
+  SELECT count(*) AS reads_in, count(*) FILTER (n3 >= 15) AS reads_out, CAST(sum(n) AS BIGINT) AS bases_in, CAST(coalesce(sum(n3) FILTER (n3 >= 15), 0) AS BIGINT) AS bases_out, count(*) FILTER (coalesce(n3, 0) < 15) AS too_short,
+    count(*) FILTER (n1 < n0) AS adapter_reads, CAST(coalesce(sum(n0 - n1), 0) AS BIGINT) AS adapter_bases, count(*) FILTER (n2 < n1) AS poly_g_reads, CAST(coalesce(sum(n1 - n2), 0) AS BIGINT) AS poly_g_bases,
+    count(*) FILTER (n3 < n2) AS poly_x_reads, CAST(coalesce(sum(n2 - n3), 0) AS BIGINT) AS poly_x_bases, CAST(2 * count(*) FILTER (whole) AS BIGINT) AS fixed_bases, CAST(0 AS BIGINT) AS overlap_pairs, CAST(0 AS BIGINT) AS overlap_bases FROM n""")(
+    lambda df: rd.trim_report(df, rd.Trim(front1=2, poly_g=True, poly_x=True))
+)
+# the first offset of mate 2 into mate 1, upwards from 0 and then downwards from -1, at which mismatches stay within a fifth and five
+_OVERLAP = """x AS (SELECT a.ord, a.w AS s1, translate(reverse(b.w), 'ACGT', 'TGCA') AS s2 FROM a1 a JOIN b1 b ON a.ord = b.ord WHERE length(a.w) >= 30 AND length(b.w) >= 30),
+  o AS (SELECT ord, s1, s2, unnest(list_concat(range(0, length(s1) - 29), range(-1, 29 - length(s2), -1))) AS o FROM x),
+  z AS (SELECT *, CASE WHEN o >= 0 THEN least(length(s1) - o, length(s2)) ELSE least(length(s1), length(s2) + o) END AS size FROM o),
+  m AS (SELECT ord, o, size, hamming(substr(s1, CAST(1 + greatest(o, 0) AS INT), CAST(size AS INT)), substr(s2, CAST(1 + greatest(-o, 0) AS INT), CAST(size AS INT))) AS wrong FROM z),
+  met AS (SELECT ord, arg_min(o, CASE WHEN o >= 0 THEN o ELSE 1000000 - o END) AS o, arg_min(size, CASE WHEN o >= 0 THEN o ELSE 1000000 - o END) AS size FROM m
+    WHERE wrong <= least(5, floor(CAST(size AS FLOAT) * CAST(0.2 AS FLOAT))) GROUP BY ord)"""
+query("fastq_trim_pe", "adapted mates", f"""WITH p AS (SELECT a.ord, a.seq AS s1, b.seq AS s2 FROM adapted a JOIN mates b ON a.ord = b.ord WHERE length(a.seq) > 0 AND length(b.seq) > 0),
+  a0 AS (SELECT ord, s1 AS w FROM p), b0 AS (SELECT ord, s2 AS w FROM p), {_poly_g_sql('a0', 'a1')}, {_poly_g_sql('b0', 'b1')}, {_OVERLAP},
+  a2 AS (SELECT * FROM a1 WHERE ord NOT IN (SELECT ord FROM met WHERE o < 0)), b2 AS (SELECT * FROM b1 WHERE ord NOT IN (SELECT ord FROM met WHERE o < 0)), {_adapter_sql('a2', 'a3', kn.TRUSEQ_R1)}, {_adapter_sql('b2', 'b3', kn.TRUSEQ_R2)},
+  a4 AS (SELECT * FROM a3 UNION ALL SELECT a.ord, substr(w, 1, CAST(size AS INT)) FROM a1 a JOIN met ON met.ord = a.ord WHERE o < 0), b4 AS (SELECT * FROM b3 UNION ALL SELECT b.ord, substr(w, 1, CAST(size AS INT)) FROM b1 b JOIN met ON met.ord = b.ord WHERE o < 0)
+  SELECT a.ord, a.id AS id1, a4.w AS seq1, substr(a.qual, 1, CAST(length(a4.w) AS INT)) AS qual1, b.id AS id2, b4.w AS seq2, substr(b.qual, 1, CAST(length(b4.w) AS INT)) AS qual2
+  FROM adapted a JOIN mates b ON a.ord = b.ord JOIN a4 ON a4.ord = a.ord JOIN b4 ON b4.ord = a.ord WHERE least(length(a4.w), length(b4.w)) >= 15""")(
+    lambda a, b: rd.trim_pairs(a, b, rd.Trim(overlap=True, poly_g=True))
+)
 query("fastq_merge", "reads mates")(lambda a, b: rd.merge(a, b, correct=True, include_unmerged=True))
 
 _DUK_REFERENCE = kn.TRUSEQ_R1
