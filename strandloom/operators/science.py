@@ -289,3 +289,13 @@ def plink_genotypes(packed: bytes, n_samples: int) -> np.ndarray:
     """Genotype codes of one variant's bytes, four samples a byte from the lowest bits: copies of the first allele (2, 1, 0), -1 where missing."""
     two = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").reshape(-1, 2)[:n_samples]
     return np.array([2, -1, 1, 0], np.int8)[two[:, 0] + 2 * two[:, 1]]
+
+
+def genotypes(df: DataFrame, packed: str = "packed", samples: str = "samples") -> DataFrame:
+    """(ord, sample, code) of df(ord, packed binary, samples): a row for each sample of each variant, from 0."""
+
+    @F.pandas_udf("array<int>")
+    def codes(x: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([plink_genotypes(b, k).astype(np.int32) for b, k in zip(x, n)])
+
+    return df.select("ord", F.posexplode(codes(packed, samples)).alias("sample", "code"))

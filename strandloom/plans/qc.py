@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import qc as op
 from .registry import query
 
@@ -27,9 +29,21 @@ query("fastqc_lengths", "reads", "SELECT length(seq) AS length, count(*) AS n FR
 query("fastqc_dup", "reads", """WITH k AS (SELECT CASE WHEN length(seq) > 75 THEN substr(seq, 1, 50) ELSE seq END AS key, row_number() OVER (ORDER BY ord) AS i FROM reads), t AS (SELECT key, count(*) AS n FROM k GROUP BY key HAVING min(i) <= 100000),
   l AS (SELECT CASE WHEN n < 10 THEN CAST(n AS VARCHAR) WHEN n < 50 THEN '>10' WHEN n < 100 THEN '>50' WHEN n < 500 THEN '>100' WHEN n < 1000 THEN '>500' WHEN n < 5000 THEN '>1k' WHEN n < 10000 THEN '>5k' ELSE '>10k' END AS level, n FROM t)
   SELECT level, round(100.0 * count(*) / (SELECT count(*) FROM t), 6) AS distinct_share, round(100.0 * sum(n) / (SELECT sum(n) FROM t), 6) AS read_share FROM l GROUP BY level""")(op.duplication)
-query("fastqc_overrep", "reads")(op.overrepresented)
+_KEYS = "k AS (SELECT CASE WHEN length(seq) > 75 THEN substr(seq, 1, 50) ELSE seq END AS key, row_number() OVER (ORDER BY ord) AS i FROM reads), t AS (SELECT key, count(*) AS n FROM k GROUP BY key HAVING min(i) <= 100000)"
+_SOURCES = ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(op.CONTAMINANTS))
+# the shorter of a sequence and a contaminant somewhere in the longer, with one mismatch at most
+query("fastqc_overrep", "reads", f"""WITH {_KEYS}, o AS (SELECT key, n, round(100.0 * n / (SELECT count(*) FROM reads), 6) AS share FROM t WHERE n > 0.001 * (SELECT count(*) FROM reads)), c(place, name, text) AS (VALUES {_SOURCES}),
+  p AS (SELECT key, place, name, CASE WHEN length(key) <= length(text) THEN key ELSE text END AS short, CASE WHEN length(key) <= length(text) THEN text ELSE key END AS long FROM o, c WHERE length(key) > 0 AND least(length(key), length(text)) >= least(length(text), 20)),
+  w AS (SELECT *, unnest(range(1, length(long) - length(short) + 2)) AS i FROM p), h AS (SELECT key, arg_min(name, place) AS source FROM w WHERE hamming(short, substr(long, CAST(i AS INT), CAST(length(short) AS INT))) <= 1 GROUP BY key)
+  SELECT o.key, n, share, coalesce(h.source, 'No Hit') AS source FROM o LEFT JOIN h ON h.key = o.key""")(op.overrepresented)
 query("fastqc_adapter", "adapted", f"""WITH a(adapter, text) AS (VALUES {', '.join(f"('{n.replace(chr(39), chr(39) * 2)}', '{t}')" for n, t in op.ADAPTERS)}),
   h AS (SELECT a.adapter, instr(r.seq, a.text) AS pos FROM adapted r, a), g AS (SELECT adapter, unnest(range(1, (SELECT max(length(seq)) FROM adapted) + 1)) AS pos FROM a)
   SELECT adapter, pos, round(100.0 * (SELECT count(*) FROM h WHERE h.adapter = g.adapter AND h.pos BETWEEN 1 AND g.pos) / (SELECT count(*) FROM adapted), 6) AS share FROM g""")(op.adapter_content)
-query("fastqc_kmer", "reads")(op.kmer_content)
+query("fastqc_kmer", "reads", f"""WITH f AS (SELECT substr(seq, 1, {op.KMER_BASES}) AS seq FROM (SELECT seq, row_number() OVER (ORDER BY ord) - 1 AS i FROM reads) WHERE i % {op.EVERY} = 0), x AS (SELECT seq, unnest(range(1, greatest(length(seq) - {op.KMER - 2}, 1))) AS pos FROM f),
+  k AS (SELECT substr(seq, CAST(pos AS INT), {op.KMER}) AS kmer, pos FROM x), c AS (SELECT kmer, pos, count(*) AS n FROM k WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY kmer, pos),
+  m AS (SELECT kmer, CAST(sum(n) AS BIGINT) AS n, max(n) AS most, arg_min(pos, -n * 100000 + pos) AS pos FROM c GROUP BY kmer), p AS (SELECT *, (SELECT max(greatest(length(seq) - {op.KMER - 1}, 0)) FROM f) AS places FROM m),
+  t AS (SELECT *, most * places / n AS ratio FROM p ORDER BY ratio DESC, kmer LIMIT 6), b AS (SELECT *, unnest(range(most, n + 1)) AS j FROM t)
+  SELECT kmer, any_value(n) AS n, round(sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - j * ln(places) + (n - j) * ln(1 - 1 / places))), 9) AS p_value, any_value(ratio) AS ratio, any_value(pos) AS pos FROM b GROUP BY kmer""")(
+    lambda df: op.kmer_content(df).withColumn("p_value", F.round("p_value", 9))
+)
 query("fastqc_summary", "reads")(op.summary)

@@ -167,3 +167,11 @@ query("newick_nodes", "region nation", """WITH l AS (SELECT CAST(n_regionkey AS
 query("newick_round_trip", "region nation", """SELECT CAST(r_regionkey AS BIGINT) AS tree_id, concat('(', (SELECT string_agg(replace(concat(n_name, ':', n_nationkey + 1), ' ', '_'), ',' ORDER BY concat(n_name, ':', n_nationkey + 1)) FROM nation WHERE n_regionkey = r_regionkey), ')', replace(r_name, ' ', '_'), ';') AS newick FROM region""")(
     lambda r, n: op.newick_text(op.newick_nodes(_trees(r, n)))
 )
+
+
+@query("plink_genotypes", "part", """WITH v AS (SELECT p_partkey AS ord, (p_partkey * 40503) % 65536 AS v, unnest(range(0, 7)) AS sample FROM part), t AS (SELECT ord, sample, ((CASE WHEN sample < 4 THEN v // 256 ELSE v % 256 END) >> (2 * (sample % 4))) & 3 AS two FROM v)
+  SELECT ord, CAST(sample AS INTEGER) AS sample, CAST([2, -1, 1, 0][two + 1] AS INTEGER) AS code FROM t""")
+def plink_genotypes(part):
+    """Seven samples in two bytes a variant."""
+    packed = F.unhex(F.lpad(F.hex(F.col("p_partkey") * 40503 % 65536), 4, "0"))
+    return op.genotypes(part.select(F.col("p_partkey").alias("ord"), packed.alias("packed"), F.lit(7).alias("samples")))

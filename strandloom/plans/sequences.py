@@ -105,6 +105,18 @@ def _whole_pairs(a, b):
 
 query("fastq_umi_per_read", "reads mates", _PER_READ)(lambda a, b: op.umi_pairs(*_whole_pairs(a, b), "per_read", 4))
 
+
+def _umi_pairs(location: str, umi: str, cut: str = "0", **sizes) -> None:
+    """Mates with a tag in both headers, `cut` bases of mate 2 gone."""
+    sql = f"""WITH p AS (SELECT a.ord, a.id, a.seq AS seq1, a.qual AS qual1, b.id AS id2, b.seq AS s2, b.qual AS q2 FROM reads a JOIN mates b ON a.ord = b.ord WHERE length(a.seq) > 0 AND length(b.seq) > 0), t AS (SELECT *, {umi} AS u FROM p)
+      SELECT ord, {_TAGGED.format(umi='u')} AS id1, concat(split_part(id2, ' ', 1), ':', u, substr(id2, length(split_part(id2, ' ', 1)) + 1)) AS id2, seq1, qual1, substr(s2, CAST({cut} + 1 AS INT)) AS seq2, substr(q2, CAST({cut} + 1 AS INT)) AS qual2 FROM t"""
+    query(f"fastq_umi_{location}", "reads mates", sql)(lambda a, b: op.umi_pairs(*_whole_pairs(a, b), location, **sizes))
+
+
+_umi_pairs("read2", "substr(s2, 1, 6)", "least(least(length(s2), 6) + 1, length(s2) - 1)", length=6, skip=1)
+_umi_pairs("index2", "split_part(id2, '+', 2)")
+_umi_pairs("per_index", "concat(split_part(split_part(id, '+', 1), ':', -1), '_', split_part(id2, '+', 2))")
+
 # layers of trimming as common table expressions: each takes (ord, w), the windows so far, and gives (ord, w)
 _REVERSED = "SELECT ord, w, reverse(w) AS r, length(w) AS n, unnest(range(1, length(w) + 1)) AS k FROM {of}"
 _HAS = "(length(substr(r, 1, k)) - length(regexp_replace(substr(r, 1, k), '[{0}]', '', 'g')))"
@@ -164,17 +176,41 @@ query("fastq_trim_pe", "adapted mates", f"""WITH p AS (SELECT a.ord, a.seq AS s1
   FROM adapted a JOIN mates b ON a.ord = b.ord JOIN a4 ON a4.ord = a.ord JOIN b4 ON b4.ord = a.ord WHERE least(length(a4.w), length(b4.w)) >= 15""")(
     lambda a, b: rd.trim_pairs(a, b, rd.Trim(overlap=True, poly_g=True))
 )
-query("fastq_merge", "reads mates")(lambda a, b: rd.merge(a, b, correct=True, include_unmerged=True))
+# the first offset, upwards from 0 and then downwards, at which all mismatches, or those of the first 50 bases of more, stay within a fifth and five; where mates disagree, Q30 overrules Q14
+query("fastq_merge", "reads mates", """WITH p AS (SELECT a.ord, a.id AS id1, b.id AS id2, a.seq AS s1, a.qual AS q1, b.seq AS seq2, b.qual AS qual2, translate(reverse(b.seq), 'ACGT', 'TGCA') AS s2, reverse(b.qual) AS q2 FROM reads a JOIN mates b ON a.ord = b.ord),
+  o AS (SELECT ord, s1, s2, unnest(list_concat(range(0, greatest(0, length(s1) - 30)), range(0, -greatest(0, length(s2) - 30), -1))) AS o FROM p),
+  z AS (SELECT *, CASE WHEN o >= 0 THEN least(length(s1) - o, length(s2)) ELSE least(length(s1), length(s2) + o) END AS size FROM o),
+  y AS (SELECT ord, o, size, substr(s1, CAST(1 + greatest(o, 0) AS INT), CAST(size AS INT)) AS x, substr(s2, CAST(1 + greatest(-o, 0) AS INT), CAST(size AS INT)) AS y, least(5, floor(size * 0.2)) AS budget FROM z),
+  met AS (SELECT ord, arg_min(o, CASE WHEN o >= 0 THEN o ELSE 1000000 - o END) AS o, arg_min(size, CASE WHEN o >= 0 THEN o ELSE 1000000 - o END) AS size FROM y
+    WHERE CASE WHEN x = y THEN 0 ELSE hamming(x, y) END <= budget OR CASE WHEN size <= 50 THEN false ELSE hamming(substr(x, 1, 50), substr(y, 1, 50)) <= budget END GROUP BY ord),
+  m AS (SELECT p.*, size, greatest(o, 0) AS g, greatest(-o, 0) AS l, CASE WHEN o > 0 THEN length(s2) - size ELSE 0 END AS len2 FROM p JOIN met ON met.ord = p.ord),
+  k AS (SELECT *, unnest(range(1, size + 1)) AS k FROM m), c AS (SELECT ord, k, substr(s1, CAST(g + k AS INT), 1) AS x, substr(s2, CAST(l + k AS INT), 1) AS y, substr(q1, CAST(g + k AS INT), 1) AS p, substr(q2, CAST(l + k AS INT), 1) AS q FROM k),
+  f AS (SELECT *, x <> y AND ascii(p) >= 63 AND ascii(q) <= 47 AS one, x <> y AND ascii(q) >= 63 AND ascii(p) <= 47 AS two FROM c),
+  j AS (SELECT ord, string_agg(CASE WHEN two THEN y ELSE x END, '' ORDER BY k) AS seq, string_agg(CASE WHEN two THEN q ELSE p END, '' ORDER BY k) AS qual, count(*) FILTER (one OR two) AS corrected FROM f GROUP BY ord)
+  SELECT m.ord, CAST(0 AS INTEGER) AS mate, concat(id1, ' merged_', g + size, '_', len2) AS id, concat(substr(s1, 1, CAST(g AS INT)), j.seq, substr(s2, CAST(size + 1 AS INT), CAST(len2 AS INT))) AS seq,
+    concat(substr(q1, 1, CAST(g AS INT)), j.qual, substr(q2, CAST(size + 1 AS INT), CAST(len2 AS INT))) AS qual, true AS merged, coalesce(j.corrected, 0) AS corrected FROM m LEFT JOIN j ON j.ord = m.ord
+  UNION ALL SELECT ord, 1, id1, s1, q1, false, 0 FROM p WHERE ord NOT IN (SELECT ord FROM met) UNION ALL SELECT ord, 2, id2, seq2, qual2, false, 0 FROM p WHERE ord NOT IN (SELECT ord FROM met)""")(
+    lambda a, b: rd.merge(a, b, correct=True, include_unmerged=True)
+)
 
 _DUK_REFERENCE = kn.TRUSEQ_R1
 _K = 15
-# every window of the adapter and of its other strand, its middle base a wildcard
-_DUK_KMERS = f"""r AS (SELECT '{_DUK_REFERENCE}' AS s UNION ALL SELECT translate(reverse('{_DUK_REFERENCE}'), 'ACGT', 'TGCA')),
-  w AS (SELECT s, unnest(range(1, length(s) - {_K} + 2)) AS i FROM r), m AS (SELECT DISTINCT concat(substr(s, i, {_K // 2}), '.', substr(s, i + {_K // 2 + 1}, {_K // 2})) AS k FROM w),
-  x AS (SELECT ord, unnest(range(1, greatest(length(seq) - {_K} + 2, 1))) AS i, seq FROM adapted), h AS (SELECT x.ord, min(x.i) AS first FROM x
+# every window of the adapter and of its other strand, its middle base a wildcard; and the first of them in each read of a view
+_DUK_REFS = f"""r AS (SELECT '{_DUK_REFERENCE}' AS s UNION ALL SELECT translate(reverse('{_DUK_REFERENCE}'), 'ACGT', 'TGCA')),
+  w AS (SELECT s, unnest(range(1, length(s) - {_K} + 2)) AS i FROM r), m AS (SELECT DISTINCT concat(substr(s, i, {_K // 2}), '.', substr(s, i + {_K // 2 + 1}, {_K // 2})) AS k FROM w)"""
+
+
+def _duk_hits(view: str, name: str) -> str:
+    return f"""x_{name} AS (SELECT ord, unnest(range(1, greatest(length(seq) - {_K} + 2, 1))) AS i, seq FROM {view}), {name} AS (SELECT x.ord, min(x.i) AS first FROM x_{name} x
     JOIN m ON concat(substr(seq, i, {_K // 2}), '.', substr(seq, i + {_K // 2 + 1}, {_K // 2})) = m.k AND regexp_full_match(substr(seq, i, {_K}), '[ACGT]+') GROUP BY x.ord)"""
+
+
+_DUK_KMERS = f"{_DUK_REFS}, {_duk_hits('adapted', 'h')}"
 query("bbduk_filter", "adapted", f"WITH {_DUK_KMERS} SELECT a.* FROM adapted a LEFT JOIN h ON a.ord = h.ord WHERE h.ord IS NULL AND length(a.seq) >= 10")(lambda df: rd.duk(df, [_DUK_REFERENCE], rd.Duk(k=_K)).filter("not matched").drop("matched"))
 query("bbduk_ktrim_r", "adapted", f"""WITH {_DUK_KMERS}, c AS (SELECT a.ord, a.id, a.seq, a.qual, coalesce(h.first - 1, length(a.seq)) AS n FROM adapted a LEFT JOIN h ON a.ord = h.ord)
   SELECT ord, id, substr(seq, 1, CAST(n AS INT)) AS seq, substr(qual, 1, CAST(n AS INT)) AS qual FROM c WHERE n >= 10""")(lambda df: rd.duk(df, [_DUK_REFERENCE], rd.Duk(k=_K, ktrim="r")).filter("not matched").drop("matched"))
 query("bbduk_qtrim", "reads", """WITH t AS (SELECT ord, id, seq, qual, length(regexp_extract(qual, '^[!-+]*')) AS s, length(regexp_replace(qual, '[!-+]+$', '')) AS e FROM reads)
   SELECT ord, id, substr(seq, CAST(s + 1 AS INT), CAST(e - s AS INT)) AS seq, substr(qual, CAST(s + 1 AS INT), CAST(e - s AS INT)) AS qual FROM t WHERE e - s >= 10""")(lambda df: rd.duk(df, [], rd.Duk(qtrim="rl", trimq=11)).filter("not matched").drop("matched"))
+query("bbduk_pairs", "adapted mates", f"""WITH {_DUK_REFS}, {_duk_hits('adapted', 'h')}, {_duk_hits('mates', 'g')}
+  SELECT a.ord, a.id AS id1, a.seq AS seq1, a.qual AS qual1, b.id AS id2, b.seq AS seq2, b.qual AS qual2 FROM adapted a JOIN mates b ON a.ord = b.ord LEFT JOIN h ON h.ord = a.ord LEFT JOIN g ON g.ord = a.ord
+  WHERE h.ord IS NULL AND g.ord IS NULL AND length(a.seq) >= 10 AND length(b.seq) >= 10""")(lambda a, b: rd.duk_pairs(a, b, [_DUK_REFERENCE], rd.Duk(k=_K)))
