@@ -15,7 +15,39 @@ from ..operators.science import plink_genotypes
 
 _BASES = "=ACMGRSVTWYHKDBN"
 _CIGAR = "MIDNSHP=X"
-_BAM = "file string, ord long, qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string"
+_BAM = "file string, ord long, qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>"
+
+
+# Struct codes of a tag's types.
+_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+
+
+def _tags(raw: bytes, at: int, end: int) -> dict[str, str] | None:
+    """A record's tags as SAM writes their values, without types; None without any. Arrays have their numbers' type before them."""
+    said = lambda v: f"{v:g}" if isinstance(v, float) else str(v)
+    out = {}
+    while at < end:
+        tag, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
+        at += 3
+        if kind in _NUMBERS:
+            (v,) = struct.unpack_from(f"<{_NUMBERS[kind]}", raw, at)
+            at += struct.calcsize(_NUMBERS[kind])
+            out[tag] = said(v)
+        elif kind == "A":
+            out[tag] = chr(raw[at])
+            at += 1
+        elif kind in "ZH":
+            stop = raw.index(b"\0", at)
+            out[tag] = raw[at:stop].decode()
+            at = stop + 1
+        elif kind == "B":
+            code, (n,) = chr(raw[at]), struct.unpack_from("<i", raw, at + 1)
+            values = struct.unpack_from(f"<{n}{_NUMBERS[code]}", raw, at + 5)
+            at += 5 + n * struct.calcsize(_NUMBERS[code])
+            out[tag] = ",".join([code, *map(said, values)])
+        else:
+            raise ValueError(f"no such type of a tag: {kind}")
+    return out or None
 
 
 def decode_bam(data: bytes) -> tuple[list[tuple[str, int]], Iterator[tuple]]:
@@ -47,14 +79,14 @@ def decode_bam(data: bytes) -> tuple[list[tuple[str, int]], Iterator[tuple]]:
             p += (n_seq + 1) // 2
             q = raw[p : p + n_seq]
             qual = "*" if not q or q[0] == 255 else bytes(b + 33 for b in q).decode()
-            yield qname, flag, name(ref), pos + 1, mapq, cigar, name(mate), mate_pos + 1, tlen, seq, qual
+            yield qname, flag, name(ref), pos + 1, mapq, cigar, name(mate), mate_pos + 1, tlen, seq, qual, _tags(raw, p + n_seq, at + size)
             at += size
 
     return refs, records(at)
 
 
 def bam(spark: SparkSession, paths) -> DataFrame:
-    """SAM's columns of BAM files. A file is one task and held whole there."""
+    """SAM's columns of BAM files, tags too. A file is one task and held whole there; ord is its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in _BAM.split(", ")]

@@ -149,6 +149,23 @@ def vcf(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def vcf_info(df: DataFrame) -> DataFrame:
+    """df with its INFO column as info_map, flags with an empty value; a dot is an empty map, and of a key that comes again the first counts."""
+    entries = F.filter(F.split("info", ";"), lambda e: (e != "") & (e != "."))
+    names = F.transform(entries, lambda e: F.substring_index(e, "=", 1))
+    once = F.array_distinct(names)
+    value = lambda k: F.element_at(entries, F.array_position(names, k).cast("int"))
+    return df.withColumn("info_map", F.map_from_arrays(once, F.transform(once, lambda k: F.substr(value(k), F.length(k) + 2))))
+
+
+def vcf_calls(df: DataFrame) -> DataFrame:
+    """(file, ord, sample, call): a row for each sample of each variant, from 0, with its FORMAT keys and values as a map; keys without a value are missing."""
+    keys = F.split("format", ":")
+    calls = df.filter("samples is not null").select("file", "ord", keys.alias("keys"), F.posexplode("samples").alias("sample", "value")).withColumn("value", F.split("value", ":"))
+    n = F.least(F.size("keys"), F.size("value"))
+    return calls.select("file", "ord", "sample", F.map_from_arrays(F.slice("keys", F.lit(1), n), F.slice("value", F.lit(1), n)).alias("call"))
+
+
 SAM_COLUMNS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 
 

@@ -110,10 +110,12 @@ def test_sam_and_bam(spark, tmp_path):
     head = b"@HD\n"
     raw = b"BAM\1" + struct.pack("<i", len(head)) + head + struct.pack("<ii", 1, 3) + b"c1\0" + struct.pack("<i", 100)
     record = struct.pack("<iiBBHHHiiii", 0, 4, 3, 60, 0, 1, 0, 3, -1, -1, 0) + b"q1\0" + struct.pack("<I", 3 << 4) + bytes([0x12, 0x40, 30, 31, 32])
+    record += b"NMC\x03" + b"RGZgroup 1\0" + b"XAAq" + b"XBBs" + struct.pack("<ihh", 2, -5, 7) + b"XFf" + struct.pack("<f", 0.5) + b"XIi" + struct.pack("<i", -70000)
     raw += struct.pack("<i", len(record)) + record
     bam = put(tmp_path / "x.bam", gzip.compress(raw[:20]) + gzip.compress(raw[20:]))
     (r,) = binary.bam(spark, bam).collect()
     assert (r["qname"], r["rname"], r["pos"], r["mapq"], r["cigar"], r["rnext"], r["seq"], r["qual"]) == ("q1", "c1", 5, 60, "3M", None, "ACG", "?@A")
+    assert r["tags"] == {"NM": "3", "RG": "group 1", "XA": "q", "XB": "s,-5,7", "XF": "0.5", "XI": "-70000"}
     assert [tuple(x) for x in binary.bam_references(spark, bam).collect()] == [("c1", 100, 0)]
 
 
@@ -230,3 +232,10 @@ def test_interval_predicates(spark):
     for r in spark.createDataFrame(rows, "a int, b int, c int, d int").select("*", iv.overlaps(*args).alias("o"), iv.contains(*args).alias("k"), iv.overlap_bases(*args).alias("n")).collect():
         one, two = set(range(r["a"], r["b"])), set(range(r["c"], r["d"]))
         assert r["o"] == bool(one & two) and r["n"] == len(one & two) and r["k"] == (r["a"] <= r["c"] and r["d"] <= r["b"])
+
+
+def test_info_and_calls_of_vcf(spark, tmp_path):
+    path = put(tmp_path / "a.vcf", "##x\n#CHROM\nc\t1\t.\tA\tC\t.\tPASS\tDP=3;AF=0.5,0.1;DB;DP=4\tGT:DP\t0/1:9\t./.\nc\t2\t.\tA\tC\t7\tPASS\t.\n")
+    df = text.vcf(spark, path)
+    assert [r["info_map"] for r in text.vcf_info(df).orderBy("ord").collect()] == [{"DP": "3", "AF": "0.5,0.1", "DB": ""}, {}]
+    assert [(r["ord"], r["sample"], r["call"]) for r in text.vcf_calls(df).orderBy("ord", "sample").collect()] == [(2, 0, {"GT": "0/1", "DP": "9"}), (2, 1, {"GT": "./."})]
