@@ -69,11 +69,15 @@ def sequence_quality(df: DataFrame, offset: int = 33) -> DataFrame:
     return df.filter(F.length("qual") > 0).groupBy(F.round(total / F.length("qual")).cast("long").alias("quality")).agg(F.count("*").alias("n"))
 
 
+def _base_counts(df: DataFrame) -> DataFrame:
+    """(pos, c, n): characters in upper case by position; modules that stand on it share its exchange in one plan."""
+    return _at(df, "seq").groupBy("pos", F.upper("c").alias("c")).agg(F.count("*").alias("n"))
+
+
 def base_content(df: DataFrame) -> DataFrame:
     """Per position: percent of G, A, T and C."""
-    chars = _at(df, "seq").withColumn("c", F.upper("c"))
-    share = lambda b: F.round(100.0 * F.count_if(F.col("c") == b) / F.count("*"), 6).alias(b.lower())
-    return chars.groupBy("pos").agg(share("G"), share("A"), share("T"), share("C"))
+    share = lambda b: F.round(100.0 * F.coalesce(F.sum(F.when(F.col("c") == b, F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias(b.lower())
+    return _base_counts(df).groupBy("pos").agg(share("G"), share("A"), share("T"), share("C"))
 
 
 def sequence_gc(df: DataFrame) -> DataFrame:
@@ -95,7 +99,7 @@ def sequence_gc(df: DataFrame) -> DataFrame:
 
 def n_content(df: DataFrame) -> DataFrame:
     """Per position: percent of N."""
-    return _at(df, "seq").groupBy("pos").agg(F.round(100.0 * F.count_if(F.col("c").isin("N", "n")) / F.count("*"), 6).alias("n"))
+    return _base_counts(df).groupBy("pos").agg(F.round(100.0 * F.coalesce(F.sum(F.when(F.col("c") == "N", F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias("n"))
 
 
 def lengths(df: DataFrame) -> DataFrame:
