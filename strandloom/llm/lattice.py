@@ -154,61 +154,67 @@ def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(cosine: float, blocks: int, scale: float, tables: int, probes: int):
+    def of_cells(t: pa.Table, keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+        """For cells of vectors of one length: (node, links, null), links weighed by copies, and a spanning forest as (node, null, other)."""
+        n = t.num_rows
+        cuts = np.append(boundaries(t, keys), n)
+        home, node, copies, own = (t.column(c).to_numpy() for c in ("home", "node", "copies", "own"))
+        across, cell, table = t.column("lo").to_numpy() != t.column("hi").to_numpy(), t.column("cell").to_numpy(), t.column("tab").to_numpy()
+        unit, links, forest = _vectors(t.column("embedding")), np.zeros(n, np.int64), Forest(n)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def count() -> None:
+            """Count the pairs that meet first where they have been found; cells are made anew, of all rows in them at once."""
+            if not held:
+                return
+            a, b = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            forest.link(a, b)
+            rows = np.unique(np.concatenate((a, b)))
+            known = cells(unit[rows], blocks, scale, tables, probes)
+            swap = node[a] > node[b]
+            first, second = np.where(swap, b, a), np.where(swap, a, b)
+            at, where = _first_meeting(known[np.searchsorted(rows, first)], known[np.searchsorted(rows, second)])
+            mine = (at == table[a]) & (where == cell[a])
+            for p, q in ((first[mine], second[mine]), (second[mine], first[mine])):
+                np.add.at(links, p, copies[q])
+
+        pairs = 0
+        for s, e in zip(cuts, cuts[1:]):
+            at_home = np.flatnonzero(home[s:e])
+            for k in range(0, len(at_home) if e - s > 1 else 0, 256):
+                i = at_home[k : k + 256]
+                near = unit[s + i] @ unit[s:e].T >= cosine
+                # two at home meet once; across chunks only rows of different chunks do
+                near &= ~home[None, s:e] | (np.arange(e - s)[None, :] > i[:, None])
+                near &= node[s + i][:, None] != node[None, s:e]
+                if across[s]:
+                    near &= own[s + i][:, None] != own[None, s:e]
+                a, b = np.nonzero(near)
+                if len(a):
+                    held.append((s + i[a], s + b))
+                    pairs += len(a)
+                if pairs >= 1 << 16:
+                    count()
+                    pairs = 0
+        count()
+        got = np.flatnonzero(links)
+        if len(got):
+            yield node[got], links[got], None
+        root = forest.roots()
+        child = np.flatnonzero(root != np.arange(n))
+        if len(child):
+            yield node[child], None, node[root[child]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each cell: (node, links, null), links weighed by copies, and a spanning forest as (node, null, other)."""
         keys = ["cell", "dim", "lo", "hi", "tab"]
-        for whole in whole_cells(batches, keys, 1 << 14):
-            out: list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]] = []
-            cuts = np.append(boundaries(whole, keys), whole.num_rows)
-            home_of_all, nodes = whole.column("home").to_numpy(), whole.column("node").to_numpy()
-            for s, e in zip(cuts, cuts[1:]):
-                home = home_of_all[s:e]
-                if e - s < 2 or not home.any():
-                    continue
-                t = whole.slice(s, e - s)
-                node, copies, own = nodes[s:e], t.column("copies").to_numpy(), t.column("own").to_numpy()
-                lo, hi, cell, table = (t.column(c)[0].as_py() for c in ("lo", "hi", "cell", "tab"))
-                unit = _vectors(t.column("embedding"))
-                links, forest = np.zeros(e - s, np.int64), Forest(e - s)
-                at_home = np.flatnonzero(home)
-                known, has = np.zeros((e - s, tables, 1 + probes), np.int64), np.zeros(e - s, bool)
-                for k in range(0, len(at_home), 256):
-                    i = at_home[k : k + 256]
-                    near = unit[i] @ unit.T >= cosine
-                    # two at home meet once; across chunks only rows of different chunks do
-                    near &= ~home[None, :] | (np.arange(e - s)[None, :] > i[:, None])
-                    near &= node[i][:, None] != node[None, :]
-                    if lo != hi:
-                        near &= own[i][:, None] != own[None, :]
-                    a, b = np.nonzero(near)
-                    if not len(a):
-                        continue
-                    a = i[a]
-                    forest.link(a, b)
-                    new = np.zeros(e - s, bool)
-                    new[a] = new[b] = True
-                    new &= ~has
-                    if new.any():
-                        known[new] = cells(unit[new], blocks, scale, tables, probes)
-                        has |= new
-                    swap = node[a] > node[b]
-                    first, second = np.where(swap, b, a), np.where(swap, a, b)
-                    for part in range(0, len(a), 1 << 17):
-                        p, q = first[part : part + (1 << 17)], second[part : part + (1 << 17)]
-                        at, where = _first_meeting(known[p], known[q])
-                        mine = (at == table) & (where == cell)
-                        links += np.bincount(p[mine], weights=copies[q[mine]], minlength=e - s).astype(np.int64)
-                        links += np.bincount(q[mine], weights=copies[p[mine]], minlength=e - s).astype(np.int64)
-                got = np.flatnonzero(links)
-                if len(got):
-                    out.append((node[got], links[got], None))
-                root = forest.roots()
-                child = np.flatnonzero(root != np.arange(e - s))
-                if len(child):
-                    out.append((node[child], None, node[root[child]]))
-            for a, n, b in out:
-                none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a), none if n is None else pa.array(n), none if b is None else pa.array(b)], ["a", "links", "b"])
+        for whole in whole_cells(batches, keys, 1 << 13):
+            dims = whole.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                t = whole if (dims == dim).all() else whole.filter(pa.array(dims == dim))
+                for a, n, b in of_cells(t, keys):
+                    none = pa.nulls(len(a), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(a), none if n is None else pa.array(n), none if b is None else pa.array(b)], ["a", "links", "b"])
 
     return run
 
