@@ -156,7 +156,8 @@ def mix(docs: DataFrame, *more) -> DataFrame:
     first, last = F.greatest(F.lit(0).cast("long"), F.col("start") - F.col("block") * BLOCK), F.least(F.lit(BLOCK).cast("long"), F.col("start") + F.col("size") - F.col("block") * BLOCK)
     pieces = pieces.select("sid", "start", "block", first.alias("first"), last.alias("last"))
     # a slot takes of a piece what lies before its own end; a block has a slot in every pass at most
-    met = pieces.join(slots(table, counts), ["sid", "block"]).withColumn("upto", F.least("last", "take")).filter("upto > first")
+    # the slots unfold from a few rows, by whose size a broadcast would be chosen
+    met = pieces.join(slots(table, counts).hint("merge"), ["sid", "block"]).withColumn("upto", F.least("last", "take")).filter("upto > first")
     shift = F.col("block") * BLOCK - F.col("start")
     met = met.select("sid", "start", "shard", "pass", "whole", (F.col("first") + shift).alias("from"), (F.col("upto") + shift).alias("upto"))
     part = F.when(~F.col("whole"), F.struct("from", "upto"))
