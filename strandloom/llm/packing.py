@@ -26,7 +26,7 @@ from .common import materialize, small_batches
 
 CAPACITY, END = 4096, 2
 #: Parts of texts whose ids a worker keeps, twice; bytes of text that are cut into parts at once.
-_KEPT, _AT_ONCE = 250_000, 1 << 20
+_KEPT, _AT_ONCE = 500_000, 1 << 20
 #: Pieces of one length that one task numbers by itself.
 _RUN = 4096
 
