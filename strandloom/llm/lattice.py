@@ -104,10 +104,12 @@ def cells(unit: np.ndarray, blocks: int = 1, scale: float = 1.4, tables: int = 5
         for b in range(blocks):
             for k in range(8):
                 gain[:, b * len(_ROOTS) : (b + 1) * len(_ROOTS)] += off[:, 8 * b + k : 8 * b + k + 1] * _ROOTS[:, k]
-        best = np.argsort(-gain, axis=1, kind="stable")[:, :probes] if probes else np.zeros((n, 0), int)
+        rows = np.arange(n)
         for p in range(probes):
+            best = gain.argmax(axis=1)  # of neighbours as near the first
+            gain[rows, best] = -np.inf
             there = home.copy().reshape(n, blocks, 8)
-            there[np.arange(n), best[:, p] // len(_ROOTS)] += _ROOTS[best[:, p] % len(_ROOTS)]
+            there[rows, best // len(_ROOTS)] += _ROOTS[best % len(_ROOTS)]
             out[:, t, 1 + p] = _hash(there.reshape(n, -1), t, dim)
     return out
 
