@@ -193,12 +193,10 @@ def align_pairs(df: DataFrame, local: bool = False, **scores) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for s in range(0, len(x), 128):
-                part = x.iloc[s : s + 128].copy()
-                found = al.align(list(zip(part["a"], part["b"])), local, **scores)
-                for k, c in enumerate(("score", "ops", "a_start", "b_start")):
-                    part[c] = [f[k] for f in found]
-                yield part
+            found = al.align(list(zip(x["a"], x["b"])), local, **scores)
+            for k, c in enumerate(("score", "ops", "a_start", "b_start")):
+                x[c] = [f[k] for f in found]
+            yield x
 
     return df.select("ord", "a", "b").mapInPandas(run, "ord long, a string, b string, score int, ops string, a_start int, b_start int")
 
