@@ -151,3 +151,45 @@ def complements(rows: np.ndarray, size: np.ndarray, merging: bool = False) -> np
     """kernels.reverse_complement of each window."""
     turned = moved(rows, np.zeros(len(rows), np.int64), size, reverse=True)
     return np.where(turned > 0, (kn._MERGE if merging else kn._KEEP_CASE)[turned], 0).astype(np.uint8)
+
+
+def rolling_codes(flat: np.ndarray, k: int, canonical: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all windows of k bytes, two bits a base, first base highest, k up to 31; the smaller of both strands' if canonical; and which are all ACGT (either case).
+
+    Windows are put together from shorter ones, so that it takes log k steps.
+    """
+    n = max(len(flat) - k + 1, 0)
+    code = kn._CODE[flat]
+    one = (code & 3).astype(np.int64)
+    other = 3 - one
+    ahead, back, w = one, other, 1
+    for bit in bin(k)[3:]:
+        ahead, back, w = ahead[:-w] << 2 * w | ahead[w:], back[w:] << 2 * w | back[:-w], 2 * w
+        if bit == "1":
+            ahead, back, w = ahead[:-1] << 2 | one[w:], other[w:] << 2 * w | back[:-1], w + 1
+    bad = np.concatenate(([0], np.cumsum(code == 255, dtype=np.int32)))
+    return (np.minimum(ahead[:n], back[:n]) if canonical else ahead[:n]), bad[k : k + n] == bad[:n]
+
+
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts one behind another as bytes, one a character, each with a zero behind it; their lengths, and where they begin."""
+    lengths = np.array([len(t or "") for t in texts], np.int64)
+    flat = np.frombuffer("".join(f"{t or ''}\0" for t in texts).encode("ascii", "replace"), np.uint8)
+    return flat, lengths, np.cumsum(lengths + 1) - lengths - 1
+
+
+#: Windows that are taken at once.
+WINDOWS = 1 << 19
+
+
+def window_codes(texts: list[str | None], k: int, canonical: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For stretches of all windows of some texts: number of the text, place in it, code, and whether it is all ACGT."""
+    flat, lengths, begins = joined(texts)
+    for s in range(0, len(flat) - k + 1, WINDOWS):
+        code, ok = rolling_codes(flat[s : s + WINDOWS + k - 1], k, canonical)
+        at = np.arange(s, s + len(code))
+        first, last = np.searchsorted(begins, [at[0], at[-1]], "right") - 1
+        text = np.repeat(np.arange(first, last + 1), np.diff(np.concatenate(([at[0]], begins[first + 1 : last + 1], [at[-1] + 1]))))
+        place = at - begins[text]
+        inside = place <= lengths[text] - k
+        yield text[inside], place[inside], code[inside], ok[inside]

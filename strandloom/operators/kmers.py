@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches as bt
 from ..functions import sequence as sq
 
 
@@ -30,13 +35,67 @@ def kmers(df: DataFrame, k: int, canonical: bool = False) -> DataFrame:
     return out.withColumn("kmer", sq.canonical("kmer")) if canonical else out
 
 
+#: The longest k-mers whose codes fit a long, and whose counts a task keeps in one array.
+CODED, DENSE = 31, 11
+
+
+def _partial(df: DataFrame, k: int, canonical: bool, least: int | None = None) -> DataFrame:
+    """(code, n, good, ord): how often a k-mer occurs in a part of the reads, how often with all qualities (characters) from `least` on, and one read that has it.
+
+    k is CODED at most. A k-mer has a row a task up to DENSE, else one for each stretch of windows that has it.
+    """
+
+    def rows(code: np.ndarray, n: np.ndarray, good: np.ndarray, ord_: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (code, n, good, ord_)], names=["code", "n", "good", "ord"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = 4**k if k <= DENSE else 0
+        total, fine = np.zeros(dense, np.int64), np.zeros(dense if least is not None else 0, np.int64)
+        some = np.zeros(dense, np.int64)
+        for b in batches:
+            ords = b.column("ord").to_numpy(zero_copy_only=False).astype(np.int64)
+            low = None
+            if least is not None:
+                quals, _, starts = bt.joined(b.column("qual").to_pylist())
+                low = np.concatenate(([0], np.cumsum(quals < least, dtype=np.int32)))
+            for text, place, code, ok in bt.window_codes(b.column("seq").to_pylist(), k, canonical):
+                text, place, code = text[ok], place[ok], code[ok]
+                clean = code[:0]
+                if low is not None:
+                    at = starts[text] + place
+                    clean = code[low[at + k] == low[at]]
+                if dense:
+                    total += np.bincount(code, minlength=dense)
+                    some[code] = ords[text]
+                    if low is not None:
+                        fine += np.bincount(clean, minlength=dense)
+                elif len(code):
+                    values, first, n = np.unique(code, return_index=True, return_counts=True)
+                    good = np.zeros(len(values), np.int64)
+                    if len(clean):
+                        c, m = np.unique(clean, return_counts=True)
+                        good[np.searchsorted(values, c)] = m
+                    yield rows(values, n, good, ords[text][first])
+        found = np.flatnonzero(total)
+        for s in range(0, len(found), 1 << 17):
+            x = found[s : s + (1 << 17)]
+            yield rows(x, total[x], fine[x] if least is not None else np.zeros(len(x), np.int64), some[x])
+
+    return df.select("ord", "seq", *(["qual"] if least is not None else [])).mapInArrow(run, "code long, n long, good long, ord long")
+
+
 def count(df: DataFrame, k: int, canonical: bool = True) -> DataFrame:
     """How often each k-mer occurs; with its strand's other reading if canonical."""
+    if k <= CODED:
+        return _partial(df, k, canonical).groupBy("code").agg(F.sum("n").alias("n")).select(sq.decode("code", k).alias("kmer"), "n")
     return kmers(df, k, canonical).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def spectrum(df: DataFrame, k: int, quality: int = 20, offset: int = 33) -> DataFrame:
     """Per canonical k-mer its coverage (up to 255) and how often all its bases have the quality (up to 63)."""
+    if k <= CODED:
+        sums = _partial(df, k, True, quality + offset).groupBy("code").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+        return sums.select(sq.decode("code", k).alias("kmer"), F.least("n", F.lit(255)).alias("coverage"), F.least("good", F.lit(63)).alias("good"))
     reads = df.withColumn("low", F.translate("qual", "".join(chr(c) for c in range(33, 127)), "".join("l" if c - offset < quality else "h" for c in range(33, 127))))
     windows = _windows(reads, k, seq=F.upper("seq"), low=F.col("low")).select(F.explode_outer(sq.kmers("seq", k)).alias("x"), "low").select("x.kmer", F.substr(F.col("low"), F.col("x.pos") + 1, F.lit(k)).alias("low")).filter(F.col("kmer").rlike("^[ACGT]+$"))
     return windows.groupBy(sq.canonical("kmer").alias("kmer")).agg(F.least(F.count("*"), F.lit(255)).alias("coverage"), F.least(F.count_if(~F.col("low").contains("l")), F.lit(63)).alias("good"))
@@ -49,15 +108,19 @@ def coverage_mode(spectrum: DataFrame, least: int = 3) -> DataFrame:
 
 
 def without_unique(df: DataFrame, k: int) -> DataFrame:
-    """Reads none of whose k-mers occurs only once."""
-    once = count(df, k).filter("n <= 1").select("kmer")
-    bad = kmers(df, k, canonical=True).join(once, "kmer", "left_semi").select("ord").distinct()
-    return df.join(bad, "ord", "left_anti")
+    """Reads none of whose k-mers occurs only once. Such a k-mer's read is known where it is counted: reads aren't asked for their k-mers again."""
+    if k <= CODED:
+        counts = _partial(df, k, True).groupBy("code").agg(F.sum("n").alias("n"), F.max("ord").alias("ord"))
+    else:
+        counts = kmers(df, k, canonical=True).groupBy("kmer").agg(F.count("*").alias("n"), F.max("ord").alias("ord"))
+    return df.join(counts.filter("n <= 1").select("ord").distinct(), "ord", "left_anti")
 
 
 def graph_edges(df: DataFrame, k: int) -> DataFrame:
     """Distinct edges of the de Bruijn graph: (source, target), the canonical k-1-mers at either end of a k-mer."""
-    ends = kmers(df, k).select(sq.canonical(F.substring("kmer", 1, k - 1)).alias("source"), sq.canonical(F.substring("kmer", 2, k - 1)).alias("target"))
+    # a k-mer and its other strand have different edges: (a, b) and (b, a)
+    windows = _partial(df, k, False).select("code").distinct().select(sq.decode("code", k).alias("kmer")) if k <= CODED else kmers(df, k)
+    ends = windows.select(sq.canonical(F.substring("kmer", 1, k - 1)).alias("source"), sq.canonical(F.substring("kmer", 2, k - 1)).alias("target"))
     return ends.distinct()
 
 
@@ -115,7 +178,12 @@ def locate(df: DataFrame, pattern: str) -> DataFrame:
 
 
 def rolling(df: DataFrame, k: int) -> DataFrame:
-    """(ord, pos, code) of every window, in order: two bits a base, null where a base is ambiguous. pos is the window's last base."""
-    valid = F.col("x.kmer").rlike("^[ACGT]+$")
-    windows = _windows(df, k, seq=F.upper("seq")).select("ord", "piece", F.explode(sq.kmers("seq", k)).alias("x"))
-    return windows.select("ord", (F.col("piece").cast("long") * max(PIECE, k) + F.col("x.pos") + (k - 1)).alias("pos"), F.when(valid, sq.encode(F.col("x.kmer"))).alias("code"))
+    """(ord, pos, code) of every window, in order: two bits a base, up to 31, null where a base is ambiguous. pos is the window's last base."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ords = b.column("ord").to_numpy(zero_copy_only=False).astype(np.int64)
+            for text, place, code, ok in bt.window_codes(b.column("seq").to_pylist(), k):
+                yield pa.RecordBatch.from_arrays([pa.array(ords[text], pa.int64()), pa.array(place + (k - 1), pa.int64()), pa.array(code, pa.int64(), mask=~ok)], names=["ord", "pos", "code"])
+
+    return df.select(F.col("ord").cast("long").alias("ord"), "seq").mapInArrow(run, "ord long, pos long, code long")

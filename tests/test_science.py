@@ -114,3 +114,32 @@ def test_merging_over_tiles(spark, tile):
                     want.append([chrom, s, e, 1])
         found = iv.merge(spark.createDataFrame(rows, "chrom string, chrom_start long, chrom_end long"), distance, tile, counts=True).collect()
         assert sorted((r["chrom"], r["chrom_start"], r["chrom_end"], r["n"]) for r in found) == sorted(map(tuple, want))
+
+
+def test_coded_kmers_are_the_spelt_ones(spark):
+    """All k that are coded, dense or not, against k-mers as texts; a read with one k-mer of its own goes."""
+    rng = np.random.default_rng(8)
+    reads = ["".join(rng.choice(list("ACGTN"), int(n), p=[0.3, 0.3, 0.19, 0.19, 0.02])) for n in rng.integers(0, 60, 60)]
+    reads = [*reads, *reads, None, "", "acgtacgtacgtacgt", "A" * 70, "ACGTéACGTACGTACGTACGTACGTACGTACGTACGTACG"]
+    rows = [(i, s, None if s is None else "".join(rng.choice(list("!5I"), len(s), p=[0.05, 0.35, 0.6]))) for i, s in enumerate(reads)]
+    df = spark.createDataFrame(rows, "ord long, seq string, qual string").repartition(3)
+    turned = str.maketrans("ACGT", "TGCA")
+    for k in (1, 4, 8, 11, 12, 31):
+        windows = [(o, p, s[p : p + k].upper(), min(ord(c) for c in q[p : p + k]) >= 53) for o, s, q in rows if s for p in range(len(s) - k + 1)]
+        plain = [(o, min(w, w[::-1].translate(turned)), g) for o, _, w, g in windows if set(w) <= set("ACGT")]
+        counts, good, of = {}, {}, {}
+        for o, w, g in plain:
+            counts[w], good[w], of[w] = counts.get(w, 0) + 1, good.get(w, 0) + g, o
+        assert {tuple(r) for r in km.count(df, k).select("kmer", "n").collect()} == set(counts.items())
+        assert {tuple(r) for r in km.spectrum(df, k).select("kmer", "coverage", "good").collect()} == {(w, min(n, 255), min(good[w], 63)) for w, n in counts.items()}
+        gone = {of[w] for w, n in counts.items() if n == 1}
+        assert sorted(r["ord"] for r in km.without_unique(df, k).collect()) == [o for o, _, _ in rows if o not in gone]
+        codes = {(o, p + k - 1, sum("ACGT".index(c) << 2 * (k - 1 - i) for i, c in enumerate(w)) if set(w) <= set("ACGT") else None) for o, p, w, _ in windows}
+        assert {tuple(r) for r in km.rolling(df, k).collect()} == codes
+
+
+def test_unique_kmers_are_not_joined_with_all_others(spark):
+    """The plan has one exchange of k-mers by code, and none of a row for each k-mer of each read."""
+    df = spark.createDataFrame([(1, "ACGTACGTAC")], "ord long, seq string")
+    plan = km.without_unique(df, 8)._jdf.queryExecution().toString()
+    assert "LeftSemi" not in plan
