@@ -12,7 +12,7 @@ import numpy as np
 from . import kernels as kn
 
 #: Characters of a matrix.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 18
 
 
 def parts(lengths: np.ndarray) -> Iterator[slice]:
@@ -51,7 +51,7 @@ def adapter_starts(windows: np.ndarray, size: np.ndarray, adapter: np.ndarray, l
         return out
     starts = width - least + 1
     upper = np.concatenate((kn.upper(windows), np.zeros((len(windows), m), np.uint8)), axis=1)
-    compared = np.minimum(size[:, None] - np.arange(starts), m)
+    compared = np.minimum(size[:, None] - np.arange(starts), m).astype(np.int32)
     wrong = np.zeros((len(windows), starts), np.int32)
     for j, c in enumerate(kn.upper(adapter)):
         wrong += (upper[:, j : j + starts] != c) & (j < compared)
@@ -77,7 +77,7 @@ def poly_tails(backward: np.ndarray, size: np.ndarray, base: str = "G", least: i
     at = np.arange(backward.shape[1])
     valid = at < size[:, None]
     match = (kn.upper(backward) == ord(base.upper())) & valid
-    wrong = np.cumsum(~match, axis=1)
+    wrong = np.cumsum(~match, axis=1, dtype=np.int32)
     stop = ((wrong > most_mismatches) | (wrong > (at + 1) // per) & (at + 1 >= least)) & valid
     reach = _first(stop, size)
     hit = _last_hit(match & (at <= reach[:, None]))
@@ -91,7 +91,7 @@ def dominant_tails(backward: np.ndarray, size: np.ndarray, least: int = 10, most
     at = np.arange(backward.shape[1])
     valid, back = at < size[:, None], kn.upper(backward)
     unknown = back == ord("N")
-    counts = np.stack([np.cumsum(((back == c) | unknown) & valid, axis=1) for c in b"ACGT"])
+    counts = np.stack([np.cumsum(((back == c) | unknown) & valid, axis=1, dtype=np.int32) for c in b"ACGT"])
     bad = (at + 1 - counts > np.minimum(most_mismatches, (at + 1) // per)).all(axis=0)
     stop = bad & ((at >= per) | (at + 2 >= least)) & valid
     reach = _first(stop, size)
@@ -193,3 +193,41 @@ def window_codes(texts: list[str | None], k: int, canonical: bool = False) -> It
         place = at - begins[text]
         inside = place <= lengths[text] - k
         yield text[inside], place[inside], code[inside], ok[inside]
+
+
+def reference_hits(seqs: list[str], refs: kn.References) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the read and place of all windows that are reference k-mers, in order."""
+    # a table of 16 bits of a hash lets few others through
+    spread = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    near = np.zeros(1 << 16, bool)
+    near[spread(refs.full)] = True
+    reads, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for text, place, code, ok in window_codes(seqs, refs.k):
+        code = code.astype(np.uint64) & refs.mask
+        some = np.flatnonzero(near[spread(code)] & ok)
+        some = some[np.isin(code[some], refs.full)]
+        reads.append(text[some])
+        places.append(place[some])
+    return np.concatenate(reads), np.concatenate(places)
+
+
+def kept_windows(seqs: list[str], quals: list[str], refs: kn.References | None, ktrim: str = "f", qtrim: str = "f", trimq: int = 6, minlength: int = 10, min_hits: int = 1, min_share: float = 0.0, offset: int = 33) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """kernels.kept_window of each read: start, end, and whether it stays."""
+    n = np.array([len(s) for s in seqs], np.int64)
+    if qtrim != "f" or refs is not None and refs.mink:  # by the read
+        found = [kn.kept_window(s, q, refs, ktrim, qtrim, trimq, minlength, min_hits, min_share, offset) for s, q in zip(seqs, quals)]
+        windows = np.array([w or (0, 0) for w in found], np.int64).reshape(-1, 2)
+        return windows[:, 0], windows[:, 1], np.array([w is not None for w in found], bool)
+    start, end, gone = np.zeros_like(n), n.copy(), np.zeros(len(n), bool)
+    if refs is not None and len(refs):
+        reads, places = reference_hits(seqs, refs)
+        if ktrim == "f":
+            hits = np.bincount(reads, minlength=len(n))
+            gone = (hits > 0) & ((hits >= min_hits) | (min_share > 0) & (hits / np.maximum(n - refs.k + 1, 1) >= min_share))
+        elif ktrim in "rl":
+            hit, first = np.unique(reads, return_index=True)
+            if ktrim == "r":
+                end[hit] = places[first]
+            else:
+                start[hit] = np.minimum(places[first] + refs.k, n[hit])
+    return start, end, ~gone & (end - start >= minlength)

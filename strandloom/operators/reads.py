@@ -223,10 +223,11 @@ def duk(df: DataFrame, references: list[str], d: Duk = Duk()) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            kept = [kn.kept_window(s, q, refs.value, **rest) for s, q in zip(b["seq"], b["qual"])]
-            b["matched"] = [w is None for w in kept]
+            start, end, kept = bt.kept_windows(b["seq"].tolist(), b["qual"].tolist(), refs.value, **rest)
+            b["matched"] = ~kept
+            whole = ~kept | (start == 0) & (end == b["seq"].str.len().to_numpy(np.int64))
             for c in ("seq", "qual"):
-                b[c] = [t if w is None else t[w[0] : w[1]] for t, w in zip(b[c], kept)]
+                b[c] = [t if w else t[x:y] for t, w, x, y in zip(b[c].tolist(), whole.tolist(), start.tolist(), end.tolist())]
             yield b
 
     return df.select("ord", "id", "seq", "qual").mapInPandas(run, "ord long, id string, seq string, qual string, matched boolean")

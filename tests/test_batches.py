@@ -1,5 +1,7 @@
 """Kernels on batches against those on one read."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -71,3 +73,27 @@ def test_parts(monkeypatch):
     found = list(bt.parts(lengths))
     assert [k for s in found for k in range(s.start, s.stop)] == list(range(9))
     assert all(s.stop - s.start == 1 or lengths[s].max() * (s.stop - s.start) <= 50 for s in found) and list(bt.parts(np.zeros(0, int))) == []
+
+
+@pytest.mark.parametrize("ktrim", ["f", "r", "l"])
+@pytest.mark.parametrize("settings", [{}, {"hdist": 1}, {"maskmiddle": False, "rcomp": False}, {"mink": 6}])
+def test_windows_left_by_references(ktrim, settings):
+    refs = kn.References([kn.TRUSEQ_R1, "acgtACGTNACGTACGTACGTAC"], k=15, **settings)
+    seqs = reads(500)
+    quals = ["".join(RNG.choice(list("!I5"), len(s))) for s in seqs]
+    for rest in ({}, {"min_hits": 3, "min_share": 0.3}, {"qtrim": "rl", "trimq": 11}):
+        start, end, kept = bt.kept_windows(seqs, quals, refs, ktrim=ktrim, **rest)
+        assert [(int(s), int(e)) if k else None for s, e, k in zip(start, end, kept)] == [kn.kept_window(s, q, refs, ktrim=ktrim, **rest) for s, q in zip(seqs, quals)]
+
+
+def test_matrices_of_a_part_are_small():
+    """Counters and windows of the reads of a part stay within some tens of MB, as each core has a worker of its own."""
+    (first, *_) = list(bt.parts(np.full(50_000, 150)))
+    seqs = ["ACGTTGCAGG" * 15] * (first.stop - first.start)
+    tracemalloc.start()
+    rows, size = bt.matrix(seqs)
+    bt.dominant_tails(rows, size)
+    bt.adapter_starts(rows, size, kn.array(kn.TRUSEQ_R1))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 << 20
