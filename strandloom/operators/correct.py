@@ -6,6 +6,8 @@ decide the next base to either side of each read's longest solid stretch. A roun
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +85,18 @@ def correct(reads: DataFrame, store, k: int = 33, min_cov: int = 3, quality: int
     if not no_correct and mode:
         first = store(_first_stretch(state, counts, _solid_positions(state, solid, k), k, int(mode[0]["n"])))
         state = store(state.join(first, "ord", "left").select("ord", F.coalesce(_put(F.col("seq"), F.col("place"), F.col("base")), "seq").alias("seq")))
-        while True:  # every edit makes a read's longest stretch longer
-            edits = store(_next_bases(state, _islands(_solid_positions(state, solid, k)), solid, k, look))
+        # every edit makes a read's longest stretch longer; a read that a round leaves as it is stays so, and isn't asked again
+        active, rounds = state, []
+        while True:
+            edits = store(_next_bases(active, _islands(_solid_positions(active, solid, k)), solid, k, look))
             if edits.isEmpty():
                 break
             changed = _put(_put(F.col("seq"), F.col("left"), F.col("left_base")), F.col("right"), F.col("right_base"))
-            state = store(state.join(edits, "ord", "left").select("ord", F.coalesce(changed, "seq").alias("seq")))
+            active = store(active.join(edits, "ord").select("ord", changed.alias("seq")))
+            rounds.append(active.select("ord", "seq", F.lit(len(rounds)).alias("round")))
+        if rounds:
+            last = reduce(DataFrame.union, rounds).groupBy("ord").agg(F.max_by("seq", "round").alias("last"))
+            state = store(state.join(last, "ord", "left").select("ord", F.coalesce("last", "seq").alias("seq")))
     found = _solid_positions(state, solid, k).select("ord").distinct().withColumn("found", F.lit(True))
     rows = base.join(state, "ord", "left").join(found, "ord", "left").withColumn("ok", F.coalesce("found", F.lit(False)))
     places = F.sequence(F.lit(1), F.length("was"))
