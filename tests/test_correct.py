@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strandloom.operators import correct as ec
@@ -88,3 +89,24 @@ def test_unitigs(spark):
     for r in km.unitigs(km.graph_edges(frame, 12), materialize).collect():
         found.setdefault(r["unitig"], []).append((r["place"], r["node"]))
     assert {h: [n for _, n in sorted(p)] for h, p in found.items()} == paths
+
+
+def test_rounds_take_only_the_reads_that_the_last_one_changed(spark):
+    """One read of 41 takes several rounds; the other ones are written before and after them, not in each."""
+    rng = np.random.default_rng(4)
+    genome = "".join(rng.choice(list("ACGT"), 120))
+    wrong = list(genome)
+    for at in (60, 85):
+        wrong[at] = "ACGT"["ACGT".index(wrong[at]) - 1]
+    df = spark.createDataFrame([(i, f"r{i}", s, "I" * 120) for i, s in enumerate([genome] * 40 + ["".join(wrong)])], "ord long, id string, seq string, qual string")
+    sizes = []
+
+    def store(frame):
+        out = materialize(frame)
+        if out.columns == ["ord", "seq"]:
+            sizes.append(out.count())
+        return out
+
+    rows = {r["ord"]: r for r in ec.correct(df, store, k=11, min_cov=3).collect()}
+    assert rows[40]["seq"].upper() == genome and rows[40]["n_corrected"] == 2
+    assert sum(n > 1 for n in sizes) <= 3 and sizes.count(1) == 2
