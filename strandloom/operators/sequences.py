@@ -211,7 +211,11 @@ def filter_reads(df: DataFrame, **limits) -> DataFrame:
 
 def filter_pairs(r1: DataFrame, r2: DataFrame, **limits) -> DataFrame:
     """Pairs of which both mates pass."""
-    both = pairs(r1, r2)
+    return filter_paired(pairs(r1, r2), **limits)
+
+
+def filter_paired(both: DataFrame, **limits) -> DataFrame:
+    """filter_pairs, given the pairs."""
     return both.filter((filter_outcome("seq1", "qual1", **limits) == "pass") & (filter_outcome("seq2", "qual2", **limits) == "pass"))
 
 
@@ -283,7 +287,11 @@ def umi(df: DataFrame, location: str = "read1", length: int = 0, skip: int = 0,
 
 def umi_pairs(r1: DataFrame, r2: DataFrame, location: str, length: int = 0, skip: int = 0, delimiter: str = ":", prefix: str = "") -> DataFrame:
     """Pairs with a common UMI in both headers: read1, read2, index1, index2, per_index or per_read."""
-    both = pairs(r1, r2)
+    return umi_paired(pairs(r1, r2), location, length, skip, delimiter, prefix)
+
+
+def umi_paired(both: DataFrame, location: str, length: int = 0, skip: int = 0, delimiter: str = ":", prefix: str = "") -> DataFrame:
+    """umi_pairs, given the pairs."""
     if location in ("read1", "read2", "per_read") and length <= 0:
         raise ValueError("a UMI from sequence needs a length")
     parts, columns = [], {c: F.col(c) for c in ("seq1", "qual1", "seq2", "qual2")}

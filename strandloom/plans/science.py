@@ -115,12 +115,12 @@ query("fastq_correct", "reads")(lambda df: ec.correct(df, materialize, k=11, min
 query("fastq_correct_report", "reads")(lambda df: ec.report(ec.correct(df, materialize, k=11, min_cov=3)))
 
 
-def _mates(a, b):
-    return a.select("ord", F.col("seq").alias("a")).join(b.select("ord", sq.reverse_complement("seq").alias("b")), "ord").filter("a <> '' and b <> ''")
+def _mates(both):
+    return both.select("ord", F.col("seq1").alias("a"), sq.reverse_complement("seq2").alias("b")).filter("a <> '' and b <> ''")
 
 
-query("nw_align", "reads mates")(lambda a, b: op.align_pairs(_mates(a, b)))
-query("sw_align", "reads mates")(lambda a, b: op.align_pairs(_mates(a, b), local=True))
+query("nw_align", "pairs")(lambda both: op.align_pairs(_mates(both)))
+query("sw_align", "pairs")(lambda both: op.align_pairs(_mates(both), local=True))
 
 _MODEL = Hmm([0.6, 0.4], [[0.8, 0.2], [0.3, 0.7]], [[0.4, 0.3, 0.1, 0.1, 0.1], [0.1, 0.1, 0.2, 0.3, 0.3]])
 

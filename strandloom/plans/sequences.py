@@ -72,8 +72,8 @@ query(
 
 query("fastq_interleave", "reads mates", "SELECT id, seq, qual, ord * 2 AS place FROM reads UNION ALL SELECT id, seq, qual, ord * 2 + 1 FROM mates")(op.interleave)
 query("fastq_filter_se", "reads", f"SELECT * FROM reads WHERE {_OUTCOME} = 'pass'")(lambda df: op.filter_reads(df, n_limit=25))
-query("fastq_filter_pe", "reads mates", f"""WITH a AS (SELECT *, {_OUTCOME} AS o FROM reads), b AS (SELECT *, {_OUTCOME} AS o FROM mates)
-  SELECT a.ord, a.id AS id1, a.seq AS seq1, a.qual AS qual1, b.id AS id2, b.seq AS seq2, b.qual AS qual2 FROM a JOIN b ON a.ord = b.ord WHERE a.o = 'pass' AND b.o = 'pass'""")(lambda a, b: op.filter_pairs(a, b, n_limit=25))
+query("fastq_filter_pe", "pairs", f"""WITH a AS (SELECT *, {_OUTCOME} AS o FROM reads), b AS (SELECT *, {_OUTCOME} AS o FROM mates)
+  SELECT a.ord, a.id AS id1, a.seq AS seq1, a.qual AS qual1, b.id AS id2, b.seq AS seq2, b.qual AS qual2 FROM a JOIN b ON a.ord = b.ord WHERE a.o = 'pass' AND b.o = 'pass'""")(lambda both: op.filter_paired(both, n_limit=25))
 query("fastq_filter_report", "reads", f"""SELECT count(*) AS reads_in, count(*) FILTER (o = 'pass') AS reads_out, CAST(sum(n) AS BIGINT) AS bases_in, CAST(sum(n) FILTER (o = 'pass') AS BIGINT) AS bases_out,
   count(*) FILTER (o = 'quality') AS failed_quality, count(*) FILTER (o = 'length') AS failed_length, count(*) FILTER (o = 'n') AS failed_n FROM (SELECT length(seq) AS n, {_OUTCOME} AS o FROM reads)""")(lambda df: op.filter_report(df, n_limit=25))
 query("fastq_dedup_full", "reads", "SELECT ord, id, seq, qual FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY ord) AS n FROM reads) WHERE n = 1")(lambda df: op.dedup(df, mode="full"))
@@ -98,19 +98,18 @@ _PER_READ = (f"""WITH p AS (SELECT a.ord, a.id, a.seq AS s1, a.qual AS q1, b.id
   substr(s1, least(4, length(s1) - 1) + 1) AS seq1, substr(q1, least(4, length(s1) - 1) + 1) AS qual1, substr(s2, least(4, length(s2) - 1) + 1) AS seq2, substr(q2, least(4, length(s2) - 1) + 1) AS qual2 FROM p""")
 
 
-def _whole_pairs(a, b):
-    keep = a.filter("length(seq) > 0").select("ord").intersect(b.filter("length(seq) > 0").select("ord"))
-    return a.join(keep, "ord", "left_semi"), b.join(keep, "ord", "left_semi")
+def _whole_pairs(both):
+    return both.filter("length(seq1) > 0 AND length(seq2) > 0")
 
 
-query("fastq_umi_per_read", "reads mates", _PER_READ)(lambda a, b: op.umi_pairs(*_whole_pairs(a, b), "per_read", 4))
+query("fastq_umi_per_read", "pairs", _PER_READ)(lambda both: op.umi_paired(_whole_pairs(both), "per_read", 4))
 
 
 def _umi_pairs(location: str, umi: str, cut: str = "0", **sizes) -> None:
     """Mates with a tag in both headers, `cut` bases of mate 2 gone."""
     sql = f"""WITH p AS (SELECT a.ord, a.id, a.seq AS seq1, a.qual AS qual1, b.id AS id2, b.seq AS s2, b.qual AS q2 FROM reads a JOIN mates b ON a.ord = b.ord WHERE length(a.seq) > 0 AND length(b.seq) > 0), t AS (SELECT *, {umi} AS u FROM p)
       SELECT ord, {_TAGGED.format(umi='u')} AS id1, concat(split_part(id2, ' ', 1), ':', u, substr(id2, length(split_part(id2, ' ', 1)) + 1)) AS id2, seq1, qual1, substr(s2, CAST({cut} + 1 AS INT)) AS seq2, substr(q2, CAST({cut} + 1 AS INT)) AS qual2 FROM t"""
-    query(f"fastq_umi_{location}", "reads mates", sql)(lambda a, b: op.umi_pairs(*_whole_pairs(a, b), location, **sizes))
+    query(f"fastq_umi_{location}", "pairs", sql)(lambda both: op.umi_paired(_whole_pairs(both), location, **sizes))
 
 
 _umi_pairs("read2", "substr(s2, 1, 6)", "least(least(length(s2), 6) + 1, length(s2) - 1)", length=6, skip=1)
@@ -168,16 +167,16 @@ _OVERLAP = """x AS (SELECT a.ord, a.w AS s1, translate(reverse(b.w), 'ACGT', 'TG
   m AS (SELECT ord, o, size, hamming(substr(s1, CAST(1 + greatest(o, 0) AS INT), CAST(size AS INT)), substr(s2, CAST(1 + greatest(-o, 0) AS INT), CAST(size AS INT))) AS wrong FROM z),
   met AS (SELECT ord, arg_min(o, CASE WHEN o >= 0 THEN o ELSE 1000000 - o END) AS o, arg_min(size, CASE WHEN o >= 0 THEN o ELSE 1000000 - o END) AS size FROM m
     WHERE wrong <= least(5, floor(CAST(size AS FLOAT) * CAST(0.2 AS FLOAT))) GROUP BY ord)"""
-query("fastq_trim_pe", "adapted mates", f"""WITH p AS (SELECT a.ord, a.seq AS s1, b.seq AS s2 FROM adapted a JOIN mates b ON a.ord = b.ord WHERE length(a.seq) > 0 AND length(b.seq) > 0),
+query("fastq_trim_pe", "adapted_pairs", f"""WITH p AS (SELECT a.ord, a.seq AS s1, b.seq AS s2 FROM adapted a JOIN mates b ON a.ord = b.ord WHERE length(a.seq) > 0 AND length(b.seq) > 0),
   a0 AS (SELECT ord, s1 AS w FROM p), b0 AS (SELECT ord, s2 AS w FROM p), {_poly_g_sql('a0', 'a1')}, {_poly_g_sql('b0', 'b1')}, {_OVERLAP},
   a2 AS (SELECT * FROM a1 WHERE ord NOT IN (SELECT ord FROM met WHERE o < 0)), b2 AS (SELECT * FROM b1 WHERE ord NOT IN (SELECT ord FROM met WHERE o < 0)), {_adapter_sql('a2', 'a3', kn.TRUSEQ_R1)}, {_adapter_sql('b2', 'b3', kn.TRUSEQ_R2)},
   a4 AS (SELECT * FROM a3 UNION ALL SELECT a.ord, substr(w, 1, CAST(size AS INT)) FROM a1 a JOIN met ON met.ord = a.ord WHERE o < 0), b4 AS (SELECT * FROM b3 UNION ALL SELECT b.ord, substr(w, 1, CAST(size AS INT)) FROM b1 b JOIN met ON met.ord = b.ord WHERE o < 0)
   SELECT a.ord, a.id AS id1, a4.w AS seq1, substr(a.qual, 1, CAST(length(a4.w) AS INT)) AS qual1, b.id AS id2, b4.w AS seq2, substr(b.qual, 1, CAST(length(b4.w) AS INT)) AS qual2
   FROM adapted a JOIN mates b ON a.ord = b.ord JOIN a4 ON a4.ord = a.ord JOIN b4 ON b4.ord = a.ord WHERE least(length(a4.w), length(b4.w)) >= 15""")(
-    lambda a, b: rd.trim_pairs(a, b, rd.Trim(overlap=True, poly_g=True))
+    lambda both: rd.trim_paired(both, rd.Trim(overlap=True, poly_g=True))
 )
 # the first offset, upwards from 0 and then downwards, at which all mismatches, or those of the first 50 bases of more, stay within a fifth and five; where mates disagree, Q30 overrules Q14
-query("fastq_merge", "reads mates", """WITH p AS (SELECT a.ord, a.id AS id1, b.id AS id2, a.seq AS s1, a.qual AS q1, b.seq AS seq2, b.qual AS qual2, translate(reverse(b.seq), 'ACGT', 'TGCA') AS s2, reverse(b.qual) AS q2 FROM reads a JOIN mates b ON a.ord = b.ord),
+query("fastq_merge", "pairs", """WITH p AS (SELECT a.ord, a.id AS id1, b.id AS id2, a.seq AS s1, a.qual AS q1, b.seq AS seq2, b.qual AS qual2, translate(reverse(b.seq), 'ACGT', 'TGCA') AS s2, reverse(b.qual) AS q2 FROM reads a JOIN mates b ON a.ord = b.ord),
   o AS (SELECT ord, s1, s2, unnest(list_concat(range(0, greatest(0, length(s1) - 30)), range(0, -greatest(0, length(s2) - 30), -1))) AS o FROM p),
   z AS (SELECT *, CASE WHEN o >= 0 THEN least(length(s1) - o, length(s2)) ELSE least(length(s1), length(s2) + o) END AS size FROM o),
   y AS (SELECT ord, o, size, substr(s1, CAST(1 + greatest(o, 0) AS INT), CAST(size AS INT)) AS x, substr(s2, CAST(1 + greatest(-o, 0) AS INT), CAST(size AS INT)) AS y, least(5, floor(size * 0.2)) AS budget FROM z),
@@ -190,7 +189,7 @@ query("fastq_merge", "reads mates", """WITH p AS (SELECT a.ord, a.id AS id1, b.i
   SELECT m.ord, CAST(0 AS INTEGER) AS mate, concat(id1, ' merged_', g + size, '_', len2) AS id, concat(substr(s1, 1, CAST(g AS INT)), j.seq, substr(s2, CAST(size + 1 AS INT), CAST(len2 AS INT))) AS seq,
     concat(substr(q1, 1, CAST(g AS INT)), j.qual, substr(q2, CAST(size + 1 AS INT), CAST(len2 AS INT))) AS qual, true AS merged, coalesce(j.corrected, 0) AS corrected FROM m LEFT JOIN j ON j.ord = m.ord
   UNION ALL SELECT ord, 1, id1, s1, q1, false, 0 FROM p WHERE ord NOT IN (SELECT ord FROM met) UNION ALL SELECT ord, 2, id2, seq2, qual2, false, 0 FROM p WHERE ord NOT IN (SELECT ord FROM met)""")(
-    lambda a, b: rd.merge(a, b, correct=True, include_unmerged=True)
+    lambda both: rd.merge_paired(both, correct=True, include_unmerged=True)
 )
 
 _DUK_REFERENCE = kn.TRUSEQ_R1
@@ -211,6 +210,6 @@ query("bbduk_ktrim_r", "adapted", f"""WITH {_DUK_KMERS}, c AS (SELECT a.ord, a.i
   SELECT ord, id, substr(seq, 1, CAST(n AS INT)) AS seq, substr(qual, 1, CAST(n AS INT)) AS qual FROM c WHERE n >= 10""")(lambda df: rd.duk(df, [_DUK_REFERENCE], rd.Duk(k=_K, ktrim="r")).filter("not matched").drop("matched"))
 query("bbduk_qtrim", "reads", """WITH t AS (SELECT ord, id, seq, qual, length(regexp_extract(qual, '^[!-+]*')) AS s, length(regexp_replace(qual, '[!-+]+$', '')) AS e FROM reads)
   SELECT ord, id, substr(seq, CAST(s + 1 AS INT), CAST(e - s AS INT)) AS seq, substr(qual, CAST(s + 1 AS INT), CAST(e - s AS INT)) AS qual FROM t WHERE e - s >= 10""")(lambda df: rd.duk(df, [], rd.Duk(qtrim="rl", trimq=11)).filter("not matched").drop("matched"))
-query("bbduk_pairs", "adapted mates", f"""WITH {_DUK_REFS}, {_duk_hits('adapted', 'h')}, {_duk_hits('mates', 'g')}
+query("bbduk_pairs", "adapted_pairs", f"""WITH {_DUK_REFS}, {_duk_hits('adapted', 'h')}, {_duk_hits('mates', 'g')}
   SELECT a.ord, a.id AS id1, a.seq AS seq1, a.qual AS qual1, b.id AS id2, b.seq AS seq2, b.qual AS qual2 FROM adapted a JOIN mates b ON a.ord = b.ord LEFT JOIN h ON h.ord = a.ord LEFT JOIN g ON g.ord = a.ord
-  WHERE h.ord IS NULL AND g.ord IS NULL AND length(a.seq) >= 10 AND length(b.seq) >= 10""")(lambda a, b: rd.duk_pairs(a, b, [_DUK_REFERENCE], rd.Duk(k=_K)))
+  WHERE h.ord IS NULL AND g.ord IS NULL AND length(a.seq) >= 10 AND length(b.seq) >= 10""")(lambda both: rd.duk_paired(both, [_DUK_REFERENCE], rd.Duk(k=_K)))

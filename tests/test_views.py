@@ -3,8 +3,11 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from strandloom.plans.views import read_view, spark_sql_view
+from strandloom.operators.sequences import pairs
+from strandloom.plans import catalog
+from strandloom.plans.views import pair_view, read_view, spark_sql_view
 
 
 @pytest.mark.parametrize("name", ["reads", "mates"])
@@ -24,3 +27,26 @@ def test_work_follows_a_text_s_length(spark):
     began = time.time()
     assert read_view(docs).filter("length(seq) = 150").count() == 40_000
     assert time.time() - began < 30
+
+
+def test_reads_are_cut_by_many_tasks(spark):
+    """However few tasks read the texts."""
+    texts = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: F.md5((F.col("id") * 100 + i).cast("string")))).alias("text"))
+    for view in (read_view(texts), read_view(texts, True), pair_view(texts)):
+        assert view.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
+@pytest.mark.parametrize("more", [[], [(3, "a doc_id once more " * 20)], [(5, "The windows of a long text run on " * 18100)]])
+def test_pairs_are_reads_joined_with_mates(spark, more):
+    rows = [(0, "ab"), (1, None), (2, ""), (3, "Zwölf Boxkämpfer 😀 " * 40), (4, "x" * 150), (6, "y" * 301), (39, "z" * 180), (79, "w" * 39)]
+    docs = spark.createDataFrame([*rows, *more], "doc_id long, text string")
+    want = pairs(read_view(docs), read_view(docs, True))
+    found = pair_view(docs)
+    assert found.columns == want.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("name", "fastq_filter_pe fastq_umi_per_read fastq_umi_read2 fastq_umi_index2 fastq_umi_per_index fastq_trim_pe fastq_merge bbduk_pairs nw_align sw_align".split())
+def test_pairs_are_not_joined(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapIn" in plan
