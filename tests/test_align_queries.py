@@ -1,3 +1,4 @@
+import random
 import time
 
 import numpy as np
@@ -29,3 +30,30 @@ def test_a_batch_of_reads_is_aligned_in_little_time():
     for local in (False, True):
         assert align.align(few, local) == [align.align([p], local)[0] for p in few]
     assert align.align(few)[:3] == found[:3]
+
+
+@pytest.mark.parametrize("scores", [{}, {"match": 2, "mismatch": -3, "gap_open": 2, "gap_extend": 1}, {"match": 5, "gap_open": 0}, {"gap_open": 1, "gap_extend": 0}])
+def test_shifted_pairs_are_aligned_as_by_whole_matrices(monkeypatch, scores):
+    """Pairs that overlap exactly, by letters few or many, with repeats, and with changes that break the overlap."""
+    rnd, pairs = random.Random(7), []
+    for _ in range(1500):
+        n, letters = rnd.randint(1, 60), rnd.choice(["A", "AC", "ACGT", "ACGTN"])
+        text = "".join(rnd.choice(letters) for _ in range(n + 40))
+        if rnd.random() < 0.3:
+            text = (text[: rnd.randint(1, 9)] * 120)[: n + 40]
+        s = rnd.randint(0, min(n, 20))
+        a, b = text[:n], text[s : s + rnd.randint(1, n)]
+        if rnd.random() < 0.2:
+            b = "".join(c if rnd.random() > 0.05 else "T" for c in b)
+        pairs.append((a, b) if rnd.random() < 0.7 else (b, a))
+    found = align.align(pairs, True, **scores)
+    monkeypatch.setattr(align, "_shifted", lambda *_: None)
+    assert found == align.align(pairs, True, **scores)
+
+
+def test_mates_that_overlap_exactly_take_no_matrix(monkeypatch):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ACGTN") for _ in range(200)) for _ in range(300)]
+    monkeypatch.setattr(align, "_block", lambda *_: pytest.fail("a matrix"))
+    found = align.align([(t[:150], t[k % 40 : k % 40 + 150]) for k, t in enumerate(texts)], True)
+    assert found == [(150 - k % 40, "=" * (150 - k % 40), k % 40, 0) for k in range(300)]
