@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,116 @@ TRACKED, EVERY = 100_000, 50
 KMER, KMER_BASES = 7, 500
 
 
-def _at(df: DataFrame, column: str) -> DataFrame:
-    """One row per character: (id, pos from 1, c)."""
-    return df.select("id", F.posexplode(F.split(column, "")).alias("pos", "c")).filter("c <> ''").withColumn("pos", (F.col("pos") + 1).cast("long"))
+#: Characters that are counted at once.
+_AT_ONCE = 1 << 20
+
+
+def _groups(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns of whole numbers from 0 on, and how often each is there."""
+    sizes = [int(k.max(initial=0)) + 1 for k in keys]
+    code = np.zeros(len(keys[0]), np.int64)
+    for k, size in zip(keys, sizes):
+        code = code * size + k
+    if np.prod(sizes, dtype=float) <= 4 * _AT_ONCE:
+        n = np.bincount(code)
+        code = np.flatnonzero(n)
+        n = n[code]
+    else:
+        code, n = np.unique(code, return_counts=True)
+    out = []
+    for size in reversed(sizes):
+        out.insert(0, code % size)
+        code = code // size
+    return out, n
+
+
+def _characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of some texts, their places from 1, and the texts' lengths."""
+    lengths = np.array([len(t or "") for t in texts], np.int64)
+    joined = "".join(t or "" for t in texts)
+    flat = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    return flat, np.arange(1, len(flat) + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths), lengths
+
+
+def _sums(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of the numbers of each text."""
+    upto = np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
+    ends = np.cumsum(lengths)
+    return upto[ends] - upto[ends - lengths]
+
+
+def _first_places(texts: list[str], pattern: str) -> np.ndarray:
+    """Where a pattern, in upper case, first is in each text that has it, from 1."""
+    joined = "\0".join(texts)
+    if not joined.isascii():
+        at = np.array([t.upper().find(pattern) + 1 for t in texts], np.int64)
+        return at[at > 0]
+    joined, found, at = joined.upper(), [], 0
+    while (at := joined.find(pattern, at)) >= 0:
+        begin = joined.rfind("\0", 0, at) + 1
+        found.append(at - begin + 1)
+        at = joined.find("\0", at)
+        if at < 0:
+            break
+    return np.array(found, np.int64)
+
+
+def _counted(b: pa.RecordBatch, what: str, offset: int) -> Iterator[pa.RecordBatch]:
+    def rows(kind: str, n, pos=None, value=None, tile=None) -> pa.RecordBatch:
+        column = lambda x: pa.nulls(len(n), pa.int64()) if x is None else pa.array(x, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.string()), column(tile), column(pos), column(value), column(n)], names=["what", "tile", "pos", "value", "n"])
+
+    if set(what) & set("qm"):
+        flat, place, lengths = _characters(b.column("qual").to_pylist())
+        if "q" in what:
+            tiles = pc.dictionary_encode(b.column("tile"), null_encoding="encode")
+            (tile, pos, c), n = _groups(tiles.indices.to_numpy(zero_copy_only=False).astype(np.int64).repeat(lengths), place, flat)
+            yield rows("q", n, pos, c - offset, tiles.dictionary.take(pa.array(tile)))
+        if "m" in what:
+            size = lengths[lengths > 0]
+            total = _sums(flat, lengths)[lengths > 0] - offset * size
+            mean, n = np.unique(np.sign(total) * ((2 * np.abs(total) + size) // (2 * size)), return_counts=True)
+            yield rows("m", n, value=mean)
+    if set(what) & set("clp"):
+        seqs = b.column("seq").to_pylist()
+        flat, place, lengths = _characters(seqs)
+        flat = kn.upper(flat) if flat.dtype == np.uint8 else np.where((flat >= ord("a")) & (flat <= ord("z")), flat - 32, flat)
+        if "c" in what:
+            (pos, c), n = _groups(place, flat)
+            yield rows("c", n, pos, c)
+        if "l" in what:
+            none = np.array([t is None for t in seqs], bool)
+            (size, gc), n = _groups(lengths[~none], _sums((flat == ord("G")) | (flat == ord("C")), lengths)[~none])
+            yield rows("l", n, size, gc)
+            if none.any():
+                yield rows("l", [int(none.sum())])
+        if "p" in what:
+            for k, (_, text) in enumerate(ADAPTERS):
+                at, n = np.unique(_first_places([t for t in seqs if t], text), return_counts=True)
+                yield rows("p", n, at, np.full(len(n), k))
+
+
+def _tally(df: DataFrame, what: str = "qmclp", offset: int = 33) -> DataFrame:
+    """(what, tile, pos, value, n): what modules count, in one pass over the reads; a batch is counted as a whole, so that characters never are rows.
+
+    q: qualities by tile and place (value), m: reads by mean quality, rounded (value), c: characters in upper case by place (value: code point),
+    l: reads by length (pos; null for no sequence) and G and C (value), p: reads by the first place of an adapter (value: its number).
+    """
+    parts = F.split(F.col("id"), ":")
+    tile = F.when(F.size(parts) >= 7, F.get(parts, F.lit(4))).when(F.size(parts) == 5, F.get(parts, F.lit(2))).try_cast("long")
+    columns = ([tile.alias("tile")] if "q" in what else []) + (["qual"] if set(what) & set("qm") else []) + (["seq"] if set(what) & set("clp") else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = [pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in b.schema.names if c != "tile"]
+            upto, k = np.cumsum(np.maximum.reduce(sizes)), 0
+            while k < len(upto):
+                end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + _AT_ONCE, "right")))
+                yield from _counted(b.slice(k, end - k), what, offset)
+                k = end
+
+    counts = df.select(*columns).mapInArrow(run, "what string, tile long, pos long, value long, n long")
+    return counts.groupBy("what", "tile", "pos", "value").agg(F.sum("n").alias("n"))
 
 
 def _status(warn: Column, fail: Column) -> Column:
@@ -45,7 +154,11 @@ def basic(df: DataFrame) -> DataFrame:
 
 def base_quality(df: DataFrame, offset: int = 33) -> DataFrame:
     """Per position: mean, and the lowest qualities that 10, 25, 50, 75 and 90 percent of the reads reach down to."""
-    counts = _at(df, "qual").groupBy("pos", sq.phred(F.col("c"), offset).alias("q")).agg(F.count("*").alias("n"))
+    return _base_quality(_tally(df, "q", offset))
+
+
+def _base_quality(tally: DataFrame) -> DataFrame:
+    counts = tally.filter("what = 'q'").groupBy("pos", F.col("value").alias("q")).agg(F.sum("n").alias("n"))
     order = Window.partitionBy("pos").orderBy("q")
     cum = counts.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("n").over(Window.partitionBy("pos")))
     at = lambda share, name: F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("q"))).cast("long").alias(name)
@@ -54,39 +167,50 @@ def base_quality(df: DataFrame, offset: int = 33) -> DataFrame:
 
 def tile_quality(df: DataFrame, offset: int = 33) -> DataFrame:
     """Per tile and position: mean quality less that of all tiles. The tile is the fifth of seven or more fields of a header, or the third of five."""
-    parts = F.split(F.col("id"), ":")
-    tile = F.when(F.size(parts) >= 7, F.get(parts, F.lit(4))).when(F.size(parts) == 5, F.get(parts, F.lit(2))).try_cast("long")
-    tiled = df.withColumn("tile", tile).filter("tile is not null")
-    chars = tiled.select("tile", F.posexplode(F.split("qual", "")).alias("pos", "c")).filter("c <> ''")
-    sums = chars.groupBy("tile", (F.col("pos") + 1).cast("long").alias("pos")).agg(F.sum(sq.phred(F.col("c"), offset)).alias("s"), F.count("*").alias("n"))
+    return _tile_quality(_tally(df, "q", offset))
+
+
+def _tile_quality(tally: DataFrame) -> DataFrame:
+    sums = tally.filter("what = 'q' and tile is not null").groupBy("tile", "pos").agg(F.sum(F.col("value") * F.col("n")).alias("s"), F.sum("n").alias("n"))
     every = Window.partitionBy("pos")
     return sums.select("tile", "pos", F.round(F.col("s") / F.col("n") - F.sum("s").over(every) / F.sum("n").over(every), 6).alias("deviation"))
 
 
 def sequence_quality(df: DataFrame, offset: int = 33) -> DataFrame:
     """Reads by mean quality, rounded."""
-    total = F.aggregate(F.split("qual", ""), F.lit(0), lambda s, c: s + F.when(c == "", 0).otherwise(sq.phred(c, offset)))
-    return df.filter(F.length("qual") > 0).groupBy(F.round(total / F.length("qual")).cast("long").alias("quality")).agg(F.count("*").alias("n"))
+    return _sequence_quality(_tally(df, "m", offset))
 
 
-def _base_counts(df: DataFrame) -> DataFrame:
-    """(pos, c, n): characters in upper case by position; modules that stand on it share its exchange in one plan."""
-    return _at(df, "seq").groupBy("pos", F.upper("c").alias("c")).agg(F.count("*").alias("n"))
+def _sequence_quality(tally: DataFrame) -> DataFrame:
+    return tally.filter("what = 'm'").select(F.col("value").alias("quality"), "n")
+
+
+def _base_counts(tally: DataFrame) -> DataFrame:
+    """(pos, c, n): characters in upper case by position, other than ASCII as ?."""
+    return tally.filter("what = 'c'").select("pos", F.when(F.col("value") < 128, F.char("value")).otherwise("?").alias("c"), "n")
 
 
 def base_content(df: DataFrame) -> DataFrame:
     """Per position: percent of G, A, T and C."""
+    return _base_content(_tally(df, "c"))
+
+
+def _base_content(tally: DataFrame) -> DataFrame:
     share = lambda b: F.round(100.0 * F.coalesce(F.sum(F.when(F.col("c") == b, F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias(b.lower())
-    return _base_counts(df).groupBy("pos").agg(share("G"), share("A"), share("T"), share("C"))
+    return _base_counts(tally).groupBy("pos").agg(share("G"), share("A"), share("T"), share("C"))
 
 
 def sequence_gc(df: DataFrame) -> DataFrame:
     """Reads by GC percent, each split over the two whole percents next to it, and what a normal distribution of the same mean and variance has."""
-    gc = df.filter(F.length("seq") > 0).select((sq.count_any("seq", "GCgc") / F.length("seq") * 100).alias("p"))
+    return _sequence_gc(_tally(df, "l"))
+
+
+def _sequence_gc(tally: DataFrame) -> DataFrame:
+    gc = tally.filter("what = 'l' and pos > 0").select((F.col("value") / F.col("pos") * 100).alias("p"), "n")
     low = F.floor("p")
     bins = F.array(F.struct(low.alias("gc"), (1 - (F.col("p") - low)).alias("w")), F.struct((low + 1).alias("gc"), (F.col("p") - low).alias("w")))
-    seen = gc.select(F.explode(bins).alias("b")).filter("b.w > 0").groupBy("b.gc").agg(F.sum("b.w").alias("n"))
-    all_ = df.sparkSession.range(101).select(F.col("id").alias("gc")).join(F.broadcast(seen), "gc", "left").select("gc", F.coalesce("n", F.lit(0.0)).alias("n"))
+    seen = gc.select(F.explode(bins).alias("b"), "n").filter("b.w > 0").groupBy("b.gc").agg(F.sum(F.col("b.w") * F.col("n")).alias("n"))
+    all_ = tally.sparkSession.range(101).select(F.col("id").alias("gc")).join(F.broadcast(seen), "gc", "left").select("gc", F.coalesce("n", F.lit(0.0)).alias("n"))
     every = Window.partitionBy()  # 101 rows
     total = F.sum("n").over(every)
     mean = F.sum(F.col("gc") * F.col("n")).over(every) / total
@@ -99,7 +223,11 @@ def sequence_gc(df: DataFrame) -> DataFrame:
 
 def n_content(df: DataFrame) -> DataFrame:
     """Per position: percent of N."""
-    return _base_counts(df).groupBy("pos").agg(F.round(100.0 * F.coalesce(F.sum(F.when(F.col("c") == "N", F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias("n"))
+    return _n_content(_tally(df, "c"))
+
+
+def _n_content(tally: DataFrame) -> DataFrame:
+    return _base_counts(tally).groupBy("pos").agg(F.round(100.0 * F.coalesce(F.sum(F.when(F.col("c") == "N", F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias("n"))
 
 
 def lengths(df: DataFrame) -> DataFrame:
@@ -156,7 +284,10 @@ def adapter_content(df: DataFrame) -> DataFrame:
     up = F.upper("seq")
     firsts = F.array(*[F.struct(F.lit(name).alias("adapter"), F.instr(up, text).cast("long").alias("pos")) for name, text in ADAPTERS])
     hits = df.select(F.explode(firsts).alias("h")).filter("h.pos > 0").groupBy("h.adapter", "h.pos").agg(F.count("*").alias("n"))
-    size = df.agg(F.max(F.length("seq")).alias("longest"), F.count("*").alias("total"))
+    return _adapter_content(hits, df.agg(F.max(F.length("seq")).alias("longest"), F.count("*").alias("total")))
+
+
+def _adapter_content(hits: DataFrame, size: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(name) for name, _ in ADAPTERS])
     grid = size.filter("longest > 0").select("total", F.explode(names).alias("adapter"), "longest").select("total", "adapter", F.explode(F.expr("sequence(1L, cast(longest as long))")).alias("pos"))
     run = Window.partitionBy("adapter").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -184,28 +315,33 @@ def kmer_content(df: DataFrame, top: int = 6) -> DataFrame:
     return _kmers(df).orderBy(F.desc("ratio"), "kmer").limit(top)
 
 
-def summary(df: DataFrame) -> DataFrame:
-    """(module, status): pass, warn or fail by each module's rule."""
+def summary(df: DataFrame, store) -> DataFrame:
+    """(module, status): pass, warn or fail by each module's rule. `store` writes a frame and reads it back, so that the reads are counted once for all modules that go by counts."""
     one = lambda name, frame, warn, fail: frame.agg(F.lit(name).alias("module"), _status(warn, fail))
     worst = lambda c: F.coalesce(F.max(c), F.lit(0.0))
-    quality, gc, tracked = base_quality(df), sequence_gc(df), _tracked(df)
+    tally = store(_tally(df))
+    sizes = tally.filter("what = 'l'")
+    size = sizes.agg(F.max("pos").alias("longest"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    adapter = F.element_at(F.array(*[F.lit(name) for name, _ in ADAPTERS]), (F.col("value") + 1).cast("int"))
+    adapters = _adapter_content(tally.filter("what = 'p'").select(adapter.alias("adapter"), "pos", "n"), size)
+    quality, gc, tracked = _base_quality(tally), _sequence_gc(tally), store(_tracked(df))
     odd = F.coalesce(F.sum(F.abs(F.col("n") - F.col("expected"))) / 2 / F.sum("n"), F.lit(0.0))
     copies = F.coalesce(1 - F.count("*") / F.sum("n"), F.lit(0.0))
     gap = worst(F.greatest(F.abs(F.col("a") - F.col("t")), F.abs(F.col("g") - F.col("c"))))
     mode = F.max_by("quality", F.struct("n", -F.col("quality")))
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     parts = [
-        df.agg(F.lit("basic").alias("module"), F.lit("pass").alias("status")),
+        tally.agg(F.lit("basic").alias("module"), F.lit("pass").alias("status")),
         one("base_quality", quality, any_((F.col("q25") < 10) | (F.col("median") < 25)), any_((F.col("q25") < 5) | (F.col("median") < 20))),
-        one("tile_quality", tile_quality(df), F.coalesce(F.min("deviation"), F.lit(0.0)) < -2, F.coalesce(F.min("deviation"), F.lit(0.0)) < -5),
-        one("sequence_quality", sequence_quality(df), mode < 27, mode < 20),
-        one("base_content", base_content(df), gap > 10, gap > 20),
+        one("tile_quality", _tile_quality(tally), F.coalesce(F.min("deviation"), F.lit(0.0)) < -2, F.coalesce(F.min("deviation"), F.lit(0.0)) < -5),
+        one("sequence_quality", _sequence_quality(tally), mode < 27, mode < 20),
+        one("base_content", _base_content(tally), gap > 10, gap > 20),
         one("sequence_gc", gc, odd > 0.15, odd > 0.30),
-        one("n_content", n_content(df), worst("n") > 5, worst("n") > 20),
-        one("lengths", lengths(df), F.count("*") > 1, any_(F.col("length") == 0)),
+        one("n_content", _n_content(tally), worst("n") > 5, worst("n") > 20),
+        one("lengths", sizes.groupBy(F.col("pos").alias("length")).agg(F.sum("n").alias("n")), F.count("*") > 1, any_(F.col("length") == 0)),
         one("duplication", tracked, copies > 0.2, copies > 0.5),
-        one("overrepresented", tracked.crossJoin(F.broadcast(df.agg(F.count("*").alias("total")))), worst(F.col("n") / F.col("total")) > 0.001, worst(F.col("n") / F.col("total")) > 0.01),
-        one("adapter_content", adapter_content(df), worst("share") > 5, worst("share") > 10),
+        one("overrepresented", tracked.crossJoin(F.broadcast(size)), worst(F.col("n") / F.col("total")) > 0.001, worst(F.col("n") / F.col("total")) > 0.01),
+        one("adapter_content", adapters, worst("share") > 5, worst("share") > 10),
         one("kmer_content", _kmers(df), F.coalesce(F.min("p_value"), F.lit(1.0)) < 0.01, F.coalesce(F.min("p_value"), F.lit(1.0)) < 1e-5),
     ]
     out = parts[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import qc as op
+from ..storage import materialize
 from .registry import query
 
 _SQL: dict[str, str] = {}
@@ -75,4 +76,4 @@ _LIMITS = [
     # of all k-mers, not of the first six
     ("kmer_content", _SQL["fastqc_kmer"].replace("ORDER BY ratio DESC, kmer LIMIT 6", ""), "min(p_value) < 0.01", "min(p_value) < 1e-5"),
 ]
-query("fastqc_summary", "reads", "SELECT 'basic' AS module, 'pass' AS status UNION ALL " + " UNION ALL ".join(_status(*limits) for limits in _LIMITS))(op.summary)
+query("fastqc_summary", "reads", "SELECT 'basic' AS module, 'pass' AS status UNION ALL " + " UNION ALL ".join(_status(*limits) for limits in _LIMITS))(lambda df: op.summary(df, materialize))
