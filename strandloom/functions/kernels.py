@@ -21,6 +21,7 @@ def _table(pairs: tuple[str, str], other: int | None = None) -> np.ndarray:
 
 _KEEP_CASE = _table(("ACGTacgt", "TGCAtgca"))
 _MERGE = _table(("ACGTU", "TGCAA"), ord("N"))
+_MERGE_BYTES = _MERGE.tobytes()
 _CODE = np.full(256, 255, np.uint8)
 for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
@@ -136,8 +137,12 @@ def merge_pair(seq1: str, qual1: str, seq2: str, qual2: str, require: int = 30,
 
 def join_pair(seq1: str, qual1: str, seq2: str, qual2: str, found: tuple[int, int, int], correct: bool = False) -> tuple[str, str, int, int, int]:
     """merge_pair, given the overlap."""
-    s1, s2 = array(seq1), array(seq2)
     offset, size, wrong = found
+    if not (correct and wrong) and seq1.isascii() and seq2.isascii() and qual1.isascii() and qual2.isascii():  # no base changes: texts are put together as they are
+        len1, len2 = max(offset, 0) + size, len(seq2) - size if offset > 0 else 0
+        behind = seq2[:len2][::-1].encode().translate(_MERGE_BYTES).decode()
+        return seq1[:len1] + behind, qual1[:len1] + qual2[::-1][size : size + len2], len1, len2, 0
+    s1, s2 = array(seq1), array(seq2)
     q1, rc, rq = array(qual1), reverse_complement(s2, merging=True), array(qual2)[::-1]
     at1, at2 = max(offset, 0), max(-offset, 0)
     changed = 0

@@ -182,10 +182,10 @@ def merge_paired(both: DataFrame, require: int = 30, limit: int = 5, percent: fl
         found, offset, size, wrong = bt.merge_overlaps(one, n, bt.complements(two, m, merging=True), m, require, limit, percent)
         rows = []
         # what overlaps is put together one by one, the search is over
-        for k in np.flatnonzero(found).tolist():
-            r = b.iloc[k]
-            seq, qual, len1, len2, changed = kn.join_pair(r["seq1"], r["qual1"], r["seq2"], r["qual2"], (int(offset[k]), int(size[k]), int(wrong[k])), correct)
-            rows.append((r["ord"], 0, f"{r['id1']} merged_{len1}_{len2}", seq, qual, True, changed))
+        at = np.flatnonzero(found)
+        for ord_, id_, *texts, o, n_, w in zip(*(b[c].to_numpy()[at].tolist() for c in ("ord", "id1", "seq1", "qual1", "seq2", "qual2")), offset[at].tolist(), size[at].tolist(), wrong[at].tolist()):
+            seq, qual, len1, len2, changed = kn.join_pair(*texts, (o, n_, w), correct)
+            rows.append((ord_, 0, f"{id_} merged_{len1}_{len2}", seq, qual, True, changed))
         out = [pd.DataFrame(rows, columns=columns)]
         if include_unmerged:
             rest = b[~found]

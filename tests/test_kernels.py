@@ -226,3 +226,23 @@ def test_newick():
             phylo.parse(bad)
     deep = "(" * 3000 + "a" + ")" * 3000 + ";"
     assert phylo.write(phylo.parse(deep)) == deep
+
+
+def test_texts_of_pairs_are_put_together_as_arrays_are():
+    """Without a base to correct no array is made; a quality that isn't ASCII takes the arrays."""
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = rnd.integers(1, 40, 2)
+        s1, s2 = ("".join(rnd.choice(list("ACGTUNacgt-"), x)) for x in (n, m))
+        q1, q2 = ("".join(chr(c) for c in rnd.integers(33, 74, x)) for x in (n, m))
+        offset = int(rnd.integers(-m + 1, n))
+        size = int(min(n - max(offset, 0), m - max(-offset, 0)))
+        len1, len2 = max(offset, 0) + size, m - size if offset > 0 else 0
+        rc, rq = kn.text(kn.reverse_complement(kn.array(s2), merging=True)), q2[::-1]
+        want = (s1[:len1] + rc[size : size + len2], q1[:len1] + rq[size : size + len2], len1, len2, 0)
+        assert kn.join_pair(s1, q1, s2, q2, (offset, size, 3)) == want == kn.join_pair(s1, q1, s2, q2, (offset, size, 0), True)
+
+
+def test_merging_without_corrections_makes_no_arrays(monkeypatch):
+    monkeypatch.setattr(kn, "array", lambda *_: pytest.fail("an array"))
+    assert kn.join_pair("ACGTA", "IIIII", "GGTAC", "55555", (2, 3, 0), True) == ("ACGTACC", "IIIII55", 5, 2, 0)
