@@ -138,6 +138,7 @@ def unitigs(edges: DataFrame, store) -> DataFrame:
     knows its head and its distance; nodes that never meet a head lie on cycles, which are cut before their smallest node and
     go through the same again. `store` writes a frame and reads it back, which keeps the plans of the rounds apart.
     """
+    edges = store(edges)  # nodes and links read them, each of which would take the reads again
     nodes = store(graph_nodes(edges))
     one_out = nodes.filter("outdegree = 1").select(F.col("node").alias("source"))
     one_in = nodes.filter("indegree = 1").select(F.col("node").alias("target"))
